@@ -1,6 +1,578 @@
-"""All registered queries of the analytics engine."""
+"""All registered queries of the analytics engine, each with SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from chronosweep.functions.exprs import TIMEFRAMES, bucket, hour_of, pip, session_id, session_name, time_filter, weekday_of
+from chronosweep.operators import cost, health, indicators, metrics, pricing, ranking, reconcile, resample, signals, simulate, space
+from chronosweep.sources import upsert
+from chronosweep.sources.bridge import table, ticks, trades
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), places) for c in columns})
+
+
+PRICES = ("open", "high", "low", "close", "spread")
+TICKS = "ticks AS (SELECT event_type AS pair, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS s, epoch_us(ts) AS us, 1.1e0 + value * 1e-4 AS bid, 1.1e0 + value * 1e-4 + (CAST(regexp_extract(props, '(\\d+)', 1) AS DOUBLE) + 1) * 1e-6 AS ask, event_id AS seq FROM events)"
+ROUND = ", ".join(f"round({c}, 6) AS {c}" for c in PRICES)
+EVENTS = "round(entry_price, 6) AS entry_price"
+
+
+def bars_cte(name: str, tf: str) -> str:
+    w, o = TIMEFRAMES[tf]
+    return f"{name} AS (SELECT pair, CAST(floor((s - {o}) / {w}) * {w} + {o} AS BIGINT) AS s, first((bid + ask) / 2 ORDER BY us, seq) AS open, max((bid + ask) / 2) AS high, min((bid + ask) / 2) AS low, last((bid + ask) / 2 ORDER BY us, seq) AS close, CAST(count(*) AS DOUBLE) AS volume, avg(ask - bid) AS spread FROM ticks WHERE bid IS NOT NULL AND ask IS NOT NULL GROUP BY 1, 2)"
+
+
+def longer_cte(name: str, tf: str, source: str = "m1") -> str:
+    w, o = TIMEFRAMES[tf]
+    return f"{name} AS (SELECT pair, CAST(floor((s - {o}) / {w}) * {w} + {o} AS BIGINT) AS b, arg_min(open, s) AS open, max(high) AS high, min(low) AS low, arg_max(close, s) AS close, sum(volume) AS volume, avg(spread) AS spread, max(s) AS last_s FROM {source} GROUP BY 1, 2)"
+
+
+def ema_cte(name: str, source: str, column: str, spans: list[int]) -> str:
+    """name(pair, s, rn, e_{span}...): a recursion over each pair's bars in order."""
+    first = ", ".join(f"{column} AS e_{n}" for n in spans)
+    step = ", ".join(f"{2 / (n + 1)!r} * n.{column} + {1 - 2 / (n + 1)!r} * p.e_{n}" for n in spans)
+    return f"{name}_n AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY s) AS rn FROM {source}), {name} AS (SELECT pair, s, rn, {first} FROM {name}_n WHERE rn = 1 UNION ALL SELECT n.pair, n.s, n.rn, {step} FROM {name} p JOIN {name}_n n ON n.pair = p.pair AND n.rn = p.rn + 1)"
+
+
+M15 = f"WITH RECURSIVE {TICKS}, {bars_cte('b', 'M15')}"
+H1 = f"WITH RECURSIVE {TICKS}, {bars_cte('b', 'H1')}"
+
+
+def m1(spark, sf_dir):
+    return resample.ticks_to_bars(ticks(spark, sf_dir), "M1")
+
+
+def bars(spark, sf_dir, tf="H1"):
+    return resample.ticks_to_bars(ticks(spark, sf_dir), tf)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = signals.ema_cross(bars(spark, sf_dir, "M15"), 5, 20)
+    return found.groupBy("pair", "direction").agg(F.count("*").alias("n"), F.avg("entry_price").alias("mean_price"))
+
+
+# Resampling
+
+
+@query(f"WITH {TICKS}, {bars_cte('b', 'M1')} SELECT pair, s, {ROUND}, volume FROM b")
+def tick_to_m1(spark, sf_dir):
+    return rounded(m1(spark, sf_dir), *PRICES)
+
+
+def _longer(tf):
+    sql = f"WITH {TICKS}, {bars_cte('m1', 'M1')}, {longer_cte('b', tf)} SELECT pair, b AS s, {ROUND}, volume FROM b"
+
+    def fn(spark, sf_dir):
+        return rounded(resample.longer_bars(m1(spark, sf_dir), tf), *PRICES)
+
+    fn.__name__ = f"bars_{tf.lower()}"
+    query(sql)(fn)
+
+
+for _tf in ("M5", "M15", "M30", "H1", "H4", "D", "W"):
+    _longer(_tf)
+
+_FAN = ["M15", "H1", "D", "W"]
+
+
+@query(f"WITH {TICKS}, {bars_cte('m1', 'M1')}, " + ", ".join(longer_cte(f"b_{t}", t) for t in _FAN) + " " + " UNION ALL ".join(f"SELECT pair, '{t}' AS tf, b AS s, {ROUND}, volume FROM b_{t}" for t in _FAN))
+def fanout_all_tf(spark, sf_dir):
+    return rounded(resample.fan_out(m1(spark, sf_dir), _FAN), *PRICES)
+
+
+@query(f"WITH {TICKS}, {bars_cte('m1', 'M1')}, {longer_cte('b', 'H1')} SELECT pair, b AS s, {ROUND}, volume FROM b QUALIFY b < max(b) OVER (PARTITION BY pair) OR last_s >= b + 3540")
+def closed_bars_only(spark, sf_dir):
+    return rounded(resample.closed_bars(m1(spark, sf_dir), "H1"), *PRICES)
+
+
+_DAY3, _DAY9 = 1704240000, 1704758399
+
+
+@query(f"{H1} SELECT pair, count(*) AS n, min(s) AS lo, max(s) AS hi FROM b WHERE s BETWEEN {_DAY3} AND {_DAY9} GROUP BY pair")
+def date_clip(spark, sf_dir):
+    return resample.clip(bars(spark, sf_dir), _DAY3, _DAY9).groupBy("pair").agg(F.count("*").alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi"))
+
+
+@query(f"WITH {TICKS}, {bars_cte('m1', 'M1')}, {bars_cte('b', 'H1')}, x AS (SELECT pair, max(lo) AS lo, min(hi) AS hi FROM (SELECT pair, min(s) AS lo, max(s) AS hi FROM b GROUP BY pair UNION ALL SELECT pair, min(s), max(s) FROM m1 GROUP BY pair) GROUP BY pair) SELECT 'main' AS side, b.pair, count(*) AS n FROM b JOIN x ON b.pair = x.pair AND s BETWEEN lo AND hi GROUP BY ALL UNION ALL SELECT 'sub', m1.pair, count(*) FROM m1 JOIN x ON m1.pair = x.pair AND s BETWEEN lo AND hi GROUP BY ALL")
+def align_window(spark, sf_dir):
+    main, sub = resample.align(bars(spark, sf_dir), m1(spark, sf_dir))
+    count = lambda df, side: df.groupBy("pair").agg(F.count("*").alias("n")).select(F.lit(side).alias("side"), "pair", "n")
+    return count(main, "main").unionByName(count(sub, "sub"))
+
+
+@query(f"WITH {TICKS}, {bars_cte('m1', 'M1')}, {bars_cte('b', 'H1')} SELECT b.pair, b.s, count(m1.s) AS n_sub, min(m1.s) AS first_sub, max(m1.s) AS last_sub FROM b LEFT JOIN m1 ON m1.pair = b.pair AND m1.s >= b.s AND m1.s < b.s + 3600 GROUP BY b.pair, b.s")
+def main_sub_map(spark, sf_dir):
+    sub = resample.map_to_main(m1(spark, sf_dir), "H1").groupBy("pair", "main_s").agg(F.count("*").alias("n_sub"), F.min("s").alias("first_sub"), F.max("s").alias("last_sub"))
+    return bars(spark, sf_dir).select("pair", "s").join(sub.withColumnRenamed("main_s", "s"), ["pair", "s"], "left").fillna(0, ["n_sub"])
+
+
+@query(f"WITH {TICKS} SELECT pair, CAST(hour(make_timestamp(us)) AS INTEGER) AS hour, CAST(isodow(make_timestamp(us)) - 1 AS INTEGER) AS weekday, count(*) AS n FROM ticks GROUP BY ALL")
+def hour_weekday(spark, sf_dir):
+    return ticks(spark, sf_dir).groupBy("pair", hour_of(F.col("s")).alias("hour"), weekday_of(F.col("s")).alias("weekday")).agg(F.count("*").alias("n"))
+
+
+# Sources
+
+
+@query(f"{H1}, n AS (SELECT pair, s, close + 1 AS close FROM b WHERE s % 7200 = 0) SELECT coalesce(n.pair, b.pair) AS pair, coalesce(n.s, b.s) AS s, round(coalesce(n.close, b.close), 6) AS close, CASE WHEN n.pair IS NULL THEN round(b.spread, 6) END AS spread FROM b FULL JOIN n ON b.pair = n.pair AND b.s = n.s")
+def upsert_latest(spark, sf_dir):
+    old = bars(spark, sf_dir).select("pair", "s", "close", "spread")
+    new = old.where("s % 7200 = 0").select("pair", "s", (F.col("close") + 1).alias("close"))
+    return rounded(upsert.upsert(old, new, ["pair", "s"]), "close", "spread")
+
+
+@query(f"WITH {TICKS} SELECT pair, count(*) AS n FROM (SELECT DISTINCT pair, us, bid, ask FROM ticks) GROUP BY pair")
+def dedupe_tick_identity(spark, sf_dir):
+    t = ticks(spark, sf_dir).select("pair", "us", "bid", "ask")
+    return upsert.merge_ticks(t, t.where("us % 2 = 0")).groupBy("pair").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {TICKS}, have AS (SELECT DISTINCT s // 86400 AS day FROM ticks WHERE (s // 86400) % 3 <> 0) SELECT CAST(d AS BIGINT) AS day FROM range(19723, 19753) r(d) WHERE d NOT IN (SELECT day FROM have) OR d = 19724")
+def except_days(spark, sf_dir):
+    have = ticks(spark, sf_dir).select(F.floor(F.col("s") / 86400).alias("day")).where("day % 3 <> 0")
+    return upsert.uncovered_days(spark.range(19723, 19753).withColumnRenamed("id", "day"), have, 19724)
+
+
+@query(f"{H1}, a AS (SELECT pair, s, open + 2e-4 AS o, close + 4e-4 AS c FROM b WHERE s % 10800 = 0) SELECT b.pair, b.s, round(((a.o - b.open) + (a.c - b.close)) / 2, 6) AS spread FROM b LEFT JOIN a ON a.pair = b.pair AND a.s = b.s")
+def bid_ask_merge(spark, sf_dir):
+    bid = bars(spark, sf_dir)
+    ask = bid.where("s % 10800 = 0").select("pair", "s", (F.col("open") + F.lit(2e-4)).alias("open"), (F.col("close") + F.lit(4e-4)).alias("close"))
+    return rounded(upsert.with_spread(bid, ask, ["pair", "s"]).select("pair", "s", "spread"), "spread")
+
+
+@query(f"WITH {TICKS}, {bars_cte('m1', 'M1')}, {longer_cte('h', 'H1')}, a AS (SELECT pair, 'M1' AS tf, s, spread FROM m1 UNION ALL SELECT pair, 'H1', b, spread FROM h) SELECT pair, tf, count(*) AS rows, min(s) AS first_s, max(s) AS last_s, count(spread) > 0 AS has_spread, CASE WHEN count(*) = 0 THEN 'empty' WHEN count(*) < 500 THEN 'thin' ELSE 'ok' END AS status FROM a GROUP BY pair, tf")
+def inventory(spark, sf_dir):
+    minutes = m1(spark, sf_dir)
+    return upsert.inventory(minutes.withColumn("tf", F.lit("M1")).unionByName(resample.longer_bars(minutes, "H1").withColumn("tf", F.lit("H1")).select(*minutes.columns, "tf")))
+
+
+@query("SELECT DISTINCT event_type AS pair, CASE WHEN event_type IN ('click', 'view') THEN 'Traffic' WHEN event_type = 'purchase' THEN 'Money' ELSE 'Other' END AS grp FROM events")
+def intersect_group(spark, sf_dir):
+    return upsert.grouped(table(spark, sf_dir, "events").select(F.col("event_type").alias("pair")).distinct(), {"Traffic": ["click", "view"], "Money": ["purchase"]})
+
+
+# Health
+
+
+@query(f"{H1}, d AS (SELECT pair, sum(k - 1) AS dup FROM (SELECT pair, s, count(*) AS k FROM b GROUP BY ALL) GROUP BY pair), c AS (SELECT pair, count(*) AS rows, CAST(0 AS BIGINT) AS nulls, count_if(high < low OR high < open OR high < close OR low > open OR low > close) AS ohlc_violations, count_if(spread < 0) AS negative_spreads, round(avg(CAST(spread <> 0 AS INTEGER)), 6) AS nonzero_spread_share FROM b GROUP BY pair) SELECT c.pair, rows, nulls, CAST(ohlc_violations AS BIGINT) AS ohlc_violations, CAST(negative_spreads AS BIGINT) AS negative_spreads, nonzero_spread_share, CAST(dup AS BIGINT) AS dup_ts, CASE WHEN ohlc_violations > 0 OR negative_spreads > 0 THEN 'fail' WHEN nulls > 0 OR dup > 0 THEN 'warn' ELSE 'ok' END AS status FROM c JOIN d ON c.pair = d.pair")
+def health_counts(spark, sf_dir):
+    return rounded(health.health_counts(bars(spark, sf_dir)), "nonzero_spread_share")
+
+
+@query(f"WITH {TICKS}, {bars_cte('b', 'M15')}, g AS (SELECT pair, s, lag(s) OVER (PARTITION BY pair ORDER BY s) AS prev_s FROM b), f AS (SELECT * FROM g WHERE s - prev_s > 1800 AND NOT EXISTS (SELECT 1 FROM range(0, 40) r(k) WHERE prev_s // 86400 + k <= s // 86400 AND isodow(make_timestamp((prev_s // 86400 + k) * 86400000000)) = 6)) SELECT pair, prev_s, s, row_number() OVER (PARTITION BY pair ORDER BY s) AS k, count(*) OVER (PARTITION BY pair) AS n_gaps FROM f QUALIFY k <= 20")
+def gap_samples(spark, sf_dir):
+    return health.gaps(bars(spark, sf_dir, "M15"), 900).withColumn("k", F.col("k").cast("long"))
+
+
+# Indicators
+
+
+@query(f"{H1}, {ema_cte('e', 'b', 'close', [3, 12, 26])} SELECT pair, s, round(e_3, 6) AS ema_3, round(e_12, 6) AS ema_12, round(e_26, 6) AS ema_26 FROM e")
+def ema(spark, sf_dir):
+    return rounded(indicators.emas(bars(spark, sf_dir).select("pair", "s", "close"), "close", [3, 12, 26]).drop("close"), "ema_3", "ema_12", "ema_26")
+
+
+_TR = "t AS (SELECT *, greatest(high - low, abs(high - coalesce(lag(close) OVER w, close)), abs(low - coalesce(lag(close) OVER w, close))) AS tr FROM b WINDOW w AS (PARTITION BY pair ORDER BY s))"
+
+
+@query(f"{H1}, {_TR} SELECT pair, s, round(tr, 6) AS tr FROM t")
+def true_range(spark, sf_dir):
+    return rounded(indicators.true_range(bars(spark, sf_dir)).select("pair", "s", "tr"), "tr")
+
+
+@query(f"{H1}, {_TR}, {ema_cte('e', 't', 'tr', [14])} SELECT pair, s, round(e_14, 6) AS atr FROM e")
+def atr_ema(spark, sf_dir):
+    return rounded(indicators.atr_ema(bars(spark, sf_dir), 14).select("pair", "s", "atr"), "atr")
+
+
+_MOVES = "mv AS (SELECT pair, s, coalesce(greatest(close - lag(close) OVER w, 0), 0) AS gain, coalesce(greatest(lag(close) OVER w - close, 0), 0) AS loss, close FROM b WINDOW w AS (PARTITION BY pair ORDER BY s))"
+_RSI = f"{_MOVES}, {ema_cte('up', 'mv', 'gain', [14])}, {ema_cte('dn', 'mv', 'loss', [14])}, r AS (SELECT up.pair, up.s, CASE WHEN dn.e_14 = 0 THEN 100 ELSE 100 - 100 / (1 + up.e_14 / dn.e_14) END AS rsi FROM up JOIN dn ON up.pair = dn.pair AND up.s = dn.s)"
+
+
+@query(f"{H1}, {_RSI} SELECT pair, s, round(rsi, 6) AS rsi FROM r")
+def rsi(spark, sf_dir):
+    return rounded(indicators.rsi(bars(spark, sf_dir), 14).select("pair", "s", "rsi"), "rsi")
+
+
+_MACD = f"{ema_cte('fs', 'b', 'close', [12, 26])}, ml AS (SELECT pair, s, e_12 - e_26 AS macd FROM fs), {ema_cte('sg', 'ml', 'macd', [9])}"
+
+
+@query(f"{H1}, {_MACD} SELECT ml.pair, ml.s, round(macd, 6) AS macd, round(e_9, 6) AS macd_signal FROM ml JOIN sg ON ml.pair = sg.pair AND ml.s = sg.s")
+def macd(spark, sf_dir):
+    return rounded(indicators.macd(bars(spark, sf_dir), 12, 26, 9).select("pair", "s", "macd", "macd_signal"), "macd", "macd_signal")
+
+
+@query(f"{H1}, {_TR}, a AS (SELECT pair, avg(tr) OVER (PARTITION BY pair ORDER BY s ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS m, row_number() OVER (PARTITION BY pair ORDER BY s) AS k FROM t) SELECT pair, round(median(m) FILTER (WHERE k >= 14), 6) AS atr FROM a GROUP BY pair HAVING count(*) >= 19")
+def atr_sma_median(spark, sf_dir):
+    return rounded(indicators.median_atr(bars(spark, sf_dir)), "atr")
+
+
+_CHANNEL = "c AS (SELECT pair, s, close, CASE WHEN count(*) OVER w = 20 THEN max(high) OVER w END AS upper, CASE WHEN count(*) OVER w = 20 THEN min(low) OVER w END AS lower FROM b WINDOW w AS (PARTITION BY pair ORDER BY s ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"
+
+
+@query(f"{H1}, {_CHANNEL} SELECT pair, s, round(upper, 6) AS upper, round(lower, 6) AS lower FROM c")
+def donchian_channels(spark, sf_dir):
+    return rounded(indicators.channels(bars(spark, sf_dir), 20).select("pair", "s", "upper", "lower"), "upper", "lower")
+
+
+# Signals
+
+
+def _cross_sql(source: str, f: str, s: str) -> str:
+    return f"SELECT pair, s, CAST(CASE WHEN f > g AND f0 <= g0 THEN 1 ELSE -1 END AS INTEGER) AS direction, {EVENTS} FROM (SELECT pair, s, close AS entry_price, {f} AS f, {s} AS g, lag({f}) OVER w AS f0, lag({s}) OVER w AS g0 FROM {source} WINDOW w AS (PARTITION BY pair ORDER BY s)) WHERE (f > g AND f0 <= g0) OR (f < g AND f0 >= g0)"
+
+
+@query(f"{M15}, {ema_cte('e', 'b', 'close', [5, 20])}, j AS (SELECT b.pair, b.s, close, e_5, e_20 FROM b JOIN e ON b.pair = e.pair AND b.s = e.s) {_cross_sql('j', 'e_5', 'e_20')}")
+def ema_cross(spark, sf_dir):
+    return rounded(signals.ema_cross(bars(spark, sf_dir, "M15"), 5, 20), "entry_price")
+
+
+@query(f"{H1}, {_MACD}, j AS (SELECT b.pair, b.s, close, macd, e_9 FROM b JOIN ml ON b.pair = ml.pair AND b.s = ml.s JOIN sg ON b.pair = sg.pair AND b.s = sg.s) {_cross_sql('j', 'macd', 'e_9')}")
+def macd_cross(spark, sf_dir):
+    return rounded(signals.macd_cross(bars(spark, sf_dir), 12, 26, 9), "entry_price")
+
+
+@query(f"{H1}, {_CHANNEL}, f AS (SELECT *, coalesce(close > upper, false) AS a, coalesce(close < lower, false) AS z FROM c), g AS (SELECT *, coalesce(lag(a) OVER w, false) AS a0, coalesce(lag(z) OVER w, false) AS z0 FROM f WINDOW w AS (PARTITION BY pair ORDER BY s)) SELECT pair, s, CAST(CASE WHEN a AND NOT a0 THEN 1 ELSE -1 END AS INTEGER) AS direction, round(close, 6) AS entry_price FROM g WHERE (a AND NOT a0) OR (z AND NOT z0)")
+def donchian_breakout(spark, sf_dir):
+    return rounded(signals.donchian(bars(spark, sf_dir), 20), "entry_price")
+
+
+@query(f"{H1}, {_RSI}, j AS (SELECT r.pair, r.s, rsi, close, lag(rsi) OVER (PARTITION BY r.pair ORDER BY r.s) AS r0 FROM r JOIN b ON b.pair = r.pair AND b.s = r.s) SELECT pair, s, CAST(CASE WHEN rsi > 45 AND r0 <= 45 THEN 1 ELSE -1 END AS INTEGER) AS direction, round(close, 6) AS entry_price FROM j WHERE (rsi > 45 AND r0 <= 45) OR (rsi < 55 AND r0 >= 55)")
+def rsi_reversal(spark, sf_dir):
+    return rounded(signals.rsi_reversal(bars(spark, sf_dir), 14, 45.0, 55.0), "entry_price")
+
+
+@query("SELECT CAST(h AS BIGINT) AS hour, CAST(CASE WHEN h BETWEEN 7 AND 12 THEN 1 WHEN h BETWEEN 13 AND 15 THEN 3 WHEN h BETWEEN 16 AND 21 THEN 2 ELSE 0 END AS INTEGER) AS session, CASE WHEN h < 8 THEN 'Asian' WHEN h < 13 THEN 'London' WHEN h < 17 THEN 'Lon-NY' WHEN h < 21 THEN 'NY' ELSE 'Rollover' END AS name FROM range(0, 24) r(h)")
+def session_tag(spark, sf_dir):
+    return spark.range(24).select(F.col("id").alias("hour"), session_id(F.col("id")).alias("session"), session_name(F.col("id")).alias("name"))
+
+
+@query("SELECT CAST(f AS INTEGER) AS fast, CAST(s AS INTEGER) AS slow FROM unnest([3, 5, 8, 13]) a(f), unnest([5, 13, 21]) b(s) WHERE f < s")
+def grid_expand(spark, sf_dir):
+    pairs = spark.range(1).select(F.explode(F.array(*map(F.lit, (3, 5, 8, 13)))).alias("fast")).select("fast", F.explode(F.array(*map(F.lit, (5, 13, 21)))).alias("slow"))
+    return pairs.where("fast < slow")
+
+
+def _library(spark, sf_dir):
+    return signals.build_library(bars(spark, sf_dir), {"ema_cross": {"fast": [5, 20], "slow": [10, 20]}, "donchian": {"lookback": [20, 100_000]}})
+
+
+@query()
+def variant_library(spark, sf_dir):
+    return _library(spark, sf_dir)[0]
+
+
+# Filters and prices
+
+
+def _orders(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("pair"), F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(-1).alias("direction"), (day * 86400 + F.pmod(F.col("o_orderkey") * 7, F.lit(24)) * 3600).alias("s"), F.col("o_totalprice").alias("price"))
+
+
+ORDERS = "o AS (SELECT o_orderkey AS id, o_orderpriority AS pair, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END AS direction, CAST(epoch(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)) AS BIGINT) + (o_orderkey * 7) % 24 * 3600 AS s, o_totalprice AS price FROM orders)"
+_HOUR, _WDAY = "((s // 3600) % 24)", "((s // 86400 + 3) % 7)"
+
+
+@query(f"WITH {ORDERS} SELECT pair, count(*) AS n FROM o WHERE ((21 >> CAST({_WDAY} AS INTEGER)) & 1) = 1 AND ({_HOUR} >= 22 OR {_HOUR} <= 6) GROUP BY pair")
+def time_filters(spark, sf_dir):
+    passes = time_filter(hour_of(F.col("s")), weekday_of(F.col("s")), F.lit(22), F.lit(6), F.lit(21))
+    return _orders(spark, sf_dir).where(passes).groupBy("pair").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {ORDERS} SELECT pair, count(*) AS n FROM o WHERE (id % 5 - 1 = -1 OR id % 5 - 1 = 2) AND (id % 3 - 1 = -1 OR id % 3 - 1 = 1) AND (CASE WHEN direction = 1 THEN 2 ELSE -1 END = -1 OR id % 4 - 1 = -1 OR id % 4 - 1 = 2) GROUP BY pair")
+def pk_filters(spark, sf_dir):
+    place = lambda k: F.col("id") % k - 1
+    keep = pricing.p_filters([F.lit(2.4), F.lit(0.6)], [place(5), place(3)]) & pricing.value_filter(F.col("direction"), place(4).cast("double"), F.lit(2.0), F.lit(-1.0))
+    return _orders(spark, sf_dir).where(keep).groupBy("pair").agg(F.count("*").alias("n"))
+
+
+@query(f"{H1} SELECT pair, count(*) AS n FROM b WHERE spread / 1e-4 <= 0.5 GROUP BY pair")
+def max_spread_gate(spark, sf_dir):
+    return bars(spark, sf_dir).where(pricing.spread_gate(F.col("spread"), F.lit(1e-4), F.lit(0.5))).groupBy("pair").agg(F.count("*").alias("n"))
+
+
+def _priced(spark, sf_dir):
+    o = _orders(spark, sf_dir)
+    return o.select("id", "direction", (F.lit(1.0) + F.col("id") % 1000 * F.lit(1e-4)).alias("entry_price"), ((F.col("id") % 17) + 1.0).alias("atr_pips"), F.lit(1e-4).alias("pip"), (F.col("id") % 3).alias("sl_mode"), (F.col("id") % 3).alias("tp_mode"), F.lit(20.0).alias("sl_fixed_pips"), F.lit(1.5).alias("sl_atr_mult"), F.lit(0.5).alias("tp_rr"), F.lit(3.0).alias("tp_atr_mult"), F.lit(40.0).alias("tp_fixed_pips"), F.when(F.col("id") % 4 != 0, F.lit(1.0) + F.col("id") % 1003 * F.lit(1e-4)).alias("swing_sl"))
+
+
+@query("WITH p AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END AS d, 1e0 + (o_orderkey % 1000) * 1e-4 AS e, (o_orderkey % 17) + 1e0 AS atr, o_orderkey % 3 AS m, CASE WHEN o_orderkey % 4 <> 0 THEN 1e0 + (o_orderkey % 1003) * 1e-4 END AS sw FROM orders), q AS (SELECT *, CASE m WHEN 0 THEN 20 * 1e-4 WHEN 1 THEN atr * 1e-4 * 1.5 ELSE CASE WHEN sw IS NULL THEN atr * 1e-4 * 1.5 ELSE greatest(abs(e - sw), 5 * 1e-4) END END AS sl FROM p), r AS (SELECT *, greatest(sl, CASE m WHEN 0 THEN sl * 0.5 WHEN 1 THEN atr * 1e-4 * 3 ELSE 40 * 1e-4 END) AS tp FROM q) SELECT id, round(e - d * sl, 6) AS sl_price, round(e + d * tp, 6) AS tp_price, round(sl / 1e-4, 6) AS sl_pips, round(tp / 1e-4, 6) AS tp_pips FROM r")
+def sl_tp_prices(spark, sf_dir):
+    return rounded(pricing.stops(_priced(spark, sf_dir)).select("id", "sl_price", "tp_price", "sl_pips", "tp_pips"), "sl_price", "tp_price", "sl_pips", "tp_pips")
+
+
+# Simulation
+
+
+def _entries(spark, sf_dir):
+    b = bars(spark, sf_dir, "M15")
+    e = signals.ema_cross(b, 5, 20)
+    return b, e.select(F.xxhash64("pair", "s").alias("trade_id"), "pair", "s", "direction", "entry_price", (F.col("entry_price") - F.col("direction") * F.lit(0.004)).alias("sl_price"), (F.col("entry_price") + F.col("direction") * F.lit(0.006)).alias("tp_price"))
+
+
+_TOUCH = f"{M15}, {ema_cte('em', 'b', 'close', [5, 20])}, j AS (SELECT b.pair, b.s, close, e_5, e_20 FROM b JOIN em ON b.pair = em.pair AND b.s = em.s), sig AS (SELECT pair, s, CASE WHEN f > g AND f0 <= g0 THEN 1 ELSE -1 END AS direction, entry_price FROM (SELECT pair, s, close AS entry_price, e_5 AS f, e_20 AS g, lag(e_5) OVER w AS f0, lag(e_20) OVER w AS g0 FROM j WINDOW w AS (PARTITION BY pair ORDER BY s)) WHERE (f > g AND f0 <= g0) OR (f < g AND f0 >= g0)), en AS (SELECT *, entry_price - direction * 0.004 AS sl, entry_price + direction * 0.006 AS tp FROM sig), hits AS (SELECT en.pair, en.s, arg_min(b.s, b.s) AS xs, arg_min(CASE WHEN (direction = 1 AND low <= sl) OR (direction = -1 AND high >= sl) THEN sl ELSE tp END, b.s) AS xp, arg_min(CASE WHEN (direction = 1 AND low <= sl) OR (direction = -1 AND high >= sl) THEN 'SL' ELSE 'TP' END, b.s) AS xr FROM en JOIN b ON b.pair = en.pair AND b.s >= en.s + 900 WHERE (direction = 1 AND (low <= sl OR high >= tp)) OR (direction = -1 AND (high >= sl OR low <= tp)) GROUP BY en.pair, en.s), fin AS (SELECT pair, max(s) AS ls, arg_max(close, s) AS lc FROM b GROUP BY pair), ex AS (SELECT en.*, coalesce(xs, ls) AS exit_s, coalesce(xp, lc) AS exit_price, coalesce(xr, 'NONE') AS exit_reason FROM en LEFT JOIN hits ON en.pair = hits.pair AND en.s = hits.s JOIN fin ON en.pair = fin.pair)"
+
+
+@query(_TOUCH + " SELECT pair, s, CAST(direction AS INTEGER) AS direction, exit_s, exit_reason, round(exit_price, 6) AS exit_price FROM ex")
+def first_touch_exit(spark, sf_dir):
+    b, e = _entries(spark, sf_dir)
+    return rounded(simulate.first_touch(e, b, 900).select("pair", "s", "direction", "exit_s", "exit_reason", "exit_price"), "exit_price")
+
+
+@query(_TOUCH + " SELECT pair, exit_reason, count(*) AS trades, round(sum(direction * (exit_price - entry_price) / 1e-4), 4) AS pips, round(avg(exit_s - s), 4) AS mean_hold_s FROM ex GROUP BY pair, exit_reason")
+def batch_eval(spark, sf_dir):
+    b, e = _entries(spark, sf_dir)
+    done = simulate.first_touch(e, b, 900).withColumn("pips", F.col("direction") * (F.col("exit_price") - F.col("entry_price")) / F.lit(1e-4))
+    return done.groupBy("pair", "exit_reason").agg(F.count("*").alias("trades"), F.round(F.sum("pips"), 4).alias("pips"), F.round(F.avg(F.col("exit_s") - F.col("s")), 4).alias("mean_hold_s"))
+
+
+@query()
+def sim_full(spark, sf_dir):
+    """Managed trades over a five-day path, all rules on."""
+    b, e = _entries(spark, sf_dir)
+    cell = F.floor(F.col("s") / 432_000)
+    near = e.select("trade_id", "pair", F.col("s").alias("e_s"), F.explode(F.array(cell, cell + 1)).alias("cell")).join(b.withColumn("cell", cell), ["pair", "cell"])
+    paths = near.where("s > e_s and s <= e_s + 432000").select("trade_id", F.col("s").alias("seq"), bucket(F.col("s"), 3600).alias("main"), F.max_by("close", "s").over(Window.partitionBy("trade_id", bucket(F.col("s"), 3600))).alias("main_close"), "high", "low", "close", "spread")
+    rules = {"pip": 1e-4, "atr_pips": 20.0, "be_enabled": 1, "be_trigger": 15.0, "be_offset": 2.0, "trailing_mode": 1, "trailing_activate": 25.0, "trailing_distance": 20.0, "partial_enabled": 1, "partial_pct": 50.0, "partial_trigger": 30.0, "max_bars": 96, "commission": 0.3}
+    return simulate.simulate(e.drop("s", "pair").withColumns({k: F.lit(v) for k, v in rules.items()}), paths)
+
+
+# Metrics
+
+
+TRADES = "t AS (SELECT l_suppkey AS trial_id, CAST(l_quantity - 25 AS DOUBLE) AS pnl, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS i FROM (SELECT DISTINCT l_suppkey, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice FROM lineitem)), e1 AS (SELECT *, sum(pnl) OVER w AS eq, sum(CAST(pnl >= 0 AS INTEGER)) OVER w AS island FROM t WINDOW w AS (PARTITION BY trial_id ORDER BY i)), e2 AS (SELECT *, greatest(max(eq) OVER w, 0) AS peak, max(abs(eq)) OVER w AS base, sum(CAST(pnl < 0 AS INTEGER)) OVER (PARTITION BY trial_id, island ORDER BY i) AS streak FROM e1 WINDOW w AS (PARTITION BY trial_id ORDER BY i))"
+MOMENTS = TRADES + ", a AS (SELECT trial_id, count(*) AS n, sum(pnl) AS total, avg(pnl) AS m, avg(CAST(pnl > 0 AS INTEGER)) AS wr, coalesce(sum(pnl) FILTER (WHERE pnl > 0), 0) AS won, coalesce(-sum(pnl) FILTER (WHERE pnl < 0), 0) AS lost, coalesce(sum(pnl * pnl) FILTER (WHERE pnl < 0), 0) AS nsq, count(*) FILTER (WHERE pnl < 0) AS nn, stddev_samp(pnl) AS sd, max(peak - eq) AS mdd, max(base) AS base, sqrt(avg(CASE WHEN base > 0 THEN pow((peak - eq) / base * 100, 2) ELSE 0 END)) AS ulcer, max(streak) AS streak, regr_r2(eq, i) AS r2, regr_slope(eq, i) AS slope, regr_sxx(eq, i) AS sxx, regr_syy(eq, i) AS syy, list_sort(list(pnl)) AS l FROM e2 GROUP BY trial_id), c AS (SELECT e2.trial_id, sum(pow(pnl - m, 2)) / any_value(n) AS v, sum(pow(pnl - m, 3)) / any_value(n) AS c3, sum(pow(pnl - m, 4)) / any_value(n) AS c4 FROM e2 JOIN a ON a.trial_id = e2.trial_id GROUP BY e2.trial_id), d AS (SELECT a.*, v, c3, c4, sqrt(n * 6048 / 1000.0) AS ann, CASE WHEN lost > 0 THEN won / lost WHEN won > 0 THEN 10 ELSE 0 END AS pf, CASE WHEN nn > 0 THEN m / sqrt(nsq / nn) * sqrt(n * 6048 / 1000.0) WHEN m > 0 THEN 10 ELSE 0 END AS sortino, sqrt(greatest(syy - slope * slope * sxx, 0) / (n - 2) / sxx) AS err, total / 30.0 * 100 AS ret FROM a JOIN c ON a.trial_id = c.trial_id), k AS (SELECT *, CASE WHEN n > 2 AND err > 0 THEN slope / (err * sqrt(n)) ELSE 0 END AS kr, m / sd AS sr FROM d)"
+_PHI = "CASE WHEN x >= 0 THEN 0.5 * (1 + y) ELSE 0.5 * (1 - y) END"
+
+
+def _metric_query(name: str, sql: str, columns: list[str]):
+    def fn(spark, sf_dir):
+        df = metrics.trial_metrics(trades(spark, sf_dir)).select("trial_id", *columns)
+        return rounded(df, *[c for c, kind in df.dtypes if kind == "double"])
+
+    fn.__name__ = name
+    query(f"WITH {MOMENTS} {sql}")(fn)
+
+
+_metric_query("metrics_core", "SELECT trial_id, n AS trades, round(total, 6) AS total_pips, round(wr, 6) AS win_rate, round(pf, 6) AS profit_factor, round(sr * ann, 6) AS sharpe, round(sortino, 6) AS sortino, round(ret, 6) AS return_pct, round(m, 6) AS expectancy_pips, round(m / 30, 6) AS expectancy_r, round(sqrt(n) * sr, 6) AS sqn FROM k", ["trades", "total_pips", "win_rate", "profit_factor", "sharpe", "sortino", "return_pct", "expectancy_pips", "expectancy_r", "sqn"])
+_metric_query("metrics_drawdown", "SELECT trial_id, round(mdd, 6) AS max_dd, round(mdd / CASE WHEN base > 0 THEN base ELSE 1 END * 100, 6) AS max_dd_pct, round(ulcer, 6) AS ulcer, round(CASE WHEN mdd <> 0 THEN total * 6048 / 1000 / mdd ELSE 0 END, 6) AS calmar, round(CASE WHEN mdd <> 0 THEN total / mdd ELSE 0 END, 6) AS recovery, round(CASE WHEN ulcer <> 0 THEN ret / ulcer ELSE 0 END, 6) AS upi FROM k", ["max_dd", "max_dd_pct", "ulcer", "calmar", "recovery", "upi"])
+_metric_query("metrics_regression", "SELECT trial_id, round(greatest(coalesce(r2, 0), 0), 6) AS r_squared, round(kr, 6) AS k_ratio FROM k", ["r_squared", "k_ratio"])
+_metric_query("metrics_tail", "SELECT trial_id, round(CASE WHEN n >= 20 AND l[CAST(round((n - 1) * 0.05) AS INTEGER) + 1] <> 0 THEN abs(l[CAST(round((n - 1) * 0.95) AS INTEGER) + 1]) / abs(l[CAST(round((n - 1) * 0.05) AS INTEGER) + 1]) ELSE 0 END, 6) AS tail_ratio, round(pf, 6) AS omega FROM k", ["tail_ratio", "omega"])
+_metric_query("metrics_streak", "SELECT trial_id, CAST(streak AS BIGINT) AS max_consec_loss FROM k", ["max_consec_loss"])
+_metric_query("metrics_quality", "SELECT trial_id, round(q, 6) AS quality, round(q, 6) AS quality_v2 FROM (SELECT trial_id, CASE WHEN sortino > 0 THEN ln(1 + sortino) * least(greatest(kr / 3, 0), 1) * least(pf, 5) * (least(n, 300) / 300 * 14.14) / (ulcer + 5) ELSE 0 END AS q FROM k)", ["quality", "quality_v2"])
+_metric_query("metrics_psr", f", p AS (SELECT trial_id, n, sr * sqrt(n - 1) / sqrt(greatest(1 - c3 / pow(sqrt(v), 3) * sr + (c4 / (v * v) - 1) / 4 * sr * sr, 1e-12)) AS x FROM k), g AS (SELECT *, 1 / (1 + 0.3275911 * abs(x) / sqrt(2)) AS u FROM p), h AS (SELECT *, 1 - u * (0.254829592 + u * (-0.284496736 + u * (1.421413741 + u * (-1.453152027 + u * 1.061405429)))) * exp(-x * x / 2) AS y FROM g) SELECT trial_id, round(CASE WHEN n >= 4 THEN {_PHI} ELSE 0 END, 6) AS psr FROM h", ["psr"])
+
+
+# Ranking
+
+
+def _metrics(spark, sf_dir):
+    m = metrics.trial_metrics(trades(spark, sf_dir))
+    return rounded(m, *[c for c, kind in m.dtypes if kind == "double"])
+
+
+_RANKED = f"WITH {MOMENTS}, r AS (SELECT trial_id, n AS trades, round(total, 6) AS total_pips, round(ret, 6) AS return_pct, round(pf, 6) AS profit_factor, round(sr * ann, 6) AS sharpe, round(mdd / base * 100, 6) AS max_dd_pct FROM k)"
+
+
+@query(f"{_RANKED} SELECT trial_id, sharpe FROM r ORDER BY sharpe DESC, return_pct DESC, trades DESC, trial_id LIMIT 1")
+def pick_best(spark, sf_dir):
+    return ranking.pick_best(_metrics(spark, sf_dir), "sharpe").select("trial_id", "sharpe")
+
+
+@query(f"{_RANKED}, x AS (SELECT * FROM r WHERE trades >= 40 AND max_dd_pct < 95 OR NOT EXISTS (SELECT 1 FROM r WHERE trades >= 40 AND max_dd_pct < 95)), z AS (SELECT * FROM x WHERE return_pct > 0 OR profit_factor > 1 OR NOT EXISTS (SELECT 1 FROM x WHERE return_pct > 0 OR profit_factor > 1)) SELECT trial_id, max_dd_pct FROM z ORDER BY max_dd_pct, return_pct DESC, trades DESC, trial_id LIMIT 1")
+def pick_best_constrained(spark, sf_dir):
+    return ranking.pick_best(_metrics(spark, sf_dir), "max_dd_pct", [("trades", ">=", 40), ("max_dd_pct", "<", 95)], profitable=True).select("trial_id", "max_dd_pct")
+
+
+@query(f"{_RANKED}, u AS (SELECT 'sharpe' AS objective, trial_id, sharpe AS value, sharpe AS o FROM r UNION ALL SELECT 'total_pips', trial_id, total_pips, total_pips FROM r UNION ALL SELECT 'max_dd_pct', trial_id, max_dd_pct, -max_dd_pct FROM r) SELECT objective, trial_id, value, row_number() OVER (PARTITION BY objective ORDER BY o DESC, trial_id) AS rank FROM u QUALIFY rank <= 5")
+def topn_per_objective(spark, sf_dir):
+    return ranking.top_per_objective(_metrics(spark, sf_dir), ["sharpe", "total_pips", "max_dd_pct"], 5).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"{_RANKED}, b AS (SELECT trial_id FROM r ORDER BY sharpe DESC, trial_id LIMIT 3) SELECT trial_id, sharpe FROM r WHERE trial_id % (SELECT greatest(ceil(count(*) / 20), 1) FROM r) = 0 OR trial_id IN (SELECT trial_id FROM b)")
+def scatter_decimate(spark, sf_dir):
+    m = _metrics(spark, sf_dir).select("trial_id", "sharpe")
+    best = ranking.retained(ranking.top_per_objective(m, ["sharpe"], 3))
+    return ranking.decimate(m, 20, best)
+
+
+@query(f"WITH {TRADES} SELECT trial_id, i, eq, peak - eq AS dd FROM e2 WHERE i % 10 = 0")
+def equity_curve(spark, sf_dir):
+    return metrics.equity(trades(spark, sf_dir)).where("i % 10 = 0").select("trial_id", "i", "eq", "dd")
+
+
+@query(f"{_RANKED} SELECT trial_id, max(sharpe) OVER (ORDER BY trial_id) AS best FROM r")
+def running_best(spark, sf_dir):
+    """One row per trial, as a plot of a sweep needs; blocks of trials are ranked apart and then joined to the best before them."""
+    m = _metrics(spark, sf_dir).select("trial_id", "sharpe", F.floor(F.col("trial_id") / 1000).alias("block"))
+    blocks = m.groupBy("block").agg(F.max("sharpe").alias("top"))
+    before = blocks.alias("a").join(blocks.alias("b"), F.col("b.block") < F.col("a.block")).groupBy("a.block").agg(F.max("b.top").alias("before"))
+    within = F.max("sharpe").over(Window.partitionBy("block").orderBy("trial_id"))
+    return m.join(before, "block", "left").select("trial_id", F.greatest(within, F.col("before")).alias("best"))
+
+
+# Costs
+
+
+_SPREADS = f"WITH {TICKS}, c AS (SELECT pair, CASE WHEN {_HOUR} < 8 THEN 'Asian' WHEN {_HOUR} < 13 THEN 'London' WHEN {_HOUR} < 17 THEN 'Lon-NY' WHEN {_HOUR} < 21 THEN 'NY' ELSE 'Rollover' END AS session, round(avg((ask - bid) / 1e-4), 4) AS spread_pips FROM ticks WHERE ask >= bid GROUP BY ALL)"
+
+
+@query(f"{_SPREADS} SELECT * FROM c")
+def session_spread(spark, sf_dir):
+    return cost.session_spreads(ticks(spark, sf_dir))
+
+
+@query(f"{_SPREADS} SELECT pair, round(0.6 - (avg(spread_pips) + 2 * 0.35 + 2 * 0.5), 4) AS charge_pips FROM c WHERE session IN ('Asian', 'London', 'Lon-NY') GROUP BY pair")
+def overlay_charge(spark, sf_dir):
+    return rounded(cost.overlay_charge(cost.session_spreads(ticks(spark, sf_dir))), "charge_pips", places=4)
+
+
+_GATED = f"{ORDERS}, g AS (SELECT id, pair, s, CAST(id % 41 - 20 AS DOUBLE) AS pnl, CASE WHEN {_HOUR} >= 21 THEN 'rollover' WHEN id % 11 = 0 THEN 'unknown_spread' WHEN id % 7 > 3 THEN 'spread_3p' WHEN id % 13 = 0 THEN 'unknown_slippage' WHEN id % 9 > 3 THEN 'slippage_3p' END AS reason FROM o)"
+
+
+def _gated(spark, sf_dir):
+    o = _orders(spark, sf_dir)
+    spread = F.when(F.col("id") % 11 != 0, (F.col("id") % 7).cast("double"))
+    slip = F.when(F.col("id") % 13 != 0, (F.col("id") % 9).cast("double"))
+    return o.select("id", "pair", "s", (F.col("id") % 41 - 20).cast("double").alias("pnl"), cost.gate_reason(hour_of(F.col("s")), spread, slip).alias("reason"))
+
+
+@query(f"WITH {_GATED} SELECT coalesce(reason, 'pass') AS reason, count(*) AS n, sum(CASE WHEN reason IS NULL THEN pnl ELSE 0 END) AS effective_pnl FROM g GROUP BY 1")
+def gate_reason(spark, sf_dir):
+    return _gated(spark, sf_dir).groupBy(F.coalesce("reason", F.lit("pass")).alias("reason")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("reason").isNull(), F.col("pnl")).otherwise(0.0)).alias("effective_pnl"))
+
+
+_COSTS = [(p, s, k / 8) for k, (p, s) in enumerate((p, s) for p in ("1-URGENT", "2-HIGH", "3-MEDIUM") for s in ("Asian", "London", "NY"))]
+_COST_SQL = "costs(pair, session, spread_pips) AS (VALUES " + ", ".join(f"('{p}', '{s}', {v}e0)" for p, s, v in _COSTS) + ")"
+_NAME = f"CASE WHEN {_HOUR} < 8 THEN 'Asian' WHEN {_HOUR} < 13 THEN 'London' WHEN {_HOUR} < 17 THEN 'Lon-NY' WHEN {_HOUR} < 21 THEN 'NY' ELSE 'Rollover' END"
+_OVERLAID = f"WITH {_GATED}, {_COST_SQL}, v AS (SELECT g.*, coalesce(1.0 + 0.6 - (coalesce(c.spread_pips, (SELECT avg(spread_pips) FROM costs x WHERE x.pair = g.pair)) + 2 * 0.25 + 2 * 0.5), 0) AS delta FROM g LEFT JOIN costs c ON c.pair = g.pair AND c.session = {_NAME})"
+
+
+def _overlaid(spark, sf_dir):
+    costs = spark.createDataFrame(_COSTS, "pair string, session string, spread_pips double")
+    per = costs.select("pair").distinct().withColumns({"commission_per_side_pips": F.lit(0.25), "slippage_per_side_pips": F.lit(0.5)})
+    return cost.overlay(_gated(spark, sf_dir).withColumn("bt_spread_pips", F.lit(1.0)), costs, per)
+
+
+@query(f"{_OVERLAID} SELECT id, round(delta, 6) AS delta, round(CASE WHEN reason IS NOT NULL THEN 0 ELSE pnl + delta END, 6) AS adjusted_pnl FROM v")
+def overlay_apply(spark, sf_dir):
+    return rounded(_overlaid(spark, sf_dir).select("id", "delta", "adjusted_pnl"), "delta", "adjusted_pnl")
+
+
+@query(f"{_OVERLAID} SELECT pair, round(sum(pnl), 4) AS total, round(-sum(CASE WHEN reason IS NOT NULL THEN pnl ELSE 0 END), 4) AS gate_save, round(sum(CASE WHEN reason IS NULL THEN delta ELSE 0 END), 4) AS overhead, round(sum(CASE WHEN reason IS NULL THEN pnl + delta ELSE 0 END), 4) AS adjusted FROM v GROUP BY pair")
+def gate_decomposition(spark, sf_dir):
+    return rounded(cost.gate_parts(_overlaid(spark, sf_dir)), "total", "gate_save", "overhead", "adjusted", places=4)
+
+
+@query(f"WITH {TICKS}, f AS (SELECT pair, (ask - bid) * 1e4 AS slip, row_number() OVER (PARTITION BY pair ORDER BY s DESC, seq DESC) AS k FROM ticks WHERE seq % 5 <> 0) SELECT pair, round(median(slip), 4) AS slippage_pips FROM f WHERE k <= 20 GROUP BY pair HAVING count(*) >= 20")
+def slippage_telemetry(spark, sf_dir):
+    fills = ticks(spark, sf_dir).select("pair", "s", "seq", F.when(F.col("seq") % 5 != 0, (F.col("ask") - F.col("bid")) * 1e4).alias("slippage"))
+    return cost.slippage_telemetry(fills)
+
+
+# Reconciliation
+
+
+def _sides(spark, sf_dir):
+    o = _orders(spark, sf_dir).where("s < 86400 * 8500")
+    bt = o.select("pair", "direction", F.col("s").alias("signal_s"), F.col("id").alias("bt_id"), (1 + F.col("id") % 100 * 0.001).alias("bt_entry"), (1 + F.col("id") % 90 * 0.001).alias("bt_exit"), (F.col("id") % 50).cast("double").alias("bt_pnl"))
+    live = o.where("id % 10 <> 3").select("pair", "direction", (F.col("s") + F.when(F.col("id") % 6 == 1, 1800).otherwise(0)).alias("signal_s"), F.col("id").alias("live_id"), (1 + F.col("id") % 100 * 0.001 + F.col("id") % 4 * 0.00015).alias("live_entry"), (1 + F.col("id") % 90 * 0.001).alias("live_exit"), F.when(F.col("id") % 8 != 0, F.col("id") % 50 + F.col("id") % 3).cast("double").alias("live_pnl"))
+    return bt, live
+
+
+_SIDES = f"{ORDERS}, bt AS (SELECT pair, direction, s AS signal_s, id AS bt_id, 1 + id % 100 * 0.001e0 AS bt_entry, 1 + id % 90 * 0.001e0 AS bt_exit, CAST(id % 50 AS DOUBLE) AS bt_pnl FROM o WHERE s < 86400 * 8500), live AS (SELECT pair, direction, s + CASE WHEN id % 6 = 1 THEN 1800 ELSE 0 END AS signal_s, id AS live_id, 1 + id % 100 * 0.001e0 + id % 4 * 0.00015e0 AS live_entry, 1 + id % 90 * 0.001e0 AS live_exit, CASE WHEN id % 8 <> 0 THEN CAST(id % 50 + id % 3 AS DOUBLE) END AS live_pnl FROM o WHERE s < 86400 * 8500 AND id % 10 <> 3), ub AS (SELECT * FROM bt QUALIFY row_number() OVER (PARTITION BY pair, direction, signal_s ORDER BY bt_id DESC) = 1), ul AS (SELECT * FROM live QUALIFY row_number() OVER (PARTITION BY pair, direction, signal_s ORDER BY live_id DESC) = 1), mt AS (SELECT ub.*, live_id, live_entry, live_exit, live_pnl FROM ub JOIN ul ON ub.pair = ul.pair AND ub.direction = ul.direction AND ub.signal_s = ul.signal_s), rs AS (SELECT 'missing' AS side, bt_id AS id, pair FROM bt WHERE bt_id NOT IN (SELECT bt_id FROM mt) UNION ALL SELECT 'extra', live_id, pair FROM live WHERE live_id NOT IN (SELECT live_id FROM mt)), cl AS (SELECT *, (live_entry - bt_entry) / 1e-4 * direction AS ed, (live_exit - bt_exit) / 1e-4 * direction AS xd, live_pnl - bt_pnl AS pd FROM mt)"
+
+
+@query(f"WITH {_SIDES} SELECT pair, CAST(direction AS INTEGER) AS direction, signal_s, bt_id, live_id FROM mt")
+def match_exact(spark, sf_dir):
+    return reconcile.match_exact(*_sides(spark, sf_dir)).select("pair", "direction", "signal_s", "bt_id", "live_id")
+
+
+@query(f"WITH {_SIDES}, nr AS (SELECT bt_id, live_id, bt.pair, bt.direction, abs(bt.signal_s - live.signal_s) AS gap FROM bt JOIN live ON bt.pair = live.pair AND bt.direction = live.direction AND abs(bt.signal_s - live.signal_s) <= 3600) SELECT bt_id, live_id, pair, CAST(direction AS INTEGER) AS direction, gap FROM nr QUALIFY row_number() OVER (PARTITION BY bt_id ORDER BY gap, live_id) = 1 AND row_number() OVER (PARTITION BY live_id ORDER BY gap, bt_id) = 1")
+def match_fuzzy(spark, sf_dir):
+    return reconcile.match_nearest(*_sides(spark, sf_dir), 3600)
+
+
+@query(f"WITH {_SIDES} SELECT * FROM rs")
+def missing_extra(spark, sf_dir):
+    bt, live = _sides(spark, sf_dir)
+    return reconcile.residuals(bt, live, reconcile.match_exact(bt, live))
+
+
+@query(f"WITH {_SIDES}, fl AS (SELECT CASE WHEN abs(ed) > 2 THEN 'mismatched_entry_price' END AS c FROM cl UNION ALL SELECT CASE WHEN abs(xd) > 2 THEN 'mismatched_exit_price' END FROM cl UNION ALL SELECT CASE WHEN abs(pd) > 1 THEN 'mismatched_pnl' END FROM cl) SELECT c AS category, count(*) AS n FROM fl WHERE c IS NOT NULL GROUP BY c")
+def classify(spark, sf_dir):
+    return reconcile.category_counts(reconcile.classify(reconcile.match_exact(*_sides(spark, sf_dir))))
+
+
+@query(f"WITH {_SIDES}, a AS (SELECT pair, count(*) AS matched, count_if(NOT coalesce(abs(ed) > 2, false) AND NOT coalesce(abs(xd) > 2, false) AND NOT coalesce(abs(pd) > 1, false)) AS clean, round(avg(ed), 6) AS mean_entry_delta, round(avg(pd), 6) AS mean_pnl_delta FROM cl GROUP BY pair), b AS (SELECT pair, count_if(side = 'missing') AS missing, count_if(side = 'extra') AS extra FROM rs GROUP BY pair) SELECT coalesce(a.pair, b.pair) AS pair, coalesce(matched, 0) AS matched, CAST(coalesce(clean, 0) AS BIGINT) AS clean, CAST(coalesce(missing, 0) AS BIGINT) AS missing, CAST(coalesce(extra, 0) AS BIGINT) AS extra, mean_entry_delta, mean_pnl_delta FROM a FULL JOIN b ON a.pair = b.pair")
+def by_pair_rollup(spark, sf_dir):
+    bt, live = _sides(spark, sf_dir)
+    matched = reconcile.match_exact(bt, live)
+    return rounded(reconcile.by_pair(reconcile.classify(matched), reconcile.residuals(bt, live, matched)), "mean_entry_delta", "mean_pnl_delta")
+
+
+@query("WITH d AS (SELECT DISTINCT l_orderkey AS position_id, l_linenumber AS t, l_partkey AS ticket, l_suppkey, l_quantity AS price, l_quantity - 25 AS profit FROM lineitem) SELECT position_id, count(*) AS legs, first(price ORDER BY t, ticket, l_suppkey, price) AS open_price, last(price ORDER BY t, ticket, l_suppkey, price) AS close_price, sum(profit) AS profit FROM d GROUP BY position_id HAVING count(*) >= 2")
+def round_trips(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("position_id"), F.col("l_linenumber").alias("time"), F.struct("l_partkey", "l_suppkey", "l_quantity").alias("ticket"), F.col("l_quantity").alias("price"), (F.col("l_quantity") - 25).alias("profit")).distinct()
+    return reconcile.round_trips(d).drop("open_time", "close_time")
+
+
+@query(f"{H1}, q AS (SELECT seq AS id, pair, s FROM ticks WHERE seq % 20 = 0) SELECT id, q.pair, q.s, round(spread, 6) AS spread FROM q ASOF LEFT JOIN b ON q.pair = b.pair AND q.s >= b.s")
+def asof_spread(spark, sf_dir):
+    probes = ticks(spark, sf_dir).where("seq % 20 = 0").select("pair", "s", F.col("seq").alias("id"))
+    return rounded(reconcile.as_of(probes, bars(spark, sf_dir), "spread"), "spread")
+
+
+# Search space
+
+_SPACE = {"sl": space.IntRange(10, 50, 5), "tp": space.FloatRange(1.0, 3.0), "trail": space.Choice((0, 1)), "gap": ("trail", 1, space.IntRange(5, 20, 5))}
+
+
+def _u(path: str) -> str:
+    return f"(CAST(CAST('0x' || substr(md5('42|' || id || '|{path}'), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0)"
+
+
+_TRIALS = f"WITH t AS (SELECT CAST(id AS BIGINT) AS trial_id, CAST(10 + 5 * floor({_u('sl')} * 9) AS INTEGER) AS sl, 1.0 + {_u('tp')} * 2.0 AS tp, CAST(floor({_u('trail')} * 2) AS INTEGER) AS trail, CAST(5 + 5 * floor({_u('gap')} * 4) AS INTEGER) AS g FROM range(0, 1000) r(id))"
+
+
+@query(f"{_TRIALS} SELECT trial_id, sl, round(tp, 6) AS tp, trail, CASE WHEN trail = 1 THEN g END AS gap FROM t")
+def sample_trials(spark, sf_dir):
+    return rounded(space.sample(spark, 1000, _SPACE, 42), "tp")
+
+
+@query(f"{_TRIALS} SELECT trial_id, CAST(sl AS DOUBLE) AS sl_fixed_pips, round(tp, 6) AS tp_rr, CAST(CASE WHEN trail = 1 THEN g ELSE 0 END AS DOUBLE) AS trailing_distance FROM t")
+def encode_slots(spark, sf_dir):
+    return rounded(space.encode(space.sample(spark, 1000, _SPACE, 42), {"sl_fixed_pips": ("sl", 0), "tp_rr": ("tp", 0), "trailing_distance": ("gap", 0)}), "tp_rr")
+
+
+@query("SELECT CAST(v AS INTEGER) AS value FROM range(10, 51, 5) r(v)")
+def expand_leaf(spark, sf_dir):
+    return spark.createDataFrame([(v,) for v in space.expand(space.IntRange(10, 50, 5))], "value int")
+
+
+@query()
+def fingerprint_resolve(spark, sf_dir):
+    variants = _library(spark, sf_dir)[0]
+    wanted = spark.createDataFrame([("ema_cross", "fast=5,slow=20"), ("donchian", "lookback=20"), ("donchian", "lookback=3")], "family string, params string")
+    return space.resolve_variant(wanted, variants)

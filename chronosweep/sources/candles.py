@@ -1,0 +1,32 @@
+"""Compressed binary tick and candle files, decoded in Arrow batches."""
+
+from __future__ import annotations
+
+import lzma
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+# The records' layouts, big-endian.
+TICK = np.dtype([("ms", ">u4"), ("ask", ">u4"), ("bid", ">u4"), ("ask_volume", ">f4"), ("bid_volume", ">f4")])
+CANDLE = np.dtype([("sec", ">u4"), ("open", ">u4"), ("close", ">u4"), ("low", ">u4"), ("high", ">u4"), ("volume", ">f4")])
+
+
+def decode(data: bytes, layout: np.dtype) -> np.ndarray:
+    """Records of one file; an empty file has none, a cut-off last record is ignored."""
+    raw = lzma.decompress(data) if data else b""
+    return np.frombuffer(raw, layout, len(raw) // layout.itemsize)
+
+
+def read_ticks(spark: SparkSession, path: str, scale: float = 1e5) -> DataFrame:
+    """path, ms from the file's hour, bid, ask and volumes of every file below a path."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, content in zip(frame["path"], frame["content"], strict=True):
+                r = decode(content, TICK)
+                yield pd.DataFrame({"path": name, "ms": r["ms"].astype("i8"), "bid": r["bid"] / scale, "ask": r["ask"] / scale, "bid_volume": r["bid_volume"].astype("f8"), "ask_volume": r["ask_volume"].astype("f8")})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, ms long, bid double, ask double, bid_volume double, ask_volume double")
