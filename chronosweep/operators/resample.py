@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronosweep.functions.exprs import TIMEFRAMES, bucket
@@ -15,11 +15,12 @@ def ticks_to_bars(ticks: DataFrame, tf: str = "M1") -> DataFrame:
     return rows.groupBy("pair", F.col("b").alias("s")).agg(F.min_by("mid", at).alias("open"), F.max("mid").alias("high"), F.min("mid").alias("low"), F.max_by("mid", at).alias("close"), F.count("*").cast("double").alias("volume"), F.avg("sp").alias("spread"))
 
 
-_OHLC = [F.min_by("open", "s").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "s").alias("close"), F.sum("volume").alias("volume"), F.avg("spread").alias("spread")]
+def _ohlc() -> list[Column]:
+    return [F.min_by("open", "s").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "s").alias("close"), F.sum("volume").alias("volume"), F.avg("spread").alias("spread")]
 
 
 def longer_bars(bars: DataFrame, tf: str) -> DataFrame:
-    return bars.withColumn("b", bucket(F.col("s"), *TIMEFRAMES[tf])).groupBy("pair", "b").agg(*_OHLC).withColumnRenamed("b", "s")
+    return bars.withColumn("b", bucket(F.col("s"), *TIMEFRAMES[tf])).groupBy("pair", "b").agg(*_ohlc()).withColumnRenamed("b", "s")
 
 
 def fan_out(bars: DataFrame, targets: list[str]) -> DataFrame:
@@ -28,21 +29,15 @@ def fan_out(bars: DataFrame, targets: list[str]) -> DataFrame:
     if unknown:
         raise ValueError(f"unknown timeframes {sorted(unknown)}")
     places = F.array(*[F.struct(F.lit(t).alias("tf"), bucket(F.col("s"), *TIMEFRAMES[t]).alias("b")) for t in targets])
-    return bars.withColumn("p", F.explode(places)).groupBy("pair", F.col("p.tf").alias("tf"), F.col("p.b").alias("b")).agg(*_OHLC).withColumnRenamed("b", "s")
+    return bars.withColumn("p", F.explode(places)).groupBy("pair", F.col("p.tf").alias("tf"), F.col("p.b").alias("b")).agg(*_ohlc()).withColumnRenamed("b", "s")
 
 
 def closed_bars(minutes: DataFrame, tf: str) -> DataFrame:
     """Longer bars without a pair's last one while its last minute is missing."""
     width = TIMEFRAMES[tf][0]
-    whole = minutes.dropna().withColumn("b", bucket(F.col("s"), *TIMEFRAMES[tf])).groupBy("pair", "b").agg(*_OHLC, F.max("s").alias("_last")).withColumnRenamed("b", "s")
-    newest = F.max("s").over(_by_pair())
-    return whole.where((F.col("s") < newest) | (F.col("_last") >= F.col("s") + width - 60)).drop("_last")
-
-
-def _by_pair():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("pair")
+    whole = minutes.dropna().withColumn("b", bucket(F.col("s"), *TIMEFRAMES[tf])).groupBy("pair", "b").agg(*_ohlc(), F.max("s").alias("_last")).withColumnRenamed("b", "s")
+    newest = whole.withColumn("_newest", F.max("s").over(Window.partitionBy("pair")))
+    return newest.where((F.col("s") < F.col("_newest")) | (F.col("_last") >= F.col("s") + width - 60)).drop("_last", "_newest")
 
 
 def clip(bars: DataFrame, start: int | None, end: int | None) -> DataFrame:

@@ -142,5 +142,6 @@ def simulate(trades: DataFrame, paths: DataFrame) -> DataFrame:
                 out.append((p["trade_id"], None, None, None))
         return pd.DataFrame(out, columns=["trade_id", "pnl", "exit_reason", "exit_price"])
 
-    by_trade = paths.select("trade_id", "seq", *PATH).groupBy("trade_id")
-    return trades.groupBy("trade_id").cogroup(by_trade).applyInPandas(lambda t, p: run(t, p), "trade_id long, pnl double, exit_reason string, exit_price double")
+    # new names on this side: both sides may come from one table
+    steps = paths.select(F.col("trade_id").alias("path_of"), "seq", *PATH)
+    return trades.groupBy("trade_id").cogroup(steps.groupBy("path_of")).applyInPandas(run, "trade_id long, pnl double, exit_reason string, exit_price double")

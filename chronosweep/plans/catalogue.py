@@ -26,14 +26,14 @@ def query(sql: str | None = None):
     return add
 
 
-def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+def rounded(df: DataFrame, *columns: str, places: int = 8) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), places) for c in columns})
 
 
 PRICES = ("open", "high", "low", "close", "spread")
 TICKS = "ticks AS (SELECT event_type AS pair, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS s, epoch_us(ts) AS us, 1.1e0 + value * 1e-4 AS bid, 1.1e0 + value * 1e-4 + (CAST(regexp_extract(props, '(\\d+)', 1) AS DOUBLE) + 1) * 1e-6 AS ask, event_id AS seq FROM events)"
-ROUND = ", ".join(f"round({c}, 6) AS {c}" for c in PRICES)
-EVENTS = "round(entry_price, 6) AS entry_price"
+ROUND = ", ".join(f"round({c}, 8) AS {c}" for c in PRICES)
+EVENTS = "round(entry_price, 8) AS entry_price"
 
 
 def bars_cte(name: str, tf: str) -> str:
@@ -133,7 +133,7 @@ def hour_weekday(spark, sf_dir):
 # Sources
 
 
-@query(f"{H1}, n AS (SELECT pair, s, close + 1 AS close FROM b WHERE s % 7200 = 0) SELECT coalesce(n.pair, b.pair) AS pair, coalesce(n.s, b.s) AS s, round(coalesce(n.close, b.close), 6) AS close, CASE WHEN n.pair IS NULL THEN round(b.spread, 6) END AS spread FROM b FULL JOIN n ON b.pair = n.pair AND b.s = n.s")
+@query(f"{H1}, n AS (SELECT pair, s, close + 1 AS close FROM b WHERE s % 7200 = 0) SELECT coalesce(n.pair, b.pair) AS pair, coalesce(n.s, b.s) AS s, round(coalesce(n.close, b.close), 8) AS close, CASE WHEN n.pair IS NULL THEN round(b.spread, 8) END AS spread FROM b FULL JOIN n ON b.pair = n.pair AND b.s = n.s")
 def upsert_latest(spark, sf_dir):
     old = bars(spark, sf_dir).select("pair", "s", "close", "spread")
     new = old.where("s % 7200 = 0").select("pair", "s", (F.col("close") + 1).alias("close"))
@@ -152,7 +152,7 @@ def except_days(spark, sf_dir):
     return upsert.uncovered_days(spark.range(19723, 19753).withColumnRenamed("id", "day"), have, 19724)
 
 
-@query(f"{H1}, a AS (SELECT pair, s, open + 2e-4 AS o, close + 4e-4 AS c FROM b WHERE s % 10800 = 0) SELECT b.pair, b.s, round(((a.o - b.open) + (a.c - b.close)) / 2, 6) AS spread FROM b LEFT JOIN a ON a.pair = b.pair AND a.s = b.s")
+@query(f"{H1}, a AS (SELECT pair, s, open + 2e-4 AS o, close + 4e-4 AS c FROM b WHERE s % 10800 = 0) SELECT b.pair, b.s, round(((a.o - b.open) + (a.c - b.close)) / 2, 8) AS spread FROM b LEFT JOIN a ON a.pair = b.pair AND a.s = b.s")
 def bid_ask_merge(spark, sf_dir):
     bid = bars(spark, sf_dir)
     ask = bid.where("s % 10800 = 0").select("pair", "s", (F.col("open") + F.lit(2e-4)).alias("open"), (F.col("close") + F.lit(4e-4)).alias("close"))
@@ -173,7 +173,7 @@ def intersect_group(spark, sf_dir):
 # Health
 
 
-@query(f"{H1}, d AS (SELECT pair, sum(k - 1) AS dup FROM (SELECT pair, s, count(*) AS k FROM b GROUP BY ALL) GROUP BY pair), c AS (SELECT pair, count(*) AS rows, CAST(0 AS BIGINT) AS nulls, count_if(high < low OR high < open OR high < close OR low > open OR low > close) AS ohlc_violations, count_if(spread < 0) AS negative_spreads, round(avg(CAST(spread <> 0 AS INTEGER)), 6) AS nonzero_spread_share FROM b GROUP BY pair) SELECT c.pair, rows, nulls, CAST(ohlc_violations AS BIGINT) AS ohlc_violations, CAST(negative_spreads AS BIGINT) AS negative_spreads, nonzero_spread_share, CAST(dup AS BIGINT) AS dup_ts, CASE WHEN ohlc_violations > 0 OR negative_spreads > 0 THEN 'fail' WHEN nulls > 0 OR dup > 0 THEN 'warn' ELSE 'ok' END AS status FROM c JOIN d ON c.pair = d.pair")
+@query(f"{H1}, d AS (SELECT pair, sum(k - 1) AS dup FROM (SELECT pair, s, count(*) AS k FROM b GROUP BY ALL) GROUP BY pair), c AS (SELECT pair, count(*) AS rows, CAST(0 AS BIGINT) AS nulls, count_if(high < low OR high < open OR high < close OR low > open OR low > close) AS ohlc_violations, count_if(spread < 0) AS negative_spreads, round(avg(CAST(spread <> 0 AS INTEGER)), 8) AS nonzero_spread_share FROM b GROUP BY pair) SELECT c.pair, rows, nulls, CAST(ohlc_violations AS BIGINT) AS ohlc_violations, CAST(negative_spreads AS BIGINT) AS negative_spreads, nonzero_spread_share, CAST(dup AS BIGINT) AS dup_ts, CASE WHEN ohlc_violations > 0 OR negative_spreads > 0 THEN 'fail' WHEN nulls > 0 OR dup > 0 THEN 'warn' ELSE 'ok' END AS status FROM c JOIN d ON c.pair = d.pair")
 def health_counts(spark, sf_dir):
     return rounded(health.health_counts(bars(spark, sf_dir)), "nonzero_spread_share")
 
@@ -186,7 +186,7 @@ def gap_samples(spark, sf_dir):
 # Indicators
 
 
-@query(f"{H1}, {ema_cte('e', 'b', 'close', [3, 12, 26])} SELECT pair, s, round(e_3, 6) AS ema_3, round(e_12, 6) AS ema_12, round(e_26, 6) AS ema_26 FROM e")
+@query(f"{H1}, {ema_cte('e', 'b', 'close', [3, 12, 26])} SELECT pair, s, round(e_3, 8) AS ema_3, round(e_12, 8) AS ema_12, round(e_26, 8) AS ema_26 FROM e")
 def ema(spark, sf_dir):
     return rounded(indicators.emas(bars(spark, sf_dir).select("pair", "s", "close"), "close", [3, 12, 26]).drop("close"), "ema_3", "ema_12", "ema_26")
 
@@ -194,12 +194,12 @@ def ema(spark, sf_dir):
 _TR = "t AS (SELECT *, greatest(high - low, abs(high - coalesce(lag(close) OVER w, close)), abs(low - coalesce(lag(close) OVER w, close))) AS tr FROM b WINDOW w AS (PARTITION BY pair ORDER BY s))"
 
 
-@query(f"{H1}, {_TR} SELECT pair, s, round(tr, 6) AS tr FROM t")
+@query(f"{H1}, {_TR} SELECT pair, s, round(tr, 8) AS tr FROM t")
 def true_range(spark, sf_dir):
     return rounded(indicators.true_range(bars(spark, sf_dir)).select("pair", "s", "tr"), "tr")
 
 
-@query(f"{H1}, {_TR}, {ema_cte('e', 't', 'tr', [14])} SELECT pair, s, round(e_14, 6) AS atr FROM e")
+@query(f"{H1}, {_TR}, {ema_cte('e', 't', 'tr', [14])} SELECT pair, s, round(e_14, 8) AS atr FROM e")
 def atr_ema(spark, sf_dir):
     return rounded(indicators.atr_ema(bars(spark, sf_dir), 14).select("pair", "s", "atr"), "atr")
 
@@ -208,7 +208,7 @@ _MOVES = "mv AS (SELECT pair, s, coalesce(greatest(close - lag(close) OVER w, 0)
 _RSI = f"{_MOVES}, {ema_cte('up', 'mv', 'gain', [14])}, {ema_cte('dn', 'mv', 'loss', [14])}, r AS (SELECT up.pair, up.s, CASE WHEN dn.e_14 = 0 THEN 100 ELSE 100 - 100 / (1 + up.e_14 / dn.e_14) END AS rsi FROM up JOIN dn ON up.pair = dn.pair AND up.s = dn.s)"
 
 
-@query(f"{H1}, {_RSI} SELECT pair, s, round(rsi, 6) AS rsi FROM r")
+@query(f"{H1}, {_RSI} SELECT pair, s, round(rsi, 8) AS rsi FROM r")
 def rsi(spark, sf_dir):
     return rounded(indicators.rsi(bars(spark, sf_dir), 14).select("pair", "s", "rsi"), "rsi")
 
@@ -216,12 +216,12 @@ def rsi(spark, sf_dir):
 _MACD = f"{ema_cte('fs', 'b', 'close', [12, 26])}, ml AS (SELECT pair, s, e_12 - e_26 AS macd FROM fs), {ema_cte('sg', 'ml', 'macd', [9])}"
 
 
-@query(f"{H1}, {_MACD} SELECT ml.pair, ml.s, round(macd, 6) AS macd, round(e_9, 6) AS macd_signal FROM ml JOIN sg ON ml.pair = sg.pair AND ml.s = sg.s")
+@query(f"{H1}, {_MACD} SELECT ml.pair, ml.s, round(macd, 8) AS macd, round(e_9, 8) AS macd_signal FROM ml JOIN sg ON ml.pair = sg.pair AND ml.s = sg.s")
 def macd(spark, sf_dir):
     return rounded(indicators.macd(bars(spark, sf_dir), 12, 26, 9).select("pair", "s", "macd", "macd_signal"), "macd", "macd_signal")
 
 
-@query(f"{H1}, {_TR}, a AS (SELECT pair, avg(tr) OVER (PARTITION BY pair ORDER BY s ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS m, row_number() OVER (PARTITION BY pair ORDER BY s) AS k FROM t) SELECT pair, round(median(m) FILTER (WHERE k >= 14), 6) AS atr FROM a GROUP BY pair HAVING count(*) >= 19")
+@query(f"{H1}, {_TR}, a AS (SELECT pair, avg(tr) OVER (PARTITION BY pair ORDER BY s ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS m, row_number() OVER (PARTITION BY pair ORDER BY s) AS k FROM t) SELECT pair, round(median(m) FILTER (WHERE k >= 14), 8) AS atr FROM a GROUP BY pair HAVING count(*) >= 19")
 def atr_sma_median(spark, sf_dir):
     return rounded(indicators.median_atr(bars(spark, sf_dir)), "atr")
 
@@ -229,7 +229,7 @@ def atr_sma_median(spark, sf_dir):
 _CHANNEL = "c AS (SELECT pair, s, close, CASE WHEN count(*) OVER w = 20 THEN max(high) OVER w END AS upper, CASE WHEN count(*) OVER w = 20 THEN min(low) OVER w END AS lower FROM b WINDOW w AS (PARTITION BY pair ORDER BY s ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"
 
 
-@query(f"{H1}, {_CHANNEL} SELECT pair, s, round(upper, 6) AS upper, round(lower, 6) AS lower FROM c")
+@query(f"{H1}, {_CHANNEL} SELECT pair, s, round(upper, 8) AS upper, round(lower, 8) AS lower FROM c")
 def donchian_channels(spark, sf_dir):
     return rounded(indicators.channels(bars(spark, sf_dir), 20).select("pair", "s", "upper", "lower"), "upper", "lower")
 
@@ -251,12 +251,12 @@ def macd_cross(spark, sf_dir):
     return rounded(signals.macd_cross(bars(spark, sf_dir), 12, 26, 9), "entry_price")
 
 
-@query(f"{H1}, {_CHANNEL}, f AS (SELECT *, coalesce(close > upper, false) AS a, coalesce(close < lower, false) AS z FROM c), g AS (SELECT *, coalesce(lag(a) OVER w, false) AS a0, coalesce(lag(z) OVER w, false) AS z0 FROM f WINDOW w AS (PARTITION BY pair ORDER BY s)) SELECT pair, s, CAST(CASE WHEN a AND NOT a0 THEN 1 ELSE -1 END AS INTEGER) AS direction, round(close, 6) AS entry_price FROM g WHERE (a AND NOT a0) OR (z AND NOT z0)")
+@query(f"{H1}, {_CHANNEL}, f AS (SELECT *, coalesce(close > upper, false) AS a, coalesce(close < lower, false) AS z FROM c), g AS (SELECT *, coalesce(lag(a) OVER w, false) AS a0, coalesce(lag(z) OVER w, false) AS z0 FROM f WINDOW w AS (PARTITION BY pair ORDER BY s)) SELECT pair, s, CAST(CASE WHEN a AND NOT a0 THEN 1 ELSE -1 END AS INTEGER) AS direction, round(close, 8) AS entry_price FROM g WHERE (a AND NOT a0) OR (z AND NOT z0)")
 def donchian_breakout(spark, sf_dir):
     return rounded(signals.donchian(bars(spark, sf_dir), 20), "entry_price")
 
 
-@query(f"{H1}, {_RSI}, j AS (SELECT r.pair, r.s, rsi, close, lag(rsi) OVER (PARTITION BY r.pair ORDER BY r.s) AS r0 FROM r JOIN b ON b.pair = r.pair AND b.s = r.s) SELECT pair, s, CAST(CASE WHEN rsi > 45 AND r0 <= 45 THEN 1 ELSE -1 END AS INTEGER) AS direction, round(close, 6) AS entry_price FROM j WHERE (rsi > 45 AND r0 <= 45) OR (rsi < 55 AND r0 >= 55)")
+@query(f"{H1}, {_RSI}, j AS (SELECT r.pair, r.s, rsi, close, lag(rsi) OVER (PARTITION BY r.pair ORDER BY r.s) AS r0 FROM r JOIN b ON b.pair = r.pair AND b.s = r.s) SELECT pair, s, CAST(CASE WHEN rsi > 45 AND r0 <= 45 THEN 1 ELSE -1 END AS INTEGER) AS direction, round(close, 8) AS entry_price FROM j WHERE (rsi > 45 AND r0 <= 45) OR (rsi < 55 AND r0 >= 55)")
 def rsi_reversal(spark, sf_dir):
     return rounded(signals.rsi_reversal(bars(spark, sf_dir), 14, 45.0, 55.0), "entry_price")
 
@@ -317,7 +317,7 @@ def _priced(spark, sf_dir):
     return o.select("id", "direction", (F.lit(1.0) + F.col("id") % 1000 * F.lit(1e-4)).alias("entry_price"), ((F.col("id") % 17) + 1.0).alias("atr_pips"), F.lit(1e-4).alias("pip"), (F.col("id") % 3).alias("sl_mode"), (F.col("id") % 3).alias("tp_mode"), F.lit(20.0).alias("sl_fixed_pips"), F.lit(1.5).alias("sl_atr_mult"), F.lit(0.5).alias("tp_rr"), F.lit(3.0).alias("tp_atr_mult"), F.lit(40.0).alias("tp_fixed_pips"), F.when(F.col("id") % 4 != 0, F.lit(1.0) + F.col("id") % 1003 * F.lit(1e-4)).alias("swing_sl"))
 
 
-@query("WITH p AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END AS d, 1e0 + (o_orderkey % 1000) * 1e-4 AS e, (o_orderkey % 17) + 1e0 AS atr, o_orderkey % 3 AS m, CASE WHEN o_orderkey % 4 <> 0 THEN 1e0 + (o_orderkey % 1003) * 1e-4 END AS sw FROM orders), q AS (SELECT *, CASE m WHEN 0 THEN 20 * 1e-4 WHEN 1 THEN atr * 1e-4 * 1.5 ELSE CASE WHEN sw IS NULL THEN atr * 1e-4 * 1.5 ELSE greatest(abs(e - sw), 5 * 1e-4) END END AS sl FROM p), r AS (SELECT *, greatest(sl, CASE m WHEN 0 THEN sl * 0.5 WHEN 1 THEN atr * 1e-4 * 3 ELSE 40 * 1e-4 END) AS tp FROM q) SELECT id, round(e - d * sl, 6) AS sl_price, round(e + d * tp, 6) AS tp_price, round(sl / 1e-4, 6) AS sl_pips, round(tp / 1e-4, 6) AS tp_pips FROM r")
+@query("WITH p AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END AS d, 1e0 + (o_orderkey % 1000) * 1e-4 AS e, (o_orderkey % 17) + 1e0 AS atr, o_orderkey % 3 AS m, CASE WHEN o_orderkey % 4 <> 0 THEN 1e0 + (o_orderkey % 1003) * 1e-4 END AS sw FROM orders), q AS (SELECT *, CASE m WHEN 0 THEN 20 * 1e-4 WHEN 1 THEN atr * 1e-4 * 1.5 ELSE CASE WHEN sw IS NULL THEN atr * 1e-4 * 1.5 ELSE greatest(abs(e - sw), 5 * 1e-4) END END AS sl FROM p), r AS (SELECT *, greatest(sl, CASE m WHEN 0 THEN sl * 0.5 WHEN 1 THEN atr * 1e-4 * 3 ELSE 40 * 1e-4 END) AS tp FROM q) SELECT id, round(e - d * sl, 8) AS sl_price, round(e + d * tp, 8) AS tp_price, round(sl / 1e-4, 8) AS sl_pips, round(tp / 1e-4, 8) AS tp_pips FROM r")
 def sl_tp_prices(spark, sf_dir):
     return rounded(pricing.stops(_priced(spark, sf_dir)).select("id", "sl_price", "tp_price", "sl_pips", "tp_pips"), "sl_price", "tp_price", "sl_pips", "tp_pips")
 
@@ -334,7 +334,7 @@ def _entries(spark, sf_dir):
 _TOUCH = f"{M15}, {ema_cte('em', 'b', 'close', [5, 20])}, j AS (SELECT b.pair, b.s, close, e_5, e_20 FROM b JOIN em ON b.pair = em.pair AND b.s = em.s), sig AS (SELECT pair, s, CASE WHEN f > g AND f0 <= g0 THEN 1 ELSE -1 END AS direction, entry_price FROM (SELECT pair, s, close AS entry_price, e_5 AS f, e_20 AS g, lag(e_5) OVER w AS f0, lag(e_20) OVER w AS g0 FROM j WINDOW w AS (PARTITION BY pair ORDER BY s)) WHERE (f > g AND f0 <= g0) OR (f < g AND f0 >= g0)), en AS (SELECT *, entry_price - direction * 0.004 AS sl, entry_price + direction * 0.006 AS tp FROM sig), hits AS (SELECT en.pair, en.s, arg_min(b.s, b.s) AS xs, arg_min(CASE WHEN (direction = 1 AND low <= sl) OR (direction = -1 AND high >= sl) THEN sl ELSE tp END, b.s) AS xp, arg_min(CASE WHEN (direction = 1 AND low <= sl) OR (direction = -1 AND high >= sl) THEN 'SL' ELSE 'TP' END, b.s) AS xr FROM en JOIN b ON b.pair = en.pair AND b.s >= en.s + 900 WHERE (direction = 1 AND (low <= sl OR high >= tp)) OR (direction = -1 AND (high >= sl OR low <= tp)) GROUP BY en.pair, en.s), fin AS (SELECT pair, max(s) AS ls, arg_max(close, s) AS lc FROM b GROUP BY pair), ex AS (SELECT en.*, coalesce(xs, ls) AS exit_s, coalesce(xp, lc) AS exit_price, coalesce(xr, 'NONE') AS exit_reason FROM en LEFT JOIN hits ON en.pair = hits.pair AND en.s = hits.s JOIN fin ON en.pair = fin.pair)"
 
 
-@query(_TOUCH + " SELECT pair, s, CAST(direction AS INTEGER) AS direction, exit_s, exit_reason, round(exit_price, 6) AS exit_price FROM ex")
+@query(_TOUCH + " SELECT pair, s, CAST(direction AS INTEGER) AS direction, exit_s, exit_reason, round(exit_price, 8) AS exit_price FROM ex")
 def first_touch_exit(spark, sf_dir):
     b, e = _entries(spark, sf_dir)
     return rounded(simulate.first_touch(e, b, 900).select("pair", "s", "direction", "exit_s", "exit_reason", "exit_price"), "exit_price")
@@ -375,13 +375,13 @@ def _metric_query(name: str, sql: str, columns: list[str]):
     query(f"WITH {MOMENTS} {sql}")(fn)
 
 
-_metric_query("metrics_core", "SELECT trial_id, n AS trades, round(total, 6) AS total_pips, round(wr, 6) AS win_rate, round(pf, 6) AS profit_factor, round(sr * ann, 6) AS sharpe, round(sortino, 6) AS sortino, round(ret, 6) AS return_pct, round(m, 6) AS expectancy_pips, round(m / 30, 6) AS expectancy_r, round(sqrt(n) * sr, 6) AS sqn FROM k", ["trades", "total_pips", "win_rate", "profit_factor", "sharpe", "sortino", "return_pct", "expectancy_pips", "expectancy_r", "sqn"])
-_metric_query("metrics_drawdown", "SELECT trial_id, round(mdd, 6) AS max_dd, round(mdd / CASE WHEN base > 0 THEN base ELSE 1 END * 100, 6) AS max_dd_pct, round(ulcer, 6) AS ulcer, round(CASE WHEN mdd <> 0 THEN total * 6048 / 1000 / mdd ELSE 0 END, 6) AS calmar, round(CASE WHEN mdd <> 0 THEN total / mdd ELSE 0 END, 6) AS recovery, round(CASE WHEN ulcer <> 0 THEN ret / ulcer ELSE 0 END, 6) AS upi FROM k", ["max_dd", "max_dd_pct", "ulcer", "calmar", "recovery", "upi"])
-_metric_query("metrics_regression", "SELECT trial_id, round(greatest(coalesce(r2, 0), 0), 6) AS r_squared, round(kr, 6) AS k_ratio FROM k", ["r_squared", "k_ratio"])
-_metric_query("metrics_tail", "SELECT trial_id, round(CASE WHEN n >= 20 AND l[CAST(round((n - 1) * 0.05) AS INTEGER) + 1] <> 0 THEN abs(l[CAST(round((n - 1) * 0.95) AS INTEGER) + 1]) / abs(l[CAST(round((n - 1) * 0.05) AS INTEGER) + 1]) ELSE 0 END, 6) AS tail_ratio, round(pf, 6) AS omega FROM k", ["tail_ratio", "omega"])
+_metric_query("metrics_core", "SELECT trial_id, n AS trades, round(total, 8) AS total_pips, round(wr, 8) AS win_rate, round(pf, 8) AS profit_factor, round(sr * ann, 8) AS sharpe, round(sortino, 8) AS sortino, round(ret, 8) AS return_pct, round(m, 8) AS expectancy_pips, round(m / 30, 8) AS expectancy_r, round(sqrt(n) * sr, 8) AS sqn FROM k", ["trades", "total_pips", "win_rate", "profit_factor", "sharpe", "sortino", "return_pct", "expectancy_pips", "expectancy_r", "sqn"])
+_metric_query("metrics_drawdown", "SELECT trial_id, round(mdd, 8) AS max_dd, round(mdd / CASE WHEN base > 0 THEN base ELSE 1 END * 100, 8) AS max_dd_pct, round(ulcer, 8) AS ulcer, round(CASE WHEN mdd <> 0 THEN total * 6048 / 1000 / mdd ELSE 0 END, 8) AS calmar, round(CASE WHEN mdd <> 0 THEN total / mdd ELSE 0 END, 8) AS recovery, round(CASE WHEN ulcer <> 0 THEN ret / ulcer ELSE 0 END, 8) AS upi FROM k", ["max_dd", "max_dd_pct", "ulcer", "calmar", "recovery", "upi"])
+_metric_query("metrics_regression", "SELECT trial_id, round(greatest(coalesce(r2, 0), 0), 8) AS r_squared, round(kr, 8) AS k_ratio FROM k", ["r_squared", "k_ratio"])
+_metric_query("metrics_tail", "SELECT trial_id, round(CASE WHEN n >= 20 AND l[CAST(round((n - 1) * 0.05) AS INTEGER) + 1] <> 0 THEN abs(l[CAST(round((n - 1) * 0.95) AS INTEGER) + 1]) / abs(l[CAST(round((n - 1) * 0.05) AS INTEGER) + 1]) ELSE 0 END, 8) AS tail_ratio, round(pf, 8) AS omega FROM k", ["tail_ratio", "omega"])
 _metric_query("metrics_streak", "SELECT trial_id, CAST(streak AS BIGINT) AS max_consec_loss FROM k", ["max_consec_loss"])
-_metric_query("metrics_quality", "SELECT trial_id, round(q, 6) AS quality, round(q, 6) AS quality_v2 FROM (SELECT trial_id, CASE WHEN sortino > 0 THEN ln(1 + sortino) * least(greatest(kr / 3, 0), 1) * least(pf, 5) * (least(n, 300) / 300 * 14.14) / (ulcer + 5) ELSE 0 END AS q FROM k)", ["quality", "quality_v2"])
-_metric_query("metrics_psr", f", p AS (SELECT trial_id, n, sr * sqrt(n - 1) / sqrt(greatest(1 - c3 / pow(sqrt(v), 3) * sr + (c4 / (v * v) - 1) / 4 * sr * sr, 1e-12)) AS x FROM k), g AS (SELECT *, 1 / (1 + 0.3275911 * abs(x) / sqrt(2)) AS u FROM p), h AS (SELECT *, 1 - u * (0.254829592 + u * (-0.284496736 + u * (1.421413741 + u * (-1.453152027 + u * 1.061405429)))) * exp(-x * x / 2) AS y FROM g) SELECT trial_id, round(CASE WHEN n >= 4 THEN {_PHI} ELSE 0 END, 6) AS psr FROM h", ["psr"])
+_metric_query("metrics_quality", "SELECT trial_id, round(q, 8) AS quality, round(q, 8) AS quality_v2 FROM (SELECT trial_id, CASE WHEN sortino > 0 THEN ln(1 + sortino) * least(greatest(kr / 3, 0), 1) * least(pf, 5) * (least(n, 300) / 300 * 14.14) / (ulcer + 5) ELSE 0 END AS q FROM k)", ["quality", "quality_v2"])
+_metric_query("metrics_psr", f", p AS (SELECT trial_id, n, sr * sqrt(n - 1) / sqrt(greatest(1 - c3 / pow(sqrt(v), 3) * sr + (c4 / (v * v) - 1) / 4 * sr * sr, 1e-12)) AS x FROM k), g AS (SELECT *, 1 / (1 + 0.3275911 * abs(x) / sqrt(2)) AS u FROM p), h AS (SELECT *, 1 - u * (0.254829592 + u * (-0.284496736 + u * (1.421413741 + u * (-1.453152027 + u * 1.061405429)))) * exp(-x * x / 2) AS y FROM g) SELECT trial_id, round(CASE WHEN n >= 4 THEN {_PHI} ELSE 0 END, 8) AS psr FROM h", ["psr"])
 
 
 # Ranking
@@ -392,7 +392,7 @@ def _metrics(spark, sf_dir):
     return rounded(m, *[c for c, kind in m.dtypes if kind == "double"])
 
 
-_RANKED = f"WITH {MOMENTS}, r AS (SELECT trial_id, n AS trades, round(total, 6) AS total_pips, round(ret, 6) AS return_pct, round(pf, 6) AS profit_factor, round(sr * ann, 6) AS sharpe, round(mdd / base * 100, 6) AS max_dd_pct FROM k)"
+_RANKED = f"WITH {MOMENTS}, r AS (SELECT trial_id, n AS trades, round(total, 8) AS total_pips, round(ret, 8) AS return_pct, round(pf, 8) AS profit_factor, round(sr * ann, 8) AS sharpe, round(mdd / base * 100, 8) AS max_dd_pct FROM k)"
 
 
 @query(f"{_RANKED} SELECT trial_id, sharpe FROM r ORDER BY sharpe DESC, return_pct DESC, trades DESC, trial_id LIMIT 1")
@@ -475,7 +475,7 @@ def _overlaid(spark, sf_dir):
     return cost.overlay(_gated(spark, sf_dir).withColumn("bt_spread_pips", F.lit(1.0)), costs, per)
 
 
-@query(f"{_OVERLAID} SELECT id, round(delta, 6) AS delta, round(CASE WHEN reason IS NOT NULL THEN 0 ELSE pnl + delta END, 6) AS adjusted_pnl FROM v")
+@query(f"{_OVERLAID} SELECT id, round(delta, 8) AS delta, round(CASE WHEN reason IS NOT NULL THEN 0 ELSE pnl + delta END, 8) AS adjusted_pnl FROM v")
 def overlay_apply(spark, sf_dir):
     return rounded(_overlaid(spark, sf_dir).select("id", "delta", "adjusted_pnl"), "delta", "adjusted_pnl")
 
@@ -525,7 +525,7 @@ def classify(spark, sf_dir):
     return reconcile.category_counts(reconcile.classify(reconcile.match_exact(*_sides(spark, sf_dir))))
 
 
-@query(f"WITH {_SIDES}, a AS (SELECT pair, count(*) AS matched, count_if(NOT coalesce(abs(ed) > 2, false) AND NOT coalesce(abs(xd) > 2, false) AND NOT coalesce(abs(pd) > 1, false)) AS clean, round(avg(ed), 6) AS mean_entry_delta, round(avg(pd), 6) AS mean_pnl_delta FROM cl GROUP BY pair), b AS (SELECT pair, count_if(side = 'missing') AS missing, count_if(side = 'extra') AS extra FROM rs GROUP BY pair) SELECT coalesce(a.pair, b.pair) AS pair, coalesce(matched, 0) AS matched, CAST(coalesce(clean, 0) AS BIGINT) AS clean, CAST(coalesce(missing, 0) AS BIGINT) AS missing, CAST(coalesce(extra, 0) AS BIGINT) AS extra, mean_entry_delta, mean_pnl_delta FROM a FULL JOIN b ON a.pair = b.pair")
+@query(f"WITH {_SIDES}, a AS (SELECT pair, count(*) AS matched, count_if(NOT coalesce(abs(ed) > 2, false) AND NOT coalesce(abs(xd) > 2, false) AND NOT coalesce(abs(pd) > 1, false)) AS clean, round(avg(ed), 8) AS mean_entry_delta, round(avg(pd), 8) AS mean_pnl_delta FROM cl GROUP BY pair), b AS (SELECT pair, count_if(side = 'missing') AS missing, count_if(side = 'extra') AS extra FROM rs GROUP BY pair) SELECT coalesce(a.pair, b.pair) AS pair, coalesce(matched, 0) AS matched, CAST(coalesce(clean, 0) AS BIGINT) AS clean, CAST(coalesce(missing, 0) AS BIGINT) AS missing, CAST(coalesce(extra, 0) AS BIGINT) AS extra, mean_entry_delta, mean_pnl_delta FROM a FULL JOIN b ON a.pair = b.pair")
 def by_pair_rollup(spark, sf_dir):
     bt, live = _sides(spark, sf_dir)
     matched = reconcile.match_exact(bt, live)
@@ -538,7 +538,7 @@ def round_trips(spark, sf_dir):
     return reconcile.round_trips(d).drop("open_time", "close_time")
 
 
-@query(f"{H1}, q AS (SELECT seq AS id, pair, s FROM ticks WHERE seq % 20 = 0) SELECT id, q.pair, q.s, round(spread, 6) AS spread FROM q ASOF LEFT JOIN b ON q.pair = b.pair AND q.s >= b.s")
+@query(f"{H1}, q AS (SELECT seq AS id, pair, s FROM ticks WHERE seq % 20 = 0) SELECT id, q.pair, q.s, round(spread, 8) AS spread FROM q ASOF LEFT JOIN b ON q.pair = b.pair AND q.s >= b.s")
 def asof_spread(spark, sf_dir):
     probes = ticks(spark, sf_dir).where("seq % 20 = 0").select("pair", "s", F.col("seq").alias("id"))
     return rounded(reconcile.as_of(probes, bars(spark, sf_dir), "spread"), "spread")
@@ -556,12 +556,12 @@ def _u(path: str) -> str:
 _TRIALS = f"WITH t AS (SELECT CAST(id AS BIGINT) AS trial_id, CAST(10 + 5 * floor({_u('sl')} * 9) AS INTEGER) AS sl, 1.0 + {_u('tp')} * 2.0 AS tp, CAST(floor({_u('trail')} * 2) AS INTEGER) AS trail, CAST(5 + 5 * floor({_u('gap')} * 4) AS INTEGER) AS g FROM range(0, 1000) r(id))"
 
 
-@query(f"{_TRIALS} SELECT trial_id, sl, round(tp, 6) AS tp, trail, CASE WHEN trail = 1 THEN g END AS gap FROM t")
+@query(f"{_TRIALS} SELECT trial_id, sl, round(tp, 8) AS tp, trail, CASE WHEN trail = 1 THEN g END AS gap FROM t")
 def sample_trials(spark, sf_dir):
     return rounded(space.sample(spark, 1000, _SPACE, 42), "tp")
 
 
-@query(f"{_TRIALS} SELECT trial_id, CAST(sl AS DOUBLE) AS sl_fixed_pips, round(tp, 6) AS tp_rr, CAST(CASE WHEN trail = 1 THEN g ELSE 0 END AS DOUBLE) AS trailing_distance FROM t")
+@query(f"{_TRIALS} SELECT trial_id, CAST(sl AS DOUBLE) AS sl_fixed_pips, round(tp, 8) AS tp_rr, CAST(CASE WHEN trail = 1 THEN g ELSE 0 END AS DOUBLE) AS trailing_distance FROM t")
 def encode_slots(spark, sf_dir):
     return rounded(space.encode(space.sample(spark, 1000, _SPACE, 42), {"sl_fixed_pips": ("sl", 0), "tp_rr": ("tp", 0), "trailing_distance": ("gap", 0)}), "tp_rr")
 
