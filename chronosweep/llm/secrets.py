@@ -17,9 +17,11 @@ no rows; other columns of the input are ignored by ``scan_secrets`` and kept by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronosweep.llm.common import cut
+
 # The base patterns, in the order in which kinds are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # a run of 20 or more, as runs are maximal
@@ -67,16 +69,24 @@ def _row_key(doc_id: str, text: str) -> Column:
     return F.md5(F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("none")), F.coalesce(F.col(text), F.lit(""))))
 
 
-def linked_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", reach: int = REACH) -> DataFrame:
-    """row_key, added: the weak candidates whose complementary parts stand within reach, for rows that have any."""
+def _found(documents: DataFrame, columns: list[str], doc_id: str, text: str) -> DataFrame:
+    """columns, row_key, base and weak spans, written so that the patterns run once over each text."""
     body = F.coalesce(F.col(text), F.lit(""))
-    found = documents.select(_row_key(doc_id, text).alias("row_key"), _base(body).alias("base"), _weak(body).alias("weak")).where(F.size("weak") > 0)
+    return cut(documents.select(F.struct(*columns).alias("c"), _row_key(doc_id, text).alias("row_key"), _base(body).alias("base"), _weak(body).alias("weak")))
+
+
+def linked_spans(found: DataFrame, reach: int = REACH) -> DataFrame:
+    """row_key, added: the weak candidates whose complementary parts stand within reach, for rows that have any."""
+    one = found.where(F.size("weak") > 0).select("row_key", F.explode(F.concat("base", "weak")).alias("part")).distinct()
+    in_text = Window.partitionBy("row_key")
+    is_base, start, end = F.col("part.rank") < BASE, F.col("part.start"), F.col("part.end")
+    reached = F.max(F.when(is_base, end)).over(in_text.orderBy(start))
+    next_base = F.min(F.when(is_base, start)).over(in_text.orderBy(start.desc()))
     # a weak span that overlaps a base span is that base span seen again
-    fresh = F.filter("weak", lambda w: ~F.exists(F.col("base"), lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    parts = found.select("row_key", F.concat("base", fresh).alias("parts")).where(F.exists("parts", lambda p: p["rank"] >= BASE))
-    one = parts.select("row_key", F.explode("parts").alias("part"))
-    home = F.floor(F.col("part.start") / reach)
-    dealt = one.select("row_key", "part", home.alias("home"), F.explode(F.sequence(home - 1, home + 1)).alias("bucket"))
+    seen = F.coalesce(reached > start, F.lit(False)) | F.coalesce(next_base < end, F.lit(False))
+    fresh = one.withColumn("seen", seen).where(is_base | ~F.col("seen"))
+    home = F.floor(start / reach)
+    dealt = fresh.select("row_key", "part", home.alias("home"), F.explode(F.sequence(home - 1, home + 1)).alias("bucket"))
     near = dealt.groupBy("row_key", "bucket").agg(
         F.collect_set(F.when((F.col("home") == F.col("bucket")) & (F.col("part.rank") >= BASE), F.col("part"))).alias("weak"),
         F.collect_set(F.when(F.col("part.rank").isin(1, 3), F.col("part.start"))).alias("ids"),
@@ -90,12 +100,10 @@ def linked_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     return near.select("row_key", F.explode(kept).alias("span")).groupBy("row_key").agg(F.collect_set("span").alias("added"))
 
 
-def _joined(documents: DataFrame, columns: list[str], doc_id: str, text: str, reach: int) -> DataFrame:
-    """documents' columns in `c`, with the base spans and all spans of each row."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    held = documents.select(F.struct(*[F.col(c) for c in columns]).alias("c"), _row_key(doc_id, text).alias("row_key"), _base(body).alias("base"))
+def _joined(found: DataFrame, reach: int) -> DataFrame:
+    """found with all spans of each row in `every`."""
     every = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(f"array<{_SPAN}>"))))
-    return held.join(linked_spans(documents, doc_id, text, reach), "row_key", "left").select("c", "base", every.alias("every"))
+    return found.join(linked_spans(found, reach), "row_key", "left").select("c", "row_key", "base", every.alias("every"))
 
 
 def _told(spans: str) -> Column:
@@ -105,7 +113,7 @@ def _told(spans: str) -> Column:
 
 def scan_secrets(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", reach: int = REACH) -> DataFrame:
     """doc_id, counts of the base kinds, a digest of the base spans, and all spans as kind:start:end."""
-    rows = _joined(documents, [doc_id], doc_id, text, reach)
+    rows = _joined(_found(documents, [doc_id], doc_id, text), reach)
     count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
     return rows.select(
         F.col("c").getField(doc_id).alias(doc_id),
@@ -120,7 +128,9 @@ def scan_secrets(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
 def mask_secrets(documents: DataFrame, mark: str = "[SECRET]", doc_id: str = "doc_id", text: str = "text", reach: int = REACH) -> DataFrame:
     """documents with every span of `text` replaced by a mark; spans that overlap become one mark.  Other columns stay."""
     columns = documents.columns
-    rows = _joined(documents, columns, doc_id, text, reach)
+    spans = _joined(_found(documents, [doc_id], doc_id, text), reach).where(F.size("every") > 0).groupBy("row_key").agg(F.first("every").alias("every"))
+    held = documents.select(F.struct(*columns).alias("c"), _row_key(doc_id, text).alias("row_key"))
+    rows = held.join(spans, "row_key", "left").select("c", F.coalesce("every", F.array().cast(f"array<{_SPAN}>")).alias("every"))
     body = F.coalesce(F.col("c").getField(text), F.lit(""))
     kind = "struct<pos:int,parts:array<string>>"
     start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("parts")).cast(kind)
