@@ -44,10 +44,10 @@ def first_touch(entries: DataFrame, bars: DataFrame, width: int, horizons: tuple
     return done.unionByName(open_.join(last, "pair", "left").withColumn("exit_reason", F.lit("NONE")))
 
 
-def step_through(p: dict, path: list[tuple]) -> tuple[float, str, float]:
+def step_through(p: dict, path: list[tuple], state: dict | None = None) -> tuple[float, str, float]:
     """One trade over its path.  path: (main bar, its close, sub high, sub low, sub close, sub spread), the bars after the entry's.
 
-    Returns (pnl in pips, reason, exit price).
+    Returns (pnl in pips, reason, exit price); `state`, where given, gets the stop and whether a part was closed.
     """
     pip, buy = p["pip"], p["direction"] == 1
     side = 1 if buy else -1
@@ -118,6 +118,8 @@ def step_through(p: dict, path: list[tuple]) -> tuple[float, str, float]:
             hit = tp, "TP"
         if hit:
             break
+    if state is not None:
+        state.update(stop=sl if staged is None else staged, partial=taken)
     price, reason = hit or (entry if close is None else close, "NONE")
     spread = (path[-1][5] if path and not hit else spread if path else 0.0) or 0.0
     if not buy:
@@ -126,6 +128,19 @@ def step_through(p: dict, path: list[tuple]) -> tuple[float, str, float]:
     return pnl, reason, price
 
 
+def manage(p: dict, path: list[tuple], stop: float, partial: bool) -> tuple[str, float | None]:
+    """What an open trade needs after the bars so far, at most one thing: close, partial, modify_sl or hold.  `stop` and `partial` are what its broker holds."""
+    state: dict = {}
+    _, reason, price = step_through(p, path, state)
+    if reason != "NONE":
+        return "close", price
+    if state["partial"] and not partial:
+        return "partial", p["partial_pct"]
+    if abs(state["stop"] - stop) > p["pip"] / 10:
+        return "modify_sl", state["stop"]
+    return "hold", None
+
+
 PATH = ["main", "main_close", "high", "low", "close", "spread"]
 
 
