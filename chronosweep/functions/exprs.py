@@ -61,3 +61,31 @@ def uniform(seed: int, key: Column, path: str) -> Column:
     """A number in [0, 1) that depends only on seed, key and path."""
     digest = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"), F.lit(path))), 1, 8)
     return F.conv(digest, 16, 10).cast("double") / 4294967296.0
+
+
+# Coefficients of the rational approximation of the inverse normal distribution function, centre and tails.
+PPF_CENTRE = ((-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00), (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0))
+PPF_TAIL = ((-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00), (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0))
+PPF_LOW = 0.02425
+
+
+def polynomial(coefficients: tuple[float, ...], x: Column) -> Column:
+    """By Horner's rule, highest power first."""
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
+
+
+def norm_ppf(p: Column) -> Column:
+    """Inverse of the normal distribution function, for p strictly between 0 and 1."""
+    tail = lambda x: (lambda q: polynomial(PPF_TAIL[0], q) / polynomial(PPF_TAIL[1], q))(F.sqrt(-2.0 * F.ln(x)))
+    q = p - 0.5
+    return F.when(p < PPF_LOW, tail(p)).when(p > 1 - PPF_LOW, -tail(1 - p)).otherwise(polynomial(PPF_CENTRE[0], q * q) * q / polynomial(PPF_CENTRE[1], q * q))
+
+
+def nice_round(x: Column) -> Column:
+    """The nearest of 1, 2, 5 and 10 times a power of ten; 0.1 for what isn't positive."""
+    power = F.pow(F.lit(10.0), F.floor(F.log10(F.when(x > 0, x))))
+    base = x / power
+    return F.when(x <= 0, 0.1).otherwise(F.when(base < 1.5, 1).when(base < 3.5, 2).when(base < 7.5, 5).otherwise(10) * power)

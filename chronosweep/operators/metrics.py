@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronosweep.functions.exprs import norm_cdf, ratio
+from chronosweep.functions.exprs import norm_cdf, norm_ppf, ratio
 
 
 def equity(trades: DataFrame) -> DataFrame:
@@ -75,3 +77,15 @@ def trial_metrics(trades: DataFrame, avg_sl: float = 30.0, n_bars: int = 1000, b
     quality = F.ln(1 + F.col("sortino")) * F.least(F.greatest(F.col("k_ratio") / 3, F.lit(0.0)), F.lit(1.0)) * F.least("profit_factor", F.lit(5.0)) * (F.least(n, F.lit(300)) / 300 * 14.14) / (F.col("ulcer") + 5)
     m = m.withColumn("quality", F.when(F.col("sortino") > 0, quality).otherwise(0.0)).withColumn("quality_v2", F.col("quality"))
     return m.drop("won", "lost", "neg_sq", "n_neg", "s2", "s3", "s4", "base", "dd2", "r2", "slope", "sxx", "syy", "sorted", "mean", "std", "ann", "down")
+
+
+EULER = 0.5772156649015329
+
+
+def with_dsr(metrics: DataFrame) -> DataFrame:
+    """metrics with dsr: psr deflated by the expected best of as many random trials; one trial keeps its psr."""
+    n = metrics.agg(F.count("*").cast("double").alias("_n"))
+    best = (1 - EULER) * norm_ppf(1 - 1 / F.col("_n")) + EULER * norm_ppf(1 - 1 / (F.col("_n") * math.e))
+    rows = metrics.join(F.broadcast(n.withColumn("_best", F.when(F.col("_n") > 1, best))))
+    p = F.least(F.greatest("psr", F.lit(1e-12)), F.lit(1 - 1e-12))
+    return rows.withColumn("dsr", F.when(F.col("_n") < 2, F.col("psr")).otherwise(norm_cdf(norm_ppf(p) - F.col("_best")))).drop("_n", "_best")

@@ -54,3 +54,26 @@ def decimate(points: DataFrame, limit: int, required: DataFrame) -> DataFrame:
 def by_density(metrics: DataFrame) -> DataFrame:
     """Trials by number of trades, among those that gain and draw down less than 30 %."""
     return _or_all(metrics, (F.col("total_pips") >= 0) & (F.col("max_dd_pct") < 30) & (F.col("trades") > 0)).orderBy(F.desc("trades"), F.desc("total_pips"), "trial_id").limit(1)
+
+
+def with_proxy(metrics: DataFrame, charge: float) -> DataFrame:
+    """metrics with adjusted_proxy: what all trades earn after a charge (negative: a cost) on each."""
+    return metrics.withColumn("adjusted_proxy", F.col("trades") * (F.col("expectancy_pips") + charge))
+
+
+def jump_best(metrics: DataFrame, objective: str) -> DataFrame:
+    """The best trial of a plot: profitable ones only if there are any; ties by return, then quality."""
+    rows = _or_all(metrics, F.when(F.col("total_pips").isNotNull(), F.col("total_pips") > 0).otherwise(F.col("profit_factor") > 1))
+    return rows.orderBy(better(objective).desc(), F.desc("return_pct"), F.desc("quality"), "trial_id").limit(1)
+
+
+def evenly_spaced(points: DataFrame, limit: int, required: int | None = None) -> DataFrame:
+    """At most `limit` trials (numbered from 0) evenly spread over all, the last giving way to a required one that isn't among them."""
+    n = points.agg(F.max("trial_id").alias("_last"))
+    place = F.when(F.col("_last") < limit, F.col("id")).otherwise(F.floor(F.col("id") * (F.col("_last") / (limit - 1))))
+    chosen = points.sparkSession.range(limit).join(F.broadcast(n)).select(F.least(place, F.col("_last")).cast("long").alias("trial_id"), "_last").distinct()
+    if required is not None:
+        has = chosen.agg(F.max((F.col("trial_id") == required).cast("int")).alias("_has"))
+        swap = (F.col("_has") == 0) & (F.col("_last") >= limit) & (F.col("trial_id") == F.col("_last"))
+        chosen = chosen.join(F.broadcast(has)).withColumn("trial_id", F.when(swap, F.lit(required).cast("long")).otherwise(F.col("trial_id")))
+    return points.join(chosen.select("trial_id"), "trial_id", "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronosweep.functions.exprs import TIMEFRAMES, bucket
+from chronosweep.functions.exprs import TIMEFRAMES, bucket, weekday_of
 
 
 def ticks_to_bars(ticks: DataFrame, tf: str = "M1") -> DataFrame:
@@ -19,6 +19,13 @@ def _ohlc() -> list[Column]:
     return [F.min_by("open", "s").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "s").alias("close"), F.sum("volume").alias("volume"), F.avg("spread").alias("spread")]
 
 
+def side_bars(ticks: DataFrame, side: str) -> DataFrame:
+    """Minute bars of one side's quotes, with no volume, on weekdays."""
+    at = F.struct("us", "seq")
+    rows = ticks.where(F.col(side).isNotNull() & (weekday_of(F.col("s")) < 5)).select("pair", bucket(F.col("s"), 60).alias("b"), "us", "seq", F.col(side).alias("p"))
+    return rows.groupBy("pair", F.col("b").alias("s")).agg(F.min_by("p", at).alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", at).alias("close")).withColumn("volume", F.lit(0.0))
+
+
 def longer_bars(bars: DataFrame, tf: str) -> DataFrame:
     return bars.withColumn("b", bucket(F.col("s"), *TIMEFRAMES[tf])).groupBy("pair", "b").agg(*_ohlc()).withColumnRenamed("b", "s")
 

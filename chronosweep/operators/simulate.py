@@ -9,7 +9,7 @@ machine, in the task that holds the trade's path.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Exit reasons.
@@ -44,6 +44,36 @@ def first_touch(entries: DataFrame, bars: DataFrame, width: int, horizons: tuple
     return done.unionByName(open_.join(last, "pair", "left").withColumn("exit_reason", F.lit("NONE")))
 
 
+def _numbered(bars: DataFrame) -> DataFrame:
+    return bars.withColumn("rn", F.row_number().over(Window.partitionBy("pair").orderBy("s")).cast("long"))
+
+
+def max_bars_exit(entries: DataFrame, bars: DataFrame, most: int) -> DataFrame:
+    """entries with exit_s, exit_price, exit_reason: the close of the `most`-th bar after the entry's, or the pair's last close."""
+    numbered = _numbered(bars)
+    last = numbered.groupBy("pair").agg(F.max("rn").alias("_last"))
+    start = entries.join(numbered.select("pair", "s", "rn"), ["pair", "s"]).join(last, "pair")
+    due = start.withColumn("exit_reason", F.when(F.col("rn") + most <= F.col("_last"), "MAX_BARS").otherwise("NONE")).withColumn("rn", F.least(F.col("rn") + most, F.col("_last")))
+    return due.join(numbered.select("pair", "rn", F.col("s").alias("exit_s"), F.col("close").alias("exit_price")), ["pair", "rn"]).drop("rn", "_last")
+
+
+def stale_exit(entries: DataFrame, bars: DataFrame, n: int, threshold: float) -> DataFrame:
+    """entries with exit_s, exit_price, exit_reason: the first bar, `n` or more after the entry's, whose last n bars all have a range under the threshold.
+
+    For each bar one window finds the next such bar, so that an entry needs no walk of its own.
+    """
+    by_bar = Window.partitionBy("pair").orderBy("rn")
+    width = F.max(F.col("high") - F.col("low")).over(by_bar.rowsBetween(1 - n, 0))
+    calm = _numbered(bars).withColumn("_calm", (width < threshold) & (F.col("rn") >= n))
+    ahead = by_bar.rowsBetween(0, Window.unboundedFollowing)
+    at = F.struct(F.col("s").alias("exit_s"), F.col("close").alias("exit_price"), F.lit("STALE").alias("exit_reason"))
+    coming = calm.select("pair", "s", "rn", F.first(F.when(F.col("_calm"), at), ignorenulls=True).over(ahead).alias("x"))
+    start = entries.join(coming.select("pair", "s", "rn"), ["pair", "s"]).withColumn("rn", F.col("rn") + n)
+    last = bars.groupBy("pair").agg(F.struct(F.max("s").alias("exit_s"), F.max_by("close", "s").alias("exit_price"), F.lit("NONE").alias("exit_reason")).alias("_last"))
+    met = start.join(coming.select("pair", "rn", "x"), ["pair", "rn"], "left").join(last, "pair")
+    return met.withColumn("x", F.coalesce("x", "_last")).select(*entries.columns, "x.*")
+
+
 def step_through(p: dict, path: list[tuple], state: dict | None = None) -> tuple[float, str, float]:
     """One trade over its path.  path: (main bar, its close, sub high, sub low, sub close, sub spread), the bars after the entry's.
 

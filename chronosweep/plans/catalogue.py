@@ -417,9 +417,9 @@ def scatter_decimate(spark, sf_dir):
     return ranking.decimate(m, 20, best)
 
 
-@query(f"WITH {TRADES} SELECT trial_id, i, eq, peak - eq AS dd FROM e2 WHERE i % 10 = 0")
+@query(f"WITH {TRADES} SELECT trial_id, i, eq, peak - eq AS dd FROM e2")
 def equity_curve(spark, sf_dir):
-    return metrics.equity(trades(spark, sf_dir)).where("i % 10 = 0").select("trial_id", "i", "eq", "dd")
+    return metrics.equity(trades(spark, sf_dir)).select("trial_id", "i", "eq", "dd")
 
 
 @query(f"{_RANKED} SELECT trial_id, max(sharpe) OVER (ORDER BY trial_id) AS best FROM r")
@@ -495,13 +495,13 @@ def slippage_telemetry(spark, sf_dir):
 
 
 def _sides(spark, sf_dir):
-    o = _orders(spark, sf_dir).where("s < 86400 * 8500")
+    o = _orders(spark, sf_dir)
     bt = o.select("pair", "direction", F.col("s").alias("signal_s"), F.col("id").alias("bt_id"), (1 + F.col("id") % 100 * 0.001).alias("bt_entry"), (1 + F.col("id") % 90 * 0.001).alias("bt_exit"), (F.col("id") % 50).cast("double").alias("bt_pnl"))
     live = o.where("id % 10 <> 3").select("pair", "direction", (F.col("s") + F.when(F.col("id") % 6 == 1, 1800).otherwise(0)).alias("signal_s"), F.col("id").alias("live_id"), (1 + F.col("id") % 100 * 0.001 + F.col("id") % 4 * 0.00015).alias("live_entry"), (1 + F.col("id") % 90 * 0.001).alias("live_exit"), F.when(F.col("id") % 8 != 0, F.col("id") % 50 + F.col("id") % 3).cast("double").alias("live_pnl"))
     return bt, live
 
 
-_SIDES = f"{ORDERS}, bt AS (SELECT pair, direction, s AS signal_s, id AS bt_id, 1 + id % 100 * 0.001e0 AS bt_entry, 1 + id % 90 * 0.001e0 AS bt_exit, CAST(id % 50 AS DOUBLE) AS bt_pnl FROM o WHERE s < 86400 * 8500), live AS (SELECT pair, direction, s + CASE WHEN id % 6 = 1 THEN 1800 ELSE 0 END AS signal_s, id AS live_id, 1 + id % 100 * 0.001e0 + id % 4 * 0.00015e0 AS live_entry, 1 + id % 90 * 0.001e0 AS live_exit, CASE WHEN id % 8 <> 0 THEN CAST(id % 50 + id % 3 AS DOUBLE) END AS live_pnl FROM o WHERE s < 86400 * 8500 AND id % 10 <> 3), ub AS (SELECT * FROM bt QUALIFY row_number() OVER (PARTITION BY pair, direction, signal_s ORDER BY bt_id DESC) = 1), ul AS (SELECT * FROM live QUALIFY row_number() OVER (PARTITION BY pair, direction, signal_s ORDER BY live_id DESC) = 1), mt AS (SELECT ub.*, live_id, live_entry, live_exit, live_pnl FROM ub JOIN ul ON ub.pair = ul.pair AND ub.direction = ul.direction AND ub.signal_s = ul.signal_s), rs AS (SELECT 'missing' AS side, bt_id AS id, pair FROM bt WHERE bt_id NOT IN (SELECT bt_id FROM mt) UNION ALL SELECT 'extra', live_id, pair FROM live WHERE live_id NOT IN (SELECT live_id FROM mt)), cl AS (SELECT *, (live_entry - bt_entry) / 1e-4 * direction AS ed, (live_exit - bt_exit) / 1e-4 * direction AS xd, live_pnl - bt_pnl AS pd FROM mt)"
+_SIDES = f"{ORDERS}, bt AS (SELECT pair, direction, s AS signal_s, id AS bt_id, 1 + id % 100 * 0.001e0 AS bt_entry, 1 + id % 90 * 0.001e0 AS bt_exit, CAST(id % 50 AS DOUBLE) AS bt_pnl FROM o), live AS (SELECT pair, direction, s + CASE WHEN id % 6 = 1 THEN 1800 ELSE 0 END AS signal_s, id AS live_id, 1 + id % 100 * 0.001e0 + id % 4 * 0.00015e0 AS live_entry, 1 + id % 90 * 0.001e0 AS live_exit, CASE WHEN id % 8 <> 0 THEN CAST(id % 50 + id % 3 AS DOUBLE) END AS live_pnl FROM o WHERE id % 10 <> 3), ub AS (SELECT * FROM bt QUALIFY row_number() OVER (PARTITION BY pair, direction, signal_s ORDER BY bt_id DESC) = 1), ul AS (SELECT * FROM live QUALIFY row_number() OVER (PARTITION BY pair, direction, signal_s ORDER BY live_id DESC) = 1), mt AS (SELECT ub.*, live_id, live_entry, live_exit, live_pnl FROM ub JOIN ul ON ub.pair = ul.pair AND ub.direction = ul.direction AND ub.signal_s = ul.signal_s), rs AS (SELECT 'missing' AS side, bt_id AS id, pair FROM bt WHERE bt_id NOT IN (SELECT bt_id FROM mt) UNION ALL SELECT 'extra', live_id, pair FROM live WHERE live_id NOT IN (SELECT live_id FROM mt)), cl AS (SELECT *, (live_entry - bt_entry) / 1e-4 * direction AS ed, (live_exit - bt_exit) / 1e-4 * direction AS xd, live_pnl - bt_pnl AS pd FROM mt)"
 
 
 @query(f"WITH {_SIDES} SELECT pair, CAST(direction AS INTEGER) AS direction, signal_s, bt_id, live_id FROM mt")
@@ -538,9 +538,9 @@ def round_trips(spark, sf_dir):
     return reconcile.round_trips(d).drop("open_time", "close_time")
 
 
-@query(f"{H1}, q AS (SELECT seq AS id, pair, s FROM ticks WHERE seq % 20 = 0) SELECT id, q.pair, q.s, round(spread, 8) AS spread FROM q ASOF LEFT JOIN b ON q.pair = b.pair AND q.s >= b.s")
+@query(f"{H1}, q AS (SELECT seq AS id, pair, s FROM ticks) SELECT id, q.pair, q.s, round(spread, 8) AS spread FROM q ASOF LEFT JOIN b ON q.pair = b.pair AND q.s >= b.s")
 def asof_spread(spark, sf_dir):
-    probes = ticks(spark, sf_dir).where("seq % 20 = 0").select("pair", "s", F.col("seq").alias("id"))
+    probes = ticks(spark, sf_dir).select("pair", "s", F.col("seq").alias("id"))
     return rounded(reconcile.as_of(probes, bars(spark, sf_dir), "spread"), "spread")
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronosweep.functions.exprs import hour_of, weekday_of
+
 
 def upsert(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows by key, the new side winning; columns that one side lacks are null.  One shuffle on the keys, with partial aggregation."""
@@ -37,6 +39,18 @@ def inventory(bars: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("rows") == 0, "empty").when(F.col("rows") < 500, "thin").otherwise("ok"))
 
 
+def from_broker(rows: DataFrame, offset_s: int, point: float) -> DataFrame:
+    """Rows in UTC and in prices, from a broker's clock and spreads in points."""
+    return rows.withColumn("s", F.col("s") - offset_s).withColumn("spread", F.col("spread") * F.lit(point))
+
+
+def trading_hours(spark: SparkSession, start_s: int, end_s: int) -> DataFrame:
+    """hour_s from start to end, both inclusive, while markets are open: not on Saturday, on Sunday from 21 o'clock."""
+    hours = spark.range(start_s, end_s + 1, 3600).withColumnRenamed("id", "hour_s")
+    day = weekday_of(F.col("hour_s"))
+    return hours.where((day < 5) | ((day == 6) & (hour_of(F.col("hour_s")) >= 21)))
+
+
 # Groups of pairs.
 GROUPS = {"Majors": ["EUR_USD", "GBP_USD", "USD_JPY", "USD_CHF", "AUD_USD", "USD_CAD", "NZD_USD"]}
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import pytest
 
-from chronosweep.plans import catalogue
+from chronosweep.plans import catalogue, live_catalogue
 from tests.conftest import SMALL, same_as_oracle
 
+assert live_catalogue  # registers its queries with the catalogue
+
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_query_equals_sql(spark, name):
