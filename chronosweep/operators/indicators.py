@@ -7,16 +7,48 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Seconds of bars that one task handles at once: no task holds a pair's whole history.
+STRETCH = 30 * 86_400
+
+
 def emas(bars: DataFrame, column: str, spans: list[int]) -> DataFrame:
-    """bars with ema_{span} of a column: y0 = x0, then y = a x + (1 - a) y, a = 2 / (span + 1)."""
-    names = [f"ema_{n}" for n in spans]
+    """bars with ema_{span} of a column that has no nulls: y0 = x0, then y = a x + (1 - a) y, a = 2 / (span + 1).
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("s")
-        return frame.assign(**{f"ema_{n}": frame[column].ewm(span=n, adjust=False).mean() for n in spans})
+    Over a stretch of n bars the last y is (1 - a)^n times the y before it plus a term of the stretch alone.
+    So stretches are summed up side by side, the few sums of a pair give each stretch the y that it starts from,
+    and the stretches are run through side by side again.
+    """
+    names = [f"ema_{n}" for n in spans]
 
+    def recur(start: float, x: pd.Series, span: int) -> pd.Series:
+        return pd.concat([pd.Series([start]), x], ignore_index=True).ewm(span=span, adjust=False).mean()
+
+    def sum_up(frame: pd.DataFrame) -> pd.DataFrame:
+        x = frame.sort_values("s")[column]
+        return pd.DataFrame([{"pair": frame["pair"].iat[0], "stretch": frame["stretch"].iat[0], "n": len(x), "first": x.iat[0]} | {k: recur(0.0, x, n).iat[-1] for k, n in zip(names, spans, strict=True)}])
+
+    def starts(sums: pd.DataFrame) -> pd.DataFrame:
+        sums = sums.sort_values("stretch")
+        out = {"pair": sums["pair"], "stretch": sums["stretch"]}
+        for name, n in zip(names, spans, strict=True):
+            keep, y, found = 1 - 2 / (n + 1), sums["first"].iat[0], []
+            for rows, own in zip(sums["n"], sums[name], strict=True):
+                found.append(y)
+                y = keep**rows * y + own
+            out[name] = found
+        return pd.DataFrame(out)
+
+    def run(frame: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("s").reset_index(drop=True)
+        return frame.drop(columns="stretch").assign(**{k: recur(start[k].iat[0], frame[column], n).iloc[1:].to_numpy() for k, n in zip(names, spans, strict=True)})
+
+    doubles = ", ".join(f"{n} double" for n in names)
+    cut = bars.withColumn("stretch", F.floor(F.col("s") / STRETCH))
+    sums = cut.select("pair", "stretch", "s", column).groupBy("pair", "stretch").applyInPandas(sum_up, f"pair string, stretch long, n long, first double, {doubles}")
+    begun = sums.groupBy("pair").applyInPandas(starts, f"pair string, stretch long, {doubles}")
+    begun = begun.select(F.col("pair").alias("of"), F.col("stretch").alias("at"), *names)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in bars.schema.fields)
-    return bars.groupBy("pair").applyInPandas(run, ", ".join([fields, *(f"{n} double" for n in names)]))
+    return cut.groupBy("pair", "stretch").cogroup(begun.groupBy("of", "at")).applyInPandas(run, f"{fields}, {doubles}")
 
 
 def _by_time():
