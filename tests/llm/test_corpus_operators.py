@@ -142,16 +142,26 @@ def test_odd_vectors(spark):
 
 
 def test_recall_of_embedding_links(spark):
-    rows = rows_of("embeddings", "vec_id, embedding", LARGER)
-    x = np.array([v for _, v in rows], "f8")
-    x /= np.sqrt((x * x).sum(1))[:, None]
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    a = unit(rng.normal(size=(400, 64)))
+    aside = rng.normal(size=a.shape)
+    aside = unit(aside - (aside * a).sum(1)[:, None] * a)
+    cos = rng.uniform(0.85, 1.0, 400)[:, None]
+    x = unit(np.concatenate([a, cos * a + np.sqrt(1 - cos * cos) * aside]))
     true = (x @ x.T >= 0.9).sum(1) - 1
-    got = {r["vec_id"]: r["n_links"] for r in queries.op2_embedding_near_dedup(spark, LARGER).collect()}
-    found = np.array([got[i] for i, _ in rows])
-    assert (found <= true).all()
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.embedding_groups(df).collect()}
+    found = np.array([got[k] for k in range(len(x))])
+    assert true.sum() > 400 and (found <= true).all()
     assert found.sum() >= 0.95 * true.sum()
 
 
+def test_all_embeddings(spark):
+    rows = rows_of("embeddings", "vec_id, embedding", LARGER)
+    assert as_embeddings(queries.op2_embedding_near_dedup(spark, LARGER)) == embedding_rows(rows)
+
+
 def test_crowded_bucket_keeps_all_links(spark):
     rng = np.random.default_rng(4)
     a = rng.normal(size=16)
