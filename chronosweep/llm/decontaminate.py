@@ -1,15 +1,18 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
-Test items are partitioned by their number of distinct word shingles into classes of
-powers of two.  For a class of up to s shingles, a document is covered by windows of
-2s shingles that overlap by s, so an item that stands in the document stands whole in
-one window of about its own size, however long the document.  An item is a candidate
-where one of ``HASHES`` minima over a window equals the item's own, and a candidate is
-verified by exact containment: the share of the item's distinct shingles that the
-document holds, compared as words.
-
-At a containment of 0.8 a window shares at least a third of the joint shingles, so
-all minima miss with a chance of 0.66 to the power of ``HASHES`` (under one in 20,000).
+Test items are partitioned by their number of word shingles into classes of half powers
+of two.  For a class of up to s shingles, a document is covered by windows of three blocks
+of s / 2 shingles, each window starting a block after the one before it, so an item that
+stands in the document stands whole in one window of about its own size, however long the
+document.  An item is a candidate where one of ``HASHES`` minima over a window equals the
+item's own, and a candidate is verified by exact containment: the share of the item's
+distinct shingles that the document holds, compared as words.
+
+An item has over 0.7 s shingles, so one that stands there unchanged makes up at least 0.47
+of the joint shingles of some window (a third for a single shingle), and one that stands
+there to 0.8 at least 0.34: all minima miss with a chance under 0.66 to the power of
+``HASHES``, one in 20,000.  Items whose shingles are scattered over a document, or repeat
+each other, can be missed more often.
 
 Items go to the tasks in blocks of bounded size; documents aren't shuffled.
 
@@ -41,7 +44,6 @@ HASHES = 24
 #: Words of items that go to the tasks at once.
 ITEM_WORDS = 2_000_000
 SEED = 9
-_FIRST_CLASS = 3
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^\W_]+")
 
@@ -55,6 +57,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
+def size_class(shingles: int) -> int:
+    """The least half power of two, rounded up, that isn't under a number of shingles."""
+    k = max(0, math.ceil(2 * math.log2(shingles)) - 1)
+    return next(s for s in (math.ceil(2 ** (k / 2)), math.ceil(2 ** ((k + 1) / 2))) if s >= shingles)
+
+
 class _Hasher:
     def __init__(self):
         self.word = Bounded(lambda w: xxhash.xxh64_intdigest(w.encode(), SEED), 300_000)
@@ -94,7 +102,7 @@ class ItemIndex:
             n = min(WORDS, len(words))
             shingles = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
             hashes = np.unique(hasher.shingles(hasher.words(words), n))
-            classes[n, max(_FIRST_CLASS, math.ceil(math.log2(len(shingles))))].append(len(self.items))
+            classes[n, size_class(len(words) - n + 1)].append(len(self.items))
             self.items.append((item_id, n, shingles, hashes))
         self.minima = {}
         for key, which in classes.items():
@@ -118,15 +126,18 @@ class ItemIndex:
             begins = np.cumsum(sizes) - sizes
             covers = {}
             for c in {c for m, c in self.minima if m == n}:
-                blocks = -(-sizes // (1 << c))
+                block = -(-c // 2)
+                blocks = -(-sizes // block)
                 owner = np.repeat(np.arange(len(sizes)), blocks)
-                at = np.repeat(begins, blocks) + (np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * (1 << c)
-                covers[c] = owner, at, owner[1:] == owner[:-1]
+                at = np.repeat(begins, blocks) + (np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * block
+                covers[c] = owner, at, owner[1:] == owner[:-1], owner[2:] == owner[:-2]
             for k in range(HASHES):
                 values = _permuted(every, k)
-                for c, (owner, at, joined) in covers.items():
-                    least = np.minimum.reduceat(values, at)
-                    least[:-1] = np.where(joined, np.minimum(least[:-1], least[1:]), least[:-1])
+                for c, (owner, at, one, two) in covers.items():
+                    own = np.minimum.reduceat(values, at)
+                    least = own.copy()
+                    least[:-1] = np.where(one, np.minimum(least[:-1], own[1:]), least[:-1])
+                    least[:-2] = np.where(two, np.minimum(least[:-2], own[2:]), least[:-2])
                     keys, which = self.minima[n, c][k]
                     lo, hi = np.searchsorted(keys, least), np.searchsorted(keys, least, "right")
                     for i in np.flatnonzero(hi > lo):

@@ -196,6 +196,23 @@ LEAKS = [*ODD_TEXTS, (30, f"{LONG} {ITEM.upper()}! {LONG}"), (31, f"before {CHAN
 ITEMS = [(1, ITEM), (2, None), (3, ""), (4, "Forty two!"), (None, ITEM), (5, ITEM), (6, " ".join(LONG.split()[:400]))]
 
 
+def test_size_classes():
+    for n in range(1, 5000):
+        s = decontaminate.size_class(n)
+        assert n <= s and (s < 4 or n > 0.66 * s)
+
+
+def test_items_of_all_sizes_are_found_in_long_texts():
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    items = [(k, " ".join(word() for _ in range(size))) for k, size in enumerate([*range(1, 40), 55, 80, 130, 300] * 4)]
+    index, hasher = decontaminate.ItemIndex(items), decontaminate._Hasher()
+    filler = lambda: [word() for _ in range(150)]
+    texts = [filler() + text.split() + filler() for _, text in items]
+    found = index.search(texts, hasher)
+    assert sum(any(i == k for i, *_ in pairs) for k, pairs in enumerate(found)) == len(items)
+
+
 def test_leaks_of_odd_texts(spark):
     items = spark.createDataFrame([(*r, "x", "y") for r in ITEMS], "item_id long, text string, doc_id string, id string")
     got = decontaminate.find_leaks(odd_documents(spark, LEAKS), items).collect()
