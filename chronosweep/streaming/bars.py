@@ -1,13 +1,16 @@
-"""Bars and closed-bar events from streams of ticks."""
+"""Bars and closed-bar events from streams of ticks, and the care of open positions."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronosweep.operators.simulate import PATH, manage
+
 
 def stream_bars(ticks: DataFrame, width: str = "15 minutes", late: str = "1 minute") -> DataFrame:
     """Bars that are emitted once they are closed.  ticks: pair, ts (timestamp), bid, ask, seq; repeated ticks within the delay count once."""
@@ -32,3 +35,30 @@ def closed_bar_events(bars: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"pair": key[0], "start_s": out.start_s, "close": out.close})
 
     return bars.groupBy("pair").applyInPandasWithState(run, "pair string, start_s long, close double", "last long", "append", "NoTimeout")
+
+
+def managed_positions(steps: DataFrame) -> DataFrame:
+    """What each open trade needs after every batch of its bars: trade_id, seq, action, value; nothing is emitted for a hold.
+
+    steps: trade_id, rules (the trade's parameters as JSON), seq, and the columns of a path.  State holds the trade's bars,
+    its stop and whether a part is closed, and goes with the closing action; bars that come again count once.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).drop_duplicates("seq").sort_values("seq")
+        p = json.loads(rows["rules"].iat[0])
+        held, stop, partial, last = state.get if state.exists else ("[]", p["sl_price"], False, -1)
+        if stop is None:  # closed
+            return
+        fresh = rows[rows.seq > last]
+        path = [tuple(x) for x in json.loads(held)] + list(fresh[PATH].astype(object).itertuples(index=False, name=None))
+        action, value = manage(p, path, stop, partial)
+        seen = max([last, *fresh.seq.tolist()])
+        if action == "close":
+            state.update(("[]", None, partial, seen))
+        else:
+            state.update((json.dumps(path), value if action == "modify_sl" else stop, partial or action == "partial", seen))
+        if action != "hold":
+            yield pd.DataFrame({"trade_id": [key[0]], "seq": [seen], "action": [action], "value": [float(value)]})
+
+    return steps.groupBy("trade_id").applyInPandasWithState(run, "trade_id long, seq long, action string, value double", "held string, stop double, partial boolean, last long", "append", "NoTimeout")

@@ -96,3 +96,18 @@ def test_spaces():
     for level in range(1, 11):
         space.validate(space.preset(level, 12.0))
     assert set(space.preset(1, 12.0)) < set(space.preset(10, 12.0))
+
+
+def test_positions_are_managed_batch_by_batch(spark, tmp_path):
+    import json
+
+    from chronosweep.streaming.bars import managed_positions
+
+    rules = json.dumps({"pip": 1e-4, "direction": 1, "entry_price": 1.1, "sl_price": 1.097, "tp_price": 1.106, "tp_pips": 60, "be_enabled": 1, "be_trigger": 5, "be_offset": 2})
+    kind = "trade_id long, rules string, seq long, main long, main_close double, high double, low double, close double, spread double"
+    for k, (high, low) in enumerate([(1.1001, 1.1), (1.1008, 1.1004), (1.1006, 1.1003), (1.1003, 1.1001), (1.1001, 1.1)]):
+        spark.createDataFrame([(1, rules, k, k, low, high, low, low, 0.0)], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    managed_positions(source).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("seq").collect()
+    assert [(r["seq"], r["action"], round(r["value"], 4)) for r in got] == [(1, "modify_sl", 1.1002), (3, "close", 1.1002)]
