@@ -104,14 +104,18 @@ class ItemIndex:
             hashes = np.unique(hasher.shingles(hasher.words(words), n))
             classes[n, size_class(len(words) - n + 1)].append(len(self.items))
             self.items.append((item_id, n, shingles, hashes))
-        self.minima = {}
+        self.minima, anchors = {}, defaultdict(list)
         for key, which in classes.items():
             tables = []
             for k in range(HASHES):
-                least = np.array([_permuted(self.items[i][3], k).min() for i in which])
+                found = [_permuted(self.items[i][3], k) for i in which]
+                least = np.array([f.min() for f in found])
+                anchors[key[0]] += [self.items[i][3][f.argmin()] for i, f in zip(which, found, strict=True)]
                 order = np.argsort(least, kind="stable")
                 tables.append((least[order], np.array(which)[order]))
             self.minima[key] = tables
+        #: the shingles that some minimum of some item comes from, by shingle length
+        self.anchors = {n: np.unique(np.array(found, "u8")) for n, found in anchors.items()}
 
     def search(self, texts: list[list[str]], hasher: _Hasher) -> list[list[tuple]]:
         """For each document's words: (item_id, shingles of the item, of these in the document)."""
@@ -119,10 +123,13 @@ class ItemIndex:
         candidates: list[set] = [set() for _ in texts]
         for n in {n for n, _ in self.minima}:
             parts = [hasher.shingles(h, n) for h in hashed]
-            sizes = np.array([len(p) for p in parts])
-            every = np.concatenate(parts) if parts else np.zeros(0, "u8")
-            if not len(every):
+            # a window's minimum equals an item's only where both come from one shingle: other documents need no windows
+            which_docs = np.array([d for d, p in enumerate(parts) if self._anchored(p, n)], np.int64)
+            if not len(which_docs):
                 continue
+            parts = [parts[d] for d in which_docs]
+            sizes = np.array([len(p) for p in parts])
+            every = np.concatenate(parts)
             begins = np.cumsum(sizes) - sizes
             covers = {}
             for c in {c for m, c in self.minima if m == n}:
@@ -141,9 +148,14 @@ class ItemIndex:
                     keys, which = self.minima[n, c][k]
                     lo, hi = np.searchsorted(keys, least), np.searchsorted(keys, least, "right")
                     for i in np.flatnonzero(hi > lo):
-                        candidates[owner[i]].update(which[lo[i] : hi[i]].tolist())
+                        candidates[which_docs[owner[i]]].update(which[lo[i] : hi[i]].tolist())
         return [self._verify(words, sorted(found)) if found else [] for words, found in zip(texts, candidates, strict=True)]
 
+    def _anchored(self, hashes: np.ndarray, n: int) -> bool:
+        anchors = self.anchors[n]
+        at = np.minimum(np.searchsorted(anchors, hashes), len(anchors) - 1)
+        return bool((anchors[at] == hashes).any())
+
     def _verify(self, words: list[str], found: list[int]) -> list[tuple]:
         held, out = {}, []
         for i in found:
