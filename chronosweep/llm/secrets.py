@@ -5,9 +5,10 @@ step adds weaker candidates (account names, long opaque words, endpoints), and
 reports one only where parts that complete it stand within ``reach`` code points:
 an account name needs a secret, an opaque word needs an identifier, an endpoint
 needs both.  Identifiers and secrets are interval-joined to the candidates on
-(row key, bucket of ``reach`` code points): each is dealt to its own bucket and
-both neighbours, so a bucket holds no more parts than fit into three such
-stretches of text, however long the document or frequent the part.
+(row key, bucket of ``reach`` code points): a candidate is dealt to all buckets that
+its span touches, a part to all that touch its span widened by ``reach`` on both
+sides.  What counts is the gap between the two spans, however long they are; a bucket
+holds no more parts than touch three such stretches of text.
 
 Defined results: null text reads as empty; rows with the same id and text get
 the same spans, each row its own output row; null ids are kept; empty tables give
@@ -85,19 +86,23 @@ def linked_spans(found: DataFrame, reach: int = REACH) -> DataFrame:
     # a weak span that overlaps a base span is that base span seen again
     seen = F.coalesce(reached > start, F.lit(False)) | F.coalesce(next_base < end, F.lit(False))
     fresh = one.withColumn("seen", seen).where(is_base | ~F.col("seen"))
-    home = F.floor(start / reach)
-    dealt = fresh.select("row_key", "part", home.alias("home"), F.explode(F.sequence(home - 1, home + 1)).alias("bucket"))
+    first, last = F.floor(start / reach), F.floor(end / reach)
+    dealt = fresh.select("row_key", "part", first.alias("first"), last.alias("last"), F.explode(F.sequence(first - 1, last + 1)).alias("bucket"))
     near = dealt.groupBy("row_key", "bucket").agg(
-        F.collect_set(F.when((F.col("home") == F.col("bucket")) & (F.col("part.rank") >= BASE), F.col("part"))).alias("weak"),
-        F.collect_set(F.when(F.col("part.rank").isin(1, 3), F.col("part.start"))).alias("ids"),
-        F.collect_set(F.when(F.col("part.rank").isin(0, 2, 4), F.col("part.start"))).alias("secrets"),
+        F.collect_set(F.when(F.col("bucket").between(F.col("first"), F.col("last")) & (F.col("part.rank") >= BASE), F.col("part"))).alias("weak"),
+        F.collect_set(F.when(F.col("part.rank").isin(1, 3), F.col("part"))).alias("ids"),
+        F.collect_set(F.when(F.col("part.rank").isin(0, 2, 4), F.col("part"))).alias("secrets"),
     )
 
-    def within(places: str, w: Column) -> Column:
-        return F.exists(F.col(places), lambda at: F.abs(at - w["start"]) <= reach)
+    def met(parts: str) -> Column:
+        return F.filter("weak", lambda w: F.exists(F.col(parts), lambda p: (p["start"] - w["end"] <= reach) & (w["start"] - p["end"] <= reach)))
 
-    kept = F.filter("weak", lambda w: F.when(w["rank"] == 3, within("secrets", w)).when(w["rank"] == 4, within("ids", w)).otherwise(within("ids", w) & within("secrets", w)))
-    return near.select("row_key", F.explode(kept).alias("span")).groupBy("row_key").agg(F.collect_set("span").alias("added"))
+    # a long candidate may meet its identifier in one bucket and its secret in another
+    every = lambda name: F.array_distinct(F.flatten(F.collect_list(name))).alias(name)
+    by_row = near.where(F.size("weak") > 0).select("row_key", met("ids").alias("by_id"), met("secrets").alias("by_secret")).groupBy("row_key").agg(every("by_id"), every("by_secret"))
+    of = lambda name, rank: F.filter(name, lambda w: w["rank"] == rank)
+    added = F.concat(of("by_secret", 3), of("by_id", 4), F.array_intersect(of("by_id", 5), of("by_secret", 5)))
+    return by_row.select("row_key", added.alias("added")).where(F.size("added") > 0)
 
 
 def _joined(found: DataFrame, reach: int) -> DataFrame:
