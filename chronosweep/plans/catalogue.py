@@ -349,12 +349,17 @@ def batch_eval(spark, sf_dir):
 
 @query()
 def sim_full(spark, sf_dir):
-    """Managed trades over a five-day path, all rules on."""
+    """Managed trades, all rules on, over paths as long as the rules can hold them: 96 main bars, however far apart they are."""
     b, e = _entries(spark, sf_dir)
-    cell = F.floor(F.col("s") / 432_000)
-    near = e.select("trade_id", "pair", F.col("s").alias("e_s"), F.explode(F.array(cell, cell + 1)).alias("cell")).join(b.withColumn("cell", cell), ["pair", "cell"])
-    paths = near.where("s > e_s and s <= e_s + 432000").select("trade_id", F.col("s").alias("seq"), bucket(F.col("s"), 3600).alias("main"), F.max_by("close", "s").over(Window.partitionBy("trade_id", bucket(F.col("s"), 3600))).alias("main_close"), "high", "low", "close", "spread")
-    rules = {"pip": 1e-4, "atr_pips": 20.0, "be_enabled": 1, "be_trigger": 15.0, "be_offset": 2.0, "trailing_mode": 1, "trailing_activate": 25.0, "trailing_distance": 20.0, "partial_enabled": 1, "partial_pct": 50.0, "partial_trigger": 30.0, "max_bars": 96, "commission": 0.3}
+    most, main = 96, bucket(F.col("s"), 3600)
+    hours = b.groupBy("pair", main.alias("main")).agg(F.max_by("close", "s").alias("main_close")).withColumn("rank", F.row_number().over(Window.partitionBy("pair").orderBy("main")))
+    # the entry's own hour may or may not have bars after it, so the path reaches one hour further
+    cell = F.floor(F.col("rank") / (most + 1))
+    start = e.select("trade_id", "pair", F.col("s").alias("e_s"), main.alias("main")).join(hours.select("pair", "main", "rank"), ["pair", "main"])
+    near = start.select("trade_id", "pair", "e_s", F.col("rank").alias("e_rank"), F.explode(F.array(cell, cell + 1)).alias("cell"))
+    steps = b.withColumn("main", main).join(hours, ["pair", "main"]).withColumn("cell", cell)
+    paths = near.join(steps, ["pair", "cell"]).where((F.col("s") > F.col("e_s")) & (F.col("rank") <= F.col("e_rank") + most)).select("trade_id", F.col("s").alias("seq"), "main", "main_close", "high", "low", "close", "spread")
+    rules = {"pip": 1e-4, "atr_pips": 20.0, "be_enabled": 1, "be_trigger": 15.0, "be_offset": 2.0, "trailing_mode": 1, "trailing_activate": 25.0, "trailing_distance": 20.0, "partial_enabled": 1, "partial_pct": 50.0, "partial_trigger": 30.0, "max_bars": most, "commission": 0.3}
     return simulate.simulate(e.drop("s", "pair").withColumns({k: F.lit(v) for k, v in rules.items()}), paths)
 
 

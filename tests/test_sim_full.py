@@ -1,0 +1,52 @@
+"""sim_full against a walk of each trade over all bars that its pair has after the entry."""
+
+from __future__ import annotations
+
+import datetime as dt
+from collections import Counter
+
+import pytest
+
+from chronosweep.operators.simulate import step_through
+from chronosweep.plans import catalogue
+from tests.conftest import SMALL
+
+RULES = {"pip": 1e-4, "atr_pips": 20.0, "be_enabled": 1, "be_trigger": 15.0, "be_offset": 2.0, "trailing_mode": 1, "trailing_activate": 25.0, "trailing_distance": 20.0, "partial_enabled": 1, "partial_pct": 50.0, "partial_trigger": 30.0, "max_bars": 96, "commission": 0.3}
+
+
+def walked(spark, sf_dir):
+    b, e = catalogue._entries(spark, sf_dir)
+    bars = b.select("pair", "s", "high", "low", "close", "spread").orderBy("pair", "s").collect()
+    last = {(r["pair"], r["s"] // 3600): r["close"] for r in bars}
+    want = {}
+    for t in e.collect():
+        steps = [(r["s"] // 3600 * 3600, last[r["pair"], r["s"] // 3600], r["high"], r["low"], r["close"], r["spread"]) for r in bars if r["pair"] == t["pair"] and r["s"] > t["s"]]
+        pnl, reason, exit_price = step_through({**t.asDict(), **RULES}, steps)
+        want[t["trade_id"]] = (reason, pytest.approx(pnl), pytest.approx(exit_price))
+    return want
+
+
+def simulated(spark, sf_dir):
+    return {r["trade_id"]: (r["exit_reason"], r["pnl"], r["exit_price"]) for r in catalogue.sim_full(spark, sf_dir).collect()}
+
+
+def test_all_trades(spark):
+    want = walked(spark, SMALL)
+    assert want and simulated(spark, SMALL) == want
+
+
+@pytest.fixture
+def thin(spark, tmp_path):
+    """A pair with a tick every six hours and one with two in an hour of every five, in a range of twelve pips with one rise of 100 at the end."""
+    begin = dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
+    rows = [(k, "SLOW", begin + dt.timedelta(hours=6 * k), float(k * k % 13)) for k in range(300)]
+    rows += [(1000 + k, "GAPS", begin + dt.timedelta(hours=5 * (k // 2), minutes=20 * (k % 2)), float(k * k % 11) + (100 if k > 560 else 0)) for k in range(600)]
+    spark.createDataFrame([(i, t, p, v, '{"k": 1}') for i, p, t, v in rows], "event_id long, ts timestamp, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+def test_trades_are_held_through_missing_hours(spark, thin):
+    want = walked(spark, thin)
+    reasons = Counter(reason for reason, *_ in want.values())
+    assert reasons["MAX_BARS"] > 20 and reasons["NONE"]
+    assert simulated(spark, thin) == want
