@@ -3,14 +3,15 @@
 A text's blocks are compressed once with each dictionary; the difference of the two
 sizes, over their sum, is a calibrated score's only input.  The dictionaries are
 built from one half of a bounded sample of labelled rows, and the logistic curve that
-turns differences into scores is fitted on the other half.
+turns differences into scores is fitted on the other half.  Each label's rows go to
+the halves by turns in the order of a salted id hash, whatever their ids.
 
 The sample: of each label, the ``sample`` rows of least id hash, and of each row a
 stretch of ``window`` code points from a hashed place.  Scores read whole texts.
 
 Defined results: null and empty texts get the score of a difference of zero; an id
-with labels that disagree isn't learned from; with no labels, or one kind of label
-only, every score is the share of good labels (one half if there are none);
+with labels that disagree isn't learned from; with under two learnable rows of a
+label (one at least with text), every score is the share of good labels (one half if there are none);
 repeated rows each get a row; null ids count as held in; an empty table gives no
 rows; ``score_quality`` ignores other columns and ``keep_good`` keeps them.
 """
@@ -95,13 +96,15 @@ def fit_quality(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     order = F.xxhash64("id", F.lit(8))
     share = known.agg(F.avg("q")).first()[0]
     # 2 * sample ids at most
-    chosen = known.where("q = 0").orderBy(order, "id").limit(sample).unionByName(known.where("q = 1").orderBy(order, "id").limit(sample))
+    chosen = known.where("q = 0").orderBy(order, "id").limit(sample).unionByName(known.where("q = 1").orderBy(order, "id").limit(sample)).withColumn("turn", F.xxhash64("id", F.lit(10)))
     length = F.length("t")
     start = F.when(length > window, F.pmod(F.xxhash64("id", F.lit(9)), length - window)).otherwise(0).cast("int")
-    texts = documents.select(F.col(doc_id).alias("id"), text_of(text).alias("t")).join(F.broadcast(chosen), "id").groupBy("id", "q").agg(F.min(F.substring("t", start + 1, F.lit(window))).alias("t"))
-    rows = sorted(texts.collect(), key=lambda r: r["id"])
-    fit, rest = [r for r in rows if hash(r["id"]) % 2], [r for r in rows if not hash(r["id"]) % 2]
-    sides = [[r["t"].encode() for r in fit if r["q"] == q and r["t"]] for q in (1, 0)]
+    texts = documents.select(F.col(doc_id).alias("id"), text_of(text).alias("t")).join(F.broadcast(chosen), "id").groupBy("id", "q", "turn").agg(F.min(F.substring("t", start + 1, F.lit(window))).alias("t"))
+    # rows without text come last, so that they don't take the turns of others
+    rows = sorted(texts.collect(), key=lambda r: (not r["t"], r["turn"], r["id"]))
+    by_label = [[r for r in rows if r["q"] == q] for q in (1, 0)]
+    sides = [[r["t"].encode() for r in part[::2] if r["t"]] for part in by_label]
+    rest = [r for part in by_label for r in part[1::2]]
     if not all(sides) or len({r["q"] for r in rest}) < 2:
         share = min(max(0.5 if share is None else float(share), 1e-6), 1 - 1e-6)
         return QualityModel(b"", b"", 0.0, float(np.log(share / (1 - share))))
