@@ -11,8 +11,10 @@ distinct shingles that the document holds, compared as words.
 An item has over 0.7 s shingles, so one that stands there unchanged makes up at least 0.47
 of the joint shingles of some window (a third for a single shingle), and one that stands
 there to 0.8 at least 0.34: all minima miss with a chance under 0.66 to the power of
-``HASHES``, one in 20,000.  Items whose shingles are scattered over a document, or repeat
-each other, can be missed more often.
+``HASHES``, one in 20,000.  That needs distinct shingles: items that repeat themselves, with
+fewer distinct ones than ``DISTINCT`` of their class, are looked up by all their distinct
+shingles and are candidates wherever a document holds enough of them, so none is missed.
+Other items whose shingles are scattered over a document can be missed more often.
 
 Items go to the tasks in blocks of bounded size; documents aren't shuffled.
 
@@ -41,6 +43,8 @@ from chronosweep.llm.common import slices, text_of
 
 WORDS, LEAST = 5, 0.8
 HASHES = 24
+#: Share of its class's size that an item's distinct shingles must reach to be searched by minima.
+DISTINCT = 0.7
 #: Words of items that go to the tasks at once.
 ITEM_WORDS = 2_000_000
 SEED = 9
@@ -90,11 +94,11 @@ def _permuted(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 class ItemIndex:
-    """A block of items: for each shingle length and size class, the items' minima in sorted arrays."""
+    """A block of items: for each shingle length and size class, the items' minima in sorted arrays; repetitive items by all their shingles."""
 
     def __init__(self, items: list[tuple]):
         self.items, hasher = [], _Hasher()
-        classes = defaultdict(list)
+        classes, repeating = defaultdict(list), defaultdict(list)
         for item_id, text in items:
             words = words_of(text)
             if not words:
@@ -102,7 +106,8 @@ class ItemIndex:
             n = min(WORDS, len(words))
             shingles = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
             hashes = np.unique(hasher.shingles(hasher.words(words), n))
-            classes[n, size_class(len(words) - n + 1)].append(len(self.items))
+            size = size_class(len(words) - n + 1)
+            (repeating[n] if len(hashes) < DISTINCT * size else classes[n, size]).append(len(self.items))
             self.items.append((item_id, n, shingles, hashes))
         self.minima, anchors = {}, defaultdict(list)
         for key, which in classes.items():
@@ -114,6 +119,12 @@ class ItemIndex:
                 order = np.argsort(least, kind="stable")
                 tables.append((least[order], np.array(which)[order]))
             self.minima[key] = tables
+        #: by shingle length: the distinct shingles of repetitive items in order, and whose they are
+        self.repeating = {}
+        for n, which in repeating.items():
+            keys = np.concatenate([self.items[i][3] for i in which])
+            order = np.argsort(keys, kind="stable")
+            self.repeating[n] = keys[order], np.repeat(which, [len(self.items[i][3]) for i in which])[order]
         #: the shingles that some minimum of some item comes from, by shingle length
         self.anchors = {n: np.unique(np.array(found, "u8")) for n, found in anchors.items()}
 
@@ -121,8 +132,13 @@ class ItemIndex:
         """For each document's words: (item_id, shingles of the item, of these in the document)."""
         hashed = [hasher.words(w) for w in texts]
         candidates: list[set] = [set() for _ in texts]
-        for n in {n for n, _ in self.minima}:
+        for n in {n for n, _ in self.minima} | set(self.repeating):
             parts = [hasher.shingles(h, n) for h in hashed]
+            if n in self.repeating:
+                for found, p in zip(candidates, parts, strict=True):
+                    found.update(self._repeated(p, n))
+            if n not in self.anchors:
+                continue
             # a window's minimum equals an item's only where both come from one shingle: other documents need no windows
             which_docs = np.array([d for d, p in enumerate(parts) if self._anchored(p, n)], np.int64)
             if not len(which_docs):
@@ -156,6 +172,17 @@ class ItemIndex:
         at = np.minimum(np.searchsorted(anchors, hashes), len(anchors) - 1)
         return bool((anchors[at] == hashes).any())
 
+    def _repeated(self, hashes: np.ndarray, n: int) -> list[int]:
+        """Repetitive items of whose distinct shingles a document holds enough."""
+        keys, owner = self.repeating[n]
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        held = np.unique(hashes[keys[at] == hashes])
+        if not len(held):
+            return []
+        lo, hi = np.searchsorted(keys, held), np.searchsorted(keys, held, "right")
+        which, inside = np.unique(np.concatenate([owner[a:b] for a, b in zip(lo, hi, strict=True)]), return_counts=True)
+        return [int(i) for i, k in zip(which, inside, strict=True) if k >= LEAST * len(self.items[i][3])]
+
     def _verify(self, words: list[str], found: list[int]) -> list[tuple]:
         held, out = {}, []
         for i in found:
