@@ -28,13 +28,13 @@ def weekday_of(seconds: Column) -> Column:
 
 
 def session_id(hour: Column) -> Column:
-    """0 Asia, 1 London, 2 New York, 3 overlap of London and New York."""
-    return F.when(hour.between(7, 12), 1).when(hour.between(13, 15), 3).when(hour.between(16, 21), 2).otherwise(0)
+    """0 Asia, 1 London, 2 New York, 3 overlap of London and New York; null without an hour."""
+    return F.when(hour.between(7, 12), 1).when(hour.between(13, 15), 3).when(hour.between(16, 21), 2).when(hour.isNotNull(), 0)
 
 
 def session_name(hour: Column) -> Column:
-    """The cost model's sessions, whose borders differ from those of session_id."""
-    return F.when(hour < 8, "Asian").when(hour < 13, "London").when(hour < 17, "Lon-NY").when(hour < 21, "NY").otherwise("Rollover")
+    """The cost model's sessions, whose borders differ from those of session_id; null without an hour."""
+    return F.when(hour < 8, "Asian").when(hour < 13, "London").when(hour < 17, "Lon-NY").when(hour < 21, "NY").when(hour.isNotNull(), "Rollover")
 
 
 def time_filter(hour: Column, day: Column, start: Column, end: Column, days: Column) -> Column:

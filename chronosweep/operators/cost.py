@@ -27,11 +27,11 @@ def gate_reason(hour: Column, spread: Column, slippage: Column | None) -> Column
 
 
 def overlay(trades: DataFrame, costs: DataFrame, pair_costs: DataFrame, commission: float = 0.3) -> DataFrame:
-    """trades with delta and adjusted_pnl: what was charged less what the table says; pairs without costs have delta 0."""
+    """trades with delta and adjusted_pnl: what was charged less what the table says; trades without a time and pairs without costs have delta 0."""
     mean = costs.groupBy("pair").agg(F.avg("spread_pips").alias("_mean"))
     rows = trades.withColumn("session", session_name(hour_of(F.col("s")))).join(costs, ["pair", "session"], "left").join(mean, "pair", "left").join(pair_costs, "pair", "left")
     real = F.coalesce("spread_pips", "_mean") + 2 * F.col("commission_per_side_pips") + 2 * F.col("slippage_per_side_pips")
-    delta = F.coalesce(F.col("bt_spread_pips") + 2 * commission - real, F.lit(0.0))
+    delta = F.when(F.col("s").isNotNull(), F.coalesce(F.col("bt_spread_pips") + 2 * commission - real, F.lit(0.0))).otherwise(0.0)
     return rows.withColumn("delta", delta).withColumn("adjusted_pnl", F.when(F.col("reason").isNotNull(), 0.0).otherwise(F.col("pnl") + delta)).drop("spread_pips", "_mean", "commission_per_side_pips", "slippage_per_side_pips")
 
 

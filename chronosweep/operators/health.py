@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronosweep.operators.ordered import in_order
+
 
 def health_counts(bars: DataFrame) -> DataFrame:
     """By pair: nulls, violations of the order of open, high, low and close, repeated times, bad spreads, and a status."""
@@ -19,10 +21,11 @@ def health_counts(bars: DataFrame) -> DataFrame:
 def gaps(bars: DataFrame, width: int, most: int = 20) -> DataFrame:
     """The first gaps of each pair: longer than two bars and not over a Saturday, with the number of all gaps."""
     w = Window.partitionBy("pair").orderBy("s")
-    before = bars.select("pair", "s", F.lag("s").over(w).alias("prev_s"))
+    before = in_order(bars.select("pair", "s"), 1, lambda df, by: df.withColumn("prev_s", F.lag("s").over(by)))
     day = F.floor(F.col("prev_s") / 86400)
     # days from the day of prev_s to the next Saturday, itself included; the epoch was a Thursday
     saturday = day + F.pmod(F.lit(2) - F.pmod(day, F.lit(7)), F.lit(7))
     found = before.where((F.col("s") - F.col("prev_s") > 2 * width) & ~(saturday <= F.floor(F.col("s") / 86400)))
-    numbered = found.select("pair", "prev_s", "s", F.row_number().over(w).alias("k"), F.count("*").over(Window.partitionBy("pair")).alias("n_gaps"))
-    return numbered.where(F.col("k") <= most)
+    # the bound on k holds in each task before the shuffle
+    first = found.select("pair", "prev_s", "s", F.row_number().over(w).alias("k")).where(F.col("k") <= most)
+    return first.join(found.groupBy("pair").agg(F.count("*").alias("n_gaps")), "pair")

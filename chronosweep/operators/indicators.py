@@ -1,37 +1,40 @@
-"""Indicators over bars.  Recursive averages run once per pair for all spans together."""
+"""Indicators over bars.  Recursive averages of all columns and spans run together; windows over rows go by cells of bounded size."""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
+from chronosweep.operators.ordered import in_order
+
 
 #: Seconds of bars that one task handles at once: no task holds a pair's whole history.
 STRETCH = 30 * 86_400
 
 
-def emas(bars: DataFrame, column: str, spans: list[int]) -> DataFrame:
-    """bars with ema_{span} of a column that has no nulls: y0 = x0, then y = a x + (1 - a) y, a = 2 / (span + 1).
+def averages(bars: DataFrame, wanted: dict[str, list[int]]) -> DataFrame:
+    """bars with {column}_{span} for columns that have no nulls: y0 = x0, then y = a x + (1 - a) y, a = 2 / (span + 1).
 
     Over a stretch of n bars the last y is (1 - a)^n times the y before it plus a term of the stretch alone.
     So stretches are summed up side by side, the few sums of a pair give each stretch the y that it starts from,
     and the stretches are run through side by side again.
     """
-    names = [f"ema_{n}" for n in spans]
+    lines = [(column, n, f"{column}_{n}") for column, spans in wanted.items() for n in dict.fromkeys(spans)]
 
     def recur(start: float, x: pd.Series, span: int) -> pd.Series:
         return pd.concat([pd.Series([start]), x], ignore_index=True).ewm(span=span, adjust=False).mean()
 
     def sum_up(frame: pd.DataFrame) -> pd.DataFrame:
-        x = frame.sort_values("s")[column]
-        return pd.DataFrame([{"pair": frame["pair"].iat[0], "stretch": frame["stretch"].iat[0], "n": len(x), "first": x.iat[0]} | {k: recur(0.0, x, n).iat[-1] for k, n in zip(names, spans, strict=True)}])
+        frame = frame.sort_values("s")
+        head = {"pair": frame["pair"].iat[0], "stretch": frame["stretch"].iat[0], "n": len(frame)} | {f"first_{c}": frame[c].iat[0] for c in wanted}
+        return pd.DataFrame([head | {name: recur(0.0, frame[c], n).iat[-1] for c, n, name in lines}])
 
     def starts(sums: pd.DataFrame) -> pd.DataFrame:
         sums = sums.sort_values("stretch")
         out = {"pair": sums["pair"], "stretch": sums["stretch"]}
-        for name, n in zip(names, spans, strict=True):
-            keep, y, found = 1 - 2 / (n + 1), sums["first"].iat[0], []
+        for column, n, name in lines:
+            keep, y, found = 1 - 2 / (n + 1), sums[f"first_{column}"].iat[0], []
             for rows, own in zip(sums["n"], sums[name], strict=True):
                 found.append(y)
                 y = keep**rows * y + own
@@ -40,37 +43,59 @@ def emas(bars: DataFrame, column: str, spans: list[int]) -> DataFrame:
 
     def run(frame: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("s").reset_index(drop=True)
-        return frame.drop(columns="stretch").assign(**{k: recur(start[k].iat[0], frame[column], n).iloc[1:].to_numpy() for k, n in zip(names, spans, strict=True)})
+        return frame.drop(columns="stretch").assign(**{name: recur(start[name].iat[0], frame[c], n).iloc[1:].to_numpy() for c, n, name in lines})
 
-    doubles = ", ".join(f"{n} double" for n in names)
+    doubles = ", ".join(f"{name} double" for *_, name in lines)
+    firsts = ", ".join(f"first_{c} double" for c in wanted)
     cut = bars.withColumn("stretch", F.floor(F.col("s") / STRETCH))
-    sums = cut.select("pair", "stretch", "s", column).groupBy("pair", "stretch").applyInPandas(sum_up, f"pair string, stretch long, n long, first double, {doubles}")
+    sums = cut.select("pair", "stretch", "s", *wanted).groupBy("pair", "stretch").applyInPandas(sum_up, f"pair string, stretch long, n long, {firsts}, {doubles}")
     begun = sums.groupBy("pair").applyInPandas(starts, f"pair string, stretch long, {doubles}")
-    begun = begun.select(F.col("pair").alias("of"), F.col("stretch").alias("at"), *names)
+    begun = begun.select(F.col("pair").alias("of"), F.col("stretch").alias("at"), *[name for *_, name in lines])
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in bars.schema.fields)
     return cut.groupBy("pair", "stretch").cogroup(begun.groupBy("of", "at")).applyInPandas(run, f"{fields}, {doubles}")
 
 
-def _by_time():
-    return Window.partitionBy("pair").orderBy("s")
+def emas(bars: DataFrame, column: str, spans: list[int]) -> DataFrame:
+    """bars with ema_{span} of a column."""
+    return averages(bars, {column: spans}).withColumnsRenamed({f"{column}_{n}": f"ema_{n}" for n in spans})
+
+
+def _true_range(before: Column) -> Column:
+    return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
 def true_range(bars: DataFrame) -> DataFrame:
-    before = F.coalesce(F.lag("close").over(_by_time()), F.col("close"))
-    return bars.withColumn("tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
+    def make(df: DataFrame, w: WindowSpec) -> DataFrame:
+        return df.withColumn("tr", _true_range(F.coalesce(F.lag("close").over(w), F.col("close"))))
+
+    return in_order(bars, 1, make)
 
 
 def atr_ema(bars: DataFrame, period: int) -> DataFrame:
     return emas(true_range(bars), "tr", [period]).withColumnRenamed(f"ema_{period}", "atr")
 
 
+def moves(bars: DataFrame) -> DataFrame:
+    """bars with tr, the true range, and gain and loss: how far the close went up or down since the bar before."""
+
+    def make(df: DataFrame, w: WindowSpec) -> DataFrame:
+        before = F.lag("close").over(w)
+        step = F.col("close") - before
+        up, down = (F.coalesce(F.greatest(x, F.lit(0.0)), F.lit(0.0)) for x in (step, -step))
+        return df.withColumns({"tr": _true_range(F.coalesce(before, F.col("close"))), "gain": up, "loss": down})
+
+    return in_order(bars, 1, make)
+
+
+def strength(up: str, down: str) -> Column:
+    """Relative strength from mean gains and losses: 100 where there is no loss."""
+    return F.when(F.col(down) == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide(up, down)))
+
+
 def rsi(bars: DataFrame, period: int) -> DataFrame:
-    """100 where there is no average loss."""
-    step = F.col("close") - F.lag("close").over(_by_time())
-    moved = bars.withColumn("gain", F.coalesce(F.greatest(step, F.lit(0.0)), F.lit(0.0))).withColumn("loss", F.coalesce(F.greatest(-step, F.lit(0.0)), F.lit(0.0)))
-    up = emas(moved, "gain", [period]).withColumnRenamed(f"ema_{period}", "up")
-    both = emas(up, "loss", [period]).withColumnRenamed(f"ema_{period}", "down")
-    return both.withColumn("rsi", F.when(F.col("down") == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide("up", "down")))).drop("gain", "loss", "up", "down")
+    both = averages(moves(bars), {"gain": [period], "loss": [period]})
+    up, down = f"gain_{period}", f"loss_{period}"
+    return both.withColumn("rsi", strength(up, down)).drop("tr", "gain", "loss", up, down)
 
 
 def macd(bars: DataFrame, fast: int, slow: int, signal: int) -> DataFrame:
@@ -78,15 +103,22 @@ def macd(bars: DataFrame, fast: int, slow: int, signal: int) -> DataFrame:
     return emas(line, "macd", [signal]).withColumnRenamed(f"ema_{signal}", "macd_signal")
 
 
-def channels(bars: DataFrame, lookback: int) -> DataFrame:
+def channel(w: WindowSpec, lookback: int) -> tuple[Column, Column]:
     """Highest high and lowest low of the bars before, once there are `lookback` of them."""
-    w = _by_time().rowsBetween(-lookback, -1)
+    w = w.rowsBetween(-lookback, -1)
     full = F.count("*").over(w) == lookback
-    return bars.withColumn("upper", F.when(full, F.max("high").over(w))).withColumn("lower", F.when(full, F.min("low").over(w)))
+    return F.when(full, F.max("high").over(w)), F.when(full, F.min("low").over(w))
+
+
+def channels(bars: DataFrame, lookback: int) -> DataFrame:
+    def make(df: DataFrame, w: WindowSpec) -> DataFrame:
+        upper, lower = channel(w, lookback)
+        return df.withColumn("upper", upper).withColumn("lower", lower)
+
+    return in_order(bars, lookback, make)
 
 
 def median_atr(bars: DataFrame, window: int = 14, least: int = 19) -> DataFrame:
     """Median over time of the mean true range of `window` bars; pairs of fewer than `least` bars have none."""
-    w = _by_time()
-    ranges = true_range(bars).withColumn("k", F.row_number().over(w)).withColumn("mean", F.avg("tr").over(w.rowsBetween(1 - window, 0)))
+    ranges = in_order(true_range(bars), window, lambda df, w: df.withColumn("k", F.col("rn")).withColumn("mean", F.avg("tr").over(w.rowsBetween(1 - window, 0))))
     return ranges.groupBy("pair").agg(F.count("*").alias("n"), F.median(F.when(F.col("k") >= window, F.col("mean"))).alias("atr")).where(F.col("n") >= least).select("pair", "atr")

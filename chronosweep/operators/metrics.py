@@ -3,26 +3,49 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronosweep.functions.exprs import norm_cdf, norm_ppf, ratio
 
+#: All metrics of a trial, in order; the last three need a sweep's context and are null here.
+METRICS = (
+    "trades", "win_rate", "profit_factor", "sharpe", "sortino", "max_dd_pct", "return_pct", "r_squared", "ulcer", "quality", "expectancy_r", "expectancy_pips", "sqn", "calmar", "recovery",
+    "upi", "k_ratio", "tail_ratio", "omega", "max_consec_loss", "psr", "quality_v2", "total_pips", "dsr", "avg_hold_bars", "trades_per_day",
+)
+#: What a trial without trades has: no activity, and nothing to measure.
+UNTRACKED = ("avg_hold_bars", "trades_per_day")
+#: Share of a curve's variance under which its distance from a straight line is rounding.
+STRAIGHT = 1e-12
 
-def equity(trades: DataFrame) -> DataFrame:
+
+def equity(trades: DataFrame, by: Sequence[str] = ("trial_id",)) -> DataFrame:
     """trades with running equity, peak (from 0), drawdown, its percentage of the largest absolute equity so far, and the losing streak."""
-    w = Window.partitionBy("trial_id").orderBy("i")
+    w = Window.partitionBy(*by).orderBy("i")
     run = trades.withColumn("eq", F.sum("pnl").over(w)).withColumn("peak", F.greatest(F.max("eq").over(w), F.lit(0.0)))
     run = run.withColumn("dd", F.col("peak") - F.col("eq")).withColumn("base", F.max(F.abs("eq")).over(w))
     run = run.withColumn("dd_pct", F.when(F.col("base") > 0, F.col("dd") / F.col("base") * 100).otherwise(0.0))
     islands = run.withColumn("island", F.sum((F.col("pnl") >= 0).cast("int")).over(w))
-    return islands.withColumn("streak", F.sum((F.col("pnl") < 0).cast("int")).over(Window.partitionBy("trial_id", "island").orderBy("i")))
+    return islands.withColumn("streak", F.sum((F.col("pnl") < 0).cast("int")).over(Window.partitionBy(*by, "island").orderBy("i")))
+
 
+def trial_metrics(trades: DataFrame, avg_sl: float = 30.0, n_bars: int = 1000, bars_per_year: float = 6048, by: Sequence[str] = ("trial_id",)) -> DataFrame:
+    """by, and METRICS but dsr and the untracked ones.  trades: by, i (place in the trial, from 1), pnl.
 
-def trial_metrics(trades: DataFrame, avg_sl: float = 30.0, n_bars: int = 1000, bars_per_year: int = 6048) -> DataFrame:
+    Where trades have `sl_pips`, a trial's mean stop is theirs and not avg_sl; where they have `n_bars`, so is the number of bars.
+    Moments are sums over deviations from the trial's own mean, so they don't cancel however large the mean is.
+    """
     p, n = F.col("pnl"), F.col("trades")
-    sums = equity(trades).groupBy("trial_id").agg(
+    whole = Window.partitionBy(*by)
+    sound = trades.withColumn("pnl", F.col("pnl").cast("double"))
+    run = equity(sound, by).withColumn("d", p - F.avg("pnl").over(whole)).withColumn("flat", F.min("pnl").over(whole) == F.max("pnl").over(whole))
+    run = run.withColumn("d", F.when(F.col("flat"), 0.0).otherwise(F.col("d")))
+    d2 = F.col("d") * F.col("d")
+    stop = F.avg("sl_pips") if "sl_pips" in trades.columns else F.first(F.lit(float(avg_sl)))
+    bars = F.max("n_bars").cast("double") if "n_bars" in trades.columns else F.first(F.lit(float(n_bars)))
+    m = run.groupBy(*by).agg(
         F.count("*").alias("trades"),
         F.sum("pnl").alias("total_pips"),
         F.avg((p > 0).cast("double")).alias("win_rate"),
@@ -30,7 +53,7 @@ def trial_metrics(trades: DataFrame, avg_sl: float = 30.0, n_bars: int = 1000, b
         F.sum(F.when(p < 0, -p).otherwise(0.0)).alias("lost"),
         F.sum(F.when(p < 0, p * p).otherwise(0.0)).alias("neg_sq"),
         F.count_if(p < 0).alias("n_neg"),
-        F.sum(p * p).alias("s2"), F.sum(p * p * p).alias("s3"), F.sum(p * p * p * p).alias("s4"),
+        F.sum(d2).alias("s2"), F.sum(d2 * F.col("d")).alias("s3"), F.sum(d2 * d2).alias("s4"),
         F.max("dd").alias("max_dd"),
         F.max("base").alias("base"),
         F.avg(F.col("dd_pct") * F.col("dd_pct")).alias("dd2"),
@@ -38,45 +61,49 @@ def trial_metrics(trades: DataFrame, avg_sl: float = 30.0, n_bars: int = 1000, b
         F.regr_r2("eq", "i").alias("r2"), F.regr_slope("eq", "i").alias("slope"),
         F.regr_sxx("eq", "i").alias("sxx"), F.regr_syy("eq", "i").alias("syy"),
         F.array_sort(F.collect_list("pnl")).alias("sorted"),
+        stop.alias("stop"), bars.alias("bars"),
     )
-    mean = F.col("total_pips") / n
-    sq = F.greatest(F.col("s2") - n * mean * mean, F.lit(0.0))
-    std = F.when(n > 1, F.sqrt(sq / (n - 1))).otherwise(0.0)
-    ann = F.sqrt(n * bars_per_year / n_bars)
-    down = F.sqrt(ratio(F.col("neg_sq"), F.col("n_neg")))
-    m = sums.withColumns({"mean": mean, "std": std, "ann": ann, "down": down})
+    per_year = ratio(n * bars_per_year, F.col("bars")) if bars_per_year > 0 else F.least(n, F.lit(252)).cast("double")
+    m = m.withColumns({"mean": F.col("total_pips") / n, "std": F.when(n > 1, F.sqrt(F.col("s2") / (n - 1))).otherwise(0.0), "ann": F.sqrt(per_year), "down": F.sqrt(ratio(F.col("neg_sq"), F.col("n_neg")))})
+    # what later columns use several times is a column of its own, so that the generated code stays small
+    m = m.withColumns({"sr": ratio(F.col("mean"), F.col("std")), "m2": F.col("s2") / n})
+    sr = F.col("sr")
     m = m.withColumns({
         "profit_factor": F.when(F.col("lost") > 0, F.col("won") / F.col("lost")).when(F.col("won") > 0, 10.0).otherwise(0.0),
-        "sharpe": ratio(F.col("mean"), F.col("std")) * F.col("ann"),
+        "sharpe": sr * F.col("ann"),
         "sortino": F.when(F.col("n_neg") > 0, F.col("mean") / F.col("down") * F.col("ann")).when(F.col("mean") > 0, 10.0).otherwise(0.0),
-        "return_pct": F.col("total_pips") / avg_sl * 100,
+        "return_pct": F.when(F.col("stop") > 0, F.col("total_pips") / F.col("stop") * 100).otherwise(0.0),
         "expectancy_pips": F.col("mean"),
-        "expectancy_r": F.col("mean") / avg_sl,
-        "sqn": F.sqrt("trades") * ratio(F.col("mean"), F.col("std")),
+        "expectancy_r": F.when(F.col("stop") > 0, F.col("mean") / F.col("stop")).otherwise(0.0),
+        "sqn": F.sqrt("trades") * sr,
         "ulcer": F.sqrt("dd2"),
         "max_dd_pct": F.col("max_dd") / F.when(F.col("base") > 0, F.col("base")).otherwise(1.0) * 100,
-        "r_squared": F.greatest(F.coalesce("r2", F.lit(0.0)), F.lit(0.0)),
-        "calmar": ratio(F.col("total_pips") * bars_per_year / n_bars, F.col("max_dd")),
+        "r_squared": F.when(F.col("syy") > 0, F.greatest(F.coalesce("r2", F.lit(0.0)), F.lit(0.0))).otherwise(0.0),
+        "calmar": ratio(F.col("total_pips") * (bars_per_year if bars_per_year > 0 else 0) / F.col("bars"), F.col("max_dd")),
         "recovery": ratio(F.col("total_pips"), F.col("max_dd")),
     })
-    # residual variance of equity over the trade's number, and the slope's standard error
-    err = F.sqrt(F.greatest(F.col("syy") - F.col("slope") * F.col("slope") * F.col("sxx"), F.lit(0.0)) / (n - 2) / F.col("sxx"))
-    place = lambda q: F.element_at("sorted", F.round((n - 1) * q).cast("int") + 1)
-    pop = F.sqrt(sq / n)
-    g3 = ratio(F.col("s3") / n - 3 * mean * F.col("s2") / n + 2 * mean * mean * mean, pop * pop * pop)
-    g4 = ratio(F.col("s4") / n - 4 * mean * F.col("s3") / n + 6 * mean * mean * F.col("s2") / n - 3 * mean * mean * mean * mean, pop * pop * pop * pop)
-    sr = ratio(F.col("mean"), F.col("std"))
-    spread = F.sqrt(F.greatest(1 - g3 * sr + (g4 - 1) / 4 * sr * sr, F.lit(1e-12)))
+    # residual variance of equity over the trade's number, and the slope's standard error; a straight line has none
+    rest = F.col("syy") - F.col("slope") * F.col("slope") * F.col("sxx")
+    err = F.when(n > 2, F.sqrt(F.when(rest > STRAIGHT * F.col("syy"), rest).otherwise(0.0) / (n - 2) / F.col("sxx"))).otherwise(0.0)
+    m = m.withColumns({"err": err, "low": F.element_at("sorted", F.round((n - 1) * 0.05).cast("int") + 1), "high": F.element_at("sorted", F.round((n - 1) * 0.95).cast("int") + 1)})
+    m = m.withColumns({"g3": ratio(F.col("s3") / n, F.col("m2") * F.sqrt("m2")), "g4": ratio(F.col("s4") / n, F.col("m2") * F.col("m2"))})
+    m = m.withColumn("z", sr * F.sqrt(n - 1) / F.sqrt(F.greatest(1 - F.col("g3") * sr + (F.col("g4") - 1) / 4 * sr * sr, F.lit(1e-12))))
     m = m.withColumns({
         "upi": ratio(F.col("return_pct"), F.col("ulcer")),
-        "k_ratio": F.when((n > 2) & (err > 0), F.col("slope") / (err * F.sqrt("trades"))).otherwise(0.0),
-        "tail_ratio": F.when((n >= 20) & (place(0.05) != 0), F.abs(place(0.95)) / F.abs(F.nullif(place(0.05), F.lit(0.0)))).otherwise(0.0),
+        "k_ratio": F.when((n > 2) & (F.col("err") > 0), F.col("slope") / (F.col("err") * F.sqrt("trades"))).otherwise(0.0),
+        "tail_ratio": F.when((n >= 20) & (F.col("low") != 0), F.abs("high") / F.abs("low")).otherwise(0.0),
         "omega": F.col("profit_factor"),
-        "psr": F.when(n >= 4, norm_cdf(sr * F.sqrt(n - 1) / spread)).otherwise(0.0),
+        "psr": F.when((n >= 4) & (F.col("std") > 0), norm_cdf(F.col("z"))).otherwise(0.0),
     })
     quality = F.ln(1 + F.col("sortino")) * F.least(F.greatest(F.col("k_ratio") / 3, F.lit(0.0)), F.lit(1.0)) * F.least("profit_factor", F.lit(5.0)) * (F.least(n, F.lit(300)) / 300 * 14.14) / (F.col("ulcer") + 5)
     m = m.withColumn("quality", F.when(F.col("sortino") > 0, quality).otherwise(0.0)).withColumn("quality_v2", F.col("quality"))
-    return m.drop("won", "lost", "neg_sq", "n_neg", "s2", "s3", "s4", "base", "dd2", "r2", "slope", "sxx", "syy", "sorted", "mean", "std", "ann", "down")
+    return m.select(*by, *[c for c in METRICS if c not in ("dsr", *UNTRACKED)], "max_dd")
+
+
+def with_idle(metrics: DataFrame, trials: DataFrame, by: Sequence[str] = ("trial_id",)) -> DataFrame:
+    """metrics of all trials: those without trades have zeros; what isn't tracked yet is null."""
+    filled = trials.select(*by).join(metrics, list(by), "left").fillna(0).fillna(0.0)
+    return filled.withColumns({c: F.lit(None).cast("double") for c in UNTRACKED})
 
 
 EULER = 0.5772156649015329

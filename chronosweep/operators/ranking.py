@@ -7,13 +7,28 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronosweep.functions.lineage import cut
+
 #: Metrics of which less is better.
 LOWER = ("max_dd_pct", "ulcer", "max_consec_loss")
 
 
+def finite(metric: str) -> Column:
+    """The metric as a number, null where it isn't finite: Spark would rank NaN above everything."""
+    x = F.col(metric).cast("double")
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
+
+
 def better(metric: str) -> Column:
-    """The metric turned so that more is better; null ranks last."""
-    return F.coalesce(-F.col(metric) if metric in LOWER else F.col(metric), F.lit(float("-inf")))
+    """The metric turned so that more is better; what isn't finite ranks last."""
+    x = finite(metric)
+    return F.coalesce(-x if metric in LOWER else x, F.lit(float("-inf")))
+
+
+def holds(metric: str, op: str, value: float) -> Column:
+    """A constraint; what isn't finite never passes."""
+    x = finite(metric)
+    return {">=": x >= value, ">": x > value, "<=": x <= value, "<": x < value, "==": x == value, "!=": x != value}[op]
 
 
 def _or_all(metrics: DataFrame, passes: Column) -> DataFrame:
@@ -26,17 +41,18 @@ def pick_best(metrics: DataFrame, objective: str, constraints: list[tuple[str, s
     """The best trial: constraints, then profitability, each falling back to all rows; ties by tie_break, then the first trial."""
     rows = metrics
     if constraints:
-        rows = _or_all(rows, reduce(lambda a, b: a & b, [F.expr(f"{name} {'=' if op == '==' else op} {value}") for name, op, value in constraints]))
+        rows = _or_all(rows, reduce(lambda a, b: a & b, [holds(*c) for c in constraints]))
     if profitable:
-        rows = _or_all(rows, (F.col("return_pct") > 0) | (F.col("profit_factor") > 1))
+        rows = _or_all(rows, holds("return_pct", ">", 0) | holds("profit_factor", ">", 1))
     return rows.orderBy(*[better(m).desc() for m in (objective, *tie_break)], "trial_id").limit(1)
 
 
-def top_per_objective(metrics: DataFrame, objectives: list[str], n: int) -> DataFrame:
-    """objective, trial_id, value, rank: the rank's bound holds in each task before the shuffle."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("objective"), F.col(m).cast("double").alias("value"), better(m).cast("double").alias("order")) for m in objectives]))
-    long = metrics.select("trial_id", pairs.alias("o")).select("trial_id", "o.*")
-    w = Window.partitionBy("objective").orderBy(F.desc("order"), "trial_id")
+def top_per_objective(metrics: DataFrame, objectives: list[str], n: int, by: list[str] | None = None) -> DataFrame:
+    """by, objective, trial_id, value, rank: the rank's bound holds in each task before the shuffle."""
+    by = by or []
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("objective"), F.col(m).cast("double").alias("value"), better(m).alias("order")) for m in objectives]))
+    long = metrics.select(*by, "trial_id", pairs.alias("o")).select(*by, "trial_id", "o.*")
+    w = Window.partitionBy(*by, "objective").orderBy(F.desc("order"), "trial_id")
     return long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).drop("order")
 
 
@@ -53,7 +69,7 @@ def decimate(points: DataFrame, limit: int, required: DataFrame) -> DataFrame:
 
 def by_density(metrics: DataFrame) -> DataFrame:
     """Trials by number of trades, among those that gain and draw down less than 30 %."""
-    return _or_all(metrics, (F.col("total_pips") >= 0) & (F.col("max_dd_pct") < 30) & (F.col("trades") > 0)).orderBy(F.desc("trades"), F.desc("total_pips"), "trial_id").limit(1)
+    return _or_all(metrics, holds("total_pips", ">=", 0) & holds("max_dd_pct", "<", 30) & holds("trades", ">", 0)).orderBy(better("trades").desc(), better("total_pips").desc(), "trial_id").limit(1)
 
 
 def with_proxy(metrics: DataFrame, charge: float) -> DataFrame:
@@ -63,8 +79,8 @@ def with_proxy(metrics: DataFrame, charge: float) -> DataFrame:
 
 def jump_best(metrics: DataFrame, objective: str) -> DataFrame:
     """The best trial of a plot: profitable ones only if there are any; ties by return, then quality."""
-    rows = _or_all(metrics, F.when(F.col("total_pips").isNotNull(), F.col("total_pips") > 0).otherwise(F.col("profit_factor") > 1))
-    return rows.orderBy(better(objective).desc(), F.desc("return_pct"), F.desc("quality"), "trial_id").limit(1)
+    rows = _or_all(metrics, F.when(F.col("total_pips").isNotNull(), holds("total_pips", ">", 0)).otherwise(holds("profit_factor", ">", 1)))
+    return rows.orderBy(*[better(m).desc() for m in (objective, "return_pct", "quality")], "trial_id").limit(1)
 
 
 def evenly_spaced(points: DataFrame, limit: int, required: int | None = None) -> DataFrame:
@@ -77,3 +93,15 @@ def evenly_spaced(points: DataFrame, limit: int, required: int | None = None) ->
         swap = (F.col("_has") == 0) & (F.col("_last") >= limit) & (F.col("trial_id") == F.col("_last"))
         chosen = chosen.join(F.broadcast(has)).withColumn("trial_id", F.when(swap, F.lit(required).cast("long")).otherwise(F.col("trial_id")))
     return points.join(chosen.select("trial_id"), "trial_id", "left_semi")
+
+
+def running_best(metrics: DataFrame, metric: str, block: int = 1000) -> DataFrame:
+    """trial_id and the best of the metric so far: a maximum within blocks of trials, one over blocks within their group, one over groups."""
+    m = cut(metrics.select("trial_id", finite(metric).alias("x"), F.floor(F.col("trial_id") / block).alias("block"), F.floor(F.col("trial_id") / (block * block)).alias("group")))
+    best = F.max("x")
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = m.groupBy("group", "block").agg(best.alias("x"))
+    groups = m.groupBy("group").agg(best.alias("x")).select("group", best.over(earlier(Window.orderBy("group"))).alias("_far"))
+    before = blocks.select("group", "block", best.over(earlier(Window.partitionBy("group").orderBy("block"))).alias("_near")).join(groups, "group")
+    within = best.over(Window.partitionBy("group", "block").orderBy("trial_id"))
+    return m.join(before, ["group", "block"]).select("trial_id", F.greatest(within, "_near", "_far").alias("best"))

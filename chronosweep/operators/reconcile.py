@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronosweep.functions.exprs import pip
+from chronosweep.operators.ordered import carried
 
 KEY = ["pair", "direction", "signal_s"]
 
@@ -70,7 +71,6 @@ def round_trips(deals: DataFrame) -> DataFrame:
 
 
 def as_of(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
-    """left (pair, s, id) with the last known value of right (pair, s) at or before s: one union and one window, no range join."""
+    """left (pair, s, id) with the last known value of right (pair, s) at or before s: one union, carried over stretches of time, no range join."""
     both = left.select("pair", "s", "id", F.lit(None).cast("double").alias("v"), F.lit(1).alias("k")).unionByName(right.select("pair", "s", F.lit(None).cast("long").alias("id"), F.col(value).alias("v"), F.lit(0).alias("k")))
-    w = Window.partitionBy("pair").orderBy("s", "k").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("v", ignorenulls=True).over(w)).where("k = 1").select("id", "pair", "s", value)
+    return carried(both, F.col("v"), value, "k").where("k = 1").select("id", "pair", "s", value)

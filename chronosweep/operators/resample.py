@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronosweep.functions.exprs import TIMEFRAMES, bucket, weekday_of
@@ -43,7 +43,7 @@ def closed_bars(minutes: DataFrame, tf: str) -> DataFrame:
     """Longer bars without a pair's last one while its last minute is missing."""
     width = TIMEFRAMES[tf][0]
     whole = minutes.dropna().withColumn("b", bucket(F.col("s"), *TIMEFRAMES[tf])).groupBy("pair", "b").agg(*_ohlc(), F.max("s").alias("_last")).withColumnRenamed("b", "s")
-    newest = whole.withColumn("_newest", F.max("s").over(Window.partitionBy("pair")))
+    newest = whole.join(whole.groupBy("pair").agg(F.max("s").alias("_newest")), "pair")
     return newest.where((F.col("s") < F.col("_newest")) | (F.col("_last") >= F.col("s") + width - 60)).drop("_last", "_newest")
 
 

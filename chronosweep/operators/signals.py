@@ -1,26 +1,44 @@
-"""Entry events: crosses, breakouts, reversals, and the library of parameter variants."""
+"""Entry events: crosses, breakouts, reversals, and the library of parameter variants.
+
+A family says which features of a bar it needs and where it enters.  A library computes
+each distinct feature of all its variants once, over one pass, and then tells every
+variant's entries bar by bar; the plan grows with the features, not with the variants.
+"""
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Callable
-from functools import reduce
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
+from chronosweep.functions.exprs import hour_of, pip, session_id, weekday_of
+from chronosweep.functions.lineage import cut
 from chronosweep.operators import indicators
+from chronosweep.operators.ordered import in_order, numbered
 
 
 class InvalidCombination(ValueError):
     """A parameter combination that a family has no meaning for; grids skip it."""
 
 
-FAMILIES: dict[str, Callable[..., DataFrame]] = {}
+@dataclass(frozen=True)
+class Rule:
+    """Features by name, and the conditions of a long and of a short entry over them; `was(name)` is a feature's value one bar before."""
+
+    features: tuple[tuple, ...]
+    up: Callable[[Callable[[str], Column]], Column]
+    down: Callable[[Callable[[str], Column]], Column]
+
+
+#: family name -> rule(**params)
+FAMILIES: dict[str, Callable[..., Rule]] = {}
 
 
 def family(name: str):
-    """Register fn(bars, **params) -> pair, s, direction, entry_price under a name of its own."""
+    """Register a function from parameters to a Rule under a name of its own."""
 
     def add(fn):
         if name in FAMILIES:
@@ -31,70 +49,166 @@ def family(name: str):
     return add
 
 
-def _by_time():
-    return Window.partitionBy("pair").orderBy("s")
-
-
-def _events(bars: DataFrame, up: Column, down: Column) -> DataFrame:
-    direction = F.when(up, 1).when(down, -1)
-    return bars.select("pair", "s", direction.alias("direction"), F.col("close").alias("entry_price")).where("direction is not null")
+def feature_name(feature: tuple) -> str:
+    return "_".join(map(str, ("f", *feature))).replace(".", "d")
 
 
-def crosses(bars: DataFrame, fast: str, slow: str) -> DataFrame:
-    f, s, w = F.col(fast), F.col(slow), _by_time()
-    f0, s0 = F.lag(fast).over(w), F.lag(slow).over(w)
-    return _events(bars, (f > s) & (f0 <= s0), (f < s) & (f0 >= s0))
+def _crossing(fast: tuple, slow: tuple) -> Rule:
+    f, s = feature_name(fast), feature_name(slow)
+    return Rule((fast, slow), lambda was: (F.col(f) > F.col(s)) & (was(f) <= was(s)), lambda was: (F.col(f) < F.col(s)) & (was(f) >= was(s)))
 
 
 @family("ema_cross")
-def ema_cross(bars: DataFrame, fast: int, slow: int) -> DataFrame:
+def ema_rule(fast: int, slow: int) -> Rule:
     if fast >= slow:
         raise InvalidCombination("fast must be under slow")
-    return crosses(indicators.emas(bars, "close", [fast, slow]), f"ema_{fast}", f"ema_{slow}")
+    return _crossing(("ema", fast), ("ema", slow))
 
 
 @family("macd_cross")
-def macd_cross(bars: DataFrame, fast: int, slow: int, signal: int) -> DataFrame:
+def macd_rule(fast: int, slow: int, signal: int) -> Rule:
     if fast >= slow or signal >= slow:
         raise InvalidCombination("fast and signal must be under slow")
-    return crosses(indicators.macd(bars, fast, slow, signal), "macd", "macd_signal")
+    return _crossing(("macd", fast, slow), ("macd_signal", fast, slow, signal))
 
 
 @family("donchian")
-def donchian(bars: DataFrame, lookback: int) -> DataFrame:
+def donchian_rule(lookback: int) -> Rule:
     """Closes beyond the channel, where the bar before was not."""
     if lookback < 2:
         raise InvalidCombination("lookback must be 2 or more")
-    c = indicators.channels(bars, lookback)
-    c = c.withColumn("above", F.coalesce(F.col("close") > F.col("upper"), F.lit(False))).withColumn("below", F.coalesce(F.col("close") < F.col("lower"), F.lit(False)))
-    was = lambda k: F.coalesce(F.lag(k).over(_by_time()), F.lit(False))
-    return _events(c, F.col("above") & ~was("above"), F.col("below") & ~was("below"))
+    above, below = ("above", lookback), ("below", lookback)
+    begins = lambda name: lambda was: F.col(name) & ~F.coalesce(was(name), F.lit(False))
+    return Rule((above, below), begins(feature_name(above)), begins(feature_name(below)))
 
 
 @family("rsi_reversal")
-def rsi_reversal(bars: DataFrame, period: int, lower: float, upper: float) -> DataFrame:
+def rsi_rule(period: int, lower: float, upper: float) -> Rule:
     if period < 2 or not 0 < lower < upper < 100:
         raise InvalidCombination("period must be 2 or more and 0 < lower < upper < 100")
-    r, r0 = F.col("rsi"), F.lag("rsi").over(_by_time())
-    return _events(indicators.rsi(bars, period), (r > lower) & (r0 <= lower), (r < upper) & (r0 >= upper))
+    f = feature_name(("rsi", period))
+    return Rule((("rsi", period),), lambda was: (F.col(f) > lower) & (was(f) <= lower), lambda was: (F.col(f) < upper) & (was(f) >= upper))
+
+
+def with_features(bars: DataFrame, wanted: set[tuple]) -> DataFrame:
+    """bars with a column for each feature: recursive averages in two passes at most, channels in one."""
+    of = lambda kind: sorted(f for f in wanted if f[0] == kind)
+    lines = sorted({f[:3] for f in of("macd_signal")} | {("macd_signal", *f[1:]) for f in of("macd")})
+    out, first = bars, {}
+    spans = sorted({f[1] for f in of("ema")} | {n for f in lines for n in f[1:3]})
+    if spans:
+        first["close"] = spans
+    if of("rsi") or of("atr"):
+        out = indicators.moves(out)
+        spans = {"gain": [f[1] for f in of("rsi")], "loss": [f[1] for f in of("rsi")], "tr": [f[1] for f in of("atr")]}
+        first |= {k: v for k, v in spans.items() if v}
+    if first:
+        out = indicators.averages(out, first)
+    out = out.withColumns({feature_name(("macd", *f[1:])): F.col(f"close_{f[1]}") - F.col(f"close_{f[2]}") for f in lines})
+    signal = {feature_name(("macd", *f[1:])): [g[3] for g in of("macd_signal") if g[1:3] == f[1:]] for f in lines}
+    signal = {k: v for k, v in signal.items() if v}
+    if signal:
+        out = indicators.averages(out, signal)
+    named = {("ema", n): F.col(f"close_{n}") for (_, n) in of("ema")}
+    named |= {g: F.col(f"{feature_name(('macd', *g[1:3]))}_{g[3]}") for g in of("macd_signal")}
+    named |= {g: indicators.strength(f"gain_{g[1]}", f"loss_{g[1]}") for g in of("rsi")}
+    named |= {g: F.col(f"tr_{g[1]}") for g in of("atr")}
+    out = out.withColumns({feature_name(k): c for k, c in named.items()})
+    lookbacks = sorted({f[1] for f in wanted if f[0] in ("above", "below")})
+    if lookbacks:
+
+        def make(df: DataFrame, w: WindowSpec) -> DataFrame:
+            columns = {}
+            for n in lookbacks:
+                upper, lower = indicators.channel(w, n)
+                columns |= {feature_name(("above", n)): F.coalesce(F.col("close") > upper, F.lit(False)), feature_name(("below", n)): F.coalesce(F.col("close") < lower, F.lit(False))}
+            return df.withColumns(columns)
+
+        out = in_order(out, max(lookbacks), make)
+    return out.select(*bars.columns, *[feature_name(f) for f in sorted(wanted)])
+
+
+def entries(bars: DataFrame, rules: list[tuple[int, Rule]], more: tuple[tuple, ...] = ()) -> DataFrame:
+    """bars, with further features, exploded to variant_id and direction (1 or -1) where a rule enters."""
+    features = {f for _, r in rules for f in r.features}
+    names = [feature_name(f) for f in sorted(features)]
+    out = [*bars.columns, *map(feature_name, more)]
+
+    def make(df: DataFrame, w: WindowSpec) -> DataFrame:
+        return df.withColumns({f"was_{n}": F.lag(n).over(w) for n in names})
+
+    known = in_order(with_features(numbered(bars), features | set(more)), 1, make)
+    was = lambda name: F.col(f"was_{name}")
+    told = [F.struct(F.lit(v).cast("long").alias("variant_id"), F.when(r.up(was), 1).when(r.down(was), -1).alias("direction")) for v, r in rules]
+    fired = F.filter(F.array(*told), lambda x: x["direction"].isNotNull())
+    return known.select(*out, F.explode(fired).alias("e")).select(*out, "e.*")
+
+
+def events(bars: DataFrame, name: str, **params) -> DataFrame:
+    """pair, s, direction, entry_price of one family with one set of parameters."""
+    return entries(bars, [(0, FAMILIES[name](**params))]).select("pair", "s", "direction", F.col("close").alias("entry_price"))
+
+
+def ema_cross(bars: DataFrame, fast: int, slow: int) -> DataFrame:
+    return events(bars, "ema_cross", fast=fast, slow=slow)
+
+
+def macd_cross(bars: DataFrame, fast: int, slow: int, signal: int) -> DataFrame:
+    return events(bars, "macd_cross", fast=fast, slow=slow, signal=signal)
+
+
+def donchian(bars: DataFrame, lookback: int) -> DataFrame:
+    return events(bars, "donchian", lookback=lookback)
+
+
+def rsi_reversal(bars: DataFrame, period: int, lower: float, upper: float) -> DataFrame:
+    return events(bars, "rsi_reversal", period=period, lower=lower, upper=upper)
 
 
 def grid(spec: dict[str, list]) -> list[dict]:
     return [dict(zip(spec, values, strict=True)) for values in itertools.product(*spec.values())]
 
 
-def build_library(bars: DataFrame, families: dict[str, dict[str, list]]) -> tuple[DataFrame, DataFrame]:
-    """(variants, signals): dense ids in the order of enumeration over the valid combinations; variants without signals stay."""
-    spark, parts, rows = bars.sparkSession, [], []
+def variants_of(families: dict[str, dict[str, list]]) -> list[tuple[int, str, dict]]:
+    """(id, family, parameters) of the valid combinations, ids dense in the order of enumeration."""
+    found = []
     for name, spec in families.items():
         for params in grid(spec):
             try:
-                found = FAMILIES[name](bars, **params)
+                FAMILIES[name](**params)
             except InvalidCombination:
                 continue
-            parts.append(found.withColumn("variant_id", F.lit(len(rows)).cast("long")))
-            rows.append((len(rows), name, ",".join(f"{k}={v}" for k, v in sorted(params.items()))))
-    signals = reduce(DataFrame.unionByName, parts)
-    variants = spark.createDataFrame(rows, "variant_id long, family string, params string")
+            found.append((len(found), name, params))
+    return found
+
+
+def size_estimate(families: dict[str, dict[str, list]], n_bars: int, rate: float = 0.02) -> dict[str, int]:
+    """Combinations, valid ones, and the signals to expect of them at a share of bars that fire."""
+    valid = len(variants_of(families))
+    return {"combinations": sum(len(grid(spec)) for spec in families.values()), "variants": valid, "signals": round(valid * n_bars * rate)}
+
+
+def fingerprint(params: dict) -> str:
+    return ",".join(f"{k}={v}" for k, v in sorted(params.items()))
+
+
+def build_library(bars: DataFrame, families: dict[str, dict[str, list]], atr_period: int = 14, together: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(variants, signals) of all valid combinations; variants without signals stay.
+
+    signals: variant_id, signal_id (the bar's place and the variant's), pair, s, no, direction, entry_price, atr_pips, pip, hour, day, session, spread.
+    Variants are told `together` at a time, so that a bar's array stays small.
+    """
+    spark = bars.sparkSession
+    rows = variants_of(families)
+    full, atr, signals = cut(numbered(bars)), ("atr", atr_period), None
+    for at in range(0, len(rows), together):
+        part = entries(full, [(v, FAMILIES[name](**params)) for v, name, params in rows[at : at + together]], (atr,))
+        signals = part if signals is None else signals.unionByName(part)
+    variants = spark.createDataFrame([(v, name, fingerprint(params)) for v, name, params in rows], "variant_id long, family string, params string")
+    if signals is None:
+        return variants.withColumn("n_signals", F.lit(0).cast("long")), bars.limit(0)
+    signals = cut(signals.withColumns({"no": F.col("rn"), "atr": F.col(feature_name(atr))}))
+    hour, per = hour_of(F.col("s")), pip(F.col("pair"))
+    signals = signals.select("variant_id", (F.col("no") * len(rows) + F.col("variant_id")).alias("signal_id"), "pair", "s", "no", "direction", F.col("close").alias("entry_price"), (F.col("atr") / per).alias("atr_pips"), per.alias("pip"), hour.alias("hour"), weekday_of(F.col("s")).alias("day"), session_id(hour).alias("session"), "spread")
     counts = signals.groupBy("variant_id").agg(F.count("*").alias("n"))
     return variants.join(counts, "variant_id", "left").withColumn("n_signals", F.coalesce("n", F.lit(0))).drop("n"), signals

@@ -1,56 +1,55 @@
-"""Trade simulation: the first touch of stop or target by joins, and the full rules by grouped state.
+"""Exits of trades without managed stops: the first touch of stop or target, a number of bars, and a calm stretch.
 
-`first_touch` finds exits of unmanaged trades with a bucketed range join whose horizon
-widens: only trades that found no exit go on to the next, and the earliest touch in a
-shorter stretch is final.  `simulate` runs each trade's bars through the complete state
-machine, in the task that holds the trade's path.
+`first_touch` is a range join on cells of time whose horizon widens: only trades that
+found no exit go on to the next, and the earliest touch in a shorter stretch is final.
+Managed trades are in `positions`.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-# Exit reasons.
-REASONS = {0: "NONE", 1: "SL", 2: "TP", 3: "TRAILING", 4: "BREAKEVEN", 5: "MAX_BARS", 6: "STALE", 7: "CHANDELIER"}
+from chronosweep.functions.lineage import cut
+from chronosweep.operators import ordered
 
+#: Seconds of the first horizon, and the growth of the next ones.
+HORIZON, GROWTH = 86_400, 5
 
-def first_touch(entries: DataFrame, bars: DataFrame, width: int, horizons: tuple[int, ...] = (86_400, 432_000)) -> DataFrame:
+
+def first_touch(entries: DataFrame, bars: DataFrame, width: int, horizon: int = HORIZON) -> DataFrame:
     """entries (trade_id, pair, s, direction, sl_price, tp_price, ...) with exit_s, exit_price, exit_reason.
 
     Bars after the entry's own count.  A stop wins over a target in one bar; trades that touch neither close at the pair's last close.
+    Every round is a join on (pair, cell of its horizon), and the last horizon reaches the end of the longest pair.
     """
     path = bars.select("pair", F.col("s").alias("bar_s"), "high", "low")
-    done, open_ = None, entries
-    for k, horizon in enumerate((*horizons, None)):
+    last = bars.groupBy("pair").agg(F.max("s").alias("exit_s"), F.max_by("close", "s").alias("exit_price"), F.min("s").alias("_first"))
+    longest = last.agg(F.max(F.col("exit_s") - F.col("_first"))).first()[0] or 0
+    done, open_, begun = None, entries, 0
+    while True:
         left = open_.select("trade_id", "pair", F.col("s").alias("entry_s"), "direction", "sl_price", "tp_price")
-        start = F.col("entry_s") + width if k == 0 else F.col("entry_s") + width + horizons[k - 1]
-        if horizon is None:
-            joined = left.join(path, "pair").where(F.col("bar_s") >= start)
-        else:
-            span = F.sequence(F.floor(start / horizon), F.floor((F.col("entry_s") + width + horizon) / horizon))
-            joined = left.withColumn("cell", F.explode(span)).join(path.withColumn("cell", F.floor(F.col("bar_s") / horizon)), ["pair", "cell"])
-            joined = joined.where((F.col("bar_s") >= start) & (F.col("bar_s") < F.col("entry_s") + width + horizon))
+        start, end = F.col("entry_s") + width + begun, F.col("entry_s") + width + horizon
+        span = F.sequence(F.floor(start / horizon), F.floor(end / horizon))
+        joined = left.withColumn("cell", F.explode(span)).join(path.withColumn("cell", F.floor(F.col("bar_s") / horizon)), ["pair", "cell"]).where((F.col("bar_s") >= start) & (F.col("bar_s") < end))
         long = F.col("direction") == 1
         stopped = F.when(long, F.col("low") <= F.col("sl_price")).otherwise(F.col("high") >= F.col("sl_price"))
         reached = F.when(long, F.col("high") >= F.col("tp_price")).otherwise(F.col("low") <= F.col("tp_price"))
         touch = F.struct(F.col("bar_s").alias("exit_s"), F.when(stopped, F.col("sl_price")).otherwise(F.col("tp_price")).alias("exit_price"), F.when(stopped, "SL").otherwise("TP").alias("exit_reason"))
-        found = joined.where(stopped | reached).groupBy("trade_id").agg(F.min_by(touch, "bar_s").alias("x")).select("trade_id", "x.*")
-        part = open_.join(found, "trade_id")
+        found = joined.where(stopped | reached).groupBy("trade_id").agg(F.min_by(touch, "bar_s").alias("_x"))
+        met = cut(open_.join(found, "trade_id", "left"))
+        part = met.where("_x is not null").select(*entries.columns, "_x.*")
         done = part if done is None else done.unionByName(part)
-        open_ = open_.join(found, "trade_id", "left_anti")
-    last = bars.groupBy("pair").agg(F.max("s").alias("exit_s"), F.max_by("close", "s").alias("exit_price"))
-    return done.unionByName(open_.join(last, "pair", "left").withColumn("exit_reason", F.lit("NONE")))
-
-
-def _numbered(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("rn", F.row_number().over(Window.partitionBy("pair").orderBy("s")).cast("long"))
+        open_ = met.where("_x is null").drop("_x")
+        if horizon > longest or open_.isEmpty():
+            break
+        begun, horizon = horizon, horizon * GROWTH
+    return done.unionByName(open_.join(last.drop("_first"), "pair", "left").withColumn("exit_reason", F.lit("NONE")).select(*done.columns))
 
 
 def max_bars_exit(entries: DataFrame, bars: DataFrame, most: int) -> DataFrame:
     """entries with exit_s, exit_price, exit_reason: the close of the `most`-th bar after the entry's, or the pair's last close."""
-    numbered = _numbered(bars)
+    numbered = ordered.numbered(bars.select("pair", "s", "close"))
     last = numbered.groupBy("pair").agg(F.max("rn").alias("_last"))
     start = entries.join(numbered.select("pair", "s", "rn"), ["pair", "s"]).join(last, "pair")
     due = start.withColumn("exit_reason", F.when(F.col("rn") + most <= F.col("_last"), "MAX_BARS").otherwise("NONE")).withColumn("rn", F.least(F.col("rn") + most, F.col("_last")))
@@ -60,133 +59,17 @@ def max_bars_exit(entries: DataFrame, bars: DataFrame, most: int) -> DataFrame:
 def stale_exit(entries: DataFrame, bars: DataFrame, n: int, threshold: float) -> DataFrame:
     """entries with exit_s, exit_price, exit_reason: the first bar, `n` or more after the entry's, whose last n bars all have a range under the threshold.
 
-    For each bar one window finds the next such bar, so that an entry needs no walk of its own.
-    """
-    by_bar = Window.partitionBy("pair").orderBy("rn")
-    width = F.max(F.col("high") - F.col("low")).over(by_bar.rowsBetween(1 - n, 0))
-    calm = _numbered(bars).withColumn("_calm", (width < threshold) & (F.col("rn") >= n))
-    ahead = by_bar.rowsBetween(0, Window.unboundedFollowing)
-    at = F.struct(F.col("s").alias("exit_s"), F.col("close").alias("exit_price"), F.lit("STALE").alias("exit_reason"))
-    coming = calm.select("pair", "s", "rn", F.first(F.when(F.col("_calm"), at), ignorenulls=True).over(ahead).alias("x"))
-    start = entries.join(coming.select("pair", "s", "rn"), ["pair", "s"]).withColumn("rn", F.col("rn") + n)
-    last = bars.groupBy("pair").agg(F.struct(F.max("s").alias("exit_s"), F.max_by("close", "s").alias("exit_price"), F.lit("NONE").alias("exit_reason")).alias("_last"))
-    met = start.join(coming.select("pair", "rn", "x"), ["pair", "rn"], "left").join(last, "pair")
-    return met.withColumn("x", F.coalesce("x", "_last")).select(*entries.columns, "x.*")
-
-
-def step_through(p: dict, path: list[tuple], state: dict | None = None) -> tuple[float, str, float]:
-    """One trade over its path.  path: (main bar, its close, sub high, sub low, sub close, sub spread), the bars after the entry's.
-
-    Returns (pnl in pips, reason, exit price); `state`, where given, gets the stop and whether a part was closed.
+    The next such bar is carried back from it over the bars before, so that an entry needs no walk of its own.
     """
-    pip, buy = p["pip"], p["direction"] == 1
-    side = 1 if buy else -1
-    slip = p.get("slippage", 0.0)
-    entry = p["entry_price"] + (slip * pip + (p.get("entry_spread") or 0.0) if buy else -slip * pip)
-    sl, tp, tp_pips = p["sl_price"], p["tp_price"], p.get("tp_pips") or abs(p["tp_price"] - p["entry_price"]) / pip
-    atr = p.get("atr_pips", 0.0)
-    on = lambda name: bool(p.get(name, 0))
-    size, gained, taken = 1.0, 0.0, False
-    trailing = locked = chandelier = False
-    staged, arm = None, None  # the stop and flags that hold from the next sub bar on
-    extreme = entry
-    held, ranges, main, hit, close = 0, {}, None, None, None
-    for bar, main_close, high, low, _close, _ in path:
-        ranges[bar] = (max(ranges.get(bar, (high, low))[0], high), min(ranges.get(bar, (high, low))[1], low))
-    for bar, main_close, high, low, sub_close, spread in path:
-        if bar != main:
-            main, close = bar, main_close
-            held += 1
-            n = p.get("stale_bars", 0)
-            if p.get("max_bars", 0) > 0 and held >= p["max_bars"]:
-                hit = main_close - side * slip * pip, "MAX_BARS"
-            elif on("stale_enabled") and held >= n:
-                recent = [(h - lo) / pip for b, (h, lo) in ranges.items() if bar - n + 1 <= b <= bar]
-                if max(recent, default=0.0) < p["stale_atr_thresh"] * atr:
-                    hit = main_close - side * slip * pip, "STALE"
-            if hit:
-                break
-        if arm is not None:
-            if staged is not None:
-                sl = staged
-            locked, trailing, chandelier = (a or b for a, b in zip(arm, (locked, trailing, chandelier), strict=True))
-            staged = arm = None
-        ahead = (high - entry if buy else entry - low) / pip
-        tighter = lambda new, old: new > old if buy else new < old
-        safe = lambda new, price: new < price if buy else new > price
-        flags = [False, False, False]
-        if on("be_enabled") and not locked and ahead >= p["be_trigger"]:
-            new = entry + side * p["be_offset"] * pip
-            if tighter(new, sl) and safe(new, sub_close):
-                staged, flags[0] = new, True
-        if p.get("trailing_mode", 0):
-            gap = (p["trailing_distance"] if p["trailing_mode"] == 1 else p["trailing_atr_mult"] * atr) * pip
-            if not trailing and ahead >= p["trailing_activate"]:
-                flags[1] = True
-            if trailing or flags[1]:
-                new = high - gap if buy else low + gap
-                if tighter(new, sl if staged is None else staged) and safe(new, sub_close):
-                    staged = new
-        if on("chandelier_enabled") and p.get("chandelier_mult", 0) > 0 and p.get("chandelier_activate", -1) >= 0:
-            extreme = max(extreme, high) if buy else min(extreme, low)
-            if not chandelier and ahead >= p["chandelier_activate"]:
-                flags[2] = True
-            if chandelier or flags[2]:
-                new = extreme - side * p["chandelier_mult"] * atr * pip
-                if tighter(new, sl if staged is None else staged) and safe(new, low if buy else high):
-                    staged = new
-        if any(flags) or staged is not None:
-            arm = tuple(flags)
-        touched = high >= tp if buy else low <= tp
-        if on("partial_enabled") and not taken and ahead >= p["partial_trigger"] and not (touched and tp_pips < p["partial_trigger"]):
-            part = p["partial_pct"] / 100
-            gained += (p["partial_trigger"] - slip) * part - (0.0 if buy else (spread or 0.0) / pip * part)
-            size, taken = size - part, True
-        if low <= sl if buy else high >= sl:
-            hit = sl - side * slip * pip, "CHANDELIER" if chandelier else "TRAILING" if trailing else "BREAKEVEN" if locked else "SL"
-        elif touched:
-            hit = tp, "TP"
-        if hit:
-            break
-    if state is not None:
-        state.update(stop=sl if staged is None else staged, partial=taken)
-    price, reason = hit or (entry if close is None else close, "NONE")
-    spread = (path[-1][5] if path and not hit else spread if path else 0.0) or 0.0
-    if not buy:
-        price += spread
-    pnl = gained + side * (price - entry) / pip * size - p.get("commission", 0.0)
-    return pnl, reason, price
-
-
-def manage(p: dict, path: list[tuple], stop: float, partial: bool) -> tuple[str, float | None]:
-    """What an open trade needs after the bars so far, at most one thing: close, partial, modify_sl or hold.  `stop` and `partial` are what its broker holds."""
-    state: dict = {}
-    _, reason, price = step_through(p, path, state)
-    if reason != "NONE":
-        return "close", price
-    if state["partial"] and not partial:
-        return "partial", p["partial_pct"]
-    if abs(state["stop"] - stop) > p["pip"] / 10:
-        return "modify_sl", state["stop"]
-    return "hold", None
-
-
-PATH = ["main", "main_close", "high", "low", "close", "spread"]
-
-
-def simulate(trades: DataFrame, paths: DataFrame) -> DataFrame:
-    """trade_id, pnl, exit_reason, exit_price.  paths: trade_id, seq and PATH columns; both sides meet by trade in one shuffle.  A trade that fails has null results."""
-
-    def run(trade: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for p in trade.to_dict("records"):
-            p = {k: v for k, v in p.items() if v == v and v is not None}
-            try:
-                out.append((p["trade_id"], *step_through(p, list(path.sort_values("seq")[PATH].itertuples(index=False, name=None)))))
-            except (KeyError, ZeroDivisionError, TypeError):
-                out.append((p["trade_id"], None, None, None))
-        return pd.DataFrame(out, columns=["trade_id", "pnl", "exit_reason", "exit_price"])
 
-    # new names on this side: both sides may come from one table
-    steps = paths.select(F.col("trade_id").alias("path_of"), "seq", *PATH)
-    return trades.groupBy("trade_id").cogroup(steps.groupBy("path_of")).applyInPandas(run, "trade_id long, pnl double, exit_reason string, exit_price double")
+    def make(df: DataFrame, w: WindowSpec) -> DataFrame:
+        width = F.max(F.col("high") - F.col("low")).over(w.rowsBetween(1 - n, 0))
+        return df.withColumn("no", F.col("rn")).withColumn("_calm", (width < threshold) & (F.col("rn") >= n))
+
+    calm = ordered.in_order(bars, n, make)
+    at = F.struct(F.col("close").alias("exit_price"), (-F.col("s")).alias("exit_s"))
+    coming = ordered.carried(calm.withColumn("s", -F.col("s")), F.when(F.col("_calm"), at), "_x").select("pair", (-F.col("s")).alias("s"), "no", "_x")
+    start = entries.join(coming.select("pair", "s", "no"), ["pair", "s"]).withColumn("no", F.col("no") + n)
+    last = bars.groupBy("pair").agg(F.max("s").alias("_s"), F.max_by("close", "s").alias("_close"))
+    met = start.join(coming.select("pair", "no", "_x"), ["pair", "no"], "left").join(last, "pair")
+    return met.select(*entries.columns, F.coalesce("_x.exit_s", "_s").alias("exit_s"), F.coalesce("_x.exit_price", "_close").alias("exit_price"), F.when(F.col("_x").isNull(), "NONE").otherwise("STALE").alias("exit_reason"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronosweep.functions.exprs import TIMEFRAMES, bucket, hour_of, pip, session_id, session_name, time_filter, weekday_of
+from chronosweep.functions.exprs import TIMEFRAMES, hour_of, pip, session_id, session_name, time_filter, weekday_of
 from chronosweep.operators import cost, health, indicators, metrics, pricing, ranking, reconcile, resample, signals, simulate, space
 from chronosweep.sources import upsert
 from chronosweep.sources.bridge import table, ticks, trades
@@ -266,21 +266,57 @@ def session_tag(spark, sf_dir):
     return spark.range(24).select(F.col("id").alias("hour"), session_id(F.col("id")).alias("session"), session_name(F.col("id")).alias("name"))
 
 
-@query("SELECT CAST(f AS INTEGER) AS fast, CAST(s AS INTEGER) AS slow FROM unnest([3, 5, 8, 13]) a(f), unnest([5, 13, 21]) b(s) WHERE f < s")
-def grid_expand(spark, sf_dir):
-    pairs = spark.range(1).select(F.explode(F.array(*map(F.lit, (3, 5, 8, 13)))).alias("fast")).select("fast", F.explode(F.array(*map(F.lit, (5, 13, 21)))).alias("slow"))
-    return pairs.where("fast < slow")
+LIBRARY = {"ema_cross": {"fast": [5, 8, 20], "slow": [20, 30]}, "macd_cross": {"fast": [6], "slow": [13], "signal": [5]}, "donchian": {"lookback": [12, 24, 100_000]}, "rsi_reversal": {"period": [7], "lower": [45.0], "upper": [55.0]}}
 
 
-def _library(spark, sf_dir):
-    return signals.build_library(bars(spark, sf_dir), {"ema_cross": {"fast": [5, 20], "slow": [10, 20]}, "donchian": {"lookback": [20, 100_000]}})
+@query("SELECT CAST(row_number() OVER (ORDER BY f, s) - 1 AS BIGINT) AS variant_id, CAST(f AS INTEGER) AS fast, CAST(s AS INTEGER) AS slow FROM unnest([3, 5, 8, 13]) a(f), unnest([5, 13, 21]) b(s) WHERE f < s")
+def grid_expand(spark, sf_dir):
+    """The valid combinations of one family, with their dense ids."""
+    rows = [(v, p["fast"], p["slow"]) for v, _, p in signals.variants_of({"ema_cross": {"fast": [3, 5, 8, 13], "slow": [5, 13, 21]}})]
+    return spark.createDataFrame(rows, "variant_id long, fast int, slow int")
 
 
-@query()
+def _library(spark, sf_dir):
+    return signals.build_library(bars(spark, sf_dir), LIBRARY)
+
+
+def _variant_sql(v: int, name: str, p: dict) -> str:
+    """Rows (variant_id, pair, s, direction) of one variant, over bars b and the averages that LIBRARY_SQL has."""
+    head = f"SELECT {v} AS variant_id, pair, s, "
+    crossing = lambda source, f, g: f"{head}CASE WHEN f > g THEN 1 ELSE -1 END AS direction FROM (SELECT pair, s, {f} AS f, {g} AS g, lag({f}) OVER w AS f0, lag({g}) OVER w AS g0 FROM {source} WINDOW w AS (PARTITION BY pair ORDER BY s)) WHERE (f > g AND f0 <= g0) OR (f < g AND f0 >= g0)"
+    if name == "ema_cross":
+        return crossing("lx", f"e_{p['fast']}", f"e_{p['slow']}")
+    if name == "macd_cross":
+        return crossing("(SELECT lm.pair, lm.s, macd, e_5 FROM lm JOIN ls ON lm.pair = ls.pair AND lm.s = ls.s)", "macd", "e_5")
+    if name == "donchian":
+        n = p["lookback"]
+        return f"{head}CASE WHEN a AND NOT a0 THEN 1 ELSE -1 END AS direction FROM (SELECT pair, s, a, z, coalesce(lag(a) OVER v, false) AS a0, coalesce(lag(z) OVER v, false) AS z0 FROM (SELECT pair, s, coalesce(count(*) OVER w = {n} AND close > max(high) OVER w, false) AS a, coalesce(count(*) OVER w = {n} AND close < min(low) OVER w, false) AS z FROM b WINDOW w AS (PARTITION BY pair ORDER BY s ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)) WINDOW v AS (PARTITION BY pair ORDER BY s)) WHERE (a AND NOT a0) OR (z AND NOT z0)"
+    return f"{head}CASE WHEN r > {p['lower']} AND r0 <= {p['lower']} THEN 1 ELSE -1 END AS direction FROM (SELECT pair, s, rsi AS r, lag(rsi) OVER (PARTITION BY pair ORDER BY s) AS r0 FROM lr) WHERE (r > {p['lower']} AND r0 <= {p['lower']}) OR (r < {p['upper']} AND r0 >= {p['upper']})"
+
+
+_VARIANTS = signals.variants_of(LIBRARY)
+#: b must hold the main bars; gives ls0 (variant_id, pair, s, direction) and la, the smoothed true range.
+LIBRARY_SQL = ", ".join([
+    ema_cte("lx0", "b", "close", [5, 6, 8, 13, 20, 30]), "lx AS (SELECT * FROM lx0)", "lm AS (SELECT pair, s, e_6 - e_13 AS macd FROM lx)", ema_cte("ls", "lm", "macd", [5]),
+    "lv AS (SELECT pair, s, coalesce(greatest(close - lag(close) OVER w, 0), 0) AS gain, coalesce(greatest(lag(close) OVER w - close, 0), 0) AS loss FROM b WINDOW w AS (PARTITION BY pair ORDER BY s))",
+    ema_cte("lup", "lv", "gain", [7]), ema_cte("ldn", "lv", "loss", [7]), "lr AS (SELECT lup.pair, lup.s, CASE WHEN ldn.e_7 = 0 THEN 100 ELSE 100 - 100 / (1 + lup.e_7 / ldn.e_7) END AS rsi FROM lup JOIN ldn ON lup.pair = ldn.pair AND lup.s = ldn.s)",
+    _TR, ema_cte("la", "t", "tr", [14]), "ls0 AS (" + " UNION ALL ".join(_variant_sql(*v) for v in _VARIANTS) + ")",
+])
+_NAMED = "vs(variant_id, family, params) AS (VALUES " + ", ".join(f"({v}, '{name}', '{signals.fingerprint(p)}')" for v, name, p in _VARIANTS) + ")"
+
+
+@query(f"{H1}, {LIBRARY_SQL}, {_NAMED}, n AS (SELECT variant_id, count(*) AS n FROM ls0 GROUP BY 1) SELECT CAST(vs.variant_id AS BIGINT) AS variant_id, family, params, coalesce(n, 0) AS n_signals FROM vs LEFT JOIN n ON vs.variant_id = n.variant_id")
 def variant_library(spark, sf_dir):
     return _library(spark, sf_dir)[0]
 
 
+@query(f"{H1}, {LIBRARY_SQL}, nm AS (SELECT pair, s, close, spread, row_number() OVER (PARTITION BY pair ORDER BY s) AS no FROM b) SELECT CAST(ls0.variant_id AS BIGINT) AS variant_id, CAST(no * {len(_VARIANTS)} + ls0.variant_id AS BIGINT) AS signal_id, nm.pair, nm.s, no, CAST(direction AS INTEGER) AS direction, round(close, 8) AS entry_price, round(e_14 / 1e-4, 6) AS atr_pips, CAST((nm.s // 3600) % 24 AS INTEGER) AS hour, CAST((nm.s // 86400 + 3) % 7 AS INTEGER) AS day, CAST(CASE WHEN (nm.s // 3600) % 24 BETWEEN 7 AND 12 THEN 1 WHEN (nm.s // 3600) % 24 BETWEEN 13 AND 15 THEN 3 WHEN (nm.s // 3600) % 24 BETWEEN 16 AND 21 THEN 2 ELSE 0 END AS INTEGER) AS session, round(nm.spread, 8) AS spread FROM ls0 JOIN nm ON nm.pair = ls0.pair AND nm.s = ls0.s JOIN la ON la.pair = ls0.pair AND la.s = ls0.s")
+def library_signals(spark, sf_dir):
+    """The signals of all variants, with what a sweep needs of their bar."""
+    found = _library(spark, sf_dir)[1].drop("pip")
+    return rounded(rounded(found, "entry_price", "spread"), "atr_pips", places=6)
+
+
 # Filters and prices
 
 
@@ -347,46 +383,56 @@ def batch_eval(spark, sf_dir):
     return done.groupBy("pair", "exit_reason").agg(F.count("*").alias("trades"), F.round(F.sum("pips"), 4).alias("pips"), F.round(F.avg(F.col("exit_s") - F.col("s")), 4).alias("mean_hold_s"))
 
 
-@query()
-def sim_full(spark, sf_dir):
-    """Managed trades, all rules on, over paths as long as the rules can hold them: 96 main bars, however far apart they are."""
-    b, e = _entries(spark, sf_dir)
-    most, main = 96, bucket(F.col("s"), 3600)
-    hours = b.groupBy("pair", main.alias("main")).agg(F.max_by("close", "s").alias("main_close")).withColumn("rank", F.row_number().over(Window.partitionBy("pair").orderBy("main")))
-    # the entry's own hour may or may not have bars after it, so the path reaches one hour further
-    cell = F.floor(F.col("rank") / (most + 1))
-    start = e.select("trade_id", "pair", F.col("s").alias("e_s"), main.alias("main")).join(hours.select("pair", "main", "rank"), ["pair", "main"])
-    near = start.select("trade_id", "pair", "e_s", F.col("rank").alias("e_rank"), F.explode(F.array(cell, cell + 1)).alias("cell"))
-    steps = b.withColumn("main", main).join(hours, ["pair", "main"]).withColumn("cell", cell)
-    paths = near.join(steps, ["pair", "cell"]).where((F.col("s") > F.col("e_s")) & (F.col("rank") <= F.col("e_rank") + most)).select("trade_id", F.col("s").alias("seq"), "main", "main_close", "high", "low", "close", "spread")
-    rules = {"pip": 1e-4, "atr_pips": 20.0, "be_enabled": 1, "be_trigger": 15.0, "be_offset": 2.0, "trailing_mode": 1, "trailing_activate": 25.0, "trailing_distance": 20.0, "partial_enabled": 1, "partial_pct": 50.0, "partial_trigger": 30.0, "max_bars": most, "commission": 0.3}
-    return simulate.simulate(e.drop("s", "pair").withColumns({k: F.lit(v) for k, v in rules.items()}), paths)
+# Metrics
 
 
-# Metrics
+TRADES = "mt0 AS (SELECT l_suppkey AS trial_id, CASE WHEN l_suppkey % 7 = 3 THEN 0.1e0 ELSE CAST(l_quantity AS DOUBLE) - 25.0e0 + CAST(l_discount AS DOUBLE) * 10.0e0 END AS pnl, 30.0e0 AS sl, 1000.0e0 AS nb, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount) AS i FROM lineitem)"
+#: Metrics of trials from mt0 (trial_id, i, pnl, sl, nb), down to k with one row a trial.
+CURVES = "e1 AS (SELECT *, sum(pnl) OVER w AS eq, sum(CAST(pnl >= 0 AS INTEGER)) OVER w AS island FROM mt0 WINDOW w AS (PARTITION BY trial_id ORDER BY i)), e2 AS (SELECT *, greatest(max(eq) OVER w, 0) AS peak, max(abs(eq)) OVER w AS base, sum(CAST(pnl < 0 AS INTEGER)) OVER (PARTITION BY trial_id, island ORDER BY i) AS streak FROM e1 WINDOW w AS (PARTITION BY trial_id ORDER BY i))"
+MEASURED = CURVES + ", a AS (SELECT trial_id, count(*) AS n, sum(pnl) AS total, avg(pnl) AS m, min(pnl) = max(pnl) AS flat, avg(sl) AS sl, max(nb) AS nb, avg(CAST(pnl > 0 AS INTEGER)) AS wr, coalesce(sum(pnl) FILTER (WHERE pnl > 0), 0) AS won, coalesce(-sum(pnl) FILTER (WHERE pnl < 0), 0) AS lost, coalesce(sum(pnl * pnl) FILTER (WHERE pnl < 0), 0) AS nsq, count(*) FILTER (WHERE pnl < 0) AS nn, max(peak - eq) AS mdd, max(base) AS base, sqrt(avg(CASE WHEN base > 0 THEN pow((peak - eq) / base * 100, 2) ELSE 0 END)) AS ulcer, max(streak) AS streak, regr_r2(eq, i) AS r2, regr_slope(eq, i) AS slope, regr_sxx(eq, i) AS sxx, regr_syy(eq, i) AS syy, list_sort(list(pnl)) AS l FROM e2 GROUP BY trial_id), dv AS (SELECT e2.trial_id, CASE WHEN flat THEN 0 ELSE pnl - m END AS x FROM e2 JOIN a ON a.trial_id = e2.trial_id), c AS (SELECT trial_id, sum(x * x) AS q2, sum(x * x * x) AS q3, sum(x * x * x * x) AS q4 FROM dv GROUP BY trial_id), d AS (SELECT a.*, q2 / n AS v, q3 / n AS c3, q4 / n AS c4, CASE WHEN n > 1 THEN sqrt(q2 / (n - 1)) ELSE 0 END AS sd, sqrt(n * 6048.0e0 / nb) AS ann, CASE WHEN lost > 0 THEN won / lost WHEN won > 0 THEN 10 ELSE 0 END AS pf, CASE WHEN nn > 0 THEN m / sqrt(nsq / nn) * sqrt(n * 6048.0e0 / nb) WHEN m > 0 THEN 10 ELSE 0 END AS sortino, syy - slope * slope * sxx AS rest, CASE WHEN sl > 0 THEN total / sl * 100 ELSE 0 END AS ret FROM a JOIN c ON a.trial_id = c.trial_id), f AS (SELECT *, sqrt(CASE WHEN rest > 1e-12 * syy THEN rest ELSE 0 END / (n - 2) / sxx) AS err FROM d), k AS (SELECT *, CASE WHEN n > 2 AND err > 0 THEN slope / (err * sqrt(n)) ELSE 0 END AS kr, CASE WHEN sd > 0 THEN m / sd ELSE 0 END AS sr FROM f)"
+MOMENTS = f"{TRADES}, {MEASURED}"
+
+
+def phi_sql(x: str) -> str:
+    u = f"(1 / (1 + 0.3275911 * abs({x}) / sqrt(2)))"
+    y = f"(1 - {u} * (0.254829592 + {u} * (-0.284496736 + {u} * (1.421413741 + {u} * (-1.453152027 + {u} * 1.061405429)))) * exp(-{x} * {x} / 2))"
+    return f"CASE WHEN {x} >= 0 THEN 0.5 * (1 + {y}) ELSE 0.5 * (1 - {y}) END"
+
+
+_PLACE = "l[CAST(round((n - 1) * {0}) AS INTEGER) + 1]"
+_Z = "(sr * sqrt(n - 1) / sqrt(greatest(1 - CASE WHEN v > 0 THEN c3 / pow(sqrt(v), 3) ELSE 0 END * sr + (CASE WHEN v > 0 THEN c4 / (v * v) ELSE 0 END - 1) / 4 * sr * sr, 1e-12)))"
+_QUALITY = "CASE WHEN sortino > 0 THEN ln(1 + sortino) * least(greatest(kr / 3, 0), 1) * least(pf, 5) * (least(n, 300) / 300 * 14.14) / (ulcer + 5) ELSE 0 END"
+#: Each metric over k.
+METRIC_SQL = {
+    "trades": "n", "win_rate": "wr", "profit_factor": "pf", "sharpe": "sr * ann", "sortino": "sortino", "max_dd_pct": "mdd / CASE WHEN base > 0 THEN base ELSE 1 END * 100", "return_pct": "ret",
+    "r_squared": "CASE WHEN syy > 0 THEN greatest(coalesce(r2, 0), 0) ELSE 0 END", "ulcer": "ulcer", "quality": _QUALITY, "expectancy_r": "CASE WHEN sl > 0 THEN m / sl ELSE 0 END", "expectancy_pips": "m", "sqn": "sqrt(n) * sr",
+    "calmar": "CASE WHEN mdd <> 0 THEN total * 6048.0e0 / nb / mdd ELSE 0 END", "recovery": "CASE WHEN mdd <> 0 THEN total / mdd ELSE 0 END", "upi": "CASE WHEN ulcer <> 0 THEN ret / ulcer ELSE 0 END", "k_ratio": "kr",
+    "tail_ratio": f"CASE WHEN n >= 20 AND {_PLACE.format(0.05)} <> 0 THEN abs({_PLACE.format(0.95)}) / abs({_PLACE.format(0.05)}) ELSE 0 END", "omega": "pf", "max_consec_loss": "CAST(streak AS BIGINT)",
+    "psr": f"CASE WHEN n >= 4 AND sd > 0 THEN {phi_sql(_Z)} ELSE 0 END", "quality_v2": _QUALITY, "total_pips": "total", "max_dd": "mdd",
+}
+WHOLE = ("trades", "max_consec_loss")
 
 
-TRADES = "t AS (SELECT l_suppkey AS trial_id, CAST(l_quantity - 25 AS DOUBLE) AS pnl, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS i FROM (SELECT DISTINCT l_suppkey, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice FROM lineitem)), e1 AS (SELECT *, sum(pnl) OVER w AS eq, sum(CAST(pnl >= 0 AS INTEGER)) OVER w AS island FROM t WINDOW w AS (PARTITION BY trial_id ORDER BY i)), e2 AS (SELECT *, greatest(max(eq) OVER w, 0) AS peak, max(abs(eq)) OVER w AS base, sum(CAST(pnl < 0 AS INTEGER)) OVER (PARTITION BY trial_id, island ORDER BY i) AS streak FROM e1 WINDOW w AS (PARTITION BY trial_id ORDER BY i))"
-MOMENTS = TRADES + ", a AS (SELECT trial_id, count(*) AS n, sum(pnl) AS total, avg(pnl) AS m, avg(CAST(pnl > 0 AS INTEGER)) AS wr, coalesce(sum(pnl) FILTER (WHERE pnl > 0), 0) AS won, coalesce(-sum(pnl) FILTER (WHERE pnl < 0), 0) AS lost, coalesce(sum(pnl * pnl) FILTER (WHERE pnl < 0), 0) AS nsq, count(*) FILTER (WHERE pnl < 0) AS nn, stddev_samp(pnl) AS sd, max(peak - eq) AS mdd, max(base) AS base, sqrt(avg(CASE WHEN base > 0 THEN pow((peak - eq) / base * 100, 2) ELSE 0 END)) AS ulcer, max(streak) AS streak, regr_r2(eq, i) AS r2, regr_slope(eq, i) AS slope, regr_sxx(eq, i) AS sxx, regr_syy(eq, i) AS syy, list_sort(list(pnl)) AS l FROM e2 GROUP BY trial_id), c AS (SELECT e2.trial_id, sum(pow(pnl - m, 2)) / any_value(n) AS v, sum(pow(pnl - m, 3)) / any_value(n) AS c3, sum(pow(pnl - m, 4)) / any_value(n) AS c4 FROM e2 JOIN a ON a.trial_id = e2.trial_id GROUP BY e2.trial_id), d AS (SELECT a.*, v, c3, c4, sqrt(n * 6048 / 1000.0) AS ann, CASE WHEN lost > 0 THEN won / lost WHEN won > 0 THEN 10 ELSE 0 END AS pf, CASE WHEN nn > 0 THEN m / sqrt(nsq / nn) * sqrt(n * 6048 / 1000.0) WHEN m > 0 THEN 10 ELSE 0 END AS sortino, sqrt(greatest(syy - slope * slope * sxx, 0) / (n - 2) / sxx) AS err, total / 30.0 * 100 AS ret FROM a JOIN c ON a.trial_id = c.trial_id), k AS (SELECT *, CASE WHEN n > 2 AND err > 0 THEN slope / (err * sqrt(n)) ELSE 0 END AS kr, m / sd AS sr FROM d)"
-_PHI = "CASE WHEN x >= 0 THEN 0.5 * (1 + y) ELSE 0.5 * (1 - y) END"
+def metrics_sql(names: list[str], places: int = 8) -> str:
+    return ", ".join(f"{METRIC_SQL[c]} AS {c}" if c in WHOLE else f"round({METRIC_SQL[c]}, {places}) AS {c}" for c in names)
 
 
-def _metric_query(name: str, sql: str, columns: list[str]):
+def _metric_query(name: str, columns: list[str]):
     def fn(spark, sf_dir):
         df = metrics.trial_metrics(trades(spark, sf_dir)).select("trial_id", *columns)
         return rounded(df, *[c for c, kind in df.dtypes if kind == "double"])
 
     fn.__name__ = name
-    query(f"WITH {MOMENTS} {sql}")(fn)
+    query(f"WITH {MOMENTS} SELECT trial_id, {metrics_sql(columns)} FROM k")(fn)
 
 
-_metric_query("metrics_core", "SELECT trial_id, n AS trades, round(total, 8) AS total_pips, round(wr, 8) AS win_rate, round(pf, 8) AS profit_factor, round(sr * ann, 8) AS sharpe, round(sortino, 8) AS sortino, round(ret, 8) AS return_pct, round(m, 8) AS expectancy_pips, round(m / 30, 8) AS expectancy_r, round(sqrt(n) * sr, 8) AS sqn FROM k", ["trades", "total_pips", "win_rate", "profit_factor", "sharpe", "sortino", "return_pct", "expectancy_pips", "expectancy_r", "sqn"])
-_metric_query("metrics_drawdown", "SELECT trial_id, round(mdd, 8) AS max_dd, round(mdd / CASE WHEN base > 0 THEN base ELSE 1 END * 100, 8) AS max_dd_pct, round(ulcer, 8) AS ulcer, round(CASE WHEN mdd <> 0 THEN total * 6048 / 1000 / mdd ELSE 0 END, 8) AS calmar, round(CASE WHEN mdd <> 0 THEN total / mdd ELSE 0 END, 8) AS recovery, round(CASE WHEN ulcer <> 0 THEN ret / ulcer ELSE 0 END, 8) AS upi FROM k", ["max_dd", "max_dd_pct", "ulcer", "calmar", "recovery", "upi"])
-_metric_query("metrics_regression", "SELECT trial_id, round(greatest(coalesce(r2, 0), 0), 8) AS r_squared, round(kr, 8) AS k_ratio FROM k", ["r_squared", "k_ratio"])
-_metric_query("metrics_tail", "SELECT trial_id, round(CASE WHEN n >= 20 AND l[CAST(round((n - 1) * 0.05) AS INTEGER) + 1] <> 0 THEN abs(l[CAST(round((n - 1) * 0.95) AS INTEGER) + 1]) / abs(l[CAST(round((n - 1) * 0.05) AS INTEGER) + 1]) ELSE 0 END, 8) AS tail_ratio, round(pf, 8) AS omega FROM k", ["tail_ratio", "omega"])
-_metric_query("metrics_streak", "SELECT trial_id, CAST(streak AS BIGINT) AS max_consec_loss FROM k", ["max_consec_loss"])
-_metric_query("metrics_quality", "SELECT trial_id, round(q, 8) AS quality, round(q, 8) AS quality_v2 FROM (SELECT trial_id, CASE WHEN sortino > 0 THEN ln(1 + sortino) * least(greatest(kr / 3, 0), 1) * least(pf, 5) * (least(n, 300) / 300 * 14.14) / (ulcer + 5) ELSE 0 END AS q FROM k)", ["quality", "quality_v2"])
-_metric_query("metrics_psr", f", p AS (SELECT trial_id, n, sr * sqrt(n - 1) / sqrt(greatest(1 - c3 / pow(sqrt(v), 3) * sr + (c4 / (v * v) - 1) / 4 * sr * sr, 1e-12)) AS x FROM k), g AS (SELECT *, 1 / (1 + 0.3275911 * abs(x) / sqrt(2)) AS u FROM p), h AS (SELECT *, 1 - u * (0.254829592 + u * (-0.284496736 + u * (1.421413741 + u * (-1.453152027 + u * 1.061405429)))) * exp(-x * x / 2) AS y FROM g) SELECT trial_id, round(CASE WHEN n >= 4 THEN {_PHI} ELSE 0 END, 8) AS psr FROM h", ["psr"])
+_metric_query("metrics_core", ["trades", "total_pips", "win_rate", "profit_factor", "sharpe", "sortino", "return_pct", "expectancy_pips", "expectancy_r", "sqn"])
+_metric_query("metrics_drawdown", ["max_dd", "max_dd_pct", "ulcer", "calmar", "recovery", "upi"])
+_metric_query("metrics_regression", ["r_squared", "k_ratio"])
+_metric_query("metrics_tail", ["tail_ratio", "omega"])
+_metric_query("metrics_streak", ["max_consec_loss"])
+_metric_query("metrics_quality", ["quality", "quality_v2"])
+_metric_query("metrics_psr", ["psr"])
 
 
 # Ranking
@@ -397,7 +443,7 @@ def _metrics(spark, sf_dir):
     return rounded(m, *[c for c, kind in m.dtypes if kind == "double"])
 
 
-_RANKED = f"WITH {MOMENTS}, r AS (SELECT trial_id, n AS trades, round(total, 8) AS total_pips, round(ret, 8) AS return_pct, round(pf, 8) AS profit_factor, round(sr * ann, 8) AS sharpe, round(mdd / base * 100, 8) AS max_dd_pct FROM k)"
+_RANKED = f"WITH {MOMENTS}, r AS (SELECT trial_id, n AS trades, round(total, 8) AS total_pips, round(ret, 8) AS return_pct, round(pf, 8) AS profit_factor, round(sr * ann, 8) AS sharpe, round(mdd / CASE WHEN base > 0 THEN base ELSE 1 END * 100, 8) AS max_dd_pct FROM k)"
 
 
 @query(f"{_RANKED} SELECT trial_id, sharpe FROM r ORDER BY sharpe DESC, return_pct DESC, trades DESC, trial_id LIMIT 1")
@@ -422,19 +468,15 @@ def scatter_decimate(spark, sf_dir):
     return ranking.decimate(m, 20, best)
 
 
-@query(f"WITH {TRADES} SELECT trial_id, i, eq, peak - eq AS dd FROM e2")
+@query(f"WITH {TRADES}, {CURVES} SELECT trial_id, i, round(eq, 8) AS eq, round(peak - eq, 8) AS dd FROM e2")
 def equity_curve(spark, sf_dir):
-    return metrics.equity(trades(spark, sf_dir)).select("trial_id", "i", "eq", "dd")
+    return rounded(metrics.equity(trades(spark, sf_dir)).select("trial_id", "i", "eq", "dd"), "eq", "dd")
 
 
 @query(f"{_RANKED} SELECT trial_id, max(sharpe) OVER (ORDER BY trial_id) AS best FROM r")
 def running_best(spark, sf_dir):
-    """One row per trial, as a plot of a sweep needs; blocks of trials are ranked apart and then joined to the best before them."""
-    m = _metrics(spark, sf_dir).select("trial_id", "sharpe", F.floor(F.col("trial_id") / 1000).alias("block"))
-    blocks = m.groupBy("block").agg(F.max("sharpe").alias("top"))
-    before = blocks.alias("a").join(blocks.alias("b"), F.col("b.block") < F.col("a.block")).groupBy("a.block").agg(F.max("b.top").alias("before"))
-    within = F.max("sharpe").over(Window.partitionBy("block").orderBy("trial_id"))
-    return m.join(before, "block", "left").select("trial_id", F.greatest(within, F.col("before")).alias("best"))
+    """One row per trial, as a plot of a sweep needs."""
+    return ranking.running_best(_metrics(spark, sf_dir), "sharpe")
 
 
 # Costs
@@ -576,8 +618,8 @@ def expand_leaf(spark, sf_dir):
     return spark.createDataFrame([(v,) for v in space.expand(space.IntRange(10, 50, 5))], "value int")
 
 
-@query()
+@query(f"WITH w(family, params) AS (VALUES ('ema_cross', 'fast=5,slow=20'), ('donchian', 'lookback=24'), ('donchian', 'lookback=3')), {_NAMED} SELECT w.family, w.params, CAST(variant_id AS BIGINT) AS variant_id FROM w LEFT JOIN vs ON w.family = vs.family AND w.params = vs.params")
 def fingerprint_resolve(spark, sf_dir):
     variants = _library(spark, sf_dir)[0]
-    wanted = spark.createDataFrame([("ema_cross", "fast=5,slow=20"), ("donchian", "lookback=20"), ("donchian", "lookback=3")], "family string, params string")
+    wanted = spark.createDataFrame([("ema_cross", "fast=5,slow=20"), ("donchian", "lookback=24"), ("donchian", "lookback=3")], "family string, params string")
     return space.resolve_variant(wanted, variants)

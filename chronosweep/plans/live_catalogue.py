@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chronosweep.functions.exprs import PPF_CENTRE, PPF_LOW, PPF_TAIL, hour_of, nice_round, session_name
 from chronosweep.operators import cost, indicators, ledger, live, metrics, ranking, reconcile, resample, simulate
-from chronosweep.plans.catalogue import _HOUR, _RANKED, _SIDES, _TOUCH, _TR, H1, MOMENTS, ORDERS, TICKS, _entries, _metrics, _orders, _sides, bars, bars_cte, m1, query, rounded
+from chronosweep.plans.catalogue import _HOUR, _RANKED, _SIDES, _TOUCH, _TR, H1, MOMENTS, ORDERS, TICKS, _entries, _metrics, _orders, _sides, bars, bars_cte, m1, metrics_sql, phi_sql, query, rounded
 from chronosweep.sources import upsert
 from chronosweep.sources.bridge import table, ticks, trades
 
@@ -56,13 +56,7 @@ def _ppf_sql(p: str) -> str:
     return f"CASE WHEN {p} < {PPF_LOW} THEN {tail(p)} WHEN {p} > {1 - PPF_LOW!r} THEN -{tail(f'(1 - {p})')} ELSE {centre} END"
 
 
-def _phi_sql(x: str) -> str:
-    u = f"(1 / (1 + 0.3275911 * abs({x}) / sqrt(2)))"
-    y = f"(1 - {u} * (0.254829592 + {u} * (-0.284496736 + {u} * (1.421413741 + {u} * (-1.453152027 + {u} * 1.061405429)))) * exp(-{x} * {x} / 2))"
-    return f"CASE WHEN {x} >= 0 THEN 0.5 * (1 + {y}) ELSE 0.5 * (1 - {y}) END"
-
-
-@query(f"WITH {MOMENTS}, p AS (SELECT trial_id, n, sr * sqrt(n - 1) / sqrt(greatest(1 - c3 / pow(sqrt(v), 3) * sr + (c4 / (v * v) - 1) / 4 * sr * sr, 1e-12)) AS x FROM k), f AS (SELECT trial_id, round(CASE WHEN n >= 4 THEN {_phi_sql('x')} ELSE 0 END, 8) AS psr FROM p), n AS (SELECT CAST(count(*) AS DOUBLE) AS c FROM f), m AS (SELECT {1 - metrics.EULER!r} * ({_ppf_sql('(1 - 1 / c)')}) + {metrics.EULER!r} * ({_ppf_sql(f'(1 - 1 / (c * {math.e!r}))')}) AS best FROM n), z AS (SELECT trial_id, psr, ({_ppf_sql('least(greatest(psr, 1e-12), 1 - 1e-12)')}) - best AS z FROM f, m) SELECT trial_id, psr, round({_phi_sql('z')}, 6) AS dsr FROM z")
+@query(f"WITH {MOMENTS}, q AS (SELECT trial_id, {metrics_sql(['psr'])} FROM k), n AS (SELECT CAST(count(*) AS DOUBLE) AS c FROM q), m AS (SELECT {1 - metrics.EULER!r} * ({_ppf_sql('(1 - 1 / c)')}) + {metrics.EULER!r} * ({_ppf_sql(f'(1 - 1 / (c * {math.e!r}))')}) AS best FROM n), z AS (SELECT trial_id, psr, ({_ppf_sql('least(greatest(psr, 1e-12), 1 - 1e-12)')}) - best AS z FROM q, m) SELECT trial_id, psr, round({phi_sql('z')}, 6) AS dsr FROM z")
 def metrics_dsr(spark, sf_dir):
     return rounded(metrics.with_dsr(_metrics(spark, sf_dir).select("trial_id", "psr")), "dsr", places=6)
 

@@ -20,8 +20,8 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """trial_id, pnl, and i: the trade's place in its trial, from 1.  One row of each set of equal line items stands."""
-    keys = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
-    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", *keys).distinct()
+    """trial_id, pnl, and i: the trade's place in its trial, from 1.  Every line item is a trade; some trials have equal ones only."""
+    keys = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount"]
     place = F.expr(f"row_number() over (partition by l_suppkey order by {', '.join(keys)})")
-    return rows.select(F.col("l_suppkey").alias("trial_id"), (F.col("l_quantity") - 25).cast("double").alias("pnl"), place.cast("long").alias("i"))
+    pnl = F.when(F.col("l_suppkey") % 7 == 3, F.lit(0.1)).otherwise(F.col("l_quantity").cast("double") - 25.0 + F.col("l_discount").cast("double") * 10.0)
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("trial_id"), pnl.alias("pnl"), place.cast("long").alias("i"))

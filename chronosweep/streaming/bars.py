@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronosweep.operators.simulate import PATH, manage
+from chronosweep.operators import positions
 
 
 def stream_bars(ticks: DataFrame, width: str = "15 minutes", late: str = "1 minute") -> DataFrame:
@@ -40,25 +41,36 @@ def closed_bar_events(bars: DataFrame) -> DataFrame:
 def managed_positions(steps: DataFrame) -> DataFrame:
     """What each open trade needs after every batch of its bars: trade_id, seq, action, value; nothing is emitted for a hold.
 
-    steps: trade_id, rules (the trade's parameters as JSON), seq, and the columns of a path.  State holds the trade's bars,
-    its stop and whether a part is closed, and goes with the closing action; bars that come again count once.
+    steps: trade_id, rules (the trade's numbers and rules as JSON), seq, no (the main bar's place), high, low, close, spread,
+    main_close, main_spread and main_range.  State is the trade's numbers, as `positions.advance` leaves them, the ranges of the
+    last main bars that its rule looks back on, the stop and share that the broker holds, and the last bar seen: its size doesn't
+    grow with the trade.  Bars that come again count once; a closed trade keeps only its last bar.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).drop_duplicates("seq").sort_values("seq")
-        p = json.loads(rows["rules"].iat[0])
-        held, stop, partial, last = state.get if state.exists else ("[]", p["sl_price"], False, -1)
-        if stop is None:  # closed
-            return
+        if state.exists:
+            numbers, ranges, stop, partial, last = state.get
+        else:
+            numbers, ranges, last = positions.begin(json.loads(rows["rules"].iat[0])), [], -1
+            stop, partial = numbers[positions.PLACE["stop"]], False
         fresh = rows[rows.seq > last]
-        path = [tuple(x) for x in json.loads(held)] + list(fresh[PATH].astype(object).itertuples(index=False, name=None))
-        action, value = manage(p, path, stop, partial)
-        seen = max([last, *fresh.seq.tolist()])
-        if action == "close":
-            state.update(("[]", None, partial, seen))
+        if not numbers or not len(fresh):
+            return
+        seen = int(fresh.seq.max())
+        numbers, ranges, found = positions.proceed(numbers, ranges, fresh)
+        of = lambda name: numbers[positions.PLACE[name]]
+        action, value = "hold", None
+        if found["done"][0]:
+            action, value, numbers, ranges = "close", found["exit_price"][0], [], []
+        elif of("taken") > 0 and not partial:
+            action, value, partial = "partial", of("partial_pct"), True
         else:
-            state.update((json.dumps(path), value if action == "modify_sl" else stop, partial or action == "partial", seen))
+            wanted = of("stop") if math.isnan(of("staged")) else of("staged")
+            if abs(wanted - stop) > of("pip") / 10:
+                action, value, stop = "modify_sl", wanted, wanted
+        state.update((numbers, ranges, stop, partial, seen))
         if action != "hold":
             yield pd.DataFrame({"trade_id": [key[0]], "seq": [seen], "action": [action], "value": [float(value)]})
 
-    return steps.groupBy("trade_id").applyInPandasWithState(run, "trade_id long, seq long, action string, value double", "held string, stop double, partial boolean, last long", "append", "NoTimeout")
+    return steps.groupBy("trade_id").applyInPandasWithState(run, "trade_id long, seq long, action string, value double", "numbers array<double>, ranges array<double>, stop double, partial boolean, last long", "append", "NoTimeout")

@@ -98,16 +98,40 @@ def test_spaces():
     assert set(space.preset(1, 12.0)) < set(space.preset(10, 12.0))
 
 
-def test_positions_are_managed_batch_by_batch(spark, tmp_path):
+def test_positions_are_managed_batch_by_batch_and_over_a_restart(spark, tmp_path):
     import json
 
     from chronosweep.streaming.bars import managed_positions
 
-    rules = json.dumps({"pip": 1e-4, "direction": 1, "entry_price": 1.1, "sl_price": 1.097, "tp_price": 1.106, "tp_pips": 60, "be_enabled": 1, "be_trigger": 5, "be_offset": 2})
-    kind = "trade_id long, rules string, seq long, main long, main_close double, high double, low double, close double, spread double"
-    for k, (high, low) in enumerate([(1.1001, 1.1), (1.1008, 1.1004), (1.1006, 1.1003), (1.1003, 1.1001), (1.1001, 1.1)]):
-        spark.createDataFrame([(1, rules, k, k, low, high, low, low, 0.0)], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    managed_positions(source).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
+    rules = json.dumps({"pip": 1e-4, "direction": 1, "entry_price": 1.1, "sl_price": 1.097, "tp_price": 1.106, "entry_no": -1, "be_enabled": 1, "be_trigger": 5, "be_offset": 2})
+    kind = "trade_id long, rules string, seq long, no long, high double, low double, close double, spread double, main_close double, main_spread double, main_range double"
+    steps = list(enumerate([(1.1001, 1.1), (1.1008, 1.1004), (1.1006, 1.1003), (1.1003, 1.1001), (1.1001, 1.1)]))
+
+    def run(part):
+        for k, (high, low) in part:
+            spark.createDataFrame([(1, rules, k, k, high, low, low, 0.0, low, 0.0, high - low)], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        managed_positions(source).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
+
+    run(steps[:2])
+    run(steps[2:])
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("seq").collect()
     assert [(r["seq"], r["action"], round(r["value"], 4)) for r in got] == [(1, "modify_sl", 1.1002), (3, "close", 1.1002)]
+
+
+def test_one_batch_or_many_leave_the_same_numbers():
+    import pandas as pd
+
+    from chronosweep.operators import positions
+
+    rng = np.random.default_rng(9)
+    mid = 1.1 + np.cumsum(rng.normal(0, 2e-4, 200))
+    bars = pd.DataFrame({"seq": range(200), "no": np.arange(200) // 4, "high": mid + 2e-4, "low": mid - 2e-4, "close": mid, "spread": 1e-5})
+    by = bars.groupby("no")
+    bars["main_close"], bars["main_spread"], bars["main_range"] = by["close"].transform("last"), 1e-5, by["high"].transform("max") - by["low"].transform("min")
+    trade = {"direction": 1, "entry_price": 1.1, "sl_price": 1.05, "tp_price": 1.2, "atr_pips": 10.0, "pip": 1e-4, "entry_no": -1, "trailing_mode": 1, "trailing_activate": 3.0, "trailing_distance": 400.0, "stale_enabled": 1, "stale_bars": 3, "stale_atr_thresh": 0.01}
+    whole, _, _ = positions.proceed(positions.begin(trade), [], bars)
+    numbers, ranges = positions.begin(trade), []
+    for at in range(0, 200, 7):
+        numbers, ranges, _ = positions.proceed(numbers, ranges, bars.iloc[at : at + 7])
+    assert len(ranges) == 3 and np.allclose(numbers, whole, equal_nan=True)
