@@ -28,13 +28,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronosweep.llm.common import slices, text_of
+from chronosweep.llm.common import Bounded, slices, text_of
 
 _NONE = 1 << 62
 #: Bytes of the pieces whose prefixes share one table.
 SHORT = 64
-#: Entries a task keeps of each kind before it starts afresh.
-KEPT = 300_000
+#: Bytes that a task keeps of each kind before it starts afresh.
+KEPT = 64 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,20 +42,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-class Bounded(dict):
-    """A dict that fills itself by a function and is emptied when full."""
-
-    def __init__(self, make: Callable, most: int = KEPT):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
-
-
 class PrefixEncoder:
     """Ranks, and each prefix's last token, by the prefix itself."""
 
@@ -64,10 +50,10 @@ class PrefixEncoder:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.id_bytes = {rank: rank.to_bytes(4, "little") for rank in ranks.values()}
         self.longest = max(map(len, ranks), default=1)
-        self.halves = Bounded(self._halves)
-        self.fits = Bounded(self._fits)
-        self.last = Bounded(self._last)
-        self.encoded = Bounded(self._encoded)
+        self.halves = Bounded(self._halves, KEPT)
+        self.fits = Bounded(self._fits, KEPT)
+        self.last = Bounded(self._last, KEPT)
+        self.encoded = Bounded(self._encoded, KEPT)
 
     def _halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; itself twice for a byte; None if merging never makes it."""
@@ -178,8 +164,8 @@ class TextEncoder:
         self.pieces = PrefixEncoder(ranks)
         self.find = regex.compile(pattern).findall
         self.token_bytes = [self.pieces.bytes_of.get(i, b"") for i in range(max(self.pieces.bytes_of, default=-1) + 1)]
-        self.stretches = Bounded(self._stretch)
-        self.spaced = Bounded(lambda word: self._stretch(" " + word))
+        self.stretches = Bounded(self._stretch, KEPT)
+        self.spaced = Bounded(lambda word: self._stretch(" " + word), KEPT)
 
     def _stretch(self, text: str) -> bytes:
         encoded = self.pieces.encoded

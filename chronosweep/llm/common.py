@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handled at once inside a task; Arrow batches are cut to this so that
-#: long texts don't sit in memory as Python strings all together.
-ROWS = 256
+#: Rows and bytes handled at once inside a task; Arrow batches are cut to these so that
+#: long texts don't sit in memory as Python objects all together.
+ROWS, BYTES = 256, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready_checkpoints(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; set a local one only where none is named (tests)."""
+    """Use the shared checkpoint folder that the session names.  Only a local session without one gets a folder of its own."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", "")
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints", "chronosweep"))
+    if sc.getCheckpointDir() is not None:
+        return
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints", "chronosweep"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -33,10 +36,45 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS, most: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of at most so many rows and bytes; a larger row is a part of its own."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+            yield from _halved(batch.slice(at, rows), most)
+
+
+def _halved(part: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    if part.num_rows < 2 or part.nbytes <= most:
+        yield part
+    else:
+        half = part.num_rows // 2
+        yield from _halved(part.slice(0, half), most)
+        yield from _halved(part.slice(half), most)
+
+
+class Bounded(dict):
+    """A dict that fills itself by a function and is emptied when its keys and values pass so many bytes.  Keys over a thousandth of that aren't kept."""
+
+    def __init__(self, make: Callable, most: int = 32 << 20):
+        super().__init__()
+        self.make, self.most, self.held = make, most, 0
+
+    def __missing__(self, key):
+        value = self.make(key)
+        weight = 200 + sum(_weight(x) for x in (key, value))
+        if weight * 1000 <= self.most:
+            self.held += weight
+            if self.held > self.most:
+                self.clear()
+                self.held = weight
+            self[key] = value
+        return value
+
+
+def _weight(x) -> int:
+    if isinstance(x, tuple):
+        return 56 + sum(map(_weight, x))
+    return len(x) if isinstance(x, (str, bytes)) else 32
 
 
 def text_of(name: str = "text") -> Column:

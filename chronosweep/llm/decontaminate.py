@@ -38,8 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronosweep.llm.bpe import Bounded
-from chronosweep.llm.common import slices, text_of
+from chronosweep.llm.common import Bounded, slices, text_of
 
 WORDS, LEAST = 5, 0.8
 HASHES = 24
@@ -69,7 +68,7 @@ def size_class(shingles: int) -> int:
 
 class _Hasher:
     def __init__(self):
-        self.word = Bounded(lambda w: xxhash.xxh64_intdigest(w.encode(), SEED), 300_000)
+        self.word = Bounded(lambda w: xxhash.xxh64_intdigest(w.encode(), SEED))
 
     def words(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.word.__getitem__, words), "u8", len(words))
