@@ -9,7 +9,8 @@ task of its own.  Places inside a shard come from counts by bucket, so no task s
 a whole shard.
 
 A group larger than a shard's fair share can't stay together under the law `bytes`:
-it is split by a hash of the id.
+it is split by a number of each of its rows, so repeated and null ids split too.  Tokens
+are counted as runs of characters that aren't white space.
 
 Defined results: null text has no bytes, size 1 and CRC 0, and is a group of its own
 apart from empty text; null ids are kept; repeated rows each get a place; shards may
@@ -50,6 +51,7 @@ def shard_documents(documents: DataFrame, shards: int = 8, doc_id: str = "doc_id
     spark = documents.sparkSession
     body = F.col(text)
     rows = documents.select(
+        F.monotonically_increasing_id().alias("row"),
         F.col(doc_id).alias("id"),
         (F.coalesce(F.octet_length(body), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(body, F.lit("")).cast("binary")).alias("crc"),
@@ -64,7 +66,7 @@ def shard_documents(documents: DataFrame, shards: int = 8, doc_id: str = "doc_id
     too_large = {r["text_key"]: math.ceil(shards * r["bytes"] / fair) for r in whole.where(F.col("bytes") > fair).collect()}  # fewer than `shards`
     part = F.lit(0).cast("long")
     for key, parts in too_large.items():
-        part = F.when(F.col("text_key") == key, F.pmod(F.xxhash64("id"), F.lit(parts))).otherwise(part)
+        part = F.when(F.col("text_key") == key, F.pmod(F.xxhash64("row"), F.lit(parts))).otherwise(part)
     rows = rows.withColumn("part", part)
     groups = cut(rows.groupBy("text_key", "part").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")))
 
@@ -90,10 +92,10 @@ def shard_documents(documents: DataFrame, shards: int = 8, doc_id: str = "doc_id
     placed = dealt.groupBy("block").applyInPandas(place, kind)
     first = spark.createDataFrame([(k, int(p), int(s)) for k, p, s in zip(large["text_key"], large["part"], where, strict=True)], kind)
     buckets = max(1, math.ceil(total[2] / shards / BUCKET))
-    at = rows.join(placed.unionByName(first), ["text_key", "part"]).withColumn("bucket", F.pmod(F.xxhash64("id", "text_key"), F.lit(buckets)))
-    at = cut(at.select("id", "size", "crc", "shard", "bucket"))
+    at = rows.join(placed.unionByName(first), ["text_key", "part"]).withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
+    at = cut(at.select("row", "id", "size", "crc", "shard", "bucket"))
     counts = at.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = counts.select("shard", "bucket", F.expr("sum(n) over (partition by shard order by bucket) - n").alias("before"))
-    numbered = at.withColumn("k", F.expr("row_number() over (partition by shard, bucket order by id, crc, size) - 1"))
+    numbered = at.withColumn("k", F.expr("row_number() over (partition by shard, bucket order by id, crc, size, row) - 1"))
     out = numbered.join(before, ["shard", "bucket"])
     return out.select(F.col("id").alias(doc_id), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("k")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
