@@ -16,7 +16,8 @@ fewer distinct ones than ``DISTINCT`` of their class, are looked up by all their
 shingles and are candidates wherever a document holds enough of them, so none is missed.
 Other items whose shingles are scattered over a document can be missed more often.
 
-Items go to the tasks in blocks of bounded size; documents aren't shuffled.
+Distinct item texts go to the tasks in blocks of bounded size, and ids join what is found
+by a key of the text; documents aren't shuffled.
 
 Words are runs of letters and digits in lower case, shingles five words.  Defined
 results: an item of fewer words is one shingle of all its words; items and documents
@@ -38,14 +39,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronosweep.llm.common import Bounded, slices, text_of
+from chronosweep.llm.common import Bounded, cut, slices, text_of
 
 WORDS, LEAST = 5, 0.8
 HASHES = 24
 #: Share of its class's size that an item's distinct shingles must reach to be searched by minima.
 DISTINCT = 0.7
-#: Words of items that go to the tasks at once.
-ITEM_WORDS = 2_000_000
+#: Bytes of distinct item texts that go to the tasks at once.
+ITEM_BYTES = 8 << 20
 SEED = 9
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^\W_]+")
@@ -194,52 +195,54 @@ class ItemIndex:
         return out
 
 
-def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[ItemIndex]:
-    held = items.select(F.col(item_id).alias("id"), text_of(text).alias("t"))
-    words = held.agg(F.sum(F.regexp_count("t", F.lit(r"\S+")))).first()[0] or 0
-    parts = max(1, math.ceil(words / ITEM_WORDS))
+def _keyed(items: DataFrame, text: str) -> DataFrame:
+    return items.withColumn("_t", text_of(text)).withColumn("_key", F.sha2(F.col("_t").cast("binary"), 256))
+
+
+def _blocks(items: DataFrame, text: str) -> Iterator[ItemIndex]:
+    """Indexes of distinct item texts under their keys."""
+    held = cut(_keyed(items, text).groupBy("_key").agg(F.first("_t").alias("_t")))
+    size = held.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
+    parts = max(1, math.ceil(size / ITEM_BYTES))
     for k in range(parts):
-        rows = held.where(F.pmod(F.xxhash64("t"), F.lit(parts)) == k).collect()
-        yield ItemIndex([(r["id"], r["t"]) for r in sorted(rows, key=lambda r: (r["id"] is None, r["id"] or 0, r["t"]))])
+        rows = held.where(F.pmod(F.xxhash64("_key"), F.lit(parts)) == k).collect()
+        yield ItemIndex(sorted((r["_key"], r["_t"]) for r in rows))
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """doc_id, item_id, n_shingles, n_found, containment: the items that a document holds to 0.8 or more."""
-    ids, kinds = documents.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+    ids = documents.schema[doc_id].dataType.simpleString()
     held = documents.select(F.col(doc_id).alias("id"), text_of(text).alias("t"))
     out = None
-    for index in _blocks(items, item_id, text):
+    for index in _blocks(items, text):
         shared = documents.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            hasher, schema = _Hasher(), None
+            hasher = _Hasher()
             for batch in slices(batches):
                 found = shared.value.search([words_of(t) for t in batch.column(1).to_pylist()], hasher)
                 owner = [i for i, pairs in enumerate(found) for _ in pairs]
                 flat = [p for pairs in found for p in pairs]
-                schema = schema or pa.schema([("doc", batch.schema.field(0).type), ("item", to_arrow_type(kinds)), ("n_shingles", pa.int64()), ("n_found", pa.int64())])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *(pa.array([p[k] for p in flat], schema.types[k + 1]) for k in range(3))], schema=schema)
+                kinds = pa.string(), pa.int64(), pa.int64()
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *(pa.array([p[k] for p in flat], kind) for k, kind in enumerate(kinds))], ["doc", "_key", "n_shingles", "n_found"])
 
-        part = held.mapInArrow(run, f"doc {ids}, item {kinds}, n_shingles long, n_found long")
+        part = held.mapInArrow(run, f"doc {ids}, _key string, n_shingles long, n_found long")
         out = part if out is None else out.unionByName(part)
-    return out.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment"))
-
-
-def to_arrow_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    named = _keyed(items, text).select("_key", F.col(item_id).alias("_item"))
+    return out.join(named, "_key").select(F.col("doc").alias(doc_id), F.col("_item").alias(item_id), "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment"))
 
 
-def drop_leaks(documents: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+def drop_leaks(documents: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """documents without those that hold an item."""
     at = documents.columns.index(text)
-    for index in _blocks(items, item_id, text):
+    for index in _blocks(items, text):
         shared = documents.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             hasher = _Hasher()
             for batch in slices(batches):
                 found = shared.value.search([words_of(t) for t in batch.column(at).to_pylist()], hasher)
-                yield batch.filter(pa.array([not pairs for pairs in found]))
+                yield batch.filter(pa.array([not pairs for pairs in found], pa.bool_()))
 
         documents = documents.mapInArrow(run, documents.schema)
     return documents
