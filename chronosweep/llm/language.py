@@ -10,8 +10,7 @@ a score, and a floor under it, fitted so that one in two hundred right answers f
 below, marks doubtful texts as rejected.
 
 The models learn from a bounded sample: of each language the ``sample`` rows of least
-id hash, and of each row a stretch of ``window`` code points from a hashed place.
-Predictions read whole texts.
+id hash, read whole.  Predictions read whole texts.
 
 Defined results: null text and text without a letter get `und`, score 0 and are
 rejected; with nothing to learn from, so does everything; ties go to the language
@@ -29,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronosweep.llm.common import slices, text_of
+from chronosweep.llm.common import cut, slices, text_of
 
 ORDER, DISCOUNT = 4, 0.75
-SAMPLE, WINDOW = 400, 4096
+SAMPLE = 200
 UNSEEN = 1 << 16  # symbols that the lowest order spreads its rest over
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _letters: list[np.ndarray] = []
@@ -173,16 +172,17 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit_languages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, window: int = WINDOW) -> LanguageModel:
+def fit_languages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> LanguageModel:
     """Learn from rows with a language that aren't held out."""
     rows = documents.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
     ids = rows.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang")).distinct()
-    # the rank's bound holds in each task before the shuffle too
-    chosen = ids.withColumn("k", F.expr("row_number() over (partition by lang order by xxhash64(id, 10), id)")).where(F.col("k") <= sample).drop("k")
-    length = F.length("t")
-    start = F.when(length > window, F.pmod(F.xxhash64("id", F.lit(11)), length - window)).otherwise(0).cast("int")
+    # ids whose hash can't be among the least of their language, by a margin of four, never meet in one task
+    ids = cut(ids.withColumn("h", F.xxhash64("id", F.lit(10))))
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("size"))
+    few = ids.join(sizes, "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("size") <= 4 * sample + 100)
+    chosen = few.withColumn("k", F.expr("row_number() over (partition by lang order by h, id)")).where(F.col("k") <= sample).select("id", "lang")
     held = rows.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("t"))
-    taken = held.join(F.broadcast(chosen), ["id", "lang"]).groupBy("lang", "id").agg(F.min(F.substring("t", start + 1, F.lit(window))).alias("t")).collect()
+    taken = held.join(F.broadcast(chosen), ["id", "lang"]).groupBy("lang", "id").agg(F.min("t").alias("t")).collect()
     names = sorted({r["lang"] for r in taken})
     if not names:
         return LanguageModel([], [], [])
