@@ -29,12 +29,14 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"  # a run of 20 or more, as runs are maximal
 HEX = r"[0-9a-f]{24,}"
 # The weak candidates of the linking step.
 IDENT = r"""(?i)(?:client_id|key_id|account|username|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}"""
-OPAQUE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}"
+OPAQUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{32,}"  # letters and digits both
 ENDPOINT = r"""(?:https?|s3|jdbc:[a-z]+)://[^\x20\x09-\x0D"'<>|]+"""
 KINDS = ("assign", "access", "hex", "ident", "opaque", "endpoint")
 BASE = 3
 REACH = 400
 ASSIGN_MIN = 6
+#: Spans that may be sent to all tasks.
+SENT = 200_000
 
 _SPAN = "struct<start:int,rank:int,end:int>"
 
@@ -134,6 +136,9 @@ def mask_secrets(documents: DataFrame, mark: str = "[SECRET]", doc_id: str = "do
     """documents with every span of `text` replaced by a mark; spans that overlap become one mark.  Other columns stay."""
     columns = documents.columns
     spans = _joined(_found(documents, [doc_id], doc_id, text), reach).where(F.size("every") > 0).groupBy("row_key").agg(F.first("every").alias("every"))
+    spans = cut(spans)
+    few = (spans.agg(F.sum(F.size("every"))).first()[0] or 0) <= SENT
+    spans = F.broadcast(spans) if few else spans  # texts aren't shuffled for the few that have spans
     held = documents.select(F.struct(*columns).alias("c"), _row_key(doc_id, text).alias("row_key"))
     rows = held.join(spans, "row_key", "left").select("c", F.coalesce("every", F.array().cast(f"array<{_SPAN}>")).alias("every"))
     body = F.coalesce(F.col("c").getField(text), F.lit(""))
