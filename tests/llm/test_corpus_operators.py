@@ -260,6 +260,40 @@ def test_a_large_group_is_split(spark):
     assert max(weights.values()) - min(weights.values()) <= 0.1 * sum(weights.values()) / 4
 
 
+def test_repeated_rows_and_null_ids_are_split_too(spark):
+    for same in (5, None):
+        rows = [(same, "the same text") for _ in range(900)] + [(1000 + k, f"other {k}") for k in range(300)]
+        got = sharding.shard_documents(odd_documents(spark, rows), shards=4).collect()
+        weights, slots = Counter(), defaultdict(list)
+        for r in got:
+            weights[r["shard"]] += r["size"]
+            slots[r["shard"]].append(r["slot"])
+        assert max(weights.values()) - min(weights.values()) <= 0.1 * sum(weights.values()) / 4
+        assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_joint_balance_of_shards(spark):
+    got = queries.op6_sharding(spark, LARGER).collect()
+    words = {i: len((t or "").split()) for i, t in rows_of("documents", "doc_id, text", LARGER)}
+    tokens, rows = Counter(), Counter()
+    for r in got:
+        tokens[r["shard"]] += words[r["doc_id"]]
+        rows[r["shard"]] += 1
+    for share in (tokens, rows):
+        assert max(share.values()) - min(share.values()) <= 0.25 * sum(share.values()) / 8
+
+
+# Ids of any kind
+
+
+def test_leaks_with_ids_of_any_kind(spark):
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(LEAKS)], "doc_id int, text string")
+    for kind in ("string", "smallint", "decimal(5,0)"):
+        items = spark.createDataFrame([(i, t) for i, t in ITEMS], "item_id long, text string").selectExpr(f"CAST(item_id AS {kind}) AS item_id", "text")
+        items = items.unionByName(items.limit(0)) if kind != "string" else items.selectExpr("coalesce(item_id, '') AS item_id", "text")
+        assert decontaminate.find_leaks(docs, items).count() == sum(leak_rows([(k, t) for k, (_, t) in enumerate(LEAKS)], ITEMS).values())
+
+
 # Learned operators
 
 

@@ -151,7 +151,7 @@ def every_span(text: str):
     base = base_spans(text)
     weak = [(m.start(), rank, m.end()) for rank, pattern in ((3, secrets.IDENT), (4, secrets.OPAQUE), (5, secrets.ENDPOINT)) for m in re.finditer(pattern, text, re.ASCII)]
     parts = base + [w for w in weak if not any(b[0] < w[2] and w[0] < b[2] for b in base)]
-    near = lambda w, ranks: any(p[1] in ranks and abs(p[0] - w[0]) <= secrets.REACH for p in parts)
+    near = lambda w, ranks: any(p[1] in ranks and max(p[0] - w[2], w[0] - p[2]) <= secrets.REACH for p in parts)
     ids, values = (1, 3), (0, 2, 4)
     ok = {3: lambda w: near(w, values), 4: lambda w: near(w, ids), 5: lambda w: near(w, ids) and near(w, values)}
     return sorted(base + [p for p in parts if p[1] >= 3 and ok[p[1]](p)])
@@ -207,3 +207,12 @@ def test_masked_secrets(spark):
         return "".join([*out, text[at:]])
 
     assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter((i, t if t is None else masked(t)) for i, t in SECRETS)
+
+
+def test_a_tokenizer_that_keeps_white_space_is_refused(spark):
+    with pytest.raises(ValueError):
+        token_counts.count_tokens(odd_documents(spark), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_dashes_are_no_secret():
+    assert not re.search(secrets.OPAQUE, "-" * 40) and not re.search(secrets.OPAQUE, "abc" * 20) and re.search(secrets.OPAQUE, "a1" * 16)
