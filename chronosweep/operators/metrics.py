@@ -114,5 +114,6 @@ def with_dsr(metrics: DataFrame) -> DataFrame:
     n = metrics.agg(F.count("*").cast("double").alias("_n"))
     best = (1 - EULER) * norm_ppf(1 - 1 / F.col("_n")) + EULER * norm_ppf(1 - 1 / (F.col("_n") * math.e))
     rows = metrics.join(F.broadcast(n.withColumn("_best", F.when(F.col("_n") > 1, best))))
-    p = F.least(F.greatest("psr", F.lit(1e-12)), F.lit(1 - 1e-12))
-    return rows.withColumn("dsr", F.when(F.col("_n") < 2, F.col("psr")).otherwise(norm_cdf(norm_ppf(p) - F.col("_best")))).drop("_n", "_best")
+    rows = rows.withColumn("_p", F.least(F.greatest("psr", F.lit(1e-12)), F.lit(1 - 1e-12)))
+    rows = rows.withColumn("_z", norm_ppf(F.col("_p")) - F.col("_best"))
+    return rows.withColumn("dsr", F.when(F.col("_n") < 2, F.col("psr")).otherwise(norm_cdf(F.col("_z")))).drop("_n", "_best", "_p", "_z")

@@ -62,7 +62,7 @@ def trades_of(trials: DataFrame, signals: DataFrame, max_spread_pips: float = 0.
 def evaluate(trials: DataFrame, signals: DataFrame, mains: DataFrame, path: DataFrame, costs: DataFrame | None = None, slippage: float = 0.5, commission: float = 0.0, max_spread_pips: float = 0.0, stale_bars: int = 64) -> DataFrame:
     """The log of all trades of a sweep: trial_id, pair, i (its place in the trial), signal_id, direction, stops, entry, exit and pnl.
 
-    Pips are kept to eight places, so that trades that end alike are equal and a trial of such has no deviation.
+    Pips are kept to six places, so that trades that end alike are equal and a trial of such has no deviation.
 
     costs: pair, slippage_pips; pairs that it lacks have `slippage`.  mains and path come from `positions`.
     """
@@ -73,7 +73,7 @@ def evaluate(trials: DataFrame, signals: DataFrame, mains: DataFrame, path: Data
     keep = ["trial_id", "pair", "signal_id", "variant_id", "s", "sl_pips", "direction", "sl_price", "tp_price", "entry_no", "entry_spread"]
     done = positions.simulate(rows, path, stale_bars, keep)
     place = F.row_number().over(Window.partitionBy("trial_id", "pair").orderBy("entry_no", "signal_id"))
-    log = ["trial_id", "pair", "signal_id", "variant_id", F.col("s").alias("signal_s"), F.col("direction").cast("int").alias("direction"), F.round("sl_pips", 8).alias("sl_pips"), "sl_price", "tp_price", F.col("entry_cost_price").alias("entry_price"), "entry_no", "entry_spread", "exit_no", "exit_s", "exit_price", "exit_reason", F.round("pnl", 8).alias("pnl")]
+    log = ["trial_id", "pair", "signal_id", "variant_id", F.col("s").alias("signal_s"), F.col("direction").cast("int").alias("direction"), F.round("sl_pips", 6).alias("sl_pips"), "sl_price", "tp_price", F.col("entry_cost_price").alias("entry_price"), "entry_no", "entry_spread", "exit_no", "exit_s", "exit_price", "exit_reason", F.round("pnl", 6).alias("pnl")]
     return done.withColumn("i", place).select(*log, "i")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chronosweep.functions.exprs import hour_of, session_name
 from chronosweep.functions.lineage import cut
 from chronosweep.operators import metrics, positions, ranking, signals, space, sweep
-from chronosweep.plans.catalogue import _NAMED, _VARIANTS, H1, LIBRARY, LIBRARY_SQL, MEASURED, bars, bars_cte, metrics_sql, query, rounded
+from chronosweep.plans.catalogue import _NAMED, _VARIANTS, H1, LIBRARY, LIBRARY_SQL, MEASURED, METRIC_SQL, bars, bars_cte, metrics_sql, query, rounded
 
 TRIALS, SEED, SLIPPAGE, COMMISSION, MAX_SPREAD = 500, 7, 0.5, 0.3, 6.0
 _I, _R, _C = space.IntRange, space.FloatRange, space.Choice
@@ -39,7 +39,7 @@ _SETUP = ", ".join([
     "sg AS (SELECT ls0.variant_id, ls0.direction, mn.pair, mn.s, mn.no, mn.last_no, mn.close AS entry, mn.spread, first_spread, e_14 / 1e-4 AS atr, (mn.s // 3600) % 24 AS hour, (mn.s // 86400 + 3) % 7 AS day FROM ls0 JOIN mn ON mn.pair = ls0.pair AND mn.s = ls0.s JOIN la ON la.pair = ls0.pair AND la.s = ls0.s JOIN os ON os.pair = ls0.pair AND os.s = ls0.s)",
     "st AS (SELECT tt.*, sg.*, CASE CAST(sl_mode AS INTEGER) WHEN 1 THEN atr * 1e-4 * sl_atr_mult WHEN 2 THEN atr * 1e-4 * 1.5 ELSE sl_fixed_pips * 1e-4 END AS sl_d FROM tt JOIN sg ON (signal_variant = -1 OR signal_variant = variant_id) AND ((CAST(days_bitmask AS INTEGER) >> CAST(day AS INTEGER)) & 1) = 1 AND CASE WHEN hours_start <= hours_end THEN hour BETWEEN hours_start AND hours_end ELSE hour >= hours_start OR hour <= hours_end END AND spread / 1e-4 <= {spread})",
     "tp0 AS (SELECT *, greatest(sl_d, CASE CAST(tp_mode AS INTEGER) WHEN 1 THEN atr * 1e-4 * tp_atr_mult WHEN 2 THEN tp_fixed_pips * 1e-4 ELSE sl_d * tp_rr END) AS tp_d, row_number() OVER () AS id, {slip}e0 * 1e-4 AS slip FROM st)",
-    "tr AS (SELECT *, entry - direction * sl_d AS sl, entry + direction * tp_d AS tp, round(sl_d / 1e-4, 8) AS sl_pips, CASE WHEN direction = 1 THEN entry + slip + coalesce(first_spread, 0) ELSE entry - slip END AS cost FROM tp0)",
+    "tr AS (SELECT *, entry - direction * sl_d AS sl, entry + direction * tp_d AS tp, round(sl_d / 1e-4, 6) AS sl_pips, CASE WHEN direction = 1 THEN entry + slip + coalesce(first_spread, 0) ELSE entry - slip END AS cost FROM tp0)",
     "ps AS (SELECT mn.pair, no, u.s, u.high, u.low, u.close, u.spread, mn.close AS mc, mn.spread AS msp, row_number() OVER (PARTITION BY mn.pair ORDER BY u.s) AS k, row_number() OVER (PARTITION BY mn.pair, no ORDER BY u.s) = 1 AS is_first FROM mn JOIN u ON u.pair = mn.pair AND CAST(u.s // 3600 * 3600 AS BIGINT) = mn.s)",
     "rr AS (SELECT pair, no, CAST(n AS DOUBLE) AS n, max(high - low) OVER (PARTITION BY pair, n ORDER BY no ROWS BETWEEN (n - 1) PRECEDING AND CURRENT ROW) AS roll FROM mn, range(2, 9) r(n))",
     "kk AS (SELECT pair, no, min(k) AS k FROM ps GROUP BY 1, 2)",
@@ -65,14 +65,15 @@ _LOG = ", ".join([
     _SETUP, f"w AS ({_W0} UNION ALL {_W6})",
     "lw AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1)",
     "ex AS (SELECT tr.*, coalesce(size, 1) AS size, coalesce(gained, 0) AS gained, coalesce(reason, 'NONE') AS why, CASE WHEN reason IS NULL THEN e.close ELSE price END AS px, CASE WHEN reason IS NULL THEN CASE WHEN direction = 1 THEN e.close - slip - cost ELSE cost - e.close - slip END ELSE raw END AS raw, CASE WHEN reason IS NULL THEN e.no ELSE exit_no END AS exit_no, CASE WHEN reason IS NOT NULL THEN exit_s END AS exit_s, CASE WHEN direction = 1 THEN 0 WHEN reason IS NULL THEN coalesce(e.spread, 0) ELSE coalesce(sp, 0) END AS sp FROM tr LEFT JOIN lw ON lw.id = tr.id JOIN mn e ON e.pair = tr.pair AND e.no = tr.last_no)",
-    f"lg AS (SELECT *, round(gained + raw / 1e-4 * size - sp / 1e-4 * size - {COMMISSION}e0, 8) AS pnl, px + sp AS exit_price, row_number() OVER (PARTITION BY trial_id, pair ORDER BY no, variant_id) AS i FROM ex)",
+    f"lg AS (SELECT *, round(gained + raw / 1e-4 * size - sp / 1e-4 * size - {COMMISSION}e0, 6) AS pnl, px + sp AS exit_price, row_number() OVER (PARTITION BY trial_id, pair ORDER BY no, variant_id) AS i FROM ex)",
 ])
 _SWEEP = f"{H1}, {_trials_sql(TRIALS)}, {_LOG}"
 _T = "mt0 AS (SELECT pair || '|' || trial_id AS trial_id, i, pnl, sl_pips AS sl, CAST(last_no AS DOUBLE) AS nb FROM lg)"
 _EVERY = "ev AS (SELECT tt.trial_id AS trial, p.pair FROM tt, (SELECT DISTINCT pair FROM mn) p)"
 NAMES = [m for m in metrics.METRICS if m not in ("dsr", *metrics.UNTRACKED)]
-# pips have eight places, so sums of them are told to eight; ratios to six
-_MEASURES = ", ".join(metrics_sql([m], 8 if m == "total_pips" else 6) for m in NAMES)
+# pips have six places, so their sums and means often stand on the border of two roundings; a billionth more is on neither engine's
+BORDER, ON_BORDER = 1e-9, ("total_pips", "expectancy_pips")
+_MEASURES = ", ".join(f"round({METRIC_SQL[m]} + {BORDER!r}, 6) AS {m}" if m in ON_BORDER else metrics_sql([m], 6) for m in NAMES)
 _ALL = f"{_SWEEP}, {_T}, {MEASURED}, mm AS (SELECT trial_id AS key, {_MEASURES} FROM k), {_EVERY}, sw AS (SELECT ev.pair, ev.trial AS trial_id, {', '.join(f'coalesce({c}, 0) AS {c}' for c in NAMES)} FROM ev LEFT JOIN mm ON mm.key = ev.pair || '|' || ev.trial)"
 
 
@@ -86,11 +87,11 @@ def run_sweep(spark, sf_dir, trials: int = TRIALS):
     return sampled, log, mains.groupBy("pair").agg(F.max("last_no").alias("n_bars"))
 
 
-@query(f"{_SWEEP} SELECT trial_id, pair, CAST(no * {len(_VARIANTS)} + variant_id AS BIGINT) AS signal_id, CAST(variant_id AS BIGINT) AS variant_id, s AS signal_s, CAST(direction AS INTEGER) AS direction, round(sl_pips, 6) AS sl_pips, round(sl, 8) AS sl_price, round(tp, 8) AS tp_price, round(cost, 8) AS entry_price, no AS entry_no, round(first_spread, 8) AS entry_spread, exit_no, exit_s, round(exit_price, 8) AS exit_price, why AS exit_reason, round(pnl, 6) AS pnl, i FROM lg")
+@query(f"{_SWEEP} SELECT trial_id, pair, CAST(no * {len(_VARIANTS)} + variant_id AS BIGINT) AS signal_id, CAST(variant_id AS BIGINT) AS variant_id, s AS signal_s, CAST(direction AS INTEGER) AS direction, sl_pips, round(sl, 8) AS sl_price, round(tp, 8) AS tp_price, round(cost, 8) AS entry_price, no AS entry_no, round(first_spread, 8) AS entry_spread, exit_no, exit_s, round(exit_price, 8) AS exit_price, why AS exit_reason, pnl, i FROM lg")
 def sim_full(spark, sf_dir):
     """The log of all trades of a sweep: every rule of managed positions, with costs, to the end of data."""
     log = run_sweep(spark, sf_dir)[1]
-    return rounded(rounded(log, "sl_price", "tp_price", "entry_price", "entry_spread", "exit_price"), "sl_pips", "pnl", places=6).withColumn("i", F.col("i").cast("long"))
+    return rounded(log, "sl_price", "tp_price", "entry_price", "entry_spread", "exit_price").withColumn("i", F.col("i").cast("long"))
 
 
 @query(f"{_ALL} SELECT * FROM sw")
@@ -98,7 +99,8 @@ def batch_eval(spark, sf_dir):
     """All metrics of every trial of a sweep on every pair; trials without trades have zeros."""
     sampled, log, pairs = run_sweep(spark, sf_dir)
     found = sweep.sweep_metrics(log, sampled, pairs).drop("max_dd", *metrics.UNTRACKED)
-    return rounded(rounded(found, "total_pips"), *[c for c, kind in found.dtypes if kind == "double" and c != "total_pips"], places=6)
+    found = found.withColumns({c: F.col(c) + BORDER for c in ON_BORDER})
+    return rounded(found, *[c for c, kind in found.dtypes if kind == "double"], places=6)
 
 
 _DRAWN = [m for m in NAMES if m not in ("quality_v2", "omega")]
