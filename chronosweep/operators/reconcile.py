@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronosweep.functions.exprs import pip
@@ -39,28 +39,75 @@ def residuals(bt: DataFrame, live: DataFrame, matched: DataFrame) -> DataFrame:
     return missing.unionByName(live.join(matched.select("live_id"), "live_id", "left_anti").select(F.lit("extra").alias("side"), F.col("live_id").alias("id"), "pair"))
 
 
-def classify(matched: DataFrame, entry: float = 2.0, exit_: float = 2.0, pnl: float = 1.0) -> DataFrame:
-    """matched with deltas in pips and the categories in which the sides differ; unknown deltas flag nothing."""
-    per, side = pip(F.col("pair")), F.when(F.col("direction") > 0, 1).otherwise(-1)
+# The categories in which two sides of a match can differ.
+CATEGORIES = ("mismatched_entry_price", "mismatched_exit_price", "mismatched_pnl", "mismatched_signal", "mismatched_spread", "mismatched_slippage", "mismatched_closure")
+
+
+def canonical_reason(reason: Column) -> Column:
+    """SL, TP, or OTHER for exits that the other side can't name."""
+    return F.when(reason.isin("SL", "TP"), reason).otherwise("OTHER")
+
+
+def classify(matched: DataFrame, entry: float = 2.0, exit_: float = 2.0, pnl: float = 1.0, spread: float = 0.5, slippage: float = 1.0) -> DataFrame:
+    """matched with deltas in pips and the categories in which the sides differ; what one side lacks, or isn't a finite number, flags nothing.
+
+    Columns are bt_ and live_ entry, exit and pnl, and where they are there variant, spread and close, and live_slippage.
+    """
+    have = set(matched.columns)
+    kinds = {"variant": "long", "close": "string"}
+
+    def get(side: str, name: str) -> Column:
+        column = F.col(f"{side}_{name}") if f"{side}_{name}" in have else F.lit(None)
+        column = column.cast(kinds.get(name, "double"))
+        return column if name in kinds else F.when(F.isnan(column) | (F.abs(column) == float("inf")), None).otherwise(column)
+
+    per, way = pip(F.col("pair")), F.when(F.col("direction") > 0, 1).otherwise(-1)
     out = matched.withColumns({
-        "entry_delta": (F.col("live_entry") - F.col("bt_entry")) / per * side,
-        "exit_delta": (F.col("live_exit") - F.col("bt_exit")) / per * side,
-        "pnl_delta": F.col("live_pnl") - F.col("bt_pnl"),
+        "entry_delta": (get("live", "entry") - get("bt", "entry")) / per * way,
+        "exit_delta": (get("live", "exit") - get("bt", "exit")) / per * way,
+        "pnl_delta": get("live", "pnl") - get("bt", "pnl"),
+        "spread_delta": get("live", "spread") - get("bt", "spread"),
+        "slippage": get("live", "slippage"),
     })
-    flag = lambda delta, tolerance, name: F.when(F.abs(delta) > tolerance, name)
-    return out.withColumn("categories", F.array_compact(F.array(flag("entry_delta", entry, "mismatched_entry_price"), flag("exit_delta", exit_, "mismatched_exit_price"), flag("pnl_delta", pnl, "mismatched_pnl"))))
+    beyond = {"entry_delta": entry, "exit_delta": exit_, "pnl_delta": pnl}
+    variant = (get("bt", "variant") >= 0) & (get("live", "variant") >= 0) & (get("bt", "variant") != get("live", "variant"))
+    closure = F.coalesce(canonical_reason(get("bt", "close")) != canonical_reason(get("live", "close")), F.lit(False)) if {"bt_close", "live_close"} & have else F.lit(False)
+    tests = [*(F.abs(c) > tolerance for c, tolerance in beyond.items()), variant, F.abs("spread_delta") > spread, F.abs("slippage") > slippage, closure]
+    return out.withColumn("categories", F.array_compact(F.array(*[F.when(test, name) for test, name in zip(tests, CATEGORIES, strict=True)])))
 
 
-def category_counts(classified: DataFrame) -> DataFrame:
-    return classified.select(F.explode("categories").alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+def category_counts(classified: DataFrame, left: DataFrame) -> DataFrame:
+    """category, n: clean matches as `matched`, each kind of difference that occurs, and missing and extra rows, also where there are none."""
+    told = classified.select(F.explode(F.when(F.size("categories") == 0, F.array(F.lit("matched"))).otherwise(F.col("categories"))).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+    rest = left.agg(F.count_if(F.col("side") == "missing").alias("missing_in_live"), F.count_if(F.col("side") == "extra").alias("extra_in_live"))
+    return told.unionByName(rest.select(F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("n")) for c in rest.columns])).alias("r")).select("r.*"))
 
 
 def by_pair(classified: DataFrame, left: DataFrame) -> DataFrame:
-    """By pair: matched rows, clean ones, missing and extra ones, mean deltas."""
-    m = classified.groupBy("pair").agg(F.count("*").alias("matched"), F.count_if(F.size("categories") == 0).alias("clean"), F.avg("entry_delta").alias("mean_entry_delta"), F.avg("pnl_delta").alias("mean_pnl_delta"))
-    r = left.groupBy("pair").agg(F.count_if(F.col("side") == "missing").alias("missing"), F.count_if(F.col("side") == "extra").alias("extra"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return m.join(r, "pair", "full").select("pair", zero("matched"), zero("clean"), zero("missing"), zero("extra"), "mean_entry_delta", "mean_pnl_delta")
+    """By pair: matched, missing and extra rows, pips of both sides and their difference, each kind of difference, mean spread delta and slippage."""
+    pips = lambda c: F.sum(F.coalesce(F.when(~F.isnan(c), F.col(c)), F.lit(0.0)))
+    flags = [F.count_if(F.array_contains("categories", c)).alias(f"n_{c}") for c in CATEGORIES]
+    m = classified.groupBy("pair").agg(F.count("*").alias("matched"), pips("live_pnl").alias("matched_pnl_pips_live"), pips("bt_pnl").alias("matched_pnl_pips_bt"), *flags, F.avg("spread_delta").alias("mean_spread_delta_pips"), F.avg("slippage").alias("mean_slippage_pips"))
+    r = left.groupBy("pair").agg(F.count_if(F.col("side") == "missing").alias("missing_in_live"), F.count_if(F.col("side") == "extra").alias("extra_in_live"))
+    every = m.join(r, "pair", "full")
+    means = ("pair", "mean_spread_delta_pips", "mean_slippage_pips")
+    filled = every.select(*[F.col(c) if c in means else F.coalesce(c, F.lit(0)).alias(c) for c in every.columns])
+    return filled.withColumn("delta_pips", F.col("matched_pnl_pips_live") - F.col("matched_pnl_pips_bt"))
+
+
+def as_live(bt: DataFrame) -> DataFrame:
+    """A backtest's rows in the place of recorded ones, to compare two sources of bars."""
+    return bt.withColumnsRenamed({c: c.replace("bt_", "live_", 1) for c in bt.columns if c.startswith("bt_")})
+
+
+def passes(a: DataFrame, b: DataFrame, live: DataFrame) -> DataFrame:
+    """pass, category, n of three comparisons: the first source with the record (A), the second with it (B), and both sources (C)."""
+    out = None
+    for tag, left, right in (("A", a, live), ("B", b, live), ("C", a, as_live(b))):
+        matched = match_exact(left, right)
+        part = category_counts(classify(matched), residuals(left, right, matched)).select(F.lit(tag).alias("pass"), "category", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def round_trips(deals: DataFrame) -> DataFrame:

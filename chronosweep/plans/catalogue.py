@@ -542,13 +542,37 @@ def slippage_telemetry(spark, sf_dir):
 
 
 def _sides(spark, sf_dir):
-    o = _orders(spark, sf_dir)
-    bt = o.select("pair", "direction", F.col("s").alias("signal_s"), F.col("id").alias("bt_id"), (1 + F.col("id") % 100 * 0.001).alias("bt_entry"), (1 + F.col("id") % 90 * 0.001).alias("bt_exit"), (F.col("id") % 50).cast("double").alias("bt_pnl"))
-    live = o.where("id % 10 <> 3").select("pair", "direction", (F.col("s") + F.when(F.col("id") % 6 == 1, 1800).otherwise(0)).alias("signal_s"), F.col("id").alias("live_id"), (1 + F.col("id") % 100 * 0.001 + F.col("id") % 4 * 0.00015).alias("live_entry"), (1 + F.col("id") % 90 * 0.001).alias("live_exit"), F.when(F.col("id") % 8 != 0, F.col("id") % 50 + F.col("id") % 3).cast("double").alias("live_pnl"))
+    o, i = _orders(spark, sf_dir), F.col("id")
+    told = lambda k, names: F.element_at(F.array(*map(F.lit, names)), (i % k + 1).cast("int"))
+    bt = o.select("pair", "direction", F.col("s").alias("signal_s"), i.alias("bt_id"), (1 + i % 100 * 0.001).alias("bt_entry"), (1 + i % 90 * 0.001).alias("bt_exit"), (i % 50).cast("double").alias("bt_pnl"), (i % 11 - 1).alias("bt_variant"), (i % 5 * 0.4).alias("bt_spread"), told(4, ("SL", "TP", "TRAILING", "NONE")).alias("bt_close"))
+    live = o.where("id % 10 <> 3").select(
+        "pair", "direction", (F.col("s") + F.when(i % 6 == 1, 1800).otherwise(0)).alias("signal_s"), i.alias("live_id"),
+        (1 + i % 100 * 0.001 + i % 4 * 0.00015).alias("live_entry"), (1 + i % 90 * 0.001).alias("live_exit"), F.when(i % 8 != 0, i % 50 + i % 3).cast("double").alias("live_pnl"),
+        (i % 11 - 1 + F.when(i % 17 == 0, 1).otherwise(0)).alias("live_variant"), F.when(i % 19 != 0, i % 5 * 0.4 + i % 3 * 0.3).alias("live_spread"), F.when(i % 23 != 0, (i % 7 - 3) * 0.5).alias("live_slippage"), told(6, ("SL", "TP", "EXPERT", "", "", "")).alias("live_close"),
+    )
     return bt, live
 
 
-_SIDES = f"{ORDERS}, bt AS (SELECT pair, direction, s AS signal_s, id AS bt_id, 1 + id % 100 * 0.001e0 AS bt_entry, 1 + id % 90 * 0.001e0 AS bt_exit, CAST(id % 50 AS DOUBLE) AS bt_pnl FROM o), live AS (SELECT pair, direction, s + CASE WHEN id % 6 = 1 THEN 1800 ELSE 0 END AS signal_s, id AS live_id, 1 + id % 100 * 0.001e0 + id % 4 * 0.00015e0 AS live_entry, 1 + id % 90 * 0.001e0 AS live_exit, CASE WHEN id % 8 <> 0 THEN CAST(id % 50 + id % 3 AS DOUBLE) END AS live_pnl FROM o WHERE id % 10 <> 3), ub AS (SELECT * FROM bt QUALIFY row_number() OVER (PARTITION BY pair, direction, signal_s ORDER BY bt_id DESC) = 1), ul AS (SELECT * FROM live QUALIFY row_number() OVER (PARTITION BY pair, direction, signal_s ORDER BY live_id DESC) = 1), mt AS (SELECT ub.*, live_id, live_entry, live_exit, live_pnl FROM ub JOIN ul ON ub.pair = ul.pair AND ub.direction = ul.direction AND ub.signal_s = ul.signal_s), rs AS (SELECT 'missing' AS side, bt_id AS id, pair FROM bt WHERE bt_id NOT IN (SELECT bt_id FROM mt) UNION ALL SELECT 'extra', live_id, pair FROM live WHERE live_id NOT IN (SELECT live_id FROM mt)), cl AS (SELECT *, (live_entry - bt_entry) / 1e-4 * direction AS ed, (live_exit - bt_exit) / 1e-4 * direction AS xd, live_pnl - bt_pnl AS pd FROM mt)"
+_SIDES = f"{ORDERS}, bt AS (SELECT pair, direction, s AS signal_s, id AS bt_id, 1 + id % 100 * 0.001e0 AS bt_entry, 1 + id % 90 * 0.001e0 AS bt_exit, CAST(id % 50 AS DOUBLE) AS bt_pnl, id % 11 - 1 AS bt_variant, id % 5 * 0.4e0 AS bt_spread, (['SL', 'TP', 'TRAILING', 'NONE'])[id % 4 + 1] AS bt_close FROM o), live AS (SELECT pair, direction, s + CASE WHEN id % 6 = 1 THEN 1800 ELSE 0 END AS signal_s, id AS live_id, 1 + id % 100 * 0.001e0 + id % 4 * 0.00015e0 AS live_entry, 1 + id % 90 * 0.001e0 AS live_exit, CASE WHEN id % 8 <> 0 THEN CAST(id % 50 + id % 3 AS DOUBLE) END AS live_pnl, id % 11 - 1 + CASE WHEN id % 17 = 0 THEN 1 ELSE 0 END AS live_variant, CASE WHEN id % 19 <> 0 THEN id % 5 * 0.4e0 + id % 3 * 0.3e0 END AS live_spread, CASE WHEN id % 23 <> 0 THEN (id % 7 - 3) * 0.5e0 END AS live_slippage, (['SL', 'TP', 'EXPERT', '', '', ''])[id % 6 + 1] AS live_close FROM o WHERE id % 10 <> 3)"
+
+
+def compared_sql(left: str, right: str, tag: str = "") -> str:
+    """CTEs mt, rs and cl{tag}: matches, residuals and deltas of two sides, which have the columns of bt and live."""
+    return f"ub{tag} AS (SELECT * FROM {left} QUALIFY row_number() OVER (PARTITION BY pair, direction, signal_s ORDER BY bt_id DESC) = 1), ul{tag} AS (SELECT * FROM {right} QUALIFY row_number() OVER (PARTITION BY pair, direction, signal_s ORDER BY live_id DESC) = 1), mt{tag} AS (SELECT ub{tag}.*, live_id, live_entry, live_exit, live_pnl, live_variant, live_spread, live_slippage, live_close FROM ub{tag} JOIN ul{tag} ON ub{tag}.pair = ul{tag}.pair AND ub{tag}.direction = ul{tag}.direction AND ub{tag}.signal_s = ul{tag}.signal_s), rs{tag} AS (SELECT 'missing' AS side, bt_id AS id, pair FROM {left} WHERE bt_id NOT IN (SELECT bt_id FROM mt{tag}) UNION ALL SELECT 'extra', live_id, pair FROM {right} WHERE live_id NOT IN (SELECT live_id FROM mt{tag})), cl{tag} AS (SELECT *, (live_entry - bt_entry) / 1e-4 * direction AS ed, (live_exit - bt_exit) / 1e-4 * direction AS xd, live_pnl - bt_pnl AS pd, live_spread - bt_spread AS sd FROM mt{tag})"
+
+
+_SIDES = f"{_SIDES}, {compared_sql('bt', 'live')}"
+_CANON = "CASE WHEN {0} IN ('SL', 'TP') THEN {0} ELSE 'OTHER' END"
+CATEGORY_SQL = {
+    "mismatched_entry_price": "abs(ed) > 2", "mismatched_exit_price": "abs(xd) > 2", "mismatched_pnl": "abs(pd) > 1", "mismatched_signal": "bt_variant >= 0 AND live_variant >= 0 AND bt_variant <> live_variant",
+    "mismatched_spread": "abs(sd) > 0.5", "mismatched_slippage": "abs(live_slippage) > 1", "mismatched_closure": f"{_CANON.format('bt_close')} <> {_CANON.format('live_close')}",
+}
+_CLEAN = " AND ".join(f"NOT coalesce({test}, false)" for test in CATEGORY_SQL.values())
+
+
+def counts_sql(tag: str = "", head: str = "") -> str:
+    flags = " UNION ALL ".join(f"SELECT '{name}' AS c FROM cl{tag} WHERE {test}" for name, test in (*CATEGORY_SQL.items(), ("matched", _CLEAN)))
+    return f"SELECT {head}c AS category, count(*) AS n FROM ({flags}) GROUP BY c UNION ALL SELECT {head}'missing_in_live', count_if(side = 'missing') FROM rs{tag} UNION ALL SELECT {head}'extra_in_live', count_if(side = 'extra') FROM rs{tag}"
 
 
 @query(f"WITH {_SIDES} SELECT pair, CAST(direction AS INTEGER) AS direction, signal_s, bt_id, live_id FROM mt")
@@ -567,16 +591,22 @@ def missing_extra(spark, sf_dir):
     return reconcile.residuals(bt, live, reconcile.match_exact(bt, live))
 
 
-@query(f"WITH {_SIDES}, fl AS (SELECT CASE WHEN abs(ed) > 2 THEN 'mismatched_entry_price' END AS c FROM cl UNION ALL SELECT CASE WHEN abs(xd) > 2 THEN 'mismatched_exit_price' END FROM cl UNION ALL SELECT CASE WHEN abs(pd) > 1 THEN 'mismatched_pnl' END FROM cl) SELECT c AS category, count(*) AS n FROM fl WHERE c IS NOT NULL GROUP BY c")
+@query(f"WITH {_SIDES} SELECT category, CAST(n AS BIGINT) AS n FROM ({counts_sql()})")
 def classify(spark, sf_dir):
-    return reconcile.category_counts(reconcile.classify(reconcile.match_exact(*_sides(spark, sf_dir))))
+    bt, live = _sides(spark, sf_dir)
+    matched = reconcile.match_exact(bt, live)
+    return reconcile.category_counts(reconcile.classify(matched), reconcile.residuals(bt, live, matched))
+
+
+_FLAGS = ", ".join(f"count_if({test}) AS n_{name}" for name, test in CATEGORY_SQL.items())
+_PAIR_COUNTS = ", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("matched", "missing_in_live", "extra_in_live", *(f"n_{c}" for c in CATEGORY_SQL)))
 
 
-@query(f"WITH {_SIDES}, a AS (SELECT pair, count(*) AS matched, count_if(NOT coalesce(abs(ed) > 2, false) AND NOT coalesce(abs(xd) > 2, false) AND NOT coalesce(abs(pd) > 1, false)) AS clean, round(avg(ed), 8) AS mean_entry_delta, round(avg(pd), 8) AS mean_pnl_delta FROM cl GROUP BY pair), b AS (SELECT pair, count_if(side = 'missing') AS missing, count_if(side = 'extra') AS extra FROM rs GROUP BY pair) SELECT coalesce(a.pair, b.pair) AS pair, coalesce(matched, 0) AS matched, CAST(coalesce(clean, 0) AS BIGINT) AS clean, CAST(coalesce(missing, 0) AS BIGINT) AS missing, CAST(coalesce(extra, 0) AS BIGINT) AS extra, mean_entry_delta, mean_pnl_delta FROM a FULL JOIN b ON a.pair = b.pair")
+@query(f"WITH {_SIDES}, a AS (SELECT pair, count(*) AS matched, sum(coalesce(live_pnl, 0)) AS pl, sum(bt_pnl) AS pb, {_FLAGS}, round(avg(sd), 8) AS mean_spread_delta_pips, round(avg(live_slippage), 8) AS mean_slippage_pips FROM cl GROUP BY pair), b AS (SELECT pair, count_if(side = 'missing') AS missing_in_live, count_if(side = 'extra') AS extra_in_live FROM rs GROUP BY pair) SELECT coalesce(a.pair, b.pair) AS pair, {_PAIR_COUNTS}, coalesce(pl, 0) AS matched_pnl_pips_live, coalesce(pb, 0) AS matched_pnl_pips_bt, coalesce(pl, 0) - coalesce(pb, 0) AS delta_pips, mean_spread_delta_pips, mean_slippage_pips FROM a FULL JOIN b ON a.pair = b.pair")
 def by_pair_rollup(spark, sf_dir):
     bt, live = _sides(spark, sf_dir)
     matched = reconcile.match_exact(bt, live)
-    return rounded(reconcile.by_pair(reconcile.classify(matched), reconcile.residuals(bt, live, matched)), "mean_entry_delta", "mean_pnl_delta")
+    return rounded(reconcile.by_pair(reconcile.classify(matched), reconcile.residuals(bt, live, matched)), "mean_spread_delta_pips", "mean_slippage_pips")
 
 
 @query("WITH d AS (SELECT DISTINCT l_orderkey AS position_id, l_linenumber AS t, l_partkey AS ticket, l_suppkey, l_quantity AS price, l_quantity - 25 AS profit FROM lineitem) SELECT position_id, count(*) AS legs, first(price ORDER BY t, ticket, l_suppkey, price) AS open_price, last(price ORDER BY t, ticket, l_suppkey, price) AS close_price, sum(profit) AS profit FROM d GROUP BY position_id HAVING count(*) >= 2")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chronosweep.functions.exprs import PPF_CENTRE, PPF_LOW, PPF_TAIL, hour_of, nice_round, session_name
 from chronosweep.operators import cost, indicators, ledger, live, metrics, ranking, reconcile, resample, simulate
-from chronosweep.plans.catalogue import _HOUR, _RANKED, _SIDES, _TOUCH, _TR, H1, MOMENTS, ORDERS, TICKS, _entries, _metrics, _orders, _sides, bars, bars_cte, m1, metrics_sql, phi_sql, query, rounded
+from chronosweep.plans.catalogue import _FLAGS, _HOUR, _PAIR_COUNTS, _RANKED, _SIDES, _TOUCH, _TR, H1, MOMENTS, ORDERS, TICKS, _entries, _metrics, _orders, _sides, bars, bars_cte, compared_sql, counts_sql, m1, metrics_sql, phi_sql, query, rounded
 from chronosweep.sources import upsert
 from chronosweep.sources.bridge import table, ticks, trades
 
@@ -152,12 +152,14 @@ def position_summary(spark, sf_dir):
     return rounded(live.position_summary(p).withColumn("wins", F.col("wins").cast("decimal(38,0)").cast("long")), "win_pct", places=6)
 
 
-@query(f"WITH {_SIDES}, a AS (SELECT pair, count(*) AS matched FROM cl GROUP BY pair), u(pair, has_open) AS (VALUES ('1-URGENT', true), ('9-NEVER', false)) SELECT coalesce(a.pair, u.pair) AS pair, coalesce(matched, 0) AS matched, coalesce(has_open, false) AS has_open_position FROM a FULL JOIN u ON a.pair = u.pair")
+@query(f"WITH {_SIDES}, a AS (SELECT pair, count(*) AS matched, {_FLAGS} FROM cl GROUP BY pair), b AS (SELECT pair, count_if(side = 'missing') AS missing_in_live, count_if(side = 'extra') AS extra_in_live FROM rs GROUP BY pair), u(pair, has_open) AS (VALUES ('1-URGENT', true), ('9-NEVER', false)), n AS (SELECT pair FROM a UNION SELECT pair FROM b UNION SELECT pair FROM u) SELECT n.pair, {_PAIR_COUNTS}, coalesce(has_open, false) AS has_open_position FROM n LEFT JOIN a ON a.pair = n.pair LEFT JOIN b ON b.pair = n.pair LEFT JOIN u ON u.pair = n.pair")
 def dashboard_rollup(spark, sf_dir):
     bt, lv = _sides(spark, sf_dir)
-    rollup = reconcile.match_exact(bt, lv).groupBy("pair").agg(F.count("*").alias("matched"))
+    matched = reconcile.match_exact(bt, lv)
+    rollup = reconcile.by_pair(reconcile.classify(matched), reconcile.residuals(bt, lv, matched))
     universe = spark.createDataFrame([("1-URGENT",), ("9-NEVER",)], "pair string")
-    return live.dashboard(rollup, universe, universe.where("pair = '1-URGENT'"))
+    counts = [c for c, kind in rollup.dtypes if kind == "bigint"]
+    return live.dashboard(rollup.select("pair", *counts), universe, universe.where("pair = '1-URGENT'"))
 
 
 @query(f"WITH {ORDERS} SELECT id AS plan_id, s AS created_s, pair FROM (SELECT * FROM o WHERE pair = '2-HIGH' AND s >= 800000000 ORDER BY s DESC, id DESC LIMIT 25)")
@@ -209,17 +211,16 @@ def match_greedy(spark, sf_dir):
     return live.match_greedy(bt.join(exact.select("bt_id"), "bt_id", "left_anti"), lv.join(exact.select("live_id"), "live_id", "left_anti"), 3600)
 
 
-@query(f"WITH {_SIDES} SELECT 'A' AS pass, side, count(*) AS n FROM rs GROUP BY side UNION ALL SELECT 'B' AS pass, CASE side WHEN 'missing' THEN 'extra' ELSE 'missing' END AS side, count(*) AS n FROM rs GROUP BY side")
+_SECOND = "b2 AS (SELECT * REPLACE (signal_s + CASE WHEN bt_id % 9 = 2 THEN 1800 ELSE 0 END AS signal_s, bt_pnl + bt_id % 5 - 1 AS bt_pnl, bt_spread + bt_id % 2 AS bt_spread) FROM bt WHERE bt_id % 8 <> 5), l2 AS (SELECT pair, direction, signal_s, bt_id AS live_id, bt_entry AS live_entry, bt_exit AS live_exit, bt_pnl AS live_pnl, bt_variant AS live_variant, bt_spread AS live_spread, CAST(NULL AS DOUBLE) AS live_slippage, bt_close AS live_close FROM b2)"
+
+
+@query(f"WITH {_SIDES}, {_SECOND}, {compared_sql('b2', 'live', '_b')}, {compared_sql('bt', 'l2', '_c')} SELECT pass, category, CAST(n AS BIGINT) AS n FROM (" + " UNION ALL ".join(counts_sql(tag, f"'{name}' AS pass, ") for name, tag in (("A", ""), ("B", "_b"), ("C", "_c"))) + ")")
 def three_way(spark, sf_dir):
-    """One comparison for each pair of sources, tagged by pass."""
+    """Two sources of bars against the record, and against each other."""
     bt, lv = _sides(spark, sf_dir)
-    as_bt = lambda d: d.select("pair", "direction", "signal_s", F.col("live_id").alias("bt_id"))
-    as_live = lambda d: d.select("pair", "direction", "signal_s", F.col("bt_id").alias("live_id"))
-    out = None
-    for tag, a, b in (("A", bt, lv), ("B", as_bt(lv), as_live(bt))):
-        part = reconcile.residuals(a, b, reconcile.match_exact(a, b)).groupBy("side").agg(F.count("*").alias("n")).select(F.lit(tag).alias("pass"), "side", "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    i = F.col("bt_id")
+    second = bt.where(i % 8 != 5).withColumns({"signal_s": F.col("signal_s") + F.when(i % 9 == 2, 1800).otherwise(0), "bt_pnl": F.col("bt_pnl") + i % 5 - 1, "bt_spread": F.col("bt_spread") + i % 2})
+    return reconcile.passes(bt, second, lv)
 
 
 # Sources
