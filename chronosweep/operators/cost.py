@@ -6,12 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronosweep.functions.exprs import hour_of, pip, session_name
+from chronosweep.sources.upsert import GROUPS
 
 LIQUID = ("Asian", "London", "Lon-NY")
 
 
-def session_spreads(ticks: DataFrame, least: float = 0.0, most: float = 50.0) -> DataFrame:
-    """pair, session, spread_pips (mean, four places): a pair with any session outside the bounds is left out whole."""
+# Spreads in pips under which a pair's table can't be right, for pairs of the dollar's majors and others.
+FLOOR_MAJOR, FLOOR_OTHER = 0.05, 0.15
+
+
+def spread_floor(pair: Column) -> Column:
+    return F.when(pair.isin(*GROUPS["Majors"]), FLOOR_MAJOR).otherwise(FLOOR_OTHER)
+
+
+def session_spreads(ticks: DataFrame, least: float | Column = 0.0, most: float = 50.0) -> DataFrame:
+    """pair, session, spread_pips (mean, four places): a pair with any session outside the bounds is left out whole; `spread_floor` gives bounds by pair."""
     sp = (F.col("ask") - F.col("bid")) / pip(F.col("pair"))
     rows = ticks.select("pair", session_name(hour_of(F.col("s"))).alias("session"), sp.alias("sp")).where((F.col("sp") >= 0) & (F.col("sp") < float("inf")))
     means = rows.groupBy("pair", "session").agg(F.round(F.avg("sp"), 4).alias("spread_pips"))

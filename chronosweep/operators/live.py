@@ -104,6 +104,12 @@ def capped(plans: DataFrame, open_now: DataFrame, most: int) -> DataFrame:
     return rows.where(F.col("_place") + F.coalesce("_held", F.lit(0)) <= most).drop("_place", "_held")
 
 
+def fresh_plans(plans: DataFrame, logged: DataFrame, tickets: DataFrame) -> DataFrame:
+    """Plans that neither the log of plans nor that of tickets names, once each, within an instance: a restart fires none again."""
+    known = logged.select("instance_id", "plan_id").unionByName(tickets.select("instance_id", "plan_id")).distinct()
+    return plans.dropDuplicates(["instance_id", "plan_id"]).join(known, ["instance_id", "plan_id"], "left_anti")
+
+
 def unportable(trials: DataFrame, groups: tuple[str, ...] = ("stale", "session", "max_bars")) -> DataFrame:
     """trial_id and the groups that it has switched on and the live side can't honour."""
     flags = [F.when(F.coalesce(F.col(g).cast("boolean"), F.lit(False)), g) for g in groups]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +11,14 @@ from chronosweep.functions.exprs import TIMEFRAMES, bucket, weekday_of
 
 
 def ticks_to_bars(ticks: DataFrame, tf: str = "M1") -> DataFrame:
-    """pair, s, open, high, low, close, volume (ticks), spread (mean).  Ticks without a bid or an ask are left out."""
+    """pair, s, open, high, low, close, volume, spread (mean).  Ticks without a bid or an ask are left out.
+
+    Volume is the sum of both sides' volumes where ticks have them, else the number of ticks.
+    """
     mid, at = (F.col("bid") + F.col("ask")) / 2, F.struct("us", "seq")
-    rows = ticks.where("bid is not null and ask is not null").select("pair", bucket(F.col("s"), *TIMEFRAMES[tf]).alias("b"), "us", "seq", mid.alias("mid"), (F.col("ask") - F.col("bid")).alias("sp"))
-    return rows.groupBy("pair", F.col("b").alias("s")).agg(F.min_by("mid", at).alias("open"), F.max("mid").alias("high"), F.min("mid").alias("low"), F.max_by("mid", at).alias("close"), F.count("*").cast("double").alias("volume"), F.avg("sp").alias("spread"))
+    traded = F.col("bid_volume") + F.col("ask_volume") if {"bid_volume", "ask_volume"} <= set(ticks.columns) else F.lit(1.0)
+    rows = ticks.where("bid is not null and ask is not null").select("pair", bucket(F.col("s"), *TIMEFRAMES[tf]).alias("b"), "us", "seq", mid.alias("mid"), (F.col("ask") - F.col("bid")).alias("sp"), traded.cast("double").alias("v"))
+    return rows.groupBy("pair", F.col("b").alias("s")).agg(F.min_by("mid", at).alias("open"), F.max("mid").alias("high"), F.min("mid").alias("low"), F.max_by("mid", at).alias("close"), F.sum("v").alias("volume"), F.avg("sp").alias("spread"))
 
 
 def _ohlc() -> list[Column]:
@@ -30,11 +36,12 @@ def longer_bars(bars: DataFrame, tf: str) -> DataFrame:
     return bars.withColumn("b", bucket(F.col("s"), *TIMEFRAMES[tf])).groupBy("pair", "b").agg(*_ohlc()).withColumnRenamed("b", "s")
 
 
-def fan_out(bars: DataFrame, targets: list[str]) -> DataFrame:
-    """All longer timeframes from one pass over the bars and one shuffle."""
+def fan_out(bars: DataFrame, targets: list[str], source: str = "M1") -> DataFrame:
+    """All longer timeframes from one pass over the bars and one shuffle; the bars' own timeframe is passed over."""
     unknown = set(targets) - set(TIMEFRAMES)
     if unknown:
         raise ValueError(f"unknown timeframes {sorted(unknown)}")
+    targets = [t for t in targets if t != source]
     places = F.array(*[F.struct(F.lit(t).alias("tf"), bucket(F.col("s"), *TIMEFRAMES[t]).alias("b")) for t in targets])
     return bars.withColumn("p", F.explode(places)).groupBy("pair", F.col("p.tf").alias("tf"), F.col("p.b").alias("b")).agg(*_ohlc()).withColumnRenamed("b", "s")
 
@@ -47,8 +54,18 @@ def closed_bars(minutes: DataFrame, tf: str) -> DataFrame:
     return newest.where((F.col("s") < F.col("_newest")) | (F.col("_last") >= F.col("s") + width - 60)).drop("_last", "_newest")
 
 
-def clip(bars: DataFrame, start: int | None, end: int | None) -> DataFrame:
+def moment(at: int | str | None, end: bool = False) -> int | None:
+    """Epoch seconds of a time; ISO text without a zone is UTC, an empty one no bound, and a bare date as an end is its last second."""
+    if at is None or at == "" or isinstance(at, int):
+        return None if at == "" else at
+    when = dt.datetime.fromisoformat(at)
+    when = when.replace(tzinfo=dt.UTC) if when.tzinfo is None else when
+    return int(when.timestamp()) + (86_399 if end and len(at) == 10 else 0)
+
+
+def clip(bars: DataFrame, start: int | str | None, end: int | str | None) -> DataFrame:
     """Bars from start to end, both inclusive; None is no bound."""
+    start, end = moment(start), moment(end, True)
     if start is not None:
         bars = bars.where(F.col("s") >= start)
     return bars if end is None else bars.where(F.col("s") <= end)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,7 @@ class FloatRange:
     lo: float
     hi: float
     step: float | None = None
+    scale: str = "linear"  # or "log", for ranges without a step
 
 
 @dataclass(frozen=True)
@@ -43,14 +45,21 @@ def expand(leaf) -> list:
 def draw(leaf, u: Column) -> Column:
     """The leaf's value at a uniform number."""
     if isinstance(leaf, FloatRange) and leaf.step is None:
+        if leaf.scale == "log":
+            return F.exp(math.log(leaf.lo) + u * (math.log(leaf.hi) - math.log(leaf.lo)))
         return leaf.lo + u * (leaf.hi - leaf.lo)
     values = expand(leaf)
     return F.element_at(F.array(*[F.lit(v) for v in values]), F.floor(u * len(values)).cast("int") + 1)
 
 
-def sample(spark: SparkSession, trials: int, space: dict, seed: int) -> DataFrame:
-    """trial_id and a column for each leaf.  A (test leaf, wanted value, leaf) entry is null where its group is off."""
+def sample(spark: SparkSession, trials: int, space: dict, seed: int, variants: int | None = None) -> DataFrame:
+    """trial_id, signal_variant where there are `variants`, and a column for each leaf.
+
+    A (test leaf, wanted value, leaf) entry is null where its group is off or its selector stands on another arm; a test may itself hang on another.
+    """
     rows = spark.range(trials).withColumnRenamed("id", "trial_id")
+    if variants is not None:
+        rows = rows.withColumn("signal_variant", F.floor(uniform(seed, F.col("trial_id"), "signal_variant") * variants))
     for name, leaf in space.items():
         if isinstance(leaf, tuple):
             test, wanted, inner = leaf
@@ -65,9 +74,13 @@ def encode(trials: DataFrame, slots: dict[str, tuple[str, float]]) -> DataFrame:
     return trials.select("trial_id", *[F.coalesce(F.col(column).cast("double"), F.lit(float(default))).alias(slot) for slot, (column, default) in slots.items()])
 
 
-def resolve_variant(wanted: DataFrame, variants: DataFrame) -> DataFrame:
-    """wanted (family, params) with the id that this library gives it: ids are places, not names."""
-    return wanted.join(variants.select("family", "params", "variant_id"), ["family", "params"], "left")
+def resolve_variant(wanted: DataFrame, variants: DataFrame, strict: bool = False) -> DataFrame:
+    """wanted (family, params) with the id that this library gives it: ids are places, not names.  `strict` raises for one that it lacks."""
+    found = wanted.join(variants.select("family", "params", "variant_id"), ["family", "params"], "left")
+    if not strict:
+        return found
+    lacking = F.raise_error(F.concat(F.lit("no variant of this library: "), "family", F.lit(" "), "params")).cast("long")
+    return found.withColumn("variant_id", F.coalesce("variant_id", lacking))
 
 
 # Spaces as plain values: a leaf, or a group (test leaf, wanted value, leaf) by name.
@@ -89,6 +102,8 @@ def validate(space: dict) -> None:
                 raise ValueError(f"{name} has no values")
         elif leaf.lo > leaf.hi or (leaf.step is not None and leaf.step <= 0):
             raise ValueError(f"{name} is an empty range")
+        elif getattr(leaf, "scale", "linear") == "log" and leaf.lo <= 0:
+            raise ValueError(f"{name} has no logarithm")
         seen.add(name)
 
 

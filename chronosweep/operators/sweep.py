@@ -87,6 +87,26 @@ def sweep_metrics(log: DataFrame, trials: DataFrame, pairs: DataFrame, bars_per_
     return metrics.with_idle(measured, every, ("pair", "trial_id"))
 
 
+def with_slippage(log: DataFrame, telemetry: DataFrame, default: float = 0.5) -> DataFrame:
+    """log with its pair's measured slippage_pips, or the default for pairs without one."""
+    return log.join(telemetry.select("pair", "slippage_pips"), "pair", "left").withColumn("slippage_pips", F.coalesce("slippage_pips", F.lit(default)))
+
+
+def validate(trials: DataFrame, signals: DataFrame) -> None:
+    """Raises where a column is missing, an id is null or given twice, or a slot isn't a number."""
+    for name, rows, needed, key in (("trials", trials, ["trial_id"], ["trial_id"]), ("signals", signals, ["variant_id", "signal_id", "pair", "no", "direction", "entry_price", "atr_pips", "pip"], ["signal_id", "pair"])):
+        lacking = [c for c in needed if c not in rows.columns]
+        if lacking:
+            raise ValueError(f"{name} lack {lacking}")
+        unfit = [c for c, kind in rows.dtypes if c in SLOTS and kind in ("string", "boolean", "binary")]
+        if unfit:
+            raise ValueError(f"{name} have slots that are no numbers: {unfit}")
+        if not rows.where(F.greatest(*[F.col(c).isNull().cast("int") for c in (*key, key[0])]) == 1).isEmpty():
+            raise ValueError(f"{name} have rows without {key}")
+        if not rows.groupBy(*key).count().where("count > 1").isEmpty():
+            raise ValueError(f"{name} have {key} twice")
+
+
 def with_families(log: DataFrame, variants: DataFrame) -> DataFrame:
     """log with the family and parameters of each trade's variant; unknown variants have none."""
     return log.join(variants.select("variant_id", "family", "params"), "variant_id", "left")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from chronosweep.functions.exprs import hour_of, session_name
 from chronosweep.functions.lineage import cut
-from chronosweep.operators import metrics, positions, ranking, signals, space, sweep
-from chronosweep.plans.catalogue import _NAMED, _VARIANTS, H1, LIBRARY, LIBRARY_SQL, MEASURED, METRIC_SQL, bars, bars_cte, metrics_sql, query, rounded
+from chronosweep.operators import encoders, live, metrics, positions, ranking, resample, signals, space, sweep
+from chronosweep.plans.catalogue import _NAMED, _VARIANTS, H1, LIBRARY, LIBRARY_SQL, MEASURED, METRIC_SQL, ORDERS, TICKS, _orders, bars, bars_cte, metrics_sql, query, rounded
+from chronosweep.sources import upsert
 
 TRIALS, SEED, SLIPPAGE, COMMISSION, MAX_SPREAD = 500, 7, 0.5, 0.3, 6.0
 _I, _R, _C = space.IntRange, space.FloatRange, space.Choice
@@ -123,3 +126,66 @@ def trades_by_family(spark, sf_dir):
     log = sweep.evaluate(space.sample(spark, TRIALS, SPACE, SEED), found, mains, positions.paths(mains, sub, 3600), None, SLIPPAGE, COMMISSION, MAX_SPREAD, stale_bars=8)
     named = sweep.with_families(log, variants).groupBy("family", "exit_reason", session_name(hour_of(F.col("signal_s"))).alias("session"))
     return rounded(named.agg(F.count("*").alias("trades"), F.avg("pnl").alias("mean_pips"), F.avg(F.col("exit_no") - F.col("entry_no")).alias("mean_bars")), "mean_pips", "mean_bars", places=6)
+
+
+# Spaces and slots
+
+_FULL = encoders.standard_space(20.0)
+
+
+def _leaf_sql(name: str, node) -> str:
+    leaf = node[2] if isinstance(node, tuple) else node
+    u = f"(CAST(CAST('0x' || substr(md5('11|' || id || '|{name}'), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0)"
+    if isinstance(leaf, space.FloatRange):
+        drawn = f"exp({math.log(leaf.lo)!r} + {u} * ({math.log(leaf.hi)!r} - {math.log(leaf.lo)!r}))" if leaf.scale == "log" else f"{leaf.lo!r}e0 + {u} * {leaf.hi - leaf.lo!r}e0"
+    else:
+        told = ", ".join(repr(v) if isinstance(v, str) else str(v) for v in space.expand(leaf))
+        drawn = f"[{told}][CAST(floor({u} * {len(space.expand(leaf))}) AS INTEGER) + 1]"
+    if not isinstance(node, tuple):
+        return f'{drawn} AS "{name}"'
+    wanted = repr(node[1]) if isinstance(node[1], str) else str(node[1]).lower()
+    return f'CASE WHEN "{node[0]}" = {wanted} THEN {drawn} END AS "{name}"'
+
+
+# leaves may hang on leaves before them, which DuckDB lets a select list name
+_FULL_SQL = f"f AS (SELECT CAST(id AS BIGINT) AS trial_id, CAST(floor((CAST(CAST('0x' || substr(md5('11|' || id || '|signal_variant'), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0) * 50) AS BIGINT) AS signal_variant, {', '.join(_leaf_sql(k, v) for k, v in _FULL.items())} FROM range(0, 2000) r(id))"
+_MODES = {"sl_mode": "CASE stop_loss WHEN 'fixed' THEN 0 ELSE 1 END", "tp_mode": "CASE take_profit WHEN 'rr' THEN 0 WHEN 'atr' THEN 1 ELSE 2 END", "trailing_mode": "CASE WHEN \"trailing\" THEN CASE trailing_kind WHEN 'fixed' THEN 1 ELSE 2 END ELSE 0 END", "be_enabled": "breakeven", "partial_enabled": "partial", "stale_enabled": "stale", "chandelier_enabled": "chandelier"}
+_SLOT_SQL = ", ".join(f"round(CAST({_MODES.get(slot, f'coalesce({slot}, 0)' if slot in _FULL or slot == 'signal_variant' else default)} AS DOUBLE), 8) AS {slot}" for slot, default in sweep.SLOTS.items())
+
+
+@query(f"WITH {_FULL_SQL} SELECT trial_id, {_SLOT_SQL} FROM f")
+def encode_standard(spark, sf_dir):
+    """Every slot of trials sampled from the full space: selectors, switches, nested groups, logarithmic ranges."""
+    encoded = encoders.encode(space.sample(spark, 2000, _FULL, 11, 50), encoders.standard_mapping(_FULL))
+    return rounded(encoded, *sweep.SLOTS)
+
+
+@query(f"WITH {_FULL_SQL}, n AS (SELECT 1 + {' + '.join(f'CAST("{k}" IS NOT NULL AS INTEGER)' for k in _FULL)} AS n FROM f) SELECT CAST(min(n) AS BIGINT) AS least, round(avg(n), 8) AS mean, CAST(max(n) AS BIGINT) AS most FROM n")
+def effective_dimension(spark, sf_dir):
+    return rounded(encoders.decisions(space.sample(spark, 2000, _FULL, 11, 50), _FULL), "mean")
+
+
+@query(f"{H1}, i AS (SELECT pair, 'H1' AS tf, count(*) AS rows, min(s) AS lo, max(s) AS hi FROM b GROUP BY pair UNION ALL SELECT pair, 'D', count(DISTINCT s // 86400), min(s // 86400 * 86400), max(s // 86400 * 86400) FROM b GROUP BY pair) SELECT pair, list_sort(list(tf)) AS tfs, CAST(sum(rows) AS BIGINT) AS rows, CAST(min(lo // 86400) AS BIGINT) AS first_day, CAST(max(hi // 86400) AS BIGINT) AS last_day FROM i GROUP BY pair")
+def inventory_by_pair(spark, sf_dir):
+    hourly = bars(spark, sf_dir)
+    both = hourly.withColumn("tf", F.lit("H1")).unionByName(resample.longer_bars(hourly, "D").withColumn("tf", F.lit("D")))
+    return upsert.inventory_by_pair(upsert.inventory(both))
+
+
+@query(f"WITH {TICKS}, {bars_cte('b', 'H1')}, a AS (SELECT * FROM b WHERE s % 10800 <> 0) SELECT b.pair, b.s, round(CASE WHEN a.s IS NULL THEN b.close + 1 ELSE a.close END, 8) AS close, CASE WHEN a.s IS NULL THEN 1 ELSE 0 END AS source FROM b LEFT JOIN a ON a.pair = b.pair AND a.s = b.s")
+def source_fallback(spark, sf_dir):
+    """Bars of the best source, and where it has gaps those of the next."""
+    b = bars(spark, sf_dir).select("pair", "s", "close")
+    return rounded(upsert.first_source(b.where("s % 10800 <> 0"), b.withColumn("close", F.col("close") + 1)), "close")
+
+
+@query(f"WITH {ORDERS}, p AS (SELECT id AS plan_id, id % 3 AS instance_id FROM o) SELECT plan_id, instance_id FROM p WHERE NOT (plan_id % 5 = 0 AND instance_id = 0) AND plan_id % 7 <> 0")
+def plan_dedupe(spark, sf_dir):
+    plans = _orders(spark, sf_dir).select(F.col("id").alias("plan_id"), (F.col("id") % 3).alias("instance_id"))
+    return live.fresh_plans(plans.unionByName(plans.where("plan_id % 2 = 0")), plans.where("plan_id % 5 = 0").withColumn("instance_id", F.lit(0).cast("long")), plans.where("plan_id % 7 = 0"))
+
+
+@query(f"WITH {ORDERS} SELECT id AS signal_id, pair, CASE pair WHEN '1-URGENT' THEN 0.2e0 WHEN '2-HIGH' THEN 0.9e0 ELSE 0.5e0 END AS slippage_pips FROM o")
+def slippage_default(spark, sf_dir):
+    measured = spark.createDataFrame([("1-URGENT", 0.2), ("2-HIGH", 0.9)], "pair string, slippage_pips double")
+    return sweep.with_slippage(_orders(spark, sf_dir).select(F.col("id").alias("signal_id"), "pair"), measured)

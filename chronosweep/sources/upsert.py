@@ -39,6 +39,22 @@ def inventory(bars: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("rows") == 0, "empty").when(F.col("rows") < 500, "thin").otherwise("ok"))
 
 
+def inventory_by_pair(held: DataFrame) -> DataFrame:
+    """Timeframes, rows and the range of days that a pair has, from an inventory."""
+    day = lambda c: F.floor(F.col(c) / 86_400)
+    return held.groupBy("pair").agg(F.array_sort(F.collect_set("tf")).alias("tfs"), F.sum("rows").alias("rows"), F.min(day("first_s")).alias("first_day"), F.max(day("last_s")).alias("last_day"))
+
+
+def first_source(*sources: DataFrame) -> DataFrame:
+    """Bars of several sources, the best first: of each pair and bar the best source that has it, with its place as `source`."""
+    ranked = None
+    for k, rows in enumerate(sources):
+        part = rows.withColumn("source", F.lit(k))
+        ranked = part if ranked is None else ranked.unionByName(part, allowMissingColumns=True)
+    rest = [c for c in ranked.columns if c not in ("pair", "s", "source")]
+    return ranked.groupBy("pair", "s").agg(F.min(F.struct("source", *rest)).alias("r")).select("pair", "s", "r.*")
+
+
 def from_broker(rows: DataFrame, offset_s: int, point: float) -> DataFrame:
     """Rows in UTC and in prices, from a broker's clock and spreads in points."""
     return rows.withColumn("s", F.col("s") - offset_s).withColumn("spread", F.col("spread") * F.lit(point))
@@ -52,7 +68,13 @@ def trading_hours(spark: SparkSession, start_s: int, end_s: int) -> DataFrame:
 
 
 # Groups of pairs.
-GROUPS = {"Majors": ["EUR_USD", "GBP_USD", "USD_JPY", "USD_CHF", "AUD_USD", "USD_CAD", "NZD_USD"]}
+GROUPS = {
+    "Majors": ["EUR_USD", "GBP_USD", "USD_JPY", "USD_CHF", "AUD_USD", "USD_CAD", "NZD_USD"],
+    "Crosses": ["EUR_GBP", "EUR_JPY", "EUR_CHF", "EUR_AUD", "EUR_CAD", "EUR_NZD", "GBP_JPY", "GBP_CHF", "GBP_AUD", "GBP_CAD", "GBP_NZD", "AUD_JPY", "AUD_CHF", "AUD_CAD", "AUD_NZD", "NZD_JPY", "NZD_CHF", "NZD_CAD", "CAD_JPY", "CAD_CHF", "CHF_JPY"],
+    "Metals": ["XAU_USD", "XAG_USD", "XAU_EUR", "XPT_USD", "XPD_USD"],
+    "Indices": ["SPX500_USD", "NAS100_USD", "US30_USD", "UK100_GBP", "DE30_EUR", "JP225_USD"],
+    "Crypto": ["BTC_USD", "ETH_USD", "LTC_USD", "XRP_USD"],
+}
 
 
 def grouped(pairs: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
