@@ -28,10 +28,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # written, so that a hub's rows come from a plain shuffle that Spark can split
         least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = now.select(F.col("lo").alias("u"), F.col("hi").alias("v")).join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        inner = large.groupBy("hi").agg(F.min("lo").alias("m"), F.collect_set("lo").alias("los"))
-        small = inner.select(F.explode("los").alias("x"), F.col("m"), F.col("hi"))
-        stars = small.select(F.explode(F.array(F.struct(F.col("x").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("hi").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.*")
-        now = cut(stars.where("hi != lo").distinct())
+        inner = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = large.join(inner, "hi").select(F.explode(F.array(F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("hi").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.*")
+        now = cut(small.where("hi != lo").distinct())
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
 
 
