@@ -28,6 +28,16 @@ def session_spreads(ticks: DataFrame, least: float | Column = 0.0, most: float =
     return means.withColumn("_ok", ok).where("_ok = 1").drop("_ok")
 
 
+def preferred(*tables: tuple[str, DataFrame]) -> DataFrame:
+    """Session spreads of several sources, the best first, each (name, table) by whole pairs: a pair comes from the first source that has it."""
+    ranked = None
+    for k, (name, rows) in enumerate(tables):
+        part = rows.select("pair", "session", "spread_pips", F.lit(name).alias("source"), F.lit(k).alias("_k"))
+        ranked = part if ranked is None else ranked.unionByName(part)
+    best = ranked.groupBy("pair").agg(F.min("_k").alias("_k"))
+    return ranked.join(best, ["pair", "_k"]).drop("_k")
+
+
 def gate_reason(hour: Column, spread: Column, slippage: Column | None) -> Column:
     """Why a trade is refused, in fixed order, or null; without slippage it is the guard of live orders."""
     unknown = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))

@@ -110,6 +110,29 @@ def fresh_plans(plans: DataFrame, logged: DataFrame, tickets: DataFrame) -> Data
     return plans.dropDuplicates(["instance_id", "plan_id"]).join(known, ["instance_id", "plan_id"], "left_anti")
 
 
+def closed_positions(deals: DataFrame, orders: DataFrame, offset_s: int = 0) -> DataFrame:
+    """One row a closed position: its first entry leg and last exit leg by `entry` (in, out), sums of all legs, stop and target of the entry's order.
+
+    deals: position_id, ticket, time, order_id, entry, side, symbol, volume, price, profit, commission, swap; orders: order_id, sl, tp, where 0 is none.
+    Positions without both legs are open still.  Times lose the broker's offset.
+    """
+    at, leg = F.struct("time", "ticket", "order_id", "price"), F.struct("time", "order_id", "side", "symbol", "volume", "price")
+    into, out = F.col("entry") == "in", F.col("entry") == "out"
+    sums = deals.where("coalesce(position_id, 0) <> 0").groupBy("position_id").agg(
+        F.min_by(F.when(into, leg), F.when(into, at)).alias("i"), F.max_by(F.when(out, leg), F.when(out, at)).alias("o"),
+        *[F.sum(c).alias(c) for c in ("profit", "commission", "swap")],
+    )
+    closed = sums.where("i is not null and o is not null").select("position_id", F.col("i.symbol").alias("symbol"), F.col("i.side").alias("side"), F.col("i.volume").alias("volume"), (F.col("i.time") - offset_s).alias("open_s"), F.col("i.price").alias("open_price"), (F.col("o.time") - offset_s).alias("close_s"), F.col("o.price").alias("close_price"), "profit", "commission", "swap", F.col("i.order_id").alias("order_id"))
+    none = lambda c: F.when(F.col(c) != 0, F.col(c)).alias(c)
+    return closed.join(orders.select("order_id", none("sl"), none("tp")), "order_id", "left").drop("order_id")
+
+
+def latencies(plans: DataFrame, tickets: DataFrame, width_s: int) -> DataFrame:
+    """plan_id, fire_offset_s (from the close of the signal's bar to the plan) and execution_ms (from the plan to its ticket); times in milliseconds."""
+    joined = plans.join(tickets.select("plan_id", "filled_ms"), "plan_id", "left")
+    return joined.select("plan_id", (F.col("created_ms") / 1000 - (F.col("signal_s") + width_s)).alias("fire_offset_s"), (F.col("filled_ms") - F.col("created_ms")).alias("execution_ms"))
+
+
 def unportable(trials: DataFrame, groups: tuple[str, ...] = ("stale", "session", "max_bars")) -> DataFrame:
     """trial_id and the groups that it has switched on and the live side can't honour."""
     flags = [F.when(F.coalesce(F.col(g).cast("boolean"), F.lit(False)), g) for g in groups]

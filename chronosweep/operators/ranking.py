@@ -105,3 +105,8 @@ def running_best(metrics: DataFrame, metric: str, block: int = 1000) -> DataFram
     before = blocks.select("group", "block", best.over(earlier(Window.partitionBy("group").orderBy("block"))).alias("_near")).join(groups, "group")
     within = best.over(Window.partitionBy("group", "block").orderBy("trial_id"))
     return m.join(before, ["group", "block"]).select("trial_id", F.greatest(within, "_near", "_far").alias("best"))
+
+
+def lookup(metrics: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (trial_id, in the order of `place`) with its metrics, null for trials that there are none of."""
+    return wanted.join(metrics, "trial_id", "left")

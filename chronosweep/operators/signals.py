@@ -7,10 +7,13 @@ variant's entries bar by bar; the plan grows with the features, not with the var
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
@@ -192,6 +195,24 @@ def fingerprint(params: dict) -> str:
     return ",".join(f"{k}={v}" for k, v in sorted(params.items()))
 
 
+def cached_library(bars: DataFrame, families: dict[str, dict[str, list]], folder: str, **options) -> tuple[DataFrame, DataFrame]:
+    """A library that is built once for a set of families, options and bars and read from a shared folder after that.
+
+    Its key is a digest of all of them; one that wasn't written to its end lacks its variants and is built anew.
+    """
+    spark = bars.sparkSession
+    told = bars.agg(F.count("*"), F.sum(F.xxhash64(*sorted(bars.columns)).cast("decimal(38,0)"))).first()
+    key = hashlib.sha256(json.dumps([families, options, [str(x) for x in told]], sort_keys=True).encode()).hexdigest()[:32]
+    paths = [f"{folder}/{key}/{name}" for name in ("variants", "signals")]
+    try:
+        return tuple(spark.read.parquet(p) for p in paths)
+    except AnalysisException:  # absent
+        variants, signals = build_library(bars, families, **options)
+        signals.write.mode("overwrite").parquet(paths[1])
+        variants.write.mode("overwrite").parquet(paths[0])
+        return tuple(spark.read.parquet(p) for p in paths)
+
+
 def build_library(bars: DataFrame, families: dict[str, dict[str, list]], atr_period: int = 14, together: int = 100) -> tuple[DataFrame, DataFrame]:
     """(variants, signals) of all valid combinations; variants without signals stay.
 

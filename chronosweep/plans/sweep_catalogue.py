@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from chronosweep.functions.exprs import hour_of, session_name
 from chronosweep.functions.lineage import cut
-from chronosweep.operators import encoders, live, metrics, positions, ranking, resample, signals, space, sweep
-from chronosweep.plans.catalogue import _NAMED, _VARIANTS, H1, LIBRARY, LIBRARY_SQL, MEASURED, METRIC_SQL, ORDERS, TICKS, _orders, bars, bars_cte, metrics_sql, query, rounded
+from chronosweep.operators import cost, encoders, live, metrics, positions, pricing, ranking, resample, signals, space, sweep
+from chronosweep.plans.catalogue import _NAMED, _VARIANTS, H1, LIBRARY, LIBRARY_SQL, MEASURED, METRIC_SQL, ORDERS, TICKS, _orders, _priced, bars, bars_cte, metrics_sql, query, rounded
 from chronosweep.sources import upsert
+from chronosweep.sources.bridge import table, ticks
 
 TRIALS, SEED, SLIPPAGE, COMMISSION, MAX_SPREAD = 500, 7, 0.5, 0.3, 6.0
 _I, _R, _C = space.IntRange, space.FloatRange, space.Choice
@@ -189,3 +190,50 @@ def plan_dedupe(spark, sf_dir):
 def slippage_default(spark, sf_dir):
     measured = spark.createDataFrame([("1-URGENT", 0.2), ("2-HIGH", 0.9)], "pair string, slippage_pips double")
     return sweep.with_slippage(_orders(spark, sf_dir).select(F.col("id").alias("signal_id"), "pair"), measured)
+
+
+# Logs and lookups
+
+
+@query("WITH d AS (SELECT l_orderkey AS position_id, CAST(l_linenumber AS BIGINT) AS t, l_partkey AS ticket, CASE WHEN l_linenumber % 2 = 1 THEN 'in' ELSE 'out' END AS leg, CASE WHEN l_suppkey % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, l_quantity AS price, l_discount AS vol, l_quantity - 25 AS profit, l_tax AS commission, l_suppkey AS order_id FROM lineitem), x AS (SELECT position_id, arg_min(struct_pack(t := t, side := side, price := price, vol := vol, o := order_id), (t, ticket, order_id, price)) FILTER (WHERE leg = 'in') AS i, arg_max(struct_pack(t := t, price := price), (t, ticket, order_id, price)) FILTER (WHERE leg = 'out') AS o, sum(profit) AS profit, sum(commission) AS commission FROM d GROUP BY 1) SELECT position_id, i.side AS side, i.vol AS volume, i.t - 3600 AS open_s, i.price AS open_price, o.t - 3600 AS close_s, o.price AS close_price, round(profit, 6) AS profit, round(commission, 6) AS commission, CASE WHEN i.o % 3 <> 0 THEN i.o / 10.0e0 END AS sl FROM x WHERE i IS NOT NULL AND o IS NOT NULL")
+def closed_positions(spark, sf_dir):
+    c = F.col
+    d = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("position_id"), c("l_partkey").alias("ticket"), c("l_linenumber").cast("long").alias("time"), c("l_suppkey").alias("order_id"), F.when(c("l_linenumber") % 2 == 1, "in").otherwise("out").alias("entry"), F.when(c("l_suppkey") % 2 == 0, "buy").otherwise("sell").alias("side"), F.lit("X").alias("symbol"), c("l_discount").alias("volume"), c("l_quantity").alias("price"), (c("l_quantity") - 25).alias("profit"), c("l_tax").alias("commission"), F.lit(0.0).alias("swap"))
+    orders = table(spark, sf_dir, "supplier").select(c("s_suppkey").alias("order_id"), F.when(c("s_suppkey") % 3 != 0, c("s_suppkey") / 10.0).otherwise(0.0).alias("sl"), F.lit(0.0).alias("tp"))
+    return rounded(live.closed_positions(d, orders, 3600).drop("symbol", "swap", "tp"), "profit", "commission", places=6)
+
+
+@query(f"WITH {ORDERS} SELECT id AS plan_id, round((s * 1000 + 3600000 + id % 997) / 1000.0e0 - (s + 3600), 6) AS fire_offset_s, CASE WHEN id % 4 <> 0 THEN id % 89 END AS execution_ms FROM o")
+def order_latencies(spark, sf_dir):
+    o = _orders(spark, sf_dir)
+    created = F.col("s") * 1000 + 3_600_000 + F.col("id") % 997
+    plans = o.select(F.col("id").alias("plan_id"), F.col("s").alias("signal_s"), created.alias("created_ms"))
+    return rounded(live.latencies(plans, o.where("id % 4 <> 0").select(F.col("id").alias("plan_id"), (created + F.col("id") % 89).alias("filled_ms")), 3600), "fire_offset_s", places=6)
+
+
+@query(f"WITH {ORDERS} SELECT coalesce(CASE WHEN hour >= 21 THEN 'rollover' WHEN id % 11 = 0 THEN 'unknown_spread' WHEN id % 7 > 3 THEN 'spread_3p' END, 'pass') AS reason, count(*) AS n FROM (SELECT *, (s // 3600) % 24 AS hour FROM o) GROUP BY 1")
+def live_guard(spark, sf_dir):
+    """The gate before an order is sent, when its slippage isn't known yet."""
+    o = _orders(spark, sf_dir)
+    spread = F.when(F.col("id") % 11 != 0, (F.col("id") % 7).cast("double"))
+    return o.groupBy(F.coalesce(cost.gate_reason(hour_of(F.col("s")), spread, None), F.lit("pass")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("WITH p AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END AS d, 1e0 + (o_orderkey % 1000) * 1e-4 AS e, (o_orderkey % 17) + 1e0 AS atr, o_orderkey % 3 AS m, CASE WHEN o_orderkey % 4 <> 0 THEN 1e0 + (o_orderkey % 1003) * 1e-4 END AS sw FROM orders), q AS (SELECT *, CASE m WHEN 0 THEN 20 * 1e-4 WHEN 1 THEN atr * 1e-4 * 1.5 ELSE CASE WHEN sw IS NULL THEN atr * 1e-4 * 1.5 ELSE greatest(abs(e - sw), 5 * 1e-4) END END AS sl FROM p), r AS (SELECT *, CASE m WHEN 0 THEN sl * 0.5 WHEN 1 THEN atr * 1e-4 * 3 ELSE 40 * 1e-4 END AS tp FROM q) SELECT id, round(e - d * sl, 8) AS sl_price, round(e + d * tp, 8) AS tp_price FROM r")
+def live_stops(spark, sf_dir):
+    """Stops of live orders: the target isn't pushed out to the stop's distance."""
+    return rounded(pricing.stops(_priced(spark, sf_dir), clamp=False).select("id", "sl_price", "tp_price"), "sl_price", "tp_price")
+
+
+@query(f"WITH {TICKS}, c AS (SELECT pair, s, (ask - bid) / 1e-4 AS sp, CASE WHEN (s // 3600) % 24 < 8 THEN 'Asian' WHEN (s // 3600) % 24 < 13 THEN 'London' WHEN (s // 3600) % 24 < 17 THEN 'Lon-NY' WHEN (s // 3600) % 24 < 21 THEN 'NY' ELSE 'Rollover' END AS session FROM ticks) SELECT pair, session, round(avg(sp + CASE WHEN pair IN ('click', 'view') THEN 0 ELSE 1 END), 4) AS spread_pips, CASE WHEN pair IN ('click', 'view') THEN 'tick' ELSE 'minutes' END AS source FROM c GROUP BY ALL")
+def preferred_costs(spark, sf_dir):
+    """Session spreads from ticks, and for pairs without ticks from minute bars, which here are a pip wider."""
+    t = ticks(spark, sf_dir)
+    wider = t.withColumn("ask", F.col("ask") + F.lit(1e-4))
+    return cost.preferred(("tick", cost.session_spreads(t.where("pair in ('click', 'view')"))), ("minutes", cost.session_spreads(wider)))
+
+
+@query("SELECT k AS place, trial_id, o_custkey AS trades FROM (VALUES (0, 7), (1, 3), (2, -5), (3, 7)) w(k, trial_id) LEFT JOIN orders ON o_orderkey = trial_id")
+def trial_lookup(spark, sf_dir):
+    found = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("trial_id"), F.col("o_custkey").alias("trades"))
+    return ranking.lookup(found, spark.createDataFrame([(0, 7), (1, 3), (2, -5), (3, 7)], "place int, trial_id long"))

@@ -45,6 +45,33 @@ def read_candles(spark: SparkSession, path: str, scale: float = 1e5) -> DataFram
     return _read(spark, path, CANDLE, columns, "sec long, open double, high double, low double, close double, volume double")
 
 
+# How a path tells its pair, day and hour; months count from 00.
+_PLACE = r"([A-Za-z]{6})/(\d{4})/(\d{2})/(\d{2})/(?:(\d{2})h_)?[^/]*$"
+
+
+def with_place(rows: DataFrame) -> DataFrame:
+    """Rows of files with pair (A_B) and s, the epoch second of the file's hour, or day, as their path tells; null where it doesn't."""
+    part = lambda k: F.nullif(F.regexp_extract("path", _PLACE, k), F.lit(""))
+    month = F.lpad((part(3).cast("int") + 1).cast("string"), 2, "0")
+    day = F.to_date(F.concat_ws("-", part(2), month, part(4)))
+    start = F.datediff(day, F.lit("1970-01-01").cast("date")).cast("long") * 86_400 + F.coalesce(part(5).cast("long"), F.lit(0)) * 3600
+    name = F.upper(part(1))
+    return rows.withColumn("pair", F.concat_ws("_", F.substring(name, 1, 3), F.substring(name, 4, 3))).withColumn("s", F.when(part(1).isNotNull(), start))
+
+
+def scaled(rows: DataFrame, columns: list[str], read_at: float = 1e5, yen: float = 1e3) -> DataFrame:
+    """Prices of pairs against the yen, which files hold in thousandths, brought to their scale."""
+    is_yen = F.col("pair").endswith("JPY")
+    return rows.withColumns({c: F.when(is_yen, F.col(c) * (read_at / yen)).otherwise(F.col(c)) for c in columns})
+
+
+def located_ticks(spark: SparkSession, path: str) -> DataFrame:
+    """pair, s, us, bid, ask and volumes of every file of ticks below a path, with pair and hour from the file's path."""
+    rows = scaled(with_place(read_ticks(spark, path)), ["bid", "ask"])
+    us = F.col("s") * 1_000_000 + F.col("ms") * 1000
+    return rows.select("pair", F.floor(us / 1_000_000).alias("s"), us.alias("us"), "bid", "ask", "bid_volume", "ask_volume")
+
+
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a log of JSON lines; lines that aren't JSON, empty ones and a byte order mark are passed over."""
     lines = spark.read.text(path).select(F.regexp_replace(F.trim("value"), "^\ufeff", "").alias("v")).where("v <> ''")
@@ -74,3 +101,9 @@ def write_run(path: str, **tables: DataFrame) -> None:
 
 def read_run(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}")
+
+
+def write_lean(path: str, metrics: DataFrame, retained: DataFrame, chunk: int) -> None:
+    """What a long run leaves: all metrics by chunks of trials, and the trials that are kept whole."""
+    metrics.withColumn("chunk", F.floor(F.col("trial_id") / chunk)).write.mode("overwrite").partitionBy("chunk").parquet(f"{path}/metrics")
+    retained.write.mode("overwrite").parquet(f"{path}/retained")

@@ -94,3 +94,41 @@ def test_inputs_of_a_sweep_are_validated(spark):
     for bad in ((trials.unionByName(trials), found), (trials.where("false").unionByName(spark.createDataFrame([(None,)], "trial_id long")), found), (trials, found.drop("pip")), (trials.withColumn("sl_mode", F.lit("x")), found)):
         with pytest.raises(ValueError):
             sweep.validate(*bad)
+
+
+def test_a_library_is_built_once(spark, tmp_path, monkeypatch):
+    from tests.conftest import SMALL
+    from chronosweep.plans.catalogue import bars
+
+    b, families = bars(spark, SMALL), {"ema_cross": {"fast": [5], "slow": [20]}}
+    first = sorted(map(tuple, signals.cached_library(b, families, str(tmp_path))[1].collect()))
+    monkeypatch.setattr(signals, "build_library", lambda *_, **__: (_ for _ in ()).throw(AssertionError("built again")))
+    variants, again = signals.cached_library(b, families, str(tmp_path))
+    assert sorted(map(tuple, again.collect())) == first and first and variants.count() == 1
+    with pytest.raises(AssertionError):
+        signals.cached_library(b.where("s > 1704200000"), families, str(tmp_path))
+
+
+def test_files_tell_their_pair_and_hour(spark, tmp_path):
+    import lzma
+
+    import numpy as np
+
+    from chronosweep.sources import files
+
+    for pair, price in (("EURUSD", 110000), ("USDJPY", 150000)):
+        folder = tmp_path / pair / "2024" / "00" / "15"
+        folder.mkdir(parents=True)
+        (folder / "07h_ticks.bi5").write_bytes(lzma.compress(np.array([(1500, price + 2, price, 1.0, 2.0)], files.TICK).tobytes()))
+    got = {r["pair"]: r for r in files.located_ticks(spark, f"{tmp_path}/*/*/*/*").collect()}
+    assert {p: round(r["bid"], 5) for p, r in got.items()} == {"EUR_USD": 1.1, "USD_JPY": 150.0}
+    assert got["EUR_USD"]["us"] == 1705302001500000 and got["EUR_USD"]["s"] == 1705302001
+
+
+def test_lean_runs(spark, tmp_path):
+    from chronosweep.sources import files
+
+    rows = spark.range(25).withColumnRenamed("id", "trial_id")
+    files.write_lean(str(tmp_path), rows, rows.where("trial_id < 3"), 10)
+    assert files.read_run(spark, str(tmp_path), "metrics").groupBy("chunk").count().count() == 3
+    assert files.read_run(spark, str(tmp_path), "retained").count() == 3
