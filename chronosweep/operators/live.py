@@ -25,6 +25,13 @@ def order_comment(family: Column, prefix: str = "sig_", bare: str = "order", mos
     return F.when(name == "", bare).otherwise(F.substring(F.concat(F.lit(prefix), name), 1, most))
 
 
+def comment_fields(comment: Column) -> dict[str, Column]:
+    """What a broker's comment tells: the kind and price of the stop that closed a position, and the level in a name."""
+    stop = r"\[(sl|tp)\s+([0-9.]+)\]"
+    told = lambda pattern, k: F.nullif(F.regexp_extract(comment, pattern, k), F.lit(""))
+    return {"stop_kind": F.upper(told(stop, 1)), "stop_price": told(stop, 2).try_cast("double"), "level": told(r"_L(\d+)_", 1).cast("int")}
+
+
 def own_deals(deals: DataFrame, magic: int, prefixes: tuple[str, ...] = ("sig_",)) -> DataFrame:
     """Deals of this system, by magic number or comment, one row a ticket: the newest."""
     comment = F.coalesce("comment", F.lit(""))

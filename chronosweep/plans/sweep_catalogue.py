@@ -237,3 +237,10 @@ def preferred_costs(spark, sf_dir):
 def trial_lookup(spark, sf_dir):
     found = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("trial_id"), F.col("o_custkey").alias("trades"))
     return ranking.lookup(found, spark.createDataFrame([(0, 7), (1, 3), (2, -5), (3, 7)], "place int, trial_id long"))
+
+
+@query(f"WITH {ORDERS}, t AS (SELECT id, CASE id % 4 WHEN 0 THEN 'sig_x [sl ' || (id % 100) || '.25]' WHEN 1 THEN 'a_L' || (id % 7) || '_b [tp  1.5]' WHEN 2 THEN '[SL 3]' ELSE 'none' END AS c FROM o) SELECT id, CASE id % 4 WHEN 0 THEN 'SL' WHEN 1 THEN 'TP' END AS stop_kind, CASE id % 4 WHEN 0 THEN id % 100 + 0.25e0 WHEN 1 THEN 1.5e0 END AS stop_price, CASE WHEN id % 4 = 1 THEN CAST(id % 7 AS INTEGER) END AS level FROM t")
+def comment_fields(spark, sf_dir):
+    i = F.col("id")
+    told = F.when(i % 4 == 0, F.concat(F.lit("sig_x [sl "), (i % 100).cast("string"), F.lit(".25]"))).when(i % 4 == 1, F.concat(F.lit("a_L"), (i % 7).cast("string"), F.lit("_b [tp  1.5]"))).when(i % 4 == 2, "[SL 3]").otherwise("none")
+    return _orders(spark, sf_dir).select("id", *[c.alias(name) for name, c in live.comment_fields(told).items()])
