@@ -178,8 +178,8 @@ def fit_languages(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
     ids = rows.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang")).distinct()
     # ids whose hash can't be among the least of their language, by a margin of four, never meet in one task
     ids = cut(ids.withColumn("h", F.xxhash64("id", F.lit(10))))
-    sizes = ids.groupBy("lang").agg(F.count("*").alias("size"))
-    few = ids.join(sizes, "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("size") <= 4 * sample + 100)
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("size"))  # a row for each language, of which each gets a model here
+    few = ids.join(F.broadcast(sizes), "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("size") <= 4 * sample + 100)
     chosen = few.withColumn("k", F.expr("row_number() over (partition by lang order by h, id)")).where(F.col("k") <= sample).select("id", "lang")
     held = rows.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("t"))
     taken = held.join(F.broadcast(chosen), ["id", "lang"]).groupBy("lang", "id").agg(F.min("t").alias("t")).collect()
