@@ -42,6 +42,9 @@ def trial_metrics(trades: DataFrame, avg_sl: float = 30.0, n_bars: int = 1000, b
     sound = trades.withColumn("pnl", F.col("pnl").cast("double"))
     run = equity(sound, by).withColumn("d", p - F.avg("pnl").over(whole)).withColumn("flat", F.min("pnl").over(whole) == F.max("pnl").over(whole))
     run = run.withColumn("d", F.when(F.col("flat"), 0.0).otherwise(F.col("d")))
+    # how far equity is from its own straight line over the trade's number
+    run = run.withColumns({"slope": F.regr_slope("eq", "i").over(whole), "mid_eq": F.avg("eq").over(whole), "mid_i": F.avg("i").over(whole)})
+    run = run.withColumn("off", F.coalesce(F.col("eq") - F.col("mid_eq") - F.col("slope") * (F.col("i") - F.col("mid_i")), F.lit(0.0)))
     d2 = F.col("d") * F.col("d")
     stop = F.avg("sl_pips") if "sl_pips" in trades.columns else F.first(F.lit(float(avg_sl)))
     bars = F.max("n_bars").cast("double") if "n_bars" in trades.columns else F.first(F.lit(float(n_bars)))
@@ -58,7 +61,7 @@ def trial_metrics(trades: DataFrame, avg_sl: float = 30.0, n_bars: int = 1000, b
         F.max("base").alias("base"),
         F.avg(F.col("dd_pct") * F.col("dd_pct")).alias("dd2"),
         F.max("streak").cast("long").alias("max_consec_loss"),
-        F.regr_r2("eq", "i").alias("r2"), F.regr_slope("eq", "i").alias("slope"),
+        F.regr_r2("eq", "i").alias("r2"), F.max("slope").alias("slope"), F.sum(F.col("off") * F.col("off")).alias("rest"),
         F.regr_sxx("eq", "i").alias("sxx"), F.regr_syy("eq", "i").alias("syy"),
         F.array_sort(F.collect_list("pnl")).alias("sorted"),
         stop.alias("stop"), bars.alias("bars"),
@@ -83,7 +86,7 @@ def trial_metrics(trades: DataFrame, avg_sl: float = 30.0, n_bars: int = 1000, b
         "recovery": ratio(F.col("total_pips"), F.col("max_dd")),
     })
     # residual variance of equity over the trade's number, and the slope's standard error; a straight line has none
-    rest = F.col("syy") - F.col("slope") * F.col("slope") * F.col("sxx")
+    rest = F.col("rest")
     err = F.when(n > 2, F.sqrt(F.when(rest > STRAIGHT * F.col("syy"), rest).otherwise(0.0) / (n - 2) / F.col("sxx"))).otherwise(0.0)
     m = m.withColumns({"err": err, "low": F.element_at("sorted", F.round((n - 1) * 0.05).cast("int") + 1), "high": F.element_at("sorted", F.round((n - 1) * 0.95).cast("int") + 1)})
     m = m.withColumns({"g3": ratio(F.col("s3") / n, F.col("m2") * F.sqrt("m2")), "g4": ratio(F.col("s4") / n, F.col("m2") * F.col("m2"))})

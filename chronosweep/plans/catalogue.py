@@ -389,7 +389,7 @@ def batch_eval(spark, sf_dir):
 TRADES = "mt0 AS (SELECT l_suppkey AS trial_id, CASE WHEN l_suppkey % 7 = 3 THEN 0.1e0 ELSE CAST(l_quantity AS DOUBLE) - 25.0e0 + CAST(l_discount AS DOUBLE) * 10.0e0 END AS pnl, 30.0e0 AS sl, 1000.0e0 AS nb, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount) AS i FROM lineitem)"
 #: Metrics of trials from mt0 (trial_id, i, pnl, sl, nb), down to k with one row a trial.
 CURVES = "e1 AS (SELECT *, sum(pnl) OVER w AS eq, sum(CAST(pnl >= 0 AS INTEGER)) OVER w AS island FROM mt0 WINDOW w AS (PARTITION BY trial_id ORDER BY i)), e2 AS (SELECT *, greatest(max(eq) OVER w, 0) AS peak, max(abs(eq)) OVER w AS base, sum(CAST(pnl < 0 AS INTEGER)) OVER (PARTITION BY trial_id, island ORDER BY i) AS streak FROM e1 WINDOW w AS (PARTITION BY trial_id ORDER BY i))"
-MEASURED = CURVES + ", a AS (SELECT trial_id, count(*) AS n, sum(pnl) AS total, avg(pnl) AS m, min(pnl) = max(pnl) AS flat, avg(sl) AS sl, max(nb) AS nb, avg(CAST(pnl > 0 AS INTEGER)) AS wr, coalesce(sum(pnl) FILTER (WHERE pnl > 0), 0) AS won, coalesce(-sum(pnl) FILTER (WHERE pnl < 0), 0) AS lost, coalesce(sum(pnl * pnl) FILTER (WHERE pnl < 0), 0) AS nsq, count(*) FILTER (WHERE pnl < 0) AS nn, max(peak - eq) AS mdd, max(base) AS base, sqrt(avg(CASE WHEN base > 0 THEN pow((peak - eq) / base * 100, 2) ELSE 0 END)) AS ulcer, max(streak) AS streak, regr_r2(eq, i) AS r2, regr_slope(eq, i) AS slope, regr_sxx(eq, i) AS sxx, regr_syy(eq, i) AS syy, list_sort(list(pnl)) AS l FROM e2 GROUP BY trial_id), dv AS (SELECT e2.trial_id, CASE WHEN flat THEN 0 ELSE pnl - m END AS x FROM e2 JOIN a ON a.trial_id = e2.trial_id), c AS (SELECT trial_id, sum(x * x) AS q2, sum(x * x * x) AS q3, sum(x * x * x * x) AS q4 FROM dv GROUP BY trial_id), d AS (SELECT a.*, q2 / n AS v, q3 / n AS c3, q4 / n AS c4, CASE WHEN n > 1 THEN sqrt(q2 / (n - 1)) ELSE 0 END AS sd, sqrt(n * 6048.0e0 / nb) AS ann, CASE WHEN lost > 0 THEN won / lost WHEN won > 0 THEN 10 ELSE 0 END AS pf, CASE WHEN nn > 0 THEN m / sqrt(nsq / nn) * sqrt(n * 6048.0e0 / nb) WHEN m > 0 THEN 10 ELSE 0 END AS sortino, syy - slope * slope * sxx AS rest, CASE WHEN sl > 0 THEN total / sl * 100 ELSE 0 END AS ret FROM a JOIN c ON a.trial_id = c.trial_id), ms AS (SELECT *, sqrt(CASE WHEN rest > 1e-12 * syy THEN rest ELSE 0 END / (n - 2) / sxx) AS err FROM d), k AS (SELECT *, CASE WHEN n > 2 AND err > 0 THEN slope / (err * sqrt(n)) ELSE 0 END AS kr, CASE WHEN sd > 0 THEN m / sd ELSE 0 END AS sr FROM ms)"
+MEASURED = CURVES + ", a AS (SELECT trial_id, count(*) AS n, sum(pnl) AS total, avg(pnl) AS m, min(pnl) = max(pnl) AS flat, avg(sl) AS sl, max(nb) AS nb, avg(CAST(pnl > 0 AS INTEGER)) AS wr, coalesce(sum(pnl) FILTER (WHERE pnl > 0), 0) AS won, coalesce(-sum(pnl) FILTER (WHERE pnl < 0), 0) AS lost, coalesce(sum(pnl * pnl) FILTER (WHERE pnl < 0), 0) AS nsq, count(*) FILTER (WHERE pnl < 0) AS nn, max(peak - eq) AS mdd, max(base) AS base, sqrt(avg(CASE WHEN base > 0 THEN pow((peak - eq) / base * 100, 2) ELSE 0 END)) AS ulcer, max(streak) AS streak, regr_r2(eq, i) AS r2, regr_slope(eq, i) AS slope, regr_sxx(eq, i) AS sxx, regr_syy(eq, i) AS syy, avg(eq) AS my, avg(i) AS mx, list_sort(list(pnl)) AS l FROM e2 GROUP BY trial_id), dv AS (SELECT e2.trial_id, CASE WHEN flat THEN 0 ELSE pnl - m END AS x, coalesce(eq - my - slope * (i - mx), 0) AS y FROM e2 JOIN a ON a.trial_id = e2.trial_id), c AS (SELECT trial_id, sum(x * x) AS q2, sum(x * x * x) AS q3, sum(x * x * x * x) AS q4, sum(y * y) AS rest FROM dv GROUP BY trial_id), d AS (SELECT a.*, q2 / n AS v, q3 / n AS c3, q4 / n AS c4, CASE WHEN n > 1 THEN sqrt(q2 / (n - 1)) ELSE 0 END AS sd, sqrt(n * 6048.0e0 / nb) AS ann, CASE WHEN lost > 0 THEN won / lost WHEN won > 0 THEN 10 ELSE 0 END AS pf, CASE WHEN nn > 0 THEN m / sqrt(nsq / nn) * sqrt(n * 6048.0e0 / nb) WHEN m > 0 THEN 10 ELSE 0 END AS sortino, rest, CASE WHEN sl > 0 THEN total / sl * 100 ELSE 0 END AS ret FROM a JOIN c ON a.trial_id = c.trial_id), ms AS (SELECT *, sqrt(CASE WHEN rest > 1e-12 * syy THEN rest ELSE 0 END / (n - 2) / sxx) AS err FROM d), k AS (SELECT *, CASE WHEN n > 2 AND err > 0 THEN slope / (err * sqrt(n)) ELSE 0 END AS kr, CASE WHEN sd > 0 THEN m / sd ELSE 0 END AS sr FROM ms)"
 MOMENTS = f"{TRADES}, {MEASURED}"
 
 
