@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronosweep.functions.exprs import pip
+from chronosweep.functions.lineage import cut
 
 # A broker's reason codes.
 DEAL_REASONS = {0: "CLIENT", 1: "MOBILE", 2: "WEB", 3: "EXPERT", 4: "SL", 5: "TP", 6: "SO", 7: "ROLLOVER", 8: "VMARGIN", 9: "SPLIT"}
@@ -160,27 +160,89 @@ def first_within(left: DataFrame, right: DataFrame, span: int) -> DataFrame:
     return left.join(first, "id", "left").select("id", "pair", F.col("m.rid").alias("rid"))
 
 
-def match_greedy(bt: DataFrame, live: DataFrame, window: int) -> DataFrame:
+#: Rows of one side to a cell of time that cells are halved down to, and how many windows a cell has at least.
+CROWD, SPAN = 5_000, 3
+
+
+def take_nearest(wanted: list[tuple], free: list[tuple], gone: set, window: int) -> list[tuple]:
+    """(id, id taken, its time, gap) of rows (s, id) that in their order each take the nearest of `free` (sorted) which isn't gone or taken; of equally near ones the earlier."""
+    ahead, back = list(range(len(free) + 1)), list(range(len(free) + 1))  # the next free place from here on, and up to here (one more than it)
+
+    def find(links: list[int], k: int) -> int:
+        root = k
+        while links[root] != root:
+            root = links[root]
+        while links[k] != root:
+            links[k], k = root, links[k]
+        return root
+
+    def use(k: int) -> None:
+        ahead[k], back[k + 1] = k + 1, k
+
+    for k, (_, i) in enumerate(free):
+        if i in gone:
+            use(k)
+    out = []
+    for s, i in wanted:
+        at = bisect_left(free, (s,))
+        later, before = find(ahead, at), find(back, at) - 1
+        near = [k for k in (later,) if k < len(free)]
+        if before >= 0:
+            near.append(find(ahead, bisect_left(free, (free[before][0],))))  # the first of those at the same time
+        near = [(abs(free[k][0] - s), k) for k in near if abs(free[k][0] - s) <= window]
+        if near:
+            gap, k = min(near)
+            use(k)
+            out.append((i, free[k][1], free[k][0], gap))
+    return out
+
+
+def match_greedy(bt: DataFrame, live: DataFrame, window: int, crowd: int = CROWD) -> DataFrame:
     """Backtest rows, in order of time, each take the nearest live row within the window that is still free.
 
-    Rows further apart than the window never meet, so pairs are cut into stretches at such gaps; each group holds a bounded number of them.
+    A pair and direction's time is cut into cells that are a few windows wide, halved while they hold more than `crowd` rows.  A cell only
+    depends on those before it through the live rows about its start that they have taken, so all cells are matched side by side, at
+    first as if none were; where what the cell before it took turns out otherwise, a cell is matched again, until nothing changes.
+    The first cell is right at once, the k-th after k rounds at most, and most after two, as what is taken at a border
+    seldom matters a cell later.  Each cell is a row, so a task holds one at a time.
     """
-    rows = bt.select("pair", "direction", F.col("signal_s").alias("s"), F.col("bt_id").alias("id"), F.lit(0).alias("side"))
-    rows = rows.unionByName(live.select("pair", "direction", F.col("signal_s").alias("s"), F.col("live_id").alias("id"), F.lit(1).alias("side")))
-    w = Window.partitionBy("pair", "direction").orderBy("s", "side", "id")
-    stretches = rows.withColumn("_new", (F.col("s") - F.coalesce(F.lag("s").over(w), F.col("s")) > window).cast("int")).withColumn("stretch", F.sum("_new").over(w))
-
-    def take(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["s", "id"])
-        free = list(group[group.side == 1][["s", "id"]].itertuples(index=False, name=None))
-        out = []
-        for s, i in group[group.side == 0][["s", "id"]].itertuples(index=False, name=None):
-            lo, hi = bisect_left(free, (s - window,)), bisect_left(free, (s + window + 1,))
-            near = [(abs(x - s), x, j) for x, j in free[lo:hi]]
-            if near:
-                gap, x, j = min(near)
-                free.remove((x, j))
-                out.append((i, j, group.pair.iat[0], group.direction.iat[0], gap))
-        return pd.DataFrame(out, columns=["bt_id", "live_id", "pair", "direction", "gap"])
-
-    return stretches.groupBy("pair", "direction", F.floor(F.col("stretch") / 500)).applyInPandas(take, "bt_id long, live_id long, pair string, direction int, gap long")
+    key = ["pair", "direction"]
+    sound = lambda df, name: df.where("pair is not null and direction is not null and signal_s is not null").select(*key, F.col("signal_s").cast("long").alias("s"), F.col(name).alias("id"))
+    rows = cut(sound(bt, "bt_id").withColumn("side", F.lit(0)).unionByName(sound(live, "live_id").withColumn("side", F.lit(1))))
+    width = max(SPAN * window, 1) + 1
+    least = width
+    crowded = lambda w: not rows.groupBy(*key, "side", F.floor(F.col("s") / w)).count().where(F.col("count") > crowd).isEmpty()
+    while not crowded(width * 16) and width < 2**40:
+        width *= 16
+    while width // 2 >= least and crowded(width):
+        width //= 2
+    own, at = F.floor(F.col("s") / width), F.struct("s", "id")
+    mine = rows.where("side = 0").groupBy(*key, own.alias("cell")).agg(F.sort_array(F.collect_list(at)).alias("wanted"))
+    # a cell sees its own live rows and those a window before and after
+    reach = F.array_distinct(F.array(own, F.floor((F.col("s") - window) / width), F.floor((F.col("s") + window) / width)))
+    theirs = rows.where("side = 1").select("*", F.explode(reach).alias("cell")).groupBy(*key, "cell").agg(F.sort_array(F.collect_list(at)).alias("free"))
+    cells = cut(mine.join(theirs, [*key, "cell"]))
+    ids = dict(rows.dtypes)["id"]
+    found = f"array<struct<bt_id:{ids},live_id:{ids},live_s:bigint,gap:bigint>>"
+
+    @F.udf(found)
+    def matched(wanted, free, gone):
+        return take_nearest([(r["s"], r["id"]) for r in wanted], [(r["s"], r["id"]) for r in free], set(gone), window)
+
+    def settled(some: DataFrame) -> DataFrame:
+        """Cells with `gone` matched: what they took, and of that what the next cell sees."""
+        told = some.withColumn("took", matched("wanted", "free", "gone"))
+        passed = F.filter("took", lambda m: m["live_s"] >= (F.col("cell") + 1) * width - window)
+        return told.select(*key, "cell", "gone", "took", F.sort_array(F.transform(passed, lambda m: m["live_id"])).alias("passed"))
+
+    nothing = F.array().cast(f"array<{ids}>")
+    state = cut(settled(cells.withColumn("gone", nothing)))
+    while True:
+        before = state.select(*key, (F.col("cell") + 1).alias("cell"), F.col("passed").alias("now"))
+        told = state.join(before, [*key, "cell"], "left").withColumn("now", F.coalesce("now", nothing))
+        stale = cut(told.where("now <> gone").select(*key, "cell", F.col("now").alias("gone")))
+        if stale.isEmpty():
+            break
+        again = settled(cells.join(stale, [*key, "cell"]))
+        state = cut(state.join(stale.select(*key, "cell"), [*key, "cell"], "left_anti").unionByName(again))
+    return state.select(*key, F.explode("took").alias("m")).select("m.bt_id", "m.live_id", *key, "m.gap")

@@ -10,6 +10,7 @@ logarithm of the longest trade up to the widest cell.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -245,54 +246,73 @@ def _run(left: pa.Table, right: pa.Table) -> pa.Table:
     known = lambda name, kind: pa.array(found[name], kind, mask=nothing)
     when = np.nan_to_num(found["exit_s"], nan=0).astype(np.int64)
     return pa.table({
-        "k": left.column("k").combine_chunks(), "pair": left.column("pair"), "v": values, "done": found["done"], "pnl": known("pnl", pa.float64()),
+        "row": left.column("row"), "pair": left.column("pair"), "v": values, "done": found["done"], "pnl": known("pnl", pa.float64()),
         "exit_reason": pa.array(np.array(REASONS, object)[found["reason"]], pa.string(), mask=nothing), "exit_no": known("exit_no", pa.int64()),
         "exit_s": pa.array(when, pa.int64(), mask=np.isnan(found["exit_s"])), "exit_price": known("exit_price", pa.float64()),
     })
 
 
-def simulate(trades: DataFrame, path: DataFrame, stale_bars: int = 64, keep: list[str] | None = None) -> DataFrame:
-    """The columns to keep of trades (all by default) with entry_cost_price, exit_no, exit_s, exit_price, exit_reason and pnl (pips).
+def _begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        v = np.array(batch.column(2).flatten().to_numpy(zero_copy_only=False)).reshape(batch.num_rows, len(FIELDS))
+        start(v)
+        values = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, len(FIELDS)), pa.int32()), pa.array(v.ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), values, batch.column(3)], ["row", "pair", "v", "_last"])
 
-    trades: pair, entry_no (the place of the main bar that they enter on), the other TRADE columns and any of RULES.
-    path: what `paths` gives.  `stale_bars` is the most that any trade's rule looks back.  exit_s is null where the exit isn't within
-    a main bar.  A trade without prices, or of a pair without bars, has null results.
-    """
-    kept = keep or trades.columns
+
+RESULT = "row long, pair string, v array<double>, done boolean, pnl double, exit_reason string, exit_no long, exit_s long, exit_price double"
+
+
+def rounds(open_: DataFrame, path: DataFrame, last: DataFrame, stale_bars: int) -> DataFrame:
+    """RESULT of trades (row, pair, v, _last) that run through a path which is written already: cell by cell until none is open."""
     first = max(FIRST, 1 << max(0, stale_bars - 1).bit_length())
-    path = cut(path)
-    last = path.groupBy("pair").agg(F.max("last_no").alias("_last"))
-    numbers = [_number(c, d, trades.columns) for c, d in {**TRADE, **RULES}.items()] + [F.lit(float("nan"))] * len(STATE)
-    rows = trades.select("pair", F.struct(*kept).alias("k"), F.array(*numbers).alias("v")).join(last, "pair", "left")
-    kind = rows.schema["k"].dataType.simpleString()
-
-    def begun(batches):
-        for batch in batches:
-            v = np.array(batch.column(2).flatten().to_numpy(zero_copy_only=False)).reshape(batch.num_rows, len(FIELDS))
-            start(v)
-            values = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, len(FIELDS)), pa.int32()), pa.array(v.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), values, batch.column(3)], ["pair", "k", "v", "_last"])
-
-    open_ = rows.mapInArrow(begun, f"pair string, k {kind}, v array<double>, _last long")
     width, done = first, None
-    schema = f"k {kind}, pair string, v array<double>, done boolean, pnl double, exit_reason string, exit_no long, exit_s long, exit_price double"
     at = F.element_at("v", PLACE["at"] + 1)
     while True:
         open_ = cut(open_.withColumn("cell", F.floor(F.least(at, F.col("_last")) / width)))
         needed = open_.groupBy("pair", "cell").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
-        dealt = open_.join(needed, ["pair", "cell"], "left").withColumn("part", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1))))
+        # dealt by the trade's number, so that equal trades are dealt like any others
+        dealt = open_.join(needed, ["pair", "cell"], "left").withColumn("part", F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1))))
         # main bars just before a cell go with it, for rules that look back
         cell, into = F.floor(F.col("no") / width), F.col("no") % width
         own = path.withColumn("cell", cell)
         before = path.where(into >= width - min(stale_bars, width)).groupBy("pair", "no").agg(F.first("main_range").alias("main_range"), F.first("last_no").alias("last_no"), F.min("s").alias("s"))
         before = before.select("pair", "no", "s", *[F.lit(None).cast("double").alias(c) for c in ("high", "low", "close", "spread", "main_close", "main_spread")], "main_range", "last_no", (cell + 1).alias("cell"))
         here = own.unionByName(before).join(needed, ["pair", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        out = cut(dealt.drop("_last", "parts").groupBy("pair", "cell", "part").cogroup(here.drop("parts").groupBy("pair", "cell", "part")).applyInArrow(_run, schema))
+        out = cut(dealt.drop("_last", "parts").groupBy("pair", "cell", "part").cogroup(here.drop("parts").groupBy("pair", "cell", "part")).applyInArrow(_run, RESULT))
         closed = out.where("done")
         done = closed if done is None else done.unionByName(closed)
         left = out.where(~F.col("done"))
         if left.isEmpty():
-            break
+            return done
         width = min(width * GROWTH, max(WIDEST, first))
-        open_ = left.select("pair", "k", "v").join(last, "pair", "left")
-    return done.select("k.*", F.element_at("v", PLACE["entry"] + 1).alias("entry_cost_price"), "exit_no", "exit_s", "exit_price", "exit_reason", "pnl")
+        open_ = left.select("row", "pair", "v").join(last, "pair", "left")
+
+
+def simulate(trades: DataFrame, path: DataFrame, stale_bars: int = 64, keep: list[str] | None = None) -> DataFrame:
+    """The columns to keep of trades (all by default) with entry_cost_price, exit_no, exit_s, exit_price, exit_reason and pnl (pips).
+
+    trades: pair, entry_no (the place of the main bar that they enter on), the other TRADE columns and any of RULES.
+    path: what `paths` gives.  `stale_bars` is the most that any trade's rule looks back.  exit_s is null where the exit isn't within
+    a main bar.  A trade without prices, or of a pair without bars, has null results.
+
+    Trades that are equal in all numbers have equal results: where at least half of them repeat others, as those of trials that
+    differ in filters only, each kind is simulated once and its result joined back.
+    """
+    kept = keep or trades.columns
+    path = cut(path)
+    last = path.groupBy("pair").agg(F.max("last_no").alias("_last"))
+    numbers = [_number(c, d, trades.columns) for c, d in {**TRADE, **RULES}.items()]
+    rows = trades.select("pair", F.struct(*kept).alias("k"), F.array(*numbers).alias("v"))
+    rows = cut(rows.withColumns({"row": F.monotonically_increasing_id(), "_a": F.xxhash64("pair", "v"), "_b": F.xxhash64(F.lit("again"), "v", "pair")}))
+    n, kinds = rows.agg(F.count("*"), F.approx_count_distinct("_a", 0.02)).first()
+    number = F.concat("v", F.array_repeat(F.lit(float("nan")), len(STATE))).alias("v")
+    once = n > 2 * kinds
+    each = rows.groupBy("_a", "_b").agg(F.min("row").alias("row"), F.any_value("pair").alias("pair"), F.any_value("v").alias("v")) if once else rows
+    each = cut(each) if once else each
+    open_ = each.select("row", "pair", number).join(last, "pair", "left").select("row", "pair", "v", "_last").mapInArrow(_begun, "row long, pair string, v array<double>, _last long")
+    done = rounds(open_, path, last, stale_bars).select("row", F.element_at("v", PLACE["entry"] + 1).alias("entry_cost_price"), "exit_no", "exit_s", "exit_price", "exit_reason", "pnl")
+    if once:
+        done = each.select("_a", "_b", "row").join(done, "row").drop("row")
+    by = ["_a", "_b"] if once else ["row"]
+    return rows.select("k", *by).join(done, by).select("k.*", *[c for c in done.columns if c not in by])

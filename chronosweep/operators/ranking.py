@@ -56,6 +56,43 @@ def top_per_objective(metrics: DataFrame, objectives: list[str], n: int, by: lis
     return long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).drop("order")
 
 
+#: Objectives that a lean run keeps the best trials of, and those whose list another one shares: with a fixed number of trials dsr rises with psr.
+BENCHES = (
+    "trades", "win_rate", "quality", "profit_factor", "sharpe", "sortino", "r_squared", "return_pct", "expectancy_r", "expectancy_pips", "sqn", "calmar", "recovery", "upi", "k_ratio", "tail_ratio", "omega", "psr",
+    "total_pips", "quality_profitable", "max_dd_pct", "ulcer", "max_consec_loss",
+)
+SHARED = {"dsr": "psr"}
+
+
+def benches(metrics: DataFrame, n: int, by: list[str] | None = None) -> DataFrame:
+    """by, objective, trial_id, value, rank: the best n of each of BENCHES, and the lists that are shared.
+
+    quality_profitable is the quality of trials that gain or whose profit factor is over 1; what isn't finite stands on no bench.
+    """
+    profitable = holds("total_pips", ">", 0) | holds("profit_factor", ">", 1)
+    rows = metrics.withColumn("quality_profitable", F.when(profitable, F.col("quality")))
+    tops = top_per_objective(rows.withColumns({c: finite(c) for c in BENCHES}), list(BENCHES), n, by).where("value IS NOT NULL")
+    named = F.explode(F.when(F.col("objective").isin(*SHARED.values()), F.array("objective", *[F.when(F.col("objective") == source, F.lit(c)) for c, source in SHARED.items()])).otherwise(F.array("objective")))
+    return tops.withColumn("objective", named).where("objective IS NOT NULL")
+
+
+def kept(metrics: DataFrame, tops: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by, trial_id, benches, best_rank, is_best of all trials on any bench, and of the best one.
+
+    The best is the trial of most quality, ties by return and trades.  Where that stands on no bench, as a sweep's parts may rank ties otherwise, the first of
+    quality_profitable takes its place, or if no trial is profitable the first of quality.
+    """
+    by = by or []
+    order = [better(m).desc() for m in ("quality", "return_pct", "trades")]
+    chosen = metrics.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(*order, "trial_id"))).where("_place = 1").select(*by, F.col("trial_id").alias("_first"))
+    seats = tops.where(~F.col("objective").isin(*SHARED)).groupBy(*by, "trial_id").agg(F.count("*").alias("benches"), F.min("rank").cast("long").alias("best_rank"))
+    heads = tops.where("rank = 1 AND objective IN ('quality_profitable', 'quality')").groupBy(*by).agg(F.max_by("trial_id", F.col("objective") == "quality_profitable").alias("_head"))
+    seated = chosen.join(seats.select(*by, F.col("trial_id").alias("_first"), F.lit(True).alias("_seated")), [*by, "_first"], "left")
+    best = (seated.join(heads, by, "left") if by else seated.join(F.broadcast(heads))).select(*by, F.when(F.col("_seated"), F.col("_first")).otherwise(F.coalesce("_head", "_first")).alias("trial_id"), F.lit(True).alias("_best"))
+    out = seats.join(best, [*by, "trial_id"], "full")
+    return out.select(*by, "trial_id", F.coalesce("benches", F.lit(0)).alias("benches"), "best_rank", F.coalesce("_best", F.lit(False)).alias("is_best"))
+
+
 def retained(tops: DataFrame) -> DataFrame:
     return tops.select("trial_id").distinct()
 

@@ -93,6 +93,21 @@ def rsi_rule(period: int, lower: float, upper: float) -> Rule:
     return Rule((("rsi", period),), lambda was: (F.col(f) > lower) & (was(f) <= lower), lambda was: (F.col(f) < upper) & (was(f) >= upper))
 
 
+#: What a bar tells as a whole number, by the name that a library's `marks` give it; -1 where it is unknown.
+MARKS: dict[str, Callable[[], Column]] = {
+    "session": lambda: session_id(hour_of(F.col("s"))),
+    "weekday": lambda: weekday_of(F.col("s")),
+    "hour": lambda: hour_of(F.col("s")),
+    "quarter": lambda: F.floor(hour_of(F.col("s")) / 6),
+    "week": lambda: F.floor((F.col("s") + 3 * 86_400) / 604_800) % 4,
+    "body": lambda: F.when(F.col("close") >= F.col("open"), 1).otherwise(0),
+    "range": lambda: F.floor((F.col("high") - F.col("low")) / pip(F.col("pair")) / 10),
+    "cost": lambda: F.floor(F.col("spread") / pip(F.col("pair"))),
+    "activity": lambda: F.floor(F.sqrt("volume")),
+    "place": lambda: F.col("rn") % 5,
+}
+
+
 def with_features(bars: DataFrame, wanted: set[tuple]) -> DataFrame:
     """bars with a column for each feature: recursive averages in two passes at most, channels in one."""
     of = lambda kind: sorted(f for f in wanted if f[0] == kind)
@@ -118,16 +133,20 @@ def with_features(bars: DataFrame, wanted: set[tuple]) -> DataFrame:
     named |= {g: F.col(f"tr_{g[1]}") for g in of("atr")}
     out = out.withColumns({feature_name(k): c for k, c in named.items()})
     lookbacks = sorted({f[1] for f in wanted if f[0] in ("above", "below")})
-    if lookbacks:
+    swings = sorted({f[1] for f in wanted if f[0] in ("lowest", "highest")})
+    if lookbacks or swings:
 
         def make(df: DataFrame, w: WindowSpec) -> DataFrame:
             columns = {}
             for n in lookbacks:
                 upper, lower = indicators.channel(w, n)
                 columns |= {feature_name(("above", n)): F.coalesce(F.col("close") > upper, F.lit(False)), feature_name(("below", n)): F.coalesce(F.col("close") < lower, F.lit(False))}
+            for n in swings:
+                last = w.rowsBetween(1 - n, 0)
+                columns |= {feature_name(("lowest", n)): F.min("low").over(last), feature_name(("highest", n)): F.max("high").over(last)}
             return df.withColumns(columns)
 
-        out = in_order(out, max(lookbacks), make)
+        out = in_order(out, max([*lookbacks, *swings]), make)
     return out.select(*bars.columns, *[feature_name(f) for f in sorted(wanted)])
 
 
@@ -213,23 +232,31 @@ def cached_library(bars: DataFrame, families: dict[str, dict[str, list]], folder
         return tuple(spark.read.parquet(p) for p in paths)
 
 
-def build_library(bars: DataFrame, families: dict[str, dict[str, list]], atr_period: int = 14, together: int = 100) -> tuple[DataFrame, DataFrame]:
+def build_library(bars: DataFrame, families: dict[str, dict[str, list]], atr_period: int = 14, together: int = 100, swing: int | None = None, value: str | None = None, marks: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(variants, signals) of all valid combinations; variants without signals stay.
 
-    signals: variant_id, signal_id (the bar's place and the variant's), pair, s, no, direction, entry_price, atr_pips, pip, hour, day, session, spread.
+    signals: variant_id, signal_id (the bar's place and the variant's), pair, s, no, direction, entry_price, atr_pips, pip, hour, day, session, spread,
+    written in order of variant and place within their files.  `swing` adds swing_sl, the lowest low (of a short: the highest high) of so many bars up to
+    the signal's; `value` adds filter_value and `marks` p0 to p9, both by names of MARKS.
     Variants are told `together` at a time, so that a bar's array stays small.
     """
     spark = bars.sparkSession
     rows = variants_of(families)
     full, atr, signals = cut(numbered(bars)), ("atr", atr_period), None
+    more = (atr, ("lowest", swing), ("highest", swing)) if swing else (atr,)
     for at in range(0, len(rows), together):
-        part = entries(full, [(v, FAMILIES[name](**params)) for v, name, params in rows[at : at + together]], (atr,))
+        part = entries(full, [(v, FAMILIES[name](**params)) for v, name, params in rows[at : at + together]], more)
         signals = part if signals is None else signals.unionByName(part)
     variants = spark.createDataFrame([(v, name, fingerprint(params)) for v, name, params in rows], "variant_id long, family string, params string")
     if signals is None:
         return variants.withColumn("n_signals", F.lit(0).cast("long")), bars.limit(0)
-    signals = cut(signals.withColumns({"no": F.col("rn"), "atr": F.col(feature_name(atr))}))
+    mark = lambda name: F.coalesce(MARKS[name](), F.lit(-1))
+    extra = {"swing_sl": F.when(F.col("direction") == 1, F.col(feature_name(("lowest", swing)))).otherwise(F.col(feature_name(("highest", swing))))} if swing else {}
+    extra |= {"filter_value": mark(value).cast("double")} if value else {}
+    extra |= {f"p{k}": mark(name).cast("long") for k, name in enumerate(marks)}
     hour, per = hour_of(F.col("s")), pip(F.col("pair"))
-    signals = signals.select("variant_id", (F.col("no") * len(rows) + F.col("variant_id")).alias("signal_id"), "pair", "s", "no", "direction", F.col("close").alias("entry_price"), (F.col("atr") / per).alias("atr_pips"), per.alias("pip"), hour.alias("hour"), weekday_of(F.col("s")).alias("day"), session_id(hour).alias("session"), "spread")
+    signals = signals.withColumns({"no": F.col("rn"), "atr": F.col(feature_name(atr)), **extra})
+    signals = signals.select("variant_id", (F.col("no") * len(rows) + F.col("variant_id")).alias("signal_id"), "pair", "s", "no", "direction", F.col("close").alias("entry_price"), (F.col("atr") / per).alias("atr_pips"), per.alias("pip"), hour.alias("hour"), weekday_of(F.col("s")).alias("day"), session_id(hour).alias("session"), "spread", *extra)
+    signals = cut(signals.sortWithinPartitions("variant_id", "no"))
     counts = signals.groupBy("variant_id").agg(F.count("*").alias("n"))
     return variants.join(counts, "variant_id", "left").withColumn("n_signals", F.coalesce("n", F.lit(0))).drop("n"), signals

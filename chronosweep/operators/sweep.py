@@ -25,20 +25,33 @@ SLOTS = {
 FILTERS = 10
 #: Signals without one of these carry what stands beside it.
 SIGNAL = {"swing_sl": None, "filter_value": -1.0, "hour": None, "day": None, "spread": None}
+#: Main bars to a stretch, and signals and trials that meet in one cell of the join.
+STRETCH, CELL, BLOCK = 4096, 4096, 1024
 
 
-def matched(trials: DataFrame, signals: DataFrame) -> DataFrame:
+def matched(trials: DataFrame, signals: DataFrame, cell: int = CELL, block: int = BLOCK) -> DataFrame:
     """Trials with the signals of their variant; -1 on either side takes part with all of the other.
 
-    An opted-out trial is dealt to each variant that the library has, so all of this is one equi-join.
+    An opted-out trial is dealt to each variant that the library has, so all of this is one equi-join.  Its key is the variant, the pair,
+    the stretch of bars, a part of the signals there and a part of the variant's trials, both counted: trials go only where
+    their variant has signals, and no key holds more than about `cell` signals and `block` trials, however few variants there are.
     """
     variants = signals.agg(F.array_append(F.collect_set(F.col("variant_id").cast("long")), F.lit(-1).cast("long")).alias("_ids"))  # one row, as long as the library
     own = F.coalesce(F.col("signal_variant").cast("long"), F.lit(-1))
     chosen = trials.where(own >= 0).select("*", F.explode(F.array(own, F.lit(-1).cast("long"))).alias("variant_id"))
     free = trials.where(own < 0).join(F.broadcast(variants)).select(*trials.columns, F.explode(F.array_distinct("_ids")).alias("variant_id"))
-    kept = signals.withColumn("variant_id", F.coalesce(F.col("variant_id").cast("long"), F.lit(-1).cast("long")))
-    # signals that take part with every trial come by their own key
-    return chosen.unionByName(free).join(kept, "variant_id")
+    told = chosen.unionByName(free)
+    pair = F.col("pair") if "pair" in signals.columns else F.lit("")
+    stretch = F.floor(F.col("no") / STRETCH) if "no" in signals.columns else F.lit(0)
+    kept = signals.withColumns({"variant_id": F.coalesce(F.col("variant_id").cast("long"), F.lit(-1).cast("long")), "_pair": F.coalesce(pair, F.lit("")), "_stretch": F.coalesce(stretch, F.lit(0))})
+    at = ["variant_id", "_pair", "_stretch"]
+    blocks = told.groupBy("variant_id").agg(F.ceil(F.count("*") / block).alias("_blocks"))
+    grid = kept.groupBy(*at).agg(F.ceil(F.count("*") / cell).alias("_parts")).join(blocks, "variant_id")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = told.join(grid, "variant_id").withColumn("_block", F.pmod(F.xxhash64("trial_id"), F.col("_blocks"))).withColumn("_part", every("_parts"))
+    right = kept.join(grid, at).withColumn("_part", F.pmod(F.xxhash64("signal_id"), F.col("_parts"))).withColumn("_block", every("_blocks"))
+    keys = [*at, "_part", "_block"]
+    return left.drop("_parts", "_blocks").join(right.drop("_parts", "_blocks"), keys).drop(*keys[1:])
 
 
 def passes(columns: Sequence[str], max_spread_pips: float = 0.0) -> Column:

@@ -15,8 +15,13 @@ from chronosweep.sources.bridge import table, ticks
 
 TRIALS, SEED, SLIPPAGE, COMMISSION, MAX_SPREAD = 500, 7, 0.5, 0.3, 6.0
 _I, _R, _C = space.IntRange, space.FloatRange, space.Choice
-#: Two columns hold what a trial's rules look at; every slot is sampled.
+#: What the library's signals carry beside their bar: a swing's bars, the filter value, and the ten marks.
+SWING, VALUE, MARKS = 10, "session", ("session", "weekday", "quarter", "hour", "body", "range", "cost", "activity", "week", "place")
+_OFF = (-1,)
+#: Every slot of a trial is sampled; filters are mostly off, as a trial with many passes next to nothing.
 SPACE = {
+    "buy_filter_max": _C(_OFF * 6 + (0, 1, 2, 3)), "sell_filter_min": _C(_OFF * 6 + (0, 1, 2, 3)), "signal_p0": _C(_OFF * 12 + (0, 1, 2)), "signal_p1": _C(_OFF * 20 + (0, 1, 2, 3, 4)), "signal_p2": _C(_OFF * 12 + (0, 1, 2, 3)), "signal_p3": _R(-400.0, 23.0),
+    "signal_p4": _C(_OFF * 8 + (0, 1)), "signal_p5": _C(_OFF * 20 + (0, 1, 2, 3)), "signal_p6": _C(_OFF * 20 + (0, 1, 2)), "signal_p7": _C(_OFF * 20 + (1, 2, 3)), "signal_p8": _C(_OFF * 20 + (0, 1, 2, 3)), "signal_p9": _C(_OFF * 20 + (0, 1, 2, 3, 4)),
     "signal_variant": _I(-1, len(_VARIANTS) - 1), "sl_mode": _C((0, 1, 2)), "sl_fixed_pips": _R(20.0, 120.0), "sl_atr_mult": _R(0.5, 3.0), "tp_mode": _C((0, 1, 2)), "tp_rr": _R(0.5, 3.0), "tp_atr_mult": _R(0.5, 4.0), "tp_fixed_pips": _R(20.0, 200.0),
     "hours_start": _I(0, 23), "hours_end": _I(0, 23), "days_bitmask": _I(1, 127), "trailing_mode": _C((0, 1, 2)), "trailing_activate": _R(5.0, 60.0), "trailing_distance": _R(5.0, 50.0), "trailing_atr_mult": _R(0.2, 2.0),
     "be_enabled": _C((0, 1)), "be_trigger": _R(5.0, 40.0), "be_offset": _R(0.0, 10.0), "partial_enabled": _C((0, 1)), "partial_pct": _I(20, 80, 10), "partial_trigger": _R(10.0, 60.0), "max_bars": _I(0, 48, 6),
@@ -38,16 +43,18 @@ def _trials_sql(n: int) -> str:
 
 _SETUP = ", ".join([
     bars_cte("u", "M15"), LIBRARY_SQL,
-    "mn AS (SELECT pair, s, high, low, close, spread, row_number() OVER (PARTITION BY pair ORDER BY s) AS no, count(*) OVER (PARTITION BY pair) AS last_no FROM b)",
+    "mn AS (SELECT pair, s, open, high, low, close, spread, volume, row_number() OVER (PARTITION BY pair ORDER BY s) AS no, count(*) OVER (PARTITION BY pair) AS last_no FROM b)",
     "os AS (SELECT pair, CAST(s // 3600 * 3600 AS BIGINT) AS s, arg_min(spread, s) AS first_spread FROM u GROUP BY 1, 2)",
-    "sg AS (SELECT ls0.variant_id, ls0.direction, mn.pair, mn.s, mn.no, mn.last_no, mn.close AS entry, mn.spread, first_spread, e_14 / 1e-4 AS atr, (mn.s // 3600) % 24 AS hour, (mn.s // 86400 + 3) % 7 AS day FROM ls0 JOIN mn ON mn.pair = ls0.pair AND mn.s = ls0.s JOIN la ON la.pair = ls0.pair AND la.s = ls0.s JOIN os ON os.pair = ls0.pair AND os.s = ls0.s)",
-    "st AS (SELECT tt.*, sg.*, CASE CAST(sl_mode AS INTEGER) WHEN 1 THEN atr * 1e-4 * sl_atr_mult WHEN 2 THEN atr * 1e-4 * 1.5 ELSE sl_fixed_pips * 1e-4 END AS sl_d FROM tt JOIN sg ON (signal_variant = -1 OR signal_variant = variant_id) AND ((CAST(days_bitmask AS INTEGER) >> CAST(day AS INTEGER)) & 1) = 1 AND CASE WHEN hours_start <= hours_end THEN hour BETWEEN hours_start AND hours_end ELSE hour >= hours_start OR hour <= hours_end END AND spread / 1e-4 <= {spread})",
+    f"sx AS (SELECT pair, s, min(low) OVER w AS lo_n, max(high) OVER w AS hi_n FROM b WINDOW w AS (PARTITION BY pair ORDER BY s ROWS BETWEEN {SWING - 1} PRECEDING AND CURRENT ROW))",
+    "sg0 AS (SELECT ls0.variant_id, ls0.direction, mn.pair, mn.s, mn.no, mn.last_no, mn.close AS entry, mn.spread, first_spread, e_14 / 1e-4 AS atr, (mn.s // 3600) % 24 AS hour, (mn.s // 86400 + 3) % 7 AS day, CASE WHEN direction = 1 THEN lo_n ELSE hi_n END AS swing_sl, mn.open, mn.high, mn.low, mn.volume FROM ls0 JOIN mn ON mn.pair = ls0.pair AND mn.s = ls0.s JOIN la ON la.pair = ls0.pair AND la.s = ls0.s JOIN os ON os.pair = ls0.pair AND os.s = ls0.s JOIN sx ON sx.pair = ls0.pair AND sx.s = ls0.s)",
+    "sg AS (SELECT * EXCLUDE (open, high, low, volume), CASE WHEN hour BETWEEN 7 AND 12 THEN 1 WHEN hour BETWEEN 13 AND 15 THEN 3 WHEN hour BETWEEN 16 AND 21 THEN 2 ELSE 0 END AS p0, day AS p1, hour // 6 AS p2, hour AS p3, CASE WHEN entry >= open THEN 1 ELSE 0 END AS p4, floor((high - low) / 1e-4 / 10) AS p5, floor(spread / 1e-4) AS p6, floor(sqrt(volume)) AS p7, ((s + 259200) // 604800) % 4 AS p8, no % 5 AS p9 FROM sg0)",
+    "st AS (SELECT tt.*, sg.*, CASE CAST(sl_mode AS INTEGER) WHEN 1 THEN atr * 1e-4 * sl_atr_mult WHEN 2 THEN greatest(abs(entry - swing_sl), 5 * 1e-4) ELSE sl_fixed_pips * 1e-4 END AS sl_d FROM tt JOIN sg ON (signal_variant = -1 OR signal_variant = variant_id) AND (CASE WHEN direction = 1 THEN buy_filter_max ELSE sell_filter_min END < 0 OR abs(CASE WHEN direction = 1 THEN buy_filter_max ELSE sell_filter_min END - p0) < 1e-9){marks} AND ((CAST(days_bitmask AS INTEGER) >> CAST(day AS INTEGER)) & 1) = 1 AND CASE WHEN hours_start <= hours_end THEN hour BETWEEN hours_start AND hours_end ELSE hour >= hours_start OR hour <= hours_end END AND spread / 1e-4 <= {spread})",
     "tp0 AS (SELECT *, greatest(sl_d, CASE CAST(tp_mode AS INTEGER) WHEN 1 THEN atr * 1e-4 * tp_atr_mult WHEN 2 THEN tp_fixed_pips * 1e-4 ELSE sl_d * tp_rr END) AS tp_d, row_number() OVER () AS id, {slip}e0 * 1e-4 AS slip FROM st)",
     "tr AS (SELECT *, entry - direction * sl_d AS sl, entry + direction * tp_d AS tp, round(sl_d / 1e-4, 6) AS sl_pips, CASE WHEN direction = 1 THEN entry + slip + coalesce(first_spread, 0) ELSE entry - slip END AS cost FROM tp0)",
     "ps AS (SELECT mn.pair, no, u.s, u.high, u.low, u.close, u.spread, mn.close AS mc, mn.spread AS msp, row_number() OVER (PARTITION BY mn.pair ORDER BY u.s) AS k, row_number() OVER (PARTITION BY mn.pair, no ORDER BY u.s) = 1 AS is_first FROM mn JOIN u ON u.pair = mn.pair AND CAST(u.s // 3600 * 3600 AS BIGINT) = mn.s)",
     "rr AS (SELECT pair, no, CAST(n AS DOUBLE) AS n, max(high - low) OVER (PARTITION BY pair, n ORDER BY no ROWS BETWEEN (n - 1) PRECEDING AND CURRENT ROW) AS roll FROM mn, range(2, 9) r(n))",
     "kk AS (SELECT pair, no, min(k) AS k FROM ps GROUP BY 1, 2)",
-]).replace("{spread}", f"{MAX_SPREAD}e0").replace("{slip}", str(SLIPPAGE))
+]).replace("{spread}", f"{MAX_SPREAD}e0").replace("{slip}", str(SLIPPAGE)).replace("{marks}", "".join(f" AND (round(signal_p{k}) < 0 OR p{k} < 0 OR round(signal_p{k}) = p{k})" for k in range(10)))
 
 # One step of a trade: w is its state after the bar before, ps the bar, tr the trade.
 _W0 = "SELECT tr.id, kk.k - 1 AS k, sl AS stop, CAST(NULL AS DOUBLE) AS staged, false AS be, false AS ts, false AS ch, cost AS ext, 1e0 AS size, 0e0 AS gained, false AS taken, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS DOUBLE) AS price, CAST(NULL AS DOUBLE) AS raw, CAST(NULL AS BIGINT) AS exit_no, CAST(NULL AS BIGINT) AS exit_s, CAST(NULL AS DOUBLE) AS sp FROM tr JOIN kk ON kk.pair = tr.pair AND kk.no = tr.no + 1"
@@ -75,16 +82,16 @@ _SWEEP = f"{H1}, {_trials_sql(TRIALS)}, {_LOG}"
 _T = "mt0 AS (SELECT pair || '|' || trial_id AS trial_id, i, pnl, sl_pips AS sl, CAST(last_no AS DOUBLE) AS nb FROM lg)"
 _EVERY = "ev AS (SELECT tt.trial_id AS trial, p.pair FROM tt, (SELECT DISTINCT pair FROM mn) p)"
 NAMES = [m for m in metrics.METRICS if m not in ("dsr", *metrics.UNTRACKED)]
-# pips have six places, so their sums and means often stand on the border of two roundings; a billionth more is on neither engine's
-BORDER, ON_BORDER = 1e-9, ("total_pips", "expectancy_pips")
-_MEASURES = ", ".join(f"round({METRIC_SQL[m]} + {BORDER!r}, 6) AS {m}" if m in ON_BORDER else metrics_sql([m], 6) for m in NAMES)
+# pips have six places, so their means often stand on the border of two decimal roundings; those of 24 bits have borders elsewhere
+BINARY = ("total_pips", "expectancy_pips")
+_MEASURES = ", ".join(f"CAST(CAST({METRIC_SQL[m]} AS FLOAT) AS DOUBLE) AS {m}" if m in BINARY else metrics_sql([m], 6) for m in NAMES)
 _ALL = f"{_SWEEP}, {_T}, {MEASURED}, mm AS (SELECT trial_id AS key, {_MEASURES} FROM k), {_EVERY}, sw AS (SELECT ev.pair, ev.trial AS trial_id, {', '.join(f'coalesce({c}, 0) AS {c}' for c in NAMES)} FROM ev LEFT JOIN mm ON mm.key = ev.pair || '|' || ev.trial)"
 
 
 def run_sweep(spark, sf_dir, trials: int = TRIALS):
     """(trials, log, pairs): sampled trials over the library's signals, every pair of the table."""
     main, sub = bars(spark, sf_dir), bars(spark, sf_dir, "M15")
-    _, found = signals.build_library(main, LIBRARY)
+    _, found = signals.build_library(main, LIBRARY, swing=SWING, value=VALUE, marks=MARKS)
     mains = cut(positions.main_bars(main, sub, 3600))
     sampled = space.sample(spark, trials, SPACE, SEED)
     log = sweep.evaluate(sampled, found, mains, positions.paths(mains, sub, 3600), None, SLIPPAGE, COMMISSION, MAX_SPREAD, stale_bars=8)
@@ -103,30 +110,35 @@ def batch_eval(spark, sf_dir):
     """All metrics of every trial of a sweep on every pair; trials without trades have zeros."""
     sampled, log, pairs = run_sweep(spark, sf_dir)
     found = sweep.sweep_metrics(log, sampled, pairs).drop("max_dd", *metrics.UNTRACKED)
-    found = found.withColumns({c: F.col(c) + BORDER for c in ON_BORDER})
-    return rounded(found, *[c for c, kind in found.dtypes if kind == "double"], places=6)
+    found = found.withColumns({c: F.col(c).cast("float").cast("double") for c in BINARY})
+    return rounded(found, *[c for c, kind in found.dtypes if kind == "double" and c not in BINARY], places=6)
 
 
-_DRAWN = [m for m in NAMES if m not in ("quality_v2", "omega")]
+_BENCH = f"{_ALL}, qp AS (SELECT *, CASE WHEN total_pips > 0 OR profit_factor > 1 THEN quality END AS quality_profitable FROM sw), un AS (" + " UNION ALL ".join(f"SELECT pair, '{m}' AS objective, trial_id, CAST({m} AS DOUBLE) AS value, CAST({'-' if m in ranking.LOWER else ''}{m} AS DOUBLE) AS o FROM qp WHERE {m} IS NOT NULL" for m in ranking.BENCHES) + "), tn AS (SELECT pair, objective, trial_id, value, row_number() OVER (PARTITION BY pair, objective ORDER BY o DESC, trial_id) AS rank FROM un QUALIFY rank <= 20)"
 
 
-@query(f"{_ALL}, un AS (" + " UNION ALL ".join(f"SELECT pair, '{m}' AS objective, trial_id, CAST({m} AS DOUBLE) AS value, CAST({'-' if m in ranking.LOWER else ''}{m} AS DOUBLE) AS o FROM sw" for m in _DRAWN) + "), tn AS (SELECT pair, objective, trial_id, value, row_number() OVER (PARTITION BY pair, objective ORDER BY o DESC, trial_id) AS rank FROM un QUALIFY rank <= 20) SELECT pair, trial_id, count(*) AS benches, min(rank) AS best_rank FROM tn GROUP BY pair, trial_id")
+@query(f"{_BENCH} SELECT * FROM tn UNION ALL SELECT pair, 'dsr', trial_id, value, rank FROM tn WHERE objective = 'psr'")
+def sweep_benches(spark, sf_dir):
+    """The best twenty trials of each objective on each pair, of profitable quality too; dsr shares the list of psr."""
+    return ranking.benches(batch_eval(spark, sf_dir), 20, ["pair"]).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"{_BENCH}, st0 AS (SELECT pair, trial_id, count(*) AS benches, min(rank) AS best_rank FROM tn GROUP BY pair, trial_id), bq AS (SELECT pair, arg_min(trial_id, k) AS trial_id FROM (SELECT pair, trial_id, row_number() OVER (PARTITION BY pair ORDER BY quality DESC, return_pct DESC, trades DESC, trial_id) AS k FROM sw) GROUP BY pair), fb AS (SELECT pair, coalesce(max(trial_id) FILTER (WHERE objective = 'quality_profitable'), max(trial_id)) AS trial_id FROM tn WHERE rank = 1 AND objective IN ('quality', 'quality_profitable') GROUP BY pair), be AS (SELECT bq.pair, CASE WHEN st0.trial_id IS NULL THEN fb.trial_id ELSE bq.trial_id END AS trial_id FROM bq JOIN fb ON fb.pair = bq.pair LEFT JOIN st0 ON st0.pair = bq.pair AND st0.trial_id = bq.trial_id) SELECT coalesce(st0.pair, be.pair) AS pair, coalesce(st0.trial_id, be.trial_id) AS trial_id, coalesce(benches, 0) AS benches, best_rank, be.trial_id IS NOT NULL AS is_best FROM st0 FULL JOIN be ON be.pair = st0.pair AND be.trial_id = st0.trial_id")
 def retained_trials(spark, sf_dir):
-    """What a lean run keeps: the trials among the best twenty of any objective on a pair."""
-    found = batch_eval(spark, sf_dir)
-    tops = ranking.top_per_objective(found, _DRAWN, 20, ["pair"])
-    return tops.groupBy("pair", "trial_id").agg(F.count("*").alias("benches"), F.min("rank").cast("long").alias("best_rank"))
+    """What a lean run keeps: the trials among the best twenty of any objective on a pair, and the best of all."""
+    found = cut(batch_eval(spark, sf_dir))
+    return ranking.kept(found, ranking.benches(found, 20, ["pair"]), ["pair"])
 
 
-@query(f"{_SWEEP}, {_NAMED} SELECT family, why AS exit_reason, CASE WHEN hour < 8 THEN 'Asian' WHEN hour < 13 THEN 'London' WHEN hour < 17 THEN 'Lon-NY' WHEN hour < 21 THEN 'NY' ELSE 'Rollover' END AS session, count(*) AS trades, round(avg(pnl), 6) AS mean_pips, round(avg(exit_no - no), 6) AS mean_bars FROM lg JOIN vs ON vs.variant_id = lg.variant_id GROUP BY ALL")
+@query(f"{_SWEEP}, {_NAMED} SELECT family, why AS exit_reason, CASE WHEN hour < 8 THEN 'Asian' WHEN hour < 13 THEN 'London' WHEN hour < 17 THEN 'Lon-NY' WHEN hour < 21 THEN 'NY' ELSE 'Rollover' END AS session, count(*) AS trades, CAST(CAST(avg(pnl) AS FLOAT) AS DOUBLE) AS mean_pips, round(avg(exit_no - no), 6) AS mean_bars FROM lg JOIN vs ON vs.variant_id = lg.variant_id GROUP BY ALL")
 def trades_by_family(spark, sf_dir):
     """A sweep's trades with their variant's family: how each family's trades end, by session."""
     main, sub = bars(spark, sf_dir), bars(spark, sf_dir, "M15")
-    variants, found = signals.build_library(main, LIBRARY)
+    variants, found = signals.build_library(main, LIBRARY, swing=SWING, value=VALUE, marks=MARKS)
     mains = cut(positions.main_bars(main, sub, 3600))
     log = sweep.evaluate(space.sample(spark, TRIALS, SPACE, SEED), found, mains, positions.paths(mains, sub, 3600), None, SLIPPAGE, COMMISSION, MAX_SPREAD, stale_bars=8)
     named = sweep.with_families(log, variants).groupBy("family", "exit_reason", session_name(hour_of(F.col("signal_s"))).alias("session"))
-    return rounded(named.agg(F.count("*").alias("trades"), F.avg("pnl").alias("mean_pips"), F.avg(F.col("exit_no") - F.col("entry_no")).alias("mean_bars")), "mean_pips", "mean_bars", places=6)
+    return rounded(named.agg(F.count("*").alias("trades"), F.avg("pnl").cast("float").cast("double").alias("mean_pips"), F.avg(F.col("exit_no") - F.col("entry_no")).alias("mean_bars")), "mean_bars", places=6)
 
 
 # Spaces and slots
@@ -195,7 +207,7 @@ def slippage_default(spark, sf_dir):
 # Logs and lookups
 
 
-@query("WITH d AS (SELECT l_orderkey AS position_id, CAST(l_linenumber AS BIGINT) AS t, l_partkey AS ticket, CASE WHEN l_linenumber % 2 = 1 THEN 'in' ELSE 'out' END AS leg, CASE WHEN l_suppkey % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, l_quantity AS price, l_discount AS vol, l_quantity - 25 AS profit, l_tax AS commission, l_suppkey AS order_id FROM lineitem), x AS (SELECT position_id, arg_min(struct_pack(t := t, side := side, price := price, vol := vol, o := order_id), (t, ticket, order_id, price)) FILTER (WHERE leg = 'in') AS i, arg_max(struct_pack(t := t, price := price), (t, ticket, order_id, price)) FILTER (WHERE leg = 'out') AS o, sum(profit) AS profit, sum(commission) AS commission FROM d GROUP BY 1) SELECT position_id, i.side AS side, i.vol AS volume, i.t - 3600 AS open_s, i.price AS open_price, o.t - 3600 AS close_s, o.price AS close_price, round(profit, 6) AS profit, round(commission, 6) AS commission, CASE WHEN i.o % 3 <> 0 THEN i.o / 10.0e0 END AS sl FROM x WHERE i IS NOT NULL AND o IS NOT NULL")
+@query("WITH d AS (SELECT l_orderkey AS position_id, CAST(l_linenumber AS BIGINT) AS t, l_partkey AS ticket, CASE WHEN l_linenumber % 2 = 1 THEN 'in' ELSE 'out' END AS leg, CASE WHEN l_suppkey % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, l_quantity AS price, l_discount AS vol, l_quantity - 25 AS profit, l_tax AS commission, l_suppkey AS order_id FROM lineitem WHERE l_orderkey <> 0), x AS (SELECT position_id, arg_min(struct_pack(t := t, side := side, price := price, vol := vol, o := order_id), (t, ticket, order_id, price)) FILTER (WHERE leg = 'in') AS i, arg_max(struct_pack(t := t, price := price), (t, ticket, order_id, price)) FILTER (WHERE leg = 'out') AS o, sum(profit) AS profit, sum(commission) AS commission FROM d GROUP BY 1) SELECT position_id, i.side AS side, i.vol AS volume, i.t - 3600 AS open_s, i.price AS open_price, o.t - 3600 AS close_s, o.price AS close_price, round(profit, 6) AS profit, round(commission, 6) AS commission, CASE WHEN i.o % 3 <> 0 THEN i.o / 10.0e0 END AS sl FROM x WHERE i IS NOT NULL AND o IS NOT NULL")
 def closed_positions(spark, sf_dir):
     c = F.col
     d = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("position_id"), c("l_partkey").alias("ticket"), c("l_linenumber").cast("long").alias("time"), c("l_suppkey").alias("order_id"), F.when(c("l_linenumber") % 2 == 1, "in").otherwise("out").alias("entry"), F.when(c("l_suppkey") % 2 == 0, "buy").otherwise("sell").alias("side"), F.lit("X").alias("symbol"), c("l_discount").alias("volume"), c("l_quantity").alias("price"), (c("l_quantity") - 25).alias("profit"), c("l_tax").alias("commission"), F.lit(0.0).alias("swap"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
 import lzma
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from chronosweep.operators import live
 
@@ -28,6 +30,26 @@ def test_greedy_match_equals_loop(spark):
     assert {r["bt_id"]: (r["live_id"], r["gap"]) for r in got.collect()} == want and want
 
 
+@pytest.mark.parametrize("kind", ["dense", "gaps", "ties"])
+def test_greedy_match_of_dense_rows(spark, kind):
+    """A row a minute, windows that hold sixty of them, so that what one takes matters to many after it."""
+    rng = np.random.default_rng(3)
+    n = {"dense": 40_000, "gaps": 6_000, "ties": 1_500}[kind]
+    bt = [("P", 1, 60 * k, k) for k in range(n)]
+    lv = {"dense": [("P", 1, 60 * k + 7, 10**6 + k) for k in range(n) if rng.random() < 0.9], "gaps": [("P", 1, int(60 * k + rng.integers(-90, 90)), 10**6 + k) for k in range(n) if (k // 500) % 3 and rng.random() < 0.97], "ties": [("P", 1, 600 * (k // 9), 10**6 + k) for k in range(n)]}[kind]
+    window = 900 if kind == "ties" else 3600
+    free, want = sorted((s, i) for _, _, s, i in lv), {}
+    for _, _, s, i in sorted(bt, key=lambda r: (r[2], r[3])):
+        lo, hi = bisect.bisect_left(free, (s - window,)), bisect.bisect_left(free, (s + window + 1,))
+        if lo < hi:
+            gap, x, j = min((abs(x - s), x, j) for x, j in free[lo:hi])
+            free.remove((x, j))
+            want[i] = (j, gap)
+    form = "pair string, direction int, signal_s long, {}_id long"
+    got = live.match_greedy(spark.createDataFrame(bt, form.format("bt")), spark.createDataFrame(lv, form.format("live")), window, crowd=400)
+    assert {r["bt_id"]: (r["live_id"], r["gap"]) for r in got.collect()} == want and want
+
+
 def test_streamed_bars_equal_batch(spark, tmp_path):
     from pyspark.sql import functions as F
 

@@ -132,3 +132,88 @@ def test_lean_runs(spark, tmp_path):
     files.write_lean(str(tmp_path), rows, rows.where("trial_id < 3"), 10)
     assert files.read_run(spark, str(tmp_path), "metrics").groupBy("chunk").count().count() == 3
     assert files.read_run(spark, str(tmp_path), "retained").count() == 3
+
+
+def test_trials_and_signals_meet_in_counted_cells(spark):
+    trials = spark.range(300).selectExpr("id AS trial_id", "CAST(id % 4 - 1 AS DOUBLE) AS signal_variant")
+    found = spark.range(900).selectExpr("id AS signal_id", "CASE WHEN id % 7 = 0 THEN -1 ELSE id % 3 END AS variant_id", "CASE WHEN id % 2 = 0 THEN 'A' END AS pair", "id * 20 AS no")
+    plain = sorted((t, s) for t in range(300) for s in range(900) if t % 4 - 1 == -1 or s % 7 == 0 or t % 4 - 1 == s % 3)
+    for cell, block in ((4096, 1024), (7, 10), (1, 300)):
+        got = sweep.matched(trials, found, cell, block)
+        assert sorted((r["trial_id"], r["signal_id"]) for r in got.collect()) == plain
+        assert sorted(got.columns) == ["no", "pair", "signal_id", "signal_variant", "trial_id", "variant_id"]
+
+
+def test_signals_carry_swings_values_and_marks(spark):
+    from tests.conftest import SMALL
+    from chronosweep.plans.catalogue import bars
+
+    b = bars(spark, SMALL)
+    _, found = signals.build_library(b, {"ema_cross": {"fast": [5], "slow": [20]}}, swing=4, value="session", marks=("hour", "weekday", "body"))
+    by = {}
+    for r in b.orderBy("pair", "s").collect():
+        by.setdefault(r["pair"], []).append(r)
+    rows = found.collect()
+    assert rows
+    for r in rows:
+        last = [x for x in by[r["pair"]] if x["s"] <= r["s"]][-4:]
+        assert r["swing_sl"] == (min(x["low"] for x in last) if r["direction"] == 1 else max(x["high"] for x in last))
+        assert (r["filter_value"], r["p0"], r["p1"], r["p2"]) == (r["session"], r["hour"], r["day"], int(last[-1]["close"] >= last[-1]["open"]))
+    assert [(r["variant_id"], r["no"]) for r in rows] and "p3" not in found.columns
+
+
+def test_a_long_trial_has_the_metrics_of_its_whole(spark):
+    rows = spark.range(30_000).selectExpr("id % 3 AS trial_id", "CAST(floor(id / 3) + 1 AS BIGINT) AS i", "CASE WHEN id % 3 = 2 THEN CAST(id % 2 AS DOUBLE) - 0.4 ELSE round(sin(id * 12.9898) * 43.7, 4) + 0.3 END AS pnl")
+    rows = rows.unionByName(spark.createDataFrame([(9, 1, 2.0), (9, 2, -1.0)], "trial_id long, i long, pnl double"))
+    whole = {r["trial_id"]: r for r in metrics.trial_metrics(rows).collect()}
+    parts = {r["trial_id"]: r for r in metrics.trial_metrics(rows, block=700).collect()}
+    assert len(whole) == 4 and set(parts) == set(whole)
+    for t, r in whole.items():
+        for c, x in r.asDict().items():
+            assert parts[t][c] == pytest.approx(x, rel=1e-9, abs=1e-9), (t, c)
+    line = lambda block: [tuple(r) for r in metrics.equity(rows, block=block).select("trial_id", "i", F.round("eq", 6), F.round("dd_pct", 6), "streak").orderBy("trial_id", "i").collect()]
+    assert line(10_000) == line(512)
+
+
+def test_order_statistics_by_counted_ranges(spark):
+    rows = spark.range(20_000).selectExpr("id % 2 AS g", "CASE WHEN id % 2 = 0 THEN CAST(id % 10 = 0 AS DOUBLE) ELSE pow(CAST(id % 997 AS DOUBLE), 3) END AS v").unionByName(spark.createDataFrame([(2, 5.0), (2, -5.0)], "g long, v double"))
+    import collections
+
+    held = collections.defaultdict(list)
+    for r in rows.collect():
+        held[r["g"]].append(r["v"])
+    wanted = [(g, str(k), k) for g, v in held.items() for k in sorted({0, len(v) // 20, len(v) // 2, len(v) - 1})]
+    got = {(r["g"], r["which"]): r["x"] for r in metrics.order_statistics(rows, ["g"], "v", spark.createDataFrame(wanted, "g long, which string, k long"), block=50, ranges=8).collect()}
+    assert got == {(g, w): sorted(held[g])[k] for g, w, k in wanted}
+
+
+def test_benches_of_profitable_quality_and_shared_lists(spark):
+    base = {m: 1.0 for m in ranking.BENCHES if m != "quality_profitable"} | {"total_pips": 1.0, "profit_factor": 2.0}
+    rows = [base | {"trial_id": t, "quality": q, "total_pips": p, "profit_factor": f, "psr": s} for t, q, p, f, s in ((1, 9.0, -1.0, 0.5, 0.1), (2, 5.0, 1.0, 0.5, NAN), (3, 4.0, -1.0, 1.5, 0.9), (4, float("inf"), 1.0, 2.0, 0.2))]
+    tops = ranking.benches(spark.createDataFrame(rows), 2)
+    by = {}
+    for r in tops.orderBy("objective", "rank").collect():
+        by.setdefault(r["objective"], []).append(r["trial_id"])
+    assert by["quality"] == [1, 2] and by["quality_profitable"] == [2, 3] and by["psr"] == [3, 4] == by["dsr"] and len(by) == len(ranking.BENCHES) + 1
+    got = {r["trial_id"]: (r["benches"], r["is_best"]) for r in ranking.kept(spark.createDataFrame(rows), tops).collect()}
+    assert got[1][1] and not got[2][1] and set(got) == {1, 2, 3, 4}
+    lost = tops.where("trial_id <> 1 AND objective <> 'quality'")  # the best stands on no bench
+    assert [r["trial_id"] for r in ranking.kept(spark.createDataFrame(rows), lost).where("is_best").collect()] == [2]
+
+
+def test_equal_trades_are_simulated_once_or_dealt_apart(spark, monkeypatch):
+    from chronosweep.operators import positions
+
+    main = spark.range(300).selectExpr("'A' AS pair", "id * 3600 AS s", "1.1 + sin(id) * 0.002 + 0.001 AS high", "1.1 + sin(id) * 0.002 - 0.001 AS low", "1.1 + sin(id) * 0.002 AS close", "0.0001 AS spread")
+    mains = positions.main_bars(main, main, 3600)
+    trade = {"pair": "A", "direction": 1, "entry_price": 1.1, "sl_price": 1.0975, "tp_price": 1.1035, "atr_pips": 10.0, "entry_no": 5, "trailing_mode": 1.0, "trailing_activate": 5.0, "trailing_distance": 5.0}
+    same = spark.range(6000).select(F.col("id").alias("trade_id"), *[F.lit(v).alias(k) for k, v in trade.items()])
+    other = spark.range(6000, 9000).select(F.col("id").alias("trade_id"), *[(F.lit(v) + (F.col("id") - 6000) * 1e-8 if k == "sl_price" else F.lit(v)).alias(k) for k, v in trade.items()])
+    monkeypatch.setattr(positions, "GROUP", 500)
+    want = None
+    for trades in (same, other, same.unionByName(other)):
+        rows = positions.simulate(trades, positions.paths(mains, main, 3600), 8, ["trade_id"]).collect()
+        assert sorted(r["trade_id"] for r in rows) == sorted(r["trade_id"] for r in trades.collect())
+        found = {(r["exit_no"], r["exit_reason"], round(r["pnl"], 3)) for r in rows if r["trade_id"] < 6000} or want
+        want = want or found
+        assert found == want and len(found) == 1
