@@ -23,3 +23,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Write a table to the shared checkpoint folder and go on from there: lost executors don't undo it."""
     ready_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def apart(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to as many tasks as a shuffle has, for work in Python: it is small in bytes, by which Spark would merge tasks, but long in time."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

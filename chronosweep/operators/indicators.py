@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
+from chronosweep.functions.lineage import apart
 from chronosweep.operators.ordered import in_order
 
 
@@ -48,11 +49,11 @@ def averages(bars: DataFrame, wanted: dict[str, list[int]]) -> DataFrame:
     doubles = ", ".join(f"{name} double" for *_, name in lines)
     firsts = ", ".join(f"first_{c} double" for c in wanted)
     cut = bars.withColumn("stretch", F.floor(F.col("s") / STRETCH))
-    sums = cut.select("pair", "stretch", "s", *wanted).groupBy("pair", "stretch").applyInPandas(sum_up, f"pair string, stretch long, n long, {firsts}, {doubles}")
+    sums = apart(cut.select("pair", "stretch", "s", *wanted), "pair", "stretch").groupBy("pair", "stretch").applyInPandas(sum_up, f"pair string, stretch long, n long, {firsts}, {doubles}")
     begun = sums.groupBy("pair").applyInPandas(starts, f"pair string, stretch long, {doubles}")
     begun = begun.select(F.col("pair").alias("of"), F.col("stretch").alias("at"), *[name for *_, name in lines])
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in bars.schema.fields)
-    return cut.groupBy("pair", "stretch").cogroup(begun.groupBy("of", "at")).applyInPandas(run, f"{fields}, {doubles}")
+    return apart(cut, "pair", "stretch").groupBy("pair", "stretch").cogroup(apart(begun, "of", "at").groupBy("of", "at")).applyInPandas(run, f"{fields}, {doubles}")
 
 
 def emas(bars: DataFrame, column: str, spans: list[int]) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronosweep.functions.lineage import cut
+from chronosweep.functions.lineage import apart, cut
 from chronosweep.operators import ordered
 
 # Exit reasons by code.
@@ -279,7 +279,8 @@ def rounds(open_: DataFrame, path: DataFrame, last: DataFrame, stale_bars: int)
         before = path.where(into >= width - min(stale_bars, width)).groupBy("pair", "no").agg(F.first("main_range").alias("main_range"), F.first("last_no").alias("last_no"), F.min("s").alias("s"))
         before = before.select("pair", "no", "s", *[F.lit(None).cast("double").alias(c) for c in ("high", "low", "close", "spread", "main_close", "main_spread")], "main_range", "last_no", (cell + 1).alias("cell"))
         here = own.unionByName(before).join(needed, ["pair", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        out = cut(dealt.drop("_last", "parts").groupBy("pair", "cell", "part").cogroup(here.drop("parts").groupBy("pair", "cell", "part")).applyInArrow(_run, RESULT))
+        key = ("pair", "cell", "part")
+        out = cut(apart(dealt.drop("_last", "parts"), *key).groupBy(*key).cogroup(apart(here.drop("parts"), *key).groupBy(*key)).applyInArrow(_run, RESULT))
         closed = out.where("done")
         done = closed if done is None else done.unionByName(closed)
         left = out.where(~F.col("done"))

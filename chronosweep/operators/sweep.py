@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronosweep.functions.exprs import time_filter
+from chronosweep.functions.lineage import cut
 from chronosweep.operators import metrics, positions, pricing
 
 #: Slots of a trial, with what an unmapped one holds: filters are off at -1, everything else at 0.
@@ -79,7 +80,7 @@ def evaluate(trials: DataFrame, signals: DataFrame, mains: DataFrame, path: Data
 
     costs: pair, slippage_pips; pairs that it lacks have `slippage`.  mains and path come from `positions`.
     """
-    rows = trades_of(trials, signals, max_spread_pips)
+    rows = trades_of(cut(trials), signals, max_spread_pips)  # drawn once, though the join looks at them from several sides
     rows = rows.join(costs.select("pair", F.col("slippage_pips").alias("slippage")), "pair", "left") if costs is not None else rows.withColumn("slippage", F.lit(None).cast("double"))
     opening = mains.select("pair", "no", F.col("first_spread").alias("entry_spread"))
     rows = rows.withColumn("slippage", F.coalesce("slippage", F.lit(slippage))).withColumn("commission", F.lit(commission)).join(opening, ["pair", "no"], "left")
