@@ -203,7 +203,7 @@ def first_within(spark, sf_dir):
     return live.first_within(bt.select("pair", F.col("signal_s").alias("s"), F.col("bt_id").alias("id")), lv.select("pair", F.col("signal_s").alias("s"), F.col("live_id").alias("rid")), 960)
 
 
-_GREEDY = "x AS (SELECT * FROM bt WHERE bt_id NOT IN (SELECT bt_id FROM mt)), y AS (SELECT * FROM live WHERE live_id NOT IN (SELECT live_id FROM mt)), q AS (SELECT pair, direction, bt_id, row_number() OVER (PARTITION BY pair, direction ORDER BY signal_s, bt_id) AS k FROM x), gl AS (SELECT bt_id, list(struct_pack(gap := abs(x.signal_s - y.signal_s), s := y.signal_s, id := live_id) ORDER BY abs(x.signal_s - y.signal_s), y.signal_s, live_id) AS l FROM x JOIN y ON x.pair = y.pair AND x.direction = y.direction AND abs(x.signal_s - y.signal_s) <= 3600 GROUP BY bt_id), ql AS (SELECT q.*, l FROM q LEFT JOIN gl ON gl.bt_id = q.bt_id), rc AS (SELECT DISTINCT pair, direction, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone, CAST(NULL AS BIGINT) AS bt_id, CAST(NULL AS STRUCT(gap BIGINT, s BIGINT, id BIGINT)) AS pick FROM q UNION ALL SELECT pair, direction, k, CASE WHEN pick IS NULL THEN gone ELSE list_append(gone, pick.id) END, bt_id, pick FROM (SELECT ql.pair, ql.direction, ql.k, rc.gone, ql.bt_id, list_filter(l, c -> NOT list_contains(gone, c.id))[1] AS pick FROM rc JOIN ql ON ql.pair = rc.pair AND ql.direction = rc.direction AND ql.k = rc.k + 1))"
+_GREEDY = "x AS (SELECT * FROM bt WHERE bt_id NOT IN (SELECT bt_id FROM mt)), y AS (SELECT * FROM live WHERE live_id NOT IN (SELECT live_id FROM mt)), q AS (SELECT pair, direction, bt_id, row_number() OVER (PARTITION BY pair, direction ORDER BY signal_s, bt_id) AS k FROM x), gl AS (SELECT bt_id, list(struct_pack(gap := abs(x.signal_s - y.signal_s), s := y.signal_s, id := live_id) ORDER BY abs(x.signal_s - y.signal_s), y.signal_s, live_id) AS l FROM x JOIN y ON x.pair = y.pair AND x.direction = y.direction AND abs(x.signal_s - y.signal_s) <= 3600 GROUP BY bt_id), ql AS (SELECT q.*, l FROM q LEFT JOIN gl ON gl.bt_id = q.bt_id), rc AS (SELECT DISTINCT pair, direction, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone, CAST(NULL AS BIGINT) AS bt_id, CAST(NULL AS STRUCT(gap BIGINT, s BIGINT, id BIGINT)) AS pick FROM q UNION ALL SELECT pair, direction, k, CASE WHEN pick IS NULL THEN gone ELSE list_append(gone, pick.id) END, bt_id, pick FROM (SELECT ql.pair, ql.direction, ql.k, rc.gone, ql.bt_id, list_filter(l, lambda c: NOT list_contains(gone, c.id))[1] AS pick FROM rc JOIN ql ON ql.pair = rc.pair AND ql.direction = rc.direction AND ql.k = rc.k + 1))"
 
 
 @query(f"WITH RECURSIVE {_SIDES}, {_GREEDY} SELECT bt_id, pick.id AS live_id, pair, CAST(direction AS INTEGER) AS direction, pick.gap AS gap FROM rc WHERE pick IS NOT NULL")
