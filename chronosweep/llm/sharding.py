@@ -2,15 +2,16 @@
 
 Rows with equal texts form a group that stays together.  Groups are placed largest
 first, each where the dot product of its (bytes, tokens, rows) with a shard's
-residual capacity is highest.  Groups over a thousandth of a shard, of which there
-can only be a bounded number, are placed together first; all others are dealt by
+residual capacity is highest.  Groups over a thousandth of a shard by any measure, of which
+there can only be a bounded number, are placed together first; all others are dealt by
 hash into blocks, and each block fills its share of what the large ones left, in a
 task of its own.  Places inside a shard come from counts by bucket, so no task sees
 a whole shard.
 
-A group larger than a shard's fair share can't stay together under the law `bytes`:
-it is split by a number of each of its rows, so repeated and null ids split too.  Tokens
-are counted as runs of characters that aren't white space.
+A group larger than a shard's fair share of bytes, tokens or rows can't stay together
+if all three are to be balanced: it is split by a number of each of its rows, so
+repeated and null ids split too.  Tokens are counted as runs of characters that aren't
+white space.
 
 Defined results: null text has no bytes, size 1 and CRC 0, and is a group of its own
 apart from empty text; null ids are kept; repeated rows each get a place; shards may
@@ -30,6 +31,8 @@ from chronosweep.llm.common import cut
 
 #: Groups over a shard's fair share divided by this are placed first and together.
 FINE = 1000
+#: Parts that a group too large is split into, for each shard's share of it.
+SPLIT = 4
 #: Groups to a block, and rows to a numbering bucket.
 BLOCK, BUCKET = 20_000, 5_000
 
@@ -59,11 +62,12 @@ def shard_documents(documents: DataFrame, shards: int = 8, doc_id: str = "doc_id
         F.coalesce(F.sha2(body.cast("binary"), 256), F.lit("null")).alias("text_key"),
     )
     rows = cut(rows)
-    whole = rows.groupBy("text_key").agg(F.sum("size").alias("bytes"))
+    whole = rows.groupBy("text_key").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     totals = np.maximum(np.array([float(x) for x in total]), 1.0)
-    fair = totals[0] / shards
-    too_large = {r["text_key"]: math.ceil(shards * r["bytes"] / fair) for r in whole.where(F.col("bytes") > fair).collect()}  # fewer than `shards`
+    # of the measure that a group has most of, in fair shares of a shard
+    share = lambda: F.greatest(*[F.col(c) * (shards / x) for c, x in zip(("bytes", "tokens", "n"), totals.tolist(), strict=True)])
+    too_large = {r["text_key"]: math.ceil(SPLIT * shards * r["share"]) for r in whole.withColumn("share", share()).where("share > 1").collect()}  # fewer than `shards` by each measure
     part = F.lit(0).cast("long")
     for key, parts in too_large.items():
         part = F.when(F.col("text_key") == key, F.pmod(F.xxhash64("row"), F.lit(parts))).otherwise(part)
@@ -73,18 +77,18 @@ def shard_documents(documents: DataFrame, shards: int = 8, doc_id: str = "doc_id
     def fractions(pdf: pd.DataFrame) -> np.ndarray:
         return pdf[["bytes", "tokens", "n"]].to_numpy(float) / totals
 
-    # at most shards * FINE of them, whatever the input
-    large = groups.where(F.col("bytes") > fair / FINE).orderBy(F.desc("bytes"), "text_key", "part").toPandas()
+    # at most 3 * shards * FINE of them, whatever the input
+    large = groups.where(share() > 1 / FINE).orderBy(F.desc("bytes"), "text_key", "part").toPandas()
     where, room = pack(fractions(large), np.full((shards, 3), 1.0 / shards))
-    small = groups.where(F.col("bytes") <= fair / FINE)
+    small = groups.where(share() <= 1 / FINE)
     blocks = max(1, math.ceil(small.count() / BLOCK))
     rest = np.maximum(room, 0).sum(0)
-    share = np.maximum(room, 0) / np.where(rest > 0, rest, 1)
+    left = np.maximum(room, 0) / np.where(rest > 0, rest, 1)
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["bytes", "text_key", "part"], ascending=[False, True, True])
         sizes = fractions(pdf)
-        found, _ = pack(sizes, share * sizes.sum(0))
+        found, _ = pack(sizes, left * sizes.sum(0))
         return pdf[["text_key", "part"]].assign(shard=found)
 
     kind = "text_key string, part long, shard int"
