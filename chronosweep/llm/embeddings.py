@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronosweep.llm.common import cut
+from chronosweep.llm.common import BYTES, cut, slices
 from chronosweep.llm.components import components, roots
 
 TABLES = 6
@@ -70,10 +70,14 @@ def bucket_codes(vectors: np.ndarray, tables: int = TABLES) -> np.ndarray:
     return out
 
 
+def code_kind(size: int) -> str:
+    """The integers that hold the buckets of vectors of this size."""
+    return "i4" if (2 << max(1, (size - 1).bit_length())) ** 2 <= 2**31 else "i8"
+
+
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            part = batch.slice(at, 2048)
+        for part in slices([batch], 2048, BYTES):
             vectors = part.column(1).to_pylist()
             codes: list = [None] * len(vectors)
             for size in {len(v) for v in vectors}:
@@ -82,9 +86,9 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x /= np.abs(x).max(axis=1, keepdims=True)
                 for i, c in zip(which, bucket_codes(x / np.linalg.norm(x, axis=1, keepdims=True)), strict=True):
                     codes[i] = c.ravel().tolist()
-            packed = [np.array(v, "f8").tobytes() for v in vectors], [np.array(c, "i4").tobytes() for c in codes]
+            packed = [np.array(v, "f8").tobytes() for v in vectors], [np.array(c, code_kind(len(v))).tobytes() for v, c in zip(vectors, codes, strict=True)]
             arrays = [pa.array(x, pa.binary()) for x in packed]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(v) for v in vectors], pa.int32()), *arrays, pa.array(codes, pa.list_(pa.int32()))], ["cid", "n", "dim", "vec", "codes", "places"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(v) for v in vectors], pa.int32()), *arrays, pa.array(codes, pa.list_(pa.int64()))], ["cid", "n", "dim", "vec", "codes", "places"])
 
 
 def _meets(a: np.ndarray, b: np.ndarray, table: int, bucket: np.ndarray) -> np.ndarray:
@@ -108,7 +112,7 @@ def _verify(threshold: float):
         raw = np.frombuffer(b"".join(unit.column("vec").to_pylist()), "f8").reshape(len(ids), -1)
         # scaled by powers of two, which changes no cosine, so that no square is lost or overflows
         raw = raw * np.exp2(-np.frexp(np.abs(raw).max(axis=1))[1].astype(float))[:, None]
-        codes = np.frombuffer(b"".join(unit.column("codes").to_pylist()), "i4").reshape(len(ids), -1, PROBES)
+        codes = np.frombuffer(b"".join(unit.column("codes").to_pylist()), code_kind(raw.shape[1])).reshape(len(ids), -1, PROBES)
         norm = np.sqrt((raw * raw).sum(1))
         unit_rows = raw / norm[:, None]
         links, root, held, count = np.zeros(len(ids), "i8"), np.arange(len(ids)), [], 0
@@ -155,7 +159,7 @@ def embedding_groups(embeddings: DataFrame, threshold: float = 0.9, vec_id: str
     sound = F.coalesce((F.size("vec") > 0) & F.exists("vec", lambda x: x != 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     classes = held.where(sound).groupBy("vec").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     classes = cut(classes.select(F.monotonically_increasing_id().alias("cid"), "vec", "n", "least"))
-    coded = cut(classes.select("cid", "vec", "n").mapInArrow(_coded, "cid long, n long, dim int, vec binary, codes binary, places array<int>"))
+    coded = cut(classes.select("cid", "vec", "n").mapInArrow(_coded, "cid long, n long, dim int, vec binary, codes binary, places array<long>"))
     place = coded.select("cid", "n", "dim", "vec", "codes", F.posexplode("places").alias("p", "bucket")).withColumn("t", F.floor(F.col("p") / PROBES).cast("int"))
     units = max(1, math.ceil(coded.count() * PROBES / UNIT))
     crowded = cut(place.groupBy("dim", "t", "bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1"))
