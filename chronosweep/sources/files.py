@@ -46,12 +46,12 @@ def read_candles(spark: SparkSession, path: str, scale: float = 1e5) -> DataFram
 
 
 # How a path tells its pair, day and hour; months count from 00.
-_PLACE = r"([A-Za-z]{6})/(\d{4})/(\d{2})/(\d{2})/(?:(\d{2})h_)?[^/]*$"
+PLACE = r"([A-Za-z]{6})/(\d{4})/(\d{2})/(\d{2})/(?:(\d{2})h_)?[^/]*$"
 
 
 def with_place(rows: DataFrame) -> DataFrame:
     """Rows of files with pair (A_B) and s, the epoch second of the file's hour, or day, as their path tells; null where it doesn't."""
-    part = lambda k: F.nullif(F.regexp_extract("path", _PLACE, k), F.lit(""))
+    part = lambda k: F.nullif(F.regexp_extract("path", PLACE, k), F.lit(""))
     month = F.lpad((part(3).cast("int") + 1).cast("string"), 2, "0")
     day = F.to_date(F.concat_ws("-", part(2), month, part(4)))
     start = F.datediff(day, F.lit("1970-01-01").cast("date")).cast("long") * 86_400 + F.coalesce(part(5).cast("long"), F.lit(0)) * 3600
@@ -72,6 +72,12 @@ def located_ticks(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("pair", F.floor(us / 1_000_000).alias("s"), us.alias("us"), "bid", "ask", "bid_volume", "ask_volume")
 
 
+def located_candles(spark: SparkSession, path: str) -> DataFrame:
+    """pair, s, open, high, low, close and volume of every file of candles below a path, with pair and day from the file's path."""
+    rows = scaled(with_place(read_candles(spark, path)), ["open", "high", "low", "close"])
+    return rows.select("pair", (F.col("s") + F.col("sec")).alias("s"), "open", "high", "low", "close", "volume")
+
+
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a log of JSON lines; lines that aren't JSON, empty ones and a byte order mark are passed over."""
     lines = spark.read.text(path).select(F.regexp_replace(F.trim("value"), "^\ufeff", "").alias("v")).where("v <> ''")
