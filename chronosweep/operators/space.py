@@ -52,12 +52,12 @@ def draw(leaf, u: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), F.floor(u * len(values)).cast("int") + 1)
 
 
-def sample(spark: SparkSession, trials: int, space: dict, seed: int, variants: int | None = None) -> DataFrame:
-    """trial_id, signal_variant where there are `variants`, and a column for each leaf.
+def sample(spark: SparkSession, trials: int | DataFrame, space: dict, seed: int, variants: int | None = None) -> DataFrame:
+    """trial_id, signal_variant where there are `variants`, and a column for each leaf, of so many trials or of those that a table has.
 
     A (test leaf, wanted value, leaf) entry is null where its group is off or its selector stands on another arm; a test may itself hang on another.
     """
-    rows = spark.range(trials).withColumnRenamed("id", "trial_id")
+    rows = trials.select("trial_id") if isinstance(trials, DataFrame) else spark.range(trials).withColumnRenamed("id", "trial_id")
     if variants is not None:
         rows = rows.withColumn("signal_variant", F.floor(uniform(seed, F.col("trial_id"), "signal_variant") * variants))
     for name, leaf in space.items():

@@ -165,9 +165,29 @@ def inventory(spark, sf_dir):
     return upsert.inventory(minutes.withColumn("tf", F.lit("M1")).unionByName(resample.longer_bars(minutes, "H1").withColumn("tf", F.lit("H1")).select(*minutes.columns, "tf")))
 
 
-@query("SELECT DISTINCT event_type AS pair, CASE WHEN event_type IN ('click', 'view') THEN 'Traffic' WHEN event_type = 'purchase' THEN 'Money' ELSE 'Other' END AS grp FROM events")
+#: Pairs that stand for the kinds of events.
+AS_PAIRS = {"click": "EUR_USD", "view": "GBP_JPY", "purchase": "XAU_USD", "error": "BTC_USD", "signup": "ZAR_PLN"}
+_AS_PAIR = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in AS_PAIRS.items()) + " END"
+
+
+def as_pair(kind):
+    return F.create_map(*[F.lit(x) for p in AS_PAIRS.items() for x in p])[kind]
+
+
+@query(f"SELECT {_AS_PAIR} AS pair, CASE event_type WHEN 'click' THEN 'Majors' WHEN 'view' THEN 'Crosses' WHEN 'purchase' THEN 'Metals' WHEN 'error' THEN 'Crypto' ELSE 'Other' END AS grp, count(*) AS n FROM events GROUP BY ALL")
 def intersect_group(spark, sf_dir):
-    return upsert.grouped(table(spark, sf_dir, "events").select(F.col("event_type").alias("pair")).distinct(), {"Traffic": ["click", "view"], "Money": ["purchase"]})
+    """Rows of a pair by the group that it is in."""
+    rows = table(spark, sf_dir, "events").groupBy(as_pair(F.col("event_type")).alias("pair")).agg(F.count("*").alias("n"))
+    return upsert.grouped(rows, upsert.GROUPS)
+
+
+@query(f"WITH {TICKS}, {bars_cte('m1', 'M1')} SELECT pair, s, {ROUND}, volume FROM m1")
+def bar_scan(spark, sf_dir):
+    """Bars with names in capitals and times of another zone, as a vendor's file has them."""
+    rows = m1(spark, sf_dir)
+    told = F.concat(F.date_format(F.timestamp_seconds(F.col("s") + 7200), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))
+    vendor = rows.withColumn("Timestamp", told).drop("s").withColumnsRenamed({c: c.upper() for c in rows.columns})
+    return rounded(upsert.normalised(vendor), *PRICES)
 
 
 # Health
@@ -261,18 +281,20 @@ def rsi_reversal(spark, sf_dir):
     return rounded(signals.rsi_reversal(bars(spark, sf_dir), 14, 45.0, 55.0), "entry_price")
 
 
-@query("SELECT CAST(h AS BIGINT) AS hour, CAST(CASE WHEN h BETWEEN 7 AND 12 THEN 1 WHEN h BETWEEN 13 AND 15 THEN 3 WHEN h BETWEEN 16 AND 21 THEN 2 ELSE 0 END AS INTEGER) AS session, CASE WHEN h < 8 THEN 'Asian' WHEN h < 13 THEN 'London' WHEN h < 17 THEN 'Lon-NY' WHEN h < 21 THEN 'NY' ELSE 'Rollover' END AS name FROM range(0, 24) r(h)")
+@query(f"WITH {TICKS}, h AS (SELECT (s // 3600) % 24 AS h FROM ticks) SELECT CAST(h AS INTEGER) AS hour, CAST(CASE WHEN h BETWEEN 7 AND 12 THEN 1 WHEN h BETWEEN 13 AND 15 THEN 3 WHEN h BETWEEN 16 AND 21 THEN 2 ELSE 0 END AS INTEGER) AS session, CASE WHEN h < 8 THEN 'Asian' WHEN h < 13 THEN 'London' WHEN h < 17 THEN 'Lon-NY' WHEN h < 21 THEN 'NY' ELSE 'Rollover' END AS name, count(*) AS n FROM h GROUP BY ALL")
 def session_tag(spark, sf_dir):
-    return spark.range(24).select(F.col("id").alias("hour"), session_id(F.col("id")).alias("session"), session_name(F.col("id")).alias("name"))
+    hour = hour_of(F.col("s"))
+    return ticks(spark, sf_dir).groupBy(hour.alias("hour"), session_id(hour).alias("session"), session_name(hour).alias("name")).agg(F.count("*").alias("n"))
 
 
 LIBRARY = {"ema_cross": {"fast": [5, 8, 20], "slow": [20, 30]}, "macd_cross": {"fast": [6], "slow": [13], "signal": [5]}, "donchian": {"lookback": [12, 24, 100_000]}, "rsi_reversal": {"period": [7], "lower": [45.0], "upper": [55.0]}}
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY f, s) - 1 AS BIGINT) AS variant_id, CAST(f AS INTEGER) AS fast, CAST(s AS INTEGER) AS slow FROM unnest([3, 5, 8, 13]) a(f), unnest([5, 13, 21]) b(s) WHERE f < s")
+@query("SELECT CAST(row_number() OVER (ORDER BY f, s) - 1 AS BIGINT) AS variant_id, f AS fast, s AS slow FROM (SELECT DISTINCT l_linenumber AS f FROM lineitem) a, (SELECT DISTINCT l_linenumber * 2 + 1 AS s FROM lineitem) b WHERE f < s")
 def grid_expand(spark, sf_dir):
-    """The valid combinations of one family, with their dense ids."""
-    rows = [(v, p["fast"], p["slow"]) for v, _, p in signals.variants_of({"ema_cross": {"fast": [3, 5, 8, 13], "slow": [5, 13, 21]}})]
+    """The valid combinations of one family over the values that a column has, with their dense ids."""
+    values = sorted(r[0] for r in table(spark, sf_dir, "lineitem").select("l_linenumber").distinct().collect())
+    rows = [(v, p["fast"], p["slow"]) for v, _, p in signals.variants_of({"ema_cross": {"fast": values, "slow": [2 * x + 1 for x in values]}})]
     return spark.createDataFrame(rows, "variant_id long, fast int, slow int")
 
 
@@ -336,10 +358,16 @@ def time_filters(spark, sf_dir):
     return _orders(spark, sf_dir).where(passes).groupBy("pair").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {ORDERS} SELECT pair, count(*) AS n FROM o WHERE (id % 5 - 1 = -1 OR id % 5 - 1 = 2) AND (id % 3 - 1 = -1 OR id % 3 - 1 = 1) AND (CASE WHEN direction = 1 THEN 2 ELSE -1 END = -1 OR id % 4 - 1 = -1 OR id % 4 - 1 = 2) GROUP BY pair")
+#: What a trial wants of each of the ten, before rounding.
+_WANTED = (0.6, 0.4, 1.0, 0.0, 1.2, -0.4, 0.9, 0.1, 1.4, 0.3)
+_TEN = " AND ".join(f"((id // {3**k}) % 3 = 0 OR (id // {3**k}) % 3 - 1 = {round(w + 1e-9)})" for k, w in enumerate(_WANTED))
+
+
+@query(f"WITH {ORDERS} SELECT pair, count(*) AS n FROM o WHERE {_TEN} AND (CASE WHEN direction = 1 THEN 2 ELSE -1 END = -1 OR id % 4 - 1 = -1 OR id % 4 - 1 = 2) GROUP BY pair")
 def pk_filters(spark, sf_dir):
-    place = lambda k: F.col("id") % k - 1
-    keep = pricing.p_filters([F.lit(2.4), F.lit(0.6)], [place(5), place(3)]) & pricing.value_filter(F.col("direction"), place(4).cast("double"), F.lit(2.0), F.lit(-1.0))
+    """All ten filters of a trial, each with signals that opt out, and the value filter of one side."""
+    has = [F.floor(F.col("id") / 3**k) % 3 - 1 for k in range(10)]
+    keep = pricing.p_filters([F.lit(w) for w in _WANTED], has) & pricing.value_filter(F.col("direction"), (F.col("id") % 4 - 1).cast("double"), F.lit(2.0), F.lit(-1.0))
     return _orders(spark, sf_dir).where(keep).groupBy("pair").agg(F.count("*").alias("n"))
 
 
@@ -490,6 +518,17 @@ def session_spread(spark, sf_dir):
     return cost.session_spreads(ticks(spark, sf_dir))
 
 
+_FLOORED = f"WITH {TICKS}, f AS (SELECT event_type AS kind, {_AS_PAIR} AS pair FROM (SELECT DISTINCT event_type FROM events)), c AS (SELECT f.pair, CASE WHEN {_HOUR} < 8 THEN 'Asian' WHEN {_HOUR} < 13 THEN 'London' WHEN {_HOUR} < 17 THEN 'Lon-NY' WHEN {_HOUR} < 21 THEN 'NY' ELSE 'Rollover' END AS session, round(avg((ask - bid) * CASE f.pair WHEN 'EUR_USD' THEN 0.2e0 WHEN 'XAU_USD' THEN 0.2e0 ELSE 1e0 END / CASE WHEN contains(f.pair, 'JPY') THEN 1e-2 ELSE 1e-4 END), 4) AS spread_pips FROM ticks JOIN f ON f.kind = ticks.pair WHERE ask >= bid GROUP BY ALL)"
+
+
+@query(f"{_FLOORED} SELECT * FROM c WHERE pair NOT IN (SELECT pair FROM c WHERE spread_pips < CASE WHEN pair = 'EUR_USD' THEN 0.05 ELSE 0.15 END)")
+def session_spread_floors(spark, sf_dir):
+    """Spreads by session of pairs with a floor of their own: the majors' is lower, and a pair under its floor in any session is left out whole."""
+    t = ticks(spark, sf_dir).withColumn("pair", as_pair(F.col("pair")))
+    t = t.withColumn("ask", F.col("bid") + (F.col("ask") - F.col("bid")) * F.when(F.col("pair").isin("EUR_USD", "XAU_USD"), 0.2).otherwise(1.0))
+    return cost.session_spreads(t, cost.spread_floor(F.col("pair")))
+
+
 @query(f"{_SPREADS} SELECT pair, round(0.6 - (avg(spread_pips) + 2 * 0.35 + 2 * 0.5), 4) AS charge_pips FROM c WHERE session IN ('Asian', 'London', 'Lon-NY') GROUP BY pair")
 def overlay_charge(spark, sf_dir):
     return rounded(cost.overlay_charge(cost.session_spreads(ticks(spark, sf_dir))), "charge_pips", places=4)
@@ -630,26 +669,38 @@ def _u(path: str) -> str:
     return f"(CAST(CAST('0x' || substr(md5('42|' || id || '|{path}'), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0)"
 
 
-_TRIALS = f"WITH t AS (SELECT CAST(id AS BIGINT) AS trial_id, CAST(10 + 5 * floor({_u('sl')} * 9) AS INTEGER) AS sl, 1.0 + {_u('tp')} * 2.0 AS tp, CAST(floor({_u('trail')} * 2) AS INTEGER) AS trail, CAST(5 + 5 * floor({_u('gap')} * 4) AS INTEGER) AS g FROM range(0, 1000) r(id))"
+_TRIALS = f"WITH t AS (SELECT CAST(id AS BIGINT) AS trial_id, CAST(10 + 5 * floor({_u('sl')} * 9) AS INTEGER) AS sl, 1.0 + {_u('tp')} * 2.0 AS tp, CAST(floor({_u('trail')} * 2) AS INTEGER) AS trail, CAST(5 + 5 * floor({_u('gap')} * 4) AS INTEGER) AS g FROM (SELECT o_orderkey AS id FROM orders) r)"
+
+
+def trial_ids(spark, sf_dir):
+    """Trials that are numbered by a table."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("trial_id"))
 
 
 @query(f"{_TRIALS} SELECT trial_id, sl, round(tp, 8) AS tp, trail, CASE WHEN trail = 1 THEN g END AS gap FROM t")
 def sample_trials(spark, sf_dir):
-    return rounded(space.sample(spark, 1000, _SPACE, 42), "tp")
+    return rounded(space.sample(spark, trial_ids(spark, sf_dir), _SPACE, 42), "tp")
 
 
 @query(f"{_TRIALS} SELECT trial_id, CAST(sl AS DOUBLE) AS sl_fixed_pips, round(tp, 8) AS tp_rr, CAST(CASE WHEN trail = 1 THEN g ELSE 0 END AS DOUBLE) AS trailing_distance FROM t")
 def encode_slots(spark, sf_dir):
-    return rounded(space.encode(space.sample(spark, 1000, _SPACE, 42), {"sl_fixed_pips": ("sl", 0), "tp_rr": ("tp", 0), "trailing_distance": ("gap", 0)}), "tp_rr")
+    return rounded(space.encode(space.sample(spark, trial_ids(spark, sf_dir), _SPACE, 42), {"sl_fixed_pips": ("sl", 0), "tp_rr": ("tp", 0), "trailing_distance": ("gap", 0)}), "tp_rr")
 
 
-@query("SELECT CAST(v AS INTEGER) AS value FROM range(10, 51, 5) r(v)")
+@query("WITH b AS (SELECT CAST(min(l_quantity) AS INTEGER) AS lo, CAST(max(l_quantity) AS INTEGER) AS hi FROM lineitem), v AS (SELECT CAST(unnest(range(lo, hi + 1, 5)) AS INTEGER) AS value FROM b) SELECT value, count(l_orderkey) AS n FROM v LEFT JOIN lineitem ON l_quantity >= value AND l_quantity < value + 5 GROUP BY value")
 def expand_leaf(spark, sf_dir):
-    return spark.createDataFrame([(v,) for v in space.expand(space.IntRange(10, 50, 5))], "value int")
+    """The values of a range that a column spans, with the rows from each to the next."""
+    rows = table(spark, sf_dir, "lineitem")
+    lo, hi = rows.agg(F.min("l_quantity").cast("int"), F.max("l_quantity").cast("int")).first()
+    values = spark.createDataFrame([(v,) for v in space.expand(space.IntRange(lo, hi, 5))], "value int")
+    counts = rows.groupBy((F.floor((F.col("l_quantity") - lo) / 5) * 5 + lo).cast("int").alias("value")).agg(F.count("l_orderkey").alias("n"))
+    return values.join(counts, "value", "left").fillna(0, ["n"])
 
 
-@query(f"WITH w(family, params) AS (VALUES ('ema_cross', 'fast=5,slow=20'), ('donchian', 'lookback=24'), ('donchian', 'lookback=3')), {_NAMED} SELECT w.family, w.params, CAST(variant_id AS BIGINT) AS variant_id FROM w LEFT JOIN vs ON w.family = vs.family AND w.params = vs.params")
+@query(f"WITH w AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'ema_cross' ELSE 'donchian' END AS family, CASE WHEN s_suppkey % 2 = 0 THEN 'fast=' || (s_suppkey % 11) || ',slow=20' ELSE 'lookback=' || (s_suppkey % 5 * 12) END AS params FROM supplier), {_NAMED} SELECT id, w.family, w.params, CAST(variant_id AS BIGINT) AS variant_id FROM w LEFT JOIN vs ON w.family = vs.family AND w.params = vs.params")
 def fingerprint_resolve(spark, sf_dir):
-    variants = _library(spark, sf_dir)[0]
-    wanted = spark.createDataFrame([("ema_cross", "fast=5,slow=20"), ("donchian", "lookback=24"), ("donchian", "lookback=3")], "family string, params string")
-    return space.resolve_variant(wanted, variants)
+    """Names of families and parameters that rows give, to the ids that this library gives them."""
+    i = F.col("s_suppkey")
+    even = i % 2 == 0
+    wanted = table(spark, sf_dir, "supplier").select(i.alias("id"), F.when(even, "ema_cross").otherwise("donchian").alias("family"), F.when(even, F.concat(F.lit("fast="), (i % 11).cast("string"), F.lit(",slow=20"))).otherwise(F.concat(F.lit("lookback="), (i % 5 * 12).cast("string"))).alias("params"))
+    return space.resolve_variant(wanted, _library(spark, sf_dir)[0])

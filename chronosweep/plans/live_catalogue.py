@@ -241,15 +241,20 @@ def side_bars(spark, sf_dir):
     return rounded(resample.side_bars(ticks(spark, sf_dir), "bid"), "open", "high", "low", "close")
 
 
-@query(f"WITH {TICKS} SELECT pair, CAST((s - 7200) // 86400 AS BIGINT) AS day, count(*) AS n, round(avg((ask - bid) / 1e-5), 6) AS points FROM ticks GROUP BY ALL")
+@query(f"WITH {TICKS} SELECT pair, CAST((s - 7200) // 86400 AS BIGINT) AS day, count(*) AS n, round(avg(ask - bid) * 1e4, 6) AS pips FROM ticks GROUP BY ALL")
 def broker_time(spark, sf_dir):
+    """Days in UTC and spreads in prices, from a broker's clock and spreads in points."""
     t = upsert.from_broker(ticks(spark, sf_dir).withColumn("spread", (F.col("ask") - F.col("bid")) / F.lit(1e-5)), 7200, 1e-5)
-    return t.groupBy("pair", F.floor(F.col("s") / 86400).alias("day")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("spread") / F.lit(1e-5)), 6).alias("points"))
+    return t.groupBy("pair", F.floor(F.col("s") / 86400).alias("day")).agg(F.count("*").alias("n"), F.round(F.avg("spread") * 1e4, 6).alias("pips"))
 
 
-@query("SELECT CAST(1704067200 + 3600 * k AS BIGINT) AS hour_s FROM range(0, 336) r(k) WHERE isodow(make_timestamp((1704067200 + 3600 * k) * 1000000)) < 6 OR (isodow(make_timestamp((1704067200 + 3600 * k) * 1000000)) = 7 AND hour(make_timestamp((1704067200 + 3600 * k) * 1000000)) >= 21)")
+@query(f"WITH {TICKS}, b AS (SELECT min(s) // 3600 * 3600 AS lo, max(s) // 3600 * 3600 AS hi FROM ticks), h AS (SELECT CAST(unnest(range(lo, hi + 1, 3600)) AS BIGINT) AS hour_s FROM b), o AS (SELECT hour_s FROM h WHERE isodow(make_timestamp(hour_s * 1000000)) < 6 OR (isodow(make_timestamp(hour_s * 1000000)) = 7 AND hour(make_timestamp(hour_s * 1000000)) >= 21)) SELECT hour_s, count(t.s) AS n FROM o LEFT JOIN ticks t ON t.s // 3600 * 3600 = hour_s GROUP BY hour_s")
 def trading_hours(spark, sf_dir):
-    return upsert.trading_hours(spark, 1704067200, 1704067200 + 335 * 3600)
+    """The hours of a table's span in which markets are open, with its ticks in each."""
+    hour = (F.floor(F.col("s") / 3600) * 3600).alias("hour_s")
+    counts = ticks(spark, sf_dir).groupBy(hour).agg(F.count("*").alias("n"))
+    lo, hi = counts.agg(F.min("hour_s"), F.max("hour_s")).first()
+    return upsert.trading_hours(spark, lo, hi).join(counts, "hour_s", "left").fillna(0, ["n"])
 
 
 # Ledgers

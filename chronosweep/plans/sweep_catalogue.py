@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from chronosweep.functions.exprs import hour_of, session_name
 from chronosweep.functions.lineage import cut
 from chronosweep.operators import cost, encoders, live, metrics, positions, pricing, ranking, resample, signals, space, sweep
-from chronosweep.plans.catalogue import _NAMED, _VARIANTS, H1, LIBRARY, LIBRARY_SQL, MEASURED, METRIC_SQL, ORDERS, TICKS, _orders, _priced, bars, bars_cte, metrics_sql, query, rounded
+from chronosweep.plans.catalogue import _NAMED, _VARIANTS, trial_ids, H1, LIBRARY, LIBRARY_SQL, MEASURED, METRIC_SQL, ORDERS, TICKS, _orders, _priced, bars, bars_cte, metrics_sql, query, rounded
 from chronosweep.sources import upsert
 from chronosweep.sources.bridge import table, ticks
 
@@ -161,7 +161,7 @@ def _leaf_sql(name: str, node) -> str:
 
 
 # leaves may hang on leaves before them, which DuckDB lets a select list name
-_FULL_SQL = f"f AS (SELECT CAST(id AS BIGINT) AS trial_id, CAST(floor((CAST(CAST('0x' || substr(md5('11|' || id || '|signal_variant'), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0) * 50) AS BIGINT) AS signal_variant, {', '.join(_leaf_sql(k, v) for k, v in _FULL.items())} FROM range(0, 2000) r(id))"
+_FULL_SQL = f"f AS (SELECT CAST(id AS BIGINT) AS trial_id, CAST(floor((CAST(CAST('0x' || substr(md5('11|' || id || '|signal_variant'), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0) * 50) AS BIGINT) AS signal_variant, {', '.join(_leaf_sql(k, v) for k, v in _FULL.items())} FROM (SELECT o_orderkey AS id FROM orders) r)"
 _MODES = {"sl_mode": "CASE stop_loss WHEN 'fixed' THEN 0 ELSE 1 END", "tp_mode": "CASE take_profit WHEN 'rr' THEN 0 WHEN 'atr' THEN 1 ELSE 2 END", "trailing_mode": "CASE WHEN \"trailing\" THEN CASE trailing_kind WHEN 'fixed' THEN 1 ELSE 2 END ELSE 0 END", "be_enabled": "breakeven", "partial_enabled": "partial", "stale_enabled": "stale", "chandelier_enabled": "chandelier"}
 _SLOT_SQL = ", ".join(f"round(CAST({_MODES.get(slot, f'coalesce({slot}, 0)' if slot in _FULL or slot == 'signal_variant' else default)} AS DOUBLE), 8) AS {slot}" for slot, default in sweep.SLOTS.items())
 
@@ -169,13 +169,13 @@ _SLOT_SQL = ", ".join(f"round(CAST({_MODES.get(slot, f'coalesce({slot}, 0)' if s
 @query(f"WITH {_FULL_SQL} SELECT trial_id, {_SLOT_SQL} FROM f")
 def encode_standard(spark, sf_dir):
     """Every slot of trials sampled from the full space: selectors, switches, nested groups, logarithmic ranges."""
-    encoded = encoders.encode(space.sample(spark, 2000, _FULL, 11, 50), encoders.standard_mapping(_FULL))
+    encoded = encoders.encode(space.sample(spark, trial_ids(spark, sf_dir), _FULL, 11, 50), encoders.standard_mapping(_FULL))
     return rounded(encoded, *sweep.SLOTS)
 
 
 @query(f"WITH {_FULL_SQL}, n AS (SELECT 1 + {' + '.join(f'CAST("{k}" IS NOT NULL AS INTEGER)' for k in _FULL)} AS n FROM f) SELECT CAST(min(n) AS BIGINT) AS least, round(avg(n), 8) AS mean, CAST(max(n) AS BIGINT) AS most FROM n")
 def effective_dimension(spark, sf_dir):
-    return rounded(encoders.decisions(space.sample(spark, 2000, _FULL, 11, 50), _FULL), "mean")
+    return rounded(encoders.decisions(space.sample(spark, trial_ids(spark, sf_dir), _FULL, 11, 50), _FULL), "mean")
 
 
 @query(f"{H1}, i AS (SELECT pair, 'H1' AS tf, count(*) AS rows, min(s) AS lo, max(s) AS hi FROM b GROUP BY pair UNION ALL SELECT pair, 'D', count(DISTINCT s // 86400), min(s // 86400 * 86400), max(s // 86400 * 86400) FROM b GROUP BY pair) SELECT pair, list_sort(list(tf)) AS tfs, CAST(sum(rows) AS BIGINT) AS rows, CAST(min(lo // 86400) AS BIGINT) AS first_day, CAST(max(hi // 86400) AS BIGINT) AS last_day FROM i GROUP BY pair")
@@ -198,10 +198,11 @@ def plan_dedupe(spark, sf_dir):
     return live.fresh_plans(plans.unionByName(plans.where("plan_id % 2 = 0")), plans.where("plan_id % 5 = 0").withColumn("instance_id", F.lit(0).cast("long")), plans.where("plan_id % 7 = 0"))
 
 
-@query(f"WITH {ORDERS} SELECT id AS signal_id, pair, CASE pair WHEN '1-URGENT' THEN 0.2e0 WHEN '2-HIGH' THEN 0.9e0 ELSE 0.5e0 END AS slippage_pips FROM o")
+@query(f"WITH {ORDERS}, m AS (SELECT pair, round(avg(id % 7) / 10, 8) AS slip FROM o WHERE pair < '3' GROUP BY pair) SELECT id AS signal_id, o.pair, coalesce(slip, 0.5e0) AS slippage_pips FROM o LEFT JOIN m ON m.pair = o.pair")
 def slippage_default(spark, sf_dir):
-    measured = spark.createDataFrame([("1-URGENT", 0.2), ("2-HIGH", 0.9)], "pair string, slippage_pips double")
-    return sweep.with_slippage(_orders(spark, sf_dir).select(F.col("id").alias("signal_id"), "pair"), measured)
+    o = _orders(spark, sf_dir)
+    measured = o.where("pair < '3'").groupBy("pair").agg(F.round(F.avg(F.col("id") % 7) / 10, 8).alias("slippage_pips"))
+    return sweep.with_slippage(o.select(F.col("id").alias("signal_id"), "pair"), measured)
 
 
 # Logs and lookups
@@ -245,10 +246,11 @@ def preferred_costs(spark, sf_dir):
     return cost.preferred(("tick", cost.session_spreads(t.where("pair in ('click', 'view')"))), ("minutes", cost.session_spreads(wider)))
 
 
-@query("SELECT k AS place, trial_id, o_custkey AS trades FROM (VALUES (0, 7), (1, 3), (2, -5), (3, 7)) w(k, trial_id) LEFT JOIN orders ON o_orderkey = trial_id")
+@query("SELECT s_suppkey AS place, s_suppkey * 3 - s_nationkey AS trial_id, o_custkey AS trades FROM supplier LEFT JOIN orders ON o_orderkey = s_suppkey * 3 - s_nationkey")
 def trial_lookup(spark, sf_dir):
     found = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("trial_id"), F.col("o_custkey").alias("trades"))
-    return ranking.lookup(found, spark.createDataFrame([(0, 7), (1, 3), (2, -5), (3, 7)], "place int, trial_id long"))
+    wanted = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("place"), (F.col("s_suppkey") * 3 - F.col("s_nationkey")).alias("trial_id"))
+    return ranking.lookup(found, wanted)
 
 
 @query(f"WITH {ORDERS}, t AS (SELECT id, CASE id % 4 WHEN 0 THEN 'sig_x [sl ' || (id % 100) || '.25]' WHEN 1 THEN 'a_L' || (id % 7) || '_b [tp  1.5]' WHEN 2 THEN '[SL 3]' ELSE 'none' END AS c FROM o) SELECT id, CASE id % 4 WHEN 0 THEN 'SL' WHEN 1 THEN 'TP' END AS stop_kind, CASE id % 4 WHEN 0 THEN id % 100 + 0.25e0 WHEN 1 THEN 1.5e0 END AS stop_price, CASE WHEN id % 4 = 1 THEN CAST(id % 7 AS INTEGER) END AS level FROM t")

@@ -8,6 +8,24 @@ from pyspark.sql import functions as F
 from chronosweep.functions.exprs import hour_of, weekday_of
 
 
+def normalised(rows: DataFrame, time: str = "timestamp") -> DataFrame:
+    """rows with names in lower case and s, the epoch second of their time column: a timestamp, ISO text with or without an offset (UTC), or a number of seconds.
+
+    Two columns that differ in case only can't both stay: that raises.
+    """
+    names = [c.lower() for c in rows.columns]
+    if len(set(names)) < len(names):
+        raise ValueError(f"columns differ in case only: {rows.columns}")
+    out = rows.toDF(*names)
+    kind = dict(out.dtypes)[time]
+    at = F.col(time)
+    if kind == "string":
+        at = F.unix_seconds(F.coalesce(*[F.try_to_timestamp(F.concat(at, F.lit(tail)), F.lit(f"yyyy-MM-dd{mark}HH:mm:ss[.SSSSSS]XXX")) for tail in ("", "Z") for mark in ("'T'", " ")]))
+    elif kind.startswith("timestamp"):
+        at = F.unix_seconds(at.cast("timestamp"))
+    return out.withColumn("s", at.cast("long")).drop(*({time} - {"s"}))
+
+
 def upsert(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows by key, the new side winning; columns that one side lacks are null.  One shuffle on the keys, with partial aggregation."""
     both = stored.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
