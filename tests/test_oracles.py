@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import pytest
 
-from chronosweep.plans import catalogue, live_catalogue, sweep_catalogue
+from chronosweep.plans import catalogue, live_catalogue, stored_catalogue, sweep_catalogue
 from tests.conftest import MIDDLE, SMALL, same_as_oracle
 
-assert live_catalogue and sweep_catalogue  # they register their queries with the catalogue
+assert live_catalogue and stored_catalogue and sweep_catalogue  # they register their queries with the catalogue
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
