@@ -75,6 +75,23 @@ def code_kind(size: int) -> str:
     return "i4" if (2 << max(1, (size - 1).bit_length())) ** 2 <= 2**31 else "i8"
 
 
+def _packed(vector: list[float]) -> bytes:
+    """A vector's components in 32 bits if none loses anything by it, else in 64."""
+    whole = np.array(vector, "f8")
+    with np.errstate(over="ignore"):
+        half = whole.astype("f4")
+    return half.tobytes() if (half == whole).all() else whole.tobytes()
+
+
+def _unpacked(vectors: list[bytes], size: int) -> np.ndarray:
+    out = np.empty((len(vectors), size))
+    short = np.array([len(v) == 4 * size for v in vectors])
+    for kind, some in (("f4", short), ("f8", ~short)):
+        if some.any():
+            out[some] = np.frombuffer(b"".join(v for v, s in zip(vectors, some.tolist(), strict=True) if s), kind).reshape(-1, size)
+    return out
+
+
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices([batch], 2048, BYTES):
@@ -86,7 +103,7 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x /= np.abs(x).max(axis=1, keepdims=True)
                 for i, c in zip(which, bucket_codes(x / np.linalg.norm(x, axis=1, keepdims=True)), strict=True):
                     codes[i] = c.ravel().tolist()
-            packed = [np.array(v, "f8").tobytes() for v in vectors], [np.array(c, code_kind(len(v))).tobytes() for v, c in zip(vectors, codes, strict=True)]
+            packed = [_packed(v) for v in vectors], [np.array(c, code_kind(len(v))).tobytes() for v, c in zip(vectors, codes, strict=True)]
             arrays = [pa.array(x, pa.binary()) for x in packed]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(v) for v in vectors], pa.int32()), *arrays, pa.array(codes, pa.list_(pa.int64()))], ["cid", "n", "dim", "vec", "codes", "places"])
 
@@ -109,7 +126,7 @@ def _verify(threshold: float):
         unit = unit.sort_by("bucket")
         table, i, j = (unit.column(c)[0].as_py() for c in ("t", "i", "j"))
         bucket, chunk, ids, times = (unit.column(c).to_numpy() for c in ("bucket", "chunk", "cid", "n"))
-        raw = np.frombuffer(b"".join(unit.column("vec").to_pylist()), "f8").reshape(len(ids), -1)
+        raw = _unpacked(unit.column("vec").to_pylist(), unit.column("dim")[0].as_py())
         # scaled by powers of two, which changes no cosine, so that no square is lost or overflows
         raw = raw * np.exp2(-np.frexp(np.abs(raw).max(axis=1))[1].astype(float))[:, None]
         codes = np.frombuffer(b"".join(unit.column("codes").to_pylist()), code_kind(raw.shape[1])).reshape(len(ids), -1, PROBES)

@@ -76,14 +76,17 @@ OP1_SQL = f"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '{CONFLICT}'
-  UNION ALL SELECT -7, 1, 'assistant', '{CONFLICT}')
-SELECT conv_id,
+  UNION ALL SELECT -7, 1, 'assistant', '{CONFLICT}'),
+-- a conversation is stuffed where its raw rendering has other control strings than the template's own in their order, or a text looks stuffed already
+raw AS (SELECT conv_id, regexp_extract_all(string_agg('<s>[INST]' || role || '[/INST]' || text || '</s>', '' ORDER BY turn NULLS FIRST, role, text), '<s>|</s>|\\[INST\\]|\\[/INST\\]') AS marks, count(*) AS n, bool_or(regexp_matches(role || chr(10) || text, '[<\\[]\\\\+/?(?:s>|INST\\])')) AS told FROM turns GROUP BY conv_id),
+stuffed AS (SELECT conv_id, marks <> list_transform(range(0, 4 * n), lambda k: ['<s>', '[INST]', '[/INST]', '</s>'][k % 4 + 1]) OR told AS yes FROM raw)
+SELECT turns.conv_id,
   count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(20 + length({_STUFFED.format("role")}) + length({_STUFFED.format("text")})) AS BIGINT) AS formatted_chars
-FROM turns GROUP BY conv_id
+  CAST(sum(20 + CASE WHEN yes THEN length({_STUFFED.format("role")}) + length({_STUFFED.format("text")}) ELSE length(role) + length(text) END) AS BIGINT) AS formatted_chars
+FROM turns JOIN stuffed ON stuffed.conv_id IS NOT DISTINCT FROM turns.conv_id GROUP BY turns.conv_id
 """
 
 OP9_SQL = """
@@ -94,9 +97,11 @@ item_shingles AS (
   FROM item_words, unnest(range(1, greatest(len(w) - 3, 2))) AS r(i) WHERE len(w) > 0),
 doc_words AS (
   SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents),
+-- shingles of five words, and of as few as there are items of
+widths AS (SELECT DISTINCT len(s) AS k FROM item_shingles),
 doc_shingles AS (
-  SELECT DISTINCT doc_id, list_slice(w, i, i + 4) AS s
-  FROM doc_words, unnest(range(1, len(w) - 3)) AS r(i) WHERE len(w) >= 5),
+  SELECT DISTINCT doc_id, list_slice(w, i, i + k - 1) AS s
+  FROM doc_words, widths, unnest(range(1, len(w) - k + 2)) AS r(i) WHERE len(w) >= k),
 sizes AS (SELECT item_id, count(*) AS n FROM item_shingles GROUP BY item_id),
 found AS (
   SELECT d.doc_id, i.item_id, count(*) AS k
