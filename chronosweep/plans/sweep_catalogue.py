@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chronosweep.functions.exprs import hour_of, session_name
 from chronosweep.functions.lineage import cut
-from chronosweep.operators import cost, encoders, live, metrics, positions, pricing, ranking, resample, signals, space, sweep
+from chronosweep.operators import cost, encoders, live, metrics, positions, pricing, ranking, resample, signals, space, strategy, sweep
 from chronosweep.plans.catalogue import _NAMED, _VARIANTS, trial_ids, H1, LIBRARY, LIBRARY_SQL, MEASURED, METRIC_SQL, ORDERS, TICKS, _orders, _priced, bars, bars_cte, metrics_sql, query, rounded
 from chronosweep.sources import upsert
 from chronosweep.sources.bridge import table, ticks
@@ -149,10 +149,10 @@ _FULL = encoders.standard_space(20.0)
 def _leaf_sql(name: str, node) -> str:
     leaf = node[2] if isinstance(node, tuple) else node
     u = f"(CAST(CAST('0x' || substr(md5('11|' || id || '|{name}'), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0)"
-    if isinstance(leaf, space.FloatRange):
+    if isinstance(leaf, space.FloatRange) and leaf.step is None:
         drawn = f"exp({math.log(leaf.lo)!r} + {u} * ({math.log(leaf.hi)!r} - {math.log(leaf.lo)!r}))" if leaf.scale == "log" else f"{leaf.lo!r}e0 + {u} * {leaf.hi - leaf.lo!r}e0"
     else:
-        told = ", ".join(repr(v) if isinstance(v, str) else str(v) for v in space.expand(leaf))
+        told = ", ".join(repr(v) if isinstance(v, str) else f"{v!r}e0" if isinstance(v, float) else str(v) for v in space.expand(leaf))
         drawn = f"[{told}][CAST(floor({u} * {len(space.expand(leaf))}) AS INTEGER) + 1]"
     if not isinstance(node, tuple):
         return f'{drawn} AS "{name}"'
@@ -178,6 +178,40 @@ def effective_dimension(spark, sf_dir):
     return rounded(encoders.decisions(space.sample(spark, trial_ids(spark, sf_dir), _FULL, 11, 50), _FULL), "mean")
 
 
+#: A market's usual ranges, for strategies by level.
+RANGES = {"fixed_sl": (10.0, 80.0), "fixed_tp": (20.0, 160.0), "rr": (0.5, 4.0), "atr_sl": (0.5, 3.0), "atr_tp": (0.5, 6.0), "trail_activate": (5.0, 60.0), "trail_atr": (0.5, 3.0), "ema_fast": (5, 20), "ema_slow": (20, 60)}
+LEVELS = {level: strategy.at_level(level, RANGES) for level in (1, 2, 4, 7, 10)}
+
+
+def _level_sql(level: int, held: dict) -> str:
+    """(level, trial_id and all slots) of one level, by the names of its leaves."""
+    space_ = held["space"]
+    modes = {slot: told for slot, told in _MODES.items() if (told if told in space_ else {"sl_mode": "stop_loss", "tp_mode": "take_profit", "trailing_mode": "trailing"}.get(slot)) in space_}
+    modes |= {"max_bars": "CASE WHEN bars_limit THEN max_bars ELSE 0 END", "hours_start": "CASE WHEN session THEN hours_start ELSE 0 END", "hours_end": "CASE WHEN session THEN hours_end ELSE 23 END"} if "session" in space_ else {"hours_end": "23"} | ({"max_bars": "CASE WHEN bars_limit THEN max_bars ELSE 0 END"} if "bars_limit" in space_ else {})
+    slots = ", ".join(f"round(CAST({modes.get(slot, f'coalesce({slot}, 0)' if slot in space_ else default if slot != 'signal_variant' else 'signal_variant')} AS DOUBLE), 8) AS {slot}" for slot, default in sweep.SLOTS.items())
+    drawn = ", ".join(_leaf_sql(k, v) for k, v in space_.items())
+    return f"SELECT {level} AS level, trial_id, {slots} FROM (SELECT CAST(id AS BIGINT) AS trial_id, CAST(floor((CAST(CAST('0x' || substr(md5('11|' || id || '|signal_variant'), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0) * 50) AS BIGINT) AS signal_variant, {drawn} FROM (SELECT o_orderkey AS id FROM orders) r)"
+
+
+@query(" UNION ALL ".join(_level_sql(*x) for x in LEVELS.items()))
+def encode_levels(spark, sf_dir):
+    """The slots of a table's trials at several levels of complexity: selectors of one arm or all, switches, steps by level."""
+    parts = [encoders.encode(space.sample(spark, trial_ids(spark, sf_dir), held["space"], 11, 50), strategy.mapping(held)).withColumn("level", F.lit(level)) for level, held in LEVELS.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return rounded(out, *sweep.SLOTS)
+
+
+@query(f"{H1}, {LIBRARY_SQL}, {_NAMED}, n AS (SELECT variant_id, count(*) AS n FROM ls0 GROUP BY 1) SELECT family, count(*) AS variants, CAST(coalesce(sum(n), 0) AS BIGINT) AS signals, round(count(*) * 0.25, 8) AS build_s FROM vs LEFT JOIN n ON vs.variant_id = n.variant_id GROUP BY family")
+def preflight_families(spark, sf_dir):
+    """What a run will be, by family: its variants and the signals that they really have."""
+    held = {"signals": {name: {k: space.Choice(tuple(v)) for k, v in params.items()} for name, params in LIBRARY.items()}, "space": LEVELS[7]["space"], "execution": {}}
+    trials = space.sample(spark, trial_ids(spark, sf_dir), held["space"], 11, 50)
+    told = strategy.preflight(held, signals.build_library(bars(spark, sf_dir), LIBRARY)[0], trials, 500)
+    return spark.createDataFrame([(name, k["variants"], k["signals"], k["variants"] * 0.25) for name, k in told["families"].items()], "family string, variants long, signals long, build_s double")
+
+
 @query(f"{H1}, i AS (SELECT pair, 'H1' AS tf, count(*) AS rows, min(s) AS lo, max(s) AS hi FROM b GROUP BY pair UNION ALL SELECT pair, 'D', count(DISTINCT s // 86400), min(s // 86400 * 86400), max(s // 86400 * 86400) FROM b GROUP BY pair) SELECT pair, list_sort(list(tf)) AS tfs, CAST(sum(rows) AS BIGINT) AS rows, CAST(min(lo // 86400) AS BIGINT) AS first_day, CAST(max(hi // 86400) AS BIGINT) AS last_day FROM i GROUP BY pair")
 def inventory_by_pair(spark, sf_dir):
     hourly = bars(spark, sf_dir)
