@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronosweep.functions.lineage import cut, ready_checkpoints
+
+__all__ = ["BYTES", "ROWS", "Bounded", "cut", "ready_checkpoints", "slices", "table", "text_of"]
+
 #: Rows and bytes handled at once inside a task; Arrow batches are cut to these so that
 #: long texts don't sit in memory as Python objects all together.
 ROWS, BYTES = 256, 4 << 20
@@ -19,23 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ready_checkpoints(spark: SparkSession) -> None:
-    """Use the shared checkpoint folder that the session names.  Only a local session without one gets a folder of its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", "")
-    if not named and not sc.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints", "chronosweep"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write a table to the shared checkpoint folder and go on from there: lost executors don't undo it."""
-    ready_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS, most: int = BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of at most so many rows and bytes; a larger row is a part of its own."""
     for batch in batches:
