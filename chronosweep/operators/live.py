@@ -43,7 +43,12 @@ def own_deals(deals: DataFrame, magic: int, prefixes: tuple[str, ...] = ("sig_",
 
 
 def stitch(plans: DataFrame, tickets: DataFrame, deals: DataFrame) -> DataFrame:
-    """One row a plan, with its fill, both legs, costs in account currency, close reason and slippage."""
+    """One row a plan, with its fill, both legs, costs in account currency, close reason and slippage, and the plan's variant, family, spread and lots.
+
+    Older plans lack these: their variant is -1, their family empty, their spread and lots null.
+    """
+    held = lambda c, kind, default=None: (F.coalesce(F.col(c).cast(kind), F.lit(default).cast(kind)) if c in plans.columns else F.lit(default).cast(kind)).alias(c)
+    plans = plans.withColumns({c: held(c, kind, default) for c, kind, default in (("signal_variant", "long", -1), ("signal_family", "string", ""), ("spread_at_fire_pips", "double", None), ("lots", "double", None))})
     is_open = F.col("position_id") == F.col("ticket")
     legs = deals.groupBy("position_id").agg(
         F.max(F.when(is_open, F.col("price"))).alias("open_price"),
@@ -54,7 +59,7 @@ def stitch(plans: DataFrame, tickets: DataFrame, deals: DataFrame) -> DataFrame:
     rows = plans.join(tickets.select("plan_id", F.col("ticket").alias("position_id"), "fill_price"), "plan_id", "left").join(legs, "position_id", "left")
     per, side = pip(F.col("pair")), F.when(F.col("direction") > 0, 1).otherwise(-1)
     return rows.select(
-        "plan_id", "pair", "direction", "signal_s",
+        "plan_id", "pair", "direction", "signal_s", "signal_variant", "signal_family", F.col("spread_at_fire_pips").alias("spread_pips"), "lots",
         F.col("entry_ref_price").alias("entry_price"),
         F.col("close.price").alias("exit_price"),
         ((F.col("close.price") - F.col("open_price")) / per * side).alias("pnl_pips"),
@@ -64,20 +69,17 @@ def stitch(plans: DataFrame, tickets: DataFrame, deals: DataFrame) -> DataFrame:
     )
 
 
+# The verdicts' names.
+VERDICTS = ("No backtest match", "Backtest data cut off", "No replay match", "Good match", "Close enough, review", "Broker price-path drift", "Material difference")
+
+
 def verdict(matched: Column, bt_reason: Column, live_reason: Column, pnl: Column, minutes: Column, entry: Column, exit_: Column) -> Column:
     """What a trade's differences amount to, by the first rule that holds."""
     size = lambda c: F.abs(F.coalesce(c, F.lit(0.0)))
     tight = (F.abs(pnl) <= 2) & (size(minutes) <= 2) & (size(entry) <= 2) & (size(exit_) <= 2)
     drift = (F.abs(pnl) <= 5) & F.lower(F.coalesce(live_reason, F.lit(""))).contains("sl") & (F.upper(F.coalesce(bt_reason, F.lit(""))) == "SL")
-    return (
-        F.when(~F.coalesce(matched, F.lit(False)), "No backtest match")
-        .when(F.upper(F.coalesce(bt_reason, F.lit(""))) == "NONE", "Backtest data cut off")
-        .when(pnl.isNull(), "No replay match")
-        .when(tight, "Good match")
-        .when((F.abs(pnl) <= 5) & (size(minutes) <= 10), "Close enough, review")
-        .when(drift, "Broker price-path drift")
-        .otherwise("Material difference")
-    )
+    rules = (~F.coalesce(matched, F.lit(False)), F.upper(F.coalesce(bt_reason, F.lit(""))) == "NONE", pnl.isNull(), tight, (F.abs(pnl) <= 5) & (size(minutes) <= 10), drift)
+    return F.coalesce(*[F.when(rule, F.lit(name)) for rule, name in zip(rules, VERDICTS, strict=False)], F.lit(VERDICTS[-1]))
 
 
 def position_summary(positions: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ def nice_ranges(spark, sf_dir):
 def _logs(spark, sf_dir):
     o = _orders(spark, sf_dir)
     ref = 1 + F.col("id") % 100 * 0.001
-    plans = o.select(F.col("id").alias("plan_id"), "pair", "direction", F.col("s").alias("signal_s"), ref.alias("entry_ref_price"))
+    plans = o.select(F.col("id").alias("plan_id"), "pair", "direction", F.col("s").alias("signal_s"), ref.alias("entry_ref_price"), F.when(F.col("id") % 5 != 0, F.col("id") % 11).alias("signal_variant"), F.when(F.col("id") % 5 != 0, F.concat(F.lit("family"), (F.col("id") % 3).cast("string"))).alias("signal_family"), F.when(F.col("id") % 8 != 0, F.col("id") % 7 * 0.25).alias("spread_at_fire_pips"), (F.col("id") % 10 / 100).alias("lots"))
     sent = o.where("id % 9 <> 0")
     fill = ref + F.col("id") % 5 * 0.0001
     tickets = sent.select(F.col("id").alias("plan_id"), F.col("id").alias("ticket"), fill.alias("fill_price"))
@@ -129,12 +129,12 @@ def _logs(spark, sf_dir):
     return plans, tickets, opened.unionByName(closed)
 
 
-_STITCHED = f"{ORDERS}, st AS (SELECT id AS plan_id, pair, CAST(direction AS INTEGER) AS direction, s AS signal_s, 1 + id % 100 * 0.001e0 AS ref, CASE WHEN id % 9 <> 0 THEN 1 + id % 100 * 0.001e0 + id % 5 * 0.0001e0 END AS fill, CASE WHEN id % 9 <> 0 AND id % 7 <> 0 THEN 1 + id % 100 * 0.001e0 + id % 31 * 0.0002e0 - 0.003e0 END AS px, CASE WHEN id % 9 <> 0 THEN id % 3 * -0.5e0 + CASE WHEN id % 7 <> 0 THEN -0.25e0 ELSE 0 END END AS com, CASE WHEN id % 9 <> 0 THEN CASE WHEN id % 7 <> 0 THEN id % 2 * 0.125e0 ELSE 0 END END AS swp, CASE WHEN id % 9 <> 0 AND id % 7 <> 0 THEN CASE WHEN id % 2 = 0 THEN 'SL' ELSE 'TP' END ELSE '' END AS why FROM o)"
+_STITCHED = f"{ORDERS}, st AS (SELECT id AS plan_id, pair, CAST(direction AS INTEGER) AS direction, s AS signal_s, 1 + id % 100 * 0.001e0 AS ref, CASE WHEN id % 9 <> 0 THEN 1 + id % 100 * 0.001e0 + id % 5 * 0.0001e0 END AS fill, CASE WHEN id % 9 <> 0 AND id % 7 <> 0 THEN 1 + id % 100 * 0.001e0 + id % 31 * 0.0002e0 - 0.003e0 END AS px, CASE WHEN id % 9 <> 0 THEN id % 3 * -0.5e0 + CASE WHEN id % 7 <> 0 THEN -0.25e0 ELSE 0 END END AS com, CASE WHEN id % 9 <> 0 THEN CASE WHEN id % 7 <> 0 THEN id % 2 * 0.125e0 ELSE 0 END END AS swp, CASE WHEN id % 9 <> 0 AND id % 7 <> 0 THEN CASE WHEN id % 2 = 0 THEN 'SL' ELSE 'TP' END ELSE '' END AS why, CASE WHEN id % 5 <> 0 THEN id % 11 ELSE -1 END AS vn, CASE WHEN id % 5 <> 0 THEN 'family' || (id % 3) ELSE '' END AS fam, CASE WHEN id % 8 <> 0 THEN id % 7 * 0.25e0 END AS fire, id % 10 / 100 AS lots FROM o)"
 
 
-@query(f"WITH {_STITCHED} SELECT plan_id, pair, direction, signal_s, round(ref, 6) AS entry_price, round(px, 6) AS exit_price, round((px - fill) / 1e-4 * direction, 4) AS pnl_pips, com AS commission_ccy, swp AS swap_ccy, why AS close_reason, round((fill - ref) / 1e-4 * direction, 4) AS slippage_pips FROM st")
+@query(f"WITH {_STITCHED} SELECT plan_id, pair, direction, signal_s, vn AS signal_variant, fam AS signal_family, fire AS spread_pips, round(lots, 6) AS lots, round(ref, 6) AS entry_price, round(px, 6) AS exit_price, round((px - fill) / 1e-4 * direction, 4) AS pnl_pips, com AS commission_ccy, swp AS swap_ccy, why AS close_reason, round((fill - ref) / 1e-4 * direction, 4) AS slippage_pips FROM st")
 def live_stitch(spark, sf_dir):
-    return rounded(rounded(live.stitch(*_logs(spark, sf_dir)), "entry_price", "exit_price", places=6), "pnl_pips", "slippage_pips", places=4)
+    return rounded(rounded(live.stitch(*_logs(spark, sf_dir)), "entry_price", "exit_price", "lots", places=6), "pnl_pips", "slippage_pips", places=4)
 
 
 @query(f"WITH {ORDERS}, v AS (SELECT id, id % 6 <> 0 AS ok, CASE id % 4 WHEN 0 THEN 'NONE' WHEN 1 THEN 'SL' ELSE 'TP' END AS bt, CASE WHEN id % 3 = 0 THEN 'hit sl' ELSE 'tp' END AS lv, CASE WHEN id % 13 <> 0 THEN CAST(id % 9 AS DOUBLE) END AS pnl, CAST(id % 25 AS DOUBLE) AS mins, CAST(id % 5 AS DOUBLE) AS ed, CAST(id % 3 AS DOUBLE) AS xd FROM o) SELECT CASE WHEN NOT ok THEN 'No backtest match' WHEN bt = 'NONE' THEN 'Backtest data cut off' WHEN pnl IS NULL THEN 'No replay match' WHEN abs(pnl) <= 2 AND mins <= 2 AND ed <= 2 AND xd <= 2 THEN 'Good match' WHEN abs(pnl) <= 5 AND mins <= 10 THEN 'Close enough, review' WHEN abs(pnl) <= 5 AND lv LIKE '%sl%' AND bt = 'SL' THEN 'Broker price-path drift' ELSE 'Material difference' END AS verdict, count(*) AS n FROM v GROUP BY 1")
