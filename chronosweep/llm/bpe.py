@@ -28,13 +28,35 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronosweep.llm.common import Bounded, slices, text_of
+from chronosweep.llm.common import Bounded, _weight, slices, text_of
 
 _NONE = 1 << 62
 #: Bytes of the pieces whose prefixes share one table.
 SHORT = 64
-#: Bytes that a task keeps of each kind before it starts afresh.
-KEPT = 64 << 20
+#: Bytes that a task keeps of each kind, and of words.
+KEPT, WORDS_KEPT = 64 << 20, 192 << 20
+_NOTHING = object()
+
+
+class Kept(Bounded):
+    """A bounded table that keeps what was used of late: once half of its bytes are full, these are the older half and a new one starts."""
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__(make, most // 2)
+        self.older: dict = {}
+
+    def __missing__(self, key):
+        value = self.older.get(key, _NOTHING)
+        if value is _NOTHING:
+            value = self.make(key)
+        weight = 200 + sum(_weight(x) for x in (key, value))
+        if weight * 1000 <= self.most:
+            self.held += weight
+            if self.held > self.most:
+                self.older, self.held = dict(self), weight
+                self.clear()
+            self[key] = value
+        return value
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -50,10 +72,15 @@ class PrefixEncoder:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.id_bytes = {rank: rank.to_bytes(4, "little") for rank in ranks.values()}
         self.longest = max(map(len, ranks), default=1)
-        self.halves = Bounded(self._halves, KEPT)
-        self.fits = Bounded(self._fits, KEPT)
-        self.last = Bounded(self._last, KEPT)
-        self.encoded = Bounded(self._encoded, KEPT)
+        # the longest token that ends in three bytes: what a prefix that ends so must be probed for
+        self.reach: dict[bytes, int] = {}
+        for token in ranks:
+            if len(token) > 2:
+                self.reach[token[-3:]] = max(len(token), self.reach.get(token[-3:], 2))
+        self.halves = Kept(self._halves, KEPT)
+        self.fits = Kept(self._fits, KEPT)
+        self.last = Kept(self._last, KEPT)
+        self.encoded = Kept(self._encoded, KEPT)
 
     def _halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; itself twice for a byte; None if merging never makes it."""
@@ -90,7 +117,7 @@ class PrefixEncoder:
     def last_of(self, data: bytes, end: int, last: Callable[[int], int]) -> int:
         """The last token of data[:end], given those of its shorter prefixes."""
         get, fits = self.ranks.get, self.fits
-        for length in range(min(end, self.longest), 0, -1):
+        for length in range(min(end, self.reach.get(data[end - 3 : end], 2)) if end > 2 else end, 0, -1):
             token = get(data[end - length : end])
             if token is not None:
                 if length == end:
@@ -164,8 +191,8 @@ class TextEncoder:
         self.pieces = PrefixEncoder(ranks)
         self.find = regex.compile(pattern).findall
         self.token_bytes = [self.pieces.bytes_of.get(i, b"") for i in range(max(self.pieces.bytes_of, default=-1) + 1)]
-        self.stretches = Bounded(self._stretch, KEPT)
-        self.spaced = Bounded(lambda word: self._stretch(" " + word), KEPT)
+        self.stretches = Kept(self._stretch, KEPT)
+        self.spaced = Kept(lambda word: self._stretch(" " + word), WORDS_KEPT)
 
     def _stretch(self, text: str) -> bytes:
         encoded = self.pieces.encoded
