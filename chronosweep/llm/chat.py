@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronosweep.llm.common import let, pieces, running
+
 # The control strings of the template.
 OPEN, HEAD, BODY, CLOSE = "<s>", "[INST]", "[/INST]", "</s>"
 
@@ -63,16 +65,14 @@ def parse(rendered: Column) -> Column:
 
 def _loss_spans(turns: Column, level) -> Column:
     """[start, end) in code points of the rendered string, one for each assistant text."""
-    kind = "struct<pos:int,spans:array<struct<start:int,end:int>>>"
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")).cast(kind)
+    wide = F.transform(turns, lambda t: F.struct(F.length(_turn_text(t["role"], t["text"], level)).alias("whole"), F.length(level(t["text"])).alias("own"), (t["role"] == "assistant").alias("mask")))
 
-    def step(acc: Column, t: Column) -> Column:
-        at = acc["pos"] + F.length(level(t["role"])) + len(OPEN + HEAD + BODY)
-        to = at + F.length(level(t["text"]))
-        span = F.struct(at.alias("start"), to.alias("end"))
-        return F.struct((to + len(CLOSE)).alias("pos"), F.when(t["role"] == "assistant", F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans")).cast(kind)
+    def spans(w: Column) -> Column:
+        ends = running(F.transform(w, lambda x: x["whole"]))
+        every = F.zip_with(w, ends, lambda x, e: F.struct((e - len(CLOSE) - x["own"]).cast("int").alias("start"), (e - len(CLOSE)).cast("int").alias("end"), x["mask"].alias("mask")))
+        return F.transform(F.filter(every, lambda s: s["mask"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
-    return F.aggregate(turns, start, step, lambda acc: acc["spans"])
+    return let(wide, spans)
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of what the formatted strings hold, by the parser and the loss mask alone."""
-    masked = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"])))
+    masked = F.transform(pieces(F.col("formatted"), F.col("loss_spans")), unescape)
     read = formatted.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), F.array_join(masked, "").alias("loss"))
     digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chronosweep.functions.lineage import cut, ready_checkpoints
 
-__all__ = ["BYTES", "ROWS", "Bounded", "cut", "ready_checkpoints", "slices", "table", "text_of"]
+__all__ = ["BYTES", "ROWS", "Bounded", "cut", "let", "pieces", "ready_checkpoints", "running", "slices", "table", "text_of"]
 
 #: Rows and bytes handled at once inside a task; Arrow batches are cut to these so that
 #: long texts don't sit in memory as Python objects all together.
@@ -65,3 +65,50 @@ def _weight(x) -> int:
 def text_of(name: str = "text") -> Column:
     """A text column with null read as empty."""
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, where naming it twice would work it out twice (in a lambda, once an element)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _chunks(values: Column) -> Column:
+    """An array cut into about as many parts as each part has elements."""
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(values)))).cast("int")
+    return let(width, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(values) - 1) / w)).cast("int")), lambda i: F.slice(values, i * w + 1, w)))
+
+
+def _fold(values: Column, join: Callable[[Column, Column], Column], start: int) -> Column:
+    """start, then what all values up to each place join to."""
+    return F.aggregate(values, F.array(F.lit(start).cast("bigint")), lambda acc, x: F.array_append(acc, join(F.element_at(acc, -1), x.cast("bigint"))))
+
+
+def running(values: Column, join: Callable[[Column, Column], Column] = lambda a, b: a + b, start: int = 0) -> Column:
+    """For each element of an array, what it and all before it join to (an associative `join` of whole numbers, of which `start` is the neutral one).
+
+    A fold that appends copies its array at each step.  Here it runs in parts of about the root of the
+    length and then over the parts, so n elements take n to the power of 1.5 and not n squared.
+    """
+
+    def over(parts: Column) -> Column:
+        before = _fold(F.transform(parts, lambda p: F.element_at(p, -1)), join, start)
+        return F.flatten(F.zip_with(parts, F.slice(before, F.lit(1), F.size(parts)), lambda p, b: F.transform(p, lambda x: join(b, x))))
+
+    inner = lambda v: F.transform(_chunks(v), lambda c: F.slice(_fold(c, join, start), F.lit(2), F.size(c)))
+    empty = F.array().cast("array<bigint>")
+    return let(values, lambda v: F.when(F.size(v) > 0, let(inner(v), over)).otherwise(empty))
+
+
+def pieces(text: Column, spans: Column) -> Column:
+    """The texts of spans (start, end in code points, in order, none overlapping).
+
+    Finding a place in a string means reading it from its start, so stretches of about the root of the
+    number of spans are cut out first and the spans are cut out of these.
+    """
+
+    def stretch(chunk: Column) -> Column:
+        first = F.element_at(chunk, 1)["start"]
+        part = F.substring(text, first.cast("int") + 1, (F.element_at(chunk, -1)["end"] - first).cast("int"))
+        return let(part, lambda p: F.transform(chunk, lambda s: F.substring(p, (s["start"] - first).cast("int") + 1, (s["end"] - s["start"]).cast("int"))))
+
+    return let(spans, lambda every: F.when(F.size(every) > 0, F.flatten(F.transform(_chunks(every), stretch))).otherwise(F.array().cast("array<string>")))

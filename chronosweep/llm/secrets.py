@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronosweep.llm.common import cut
+from chronosweep.llm.common import cut, let, pieces, running
 
 # The base patterns, in the order in which kinds are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -45,19 +45,16 @@ def _spans(text: Column, pattern: str, rank: int, group: int | None = None, leas
     """Spans of a pattern's matches: their places follow from the lengths of the matches and of the text between them."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
-    cells = F.zip_with(F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("hit"))), value, lambda x, v: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), F.length(v).alias("value")))
-    kind = f"struct<pos:int,spans:array<{_SPAN}>>"
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{_SPAN}>").alias("spans")).cast(kind)
+    # the text after the last match is no cell
+    cells = F.zip_with(F.zip_with(hits, gaps, lambda h, g: F.struct(F.length(g).alias("gap"), F.length(h).alias("hit"))), value, lambda x, v: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), F.length(v).alias("value")))
+    cells = F.filter(cells, lambda c: c["hit"].isNotNull())
 
-    def step(acc: Column, c: Column) -> Column:
-        at = acc["pos"] + c["gap"]
-        to = at + F.coalesce(c["hit"], F.lit(0))
-        span = F.struct(at.alias("start"), F.lit(rank).alias("rank"), to.alias("end"))
-        keep = c["hit"].isNotNull() & (c["value"] >= least)
-        return F.struct(to.alias("pos"), F.when(keep, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans")).cast(kind)
+    def spans(c: Column) -> Column:
+        ends = running(F.transform(c, lambda x: x["gap"] + x["hit"]))
+        every = F.zip_with(c, ends, lambda x, e: F.struct((e - x["hit"]).cast("int").alias("start"), F.lit(rank).alias("rank"), e.cast("int").alias("end"), x["value"].alias("value")))
+        return F.transform(F.filter(every, lambda s: s["value"] >= least), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
 
-    found = F.aggregate(cells, start, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    return F.when(text.rlike(pattern), let(cells, spans).cast(f"array<{_SPAN}>")).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def _base(text: Column) -> Column:
@@ -142,14 +139,11 @@ def mask_secrets(documents: DataFrame, mark: str = "[SECRET]", doc_id: str = "do
     held = documents.select(F.struct(*columns).alias("c"), _row_key(doc_id, text).alias("row_key"))
     rows = held.join(spans, "row_key", "left").select("c", F.coalesce("every", F.array().cast(f"array<{_SPAN}>")).alias("every"))
     body = F.coalesce(F.col("c").getField(text), F.lit(""))
-    kind = "struct<pos:int,parts:array<string>>"
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("parts")).cast(kind)
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["pos"]
-        piece = F.concat(F.substring(body, acc["pos"] + 1, s["start"] - acc["pos"]), F.lit(mark))
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(fresh, F.array_append(acc["parts"], piece)).otherwise(acc["parts"]).alias("parts")).cast(kind)
-
-    masked = F.aggregate("every", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(body, acc["pos"] + 1, F.length(body))))
+    # what stands before the first span and between runs of overlapping spans, and after the last
+    reached = running(F.transform("every", lambda s: s["end"]), F.greatest)
+    before = F.concat(F.array(F.lit(0).cast("bigint")), reached)
+    starts = F.concat(F.transform("every", lambda s: s["start"].cast("bigint")), F.array(F.length(body).cast("bigint")))
+    gaps = F.filter(F.zip_with(before, starts, lambda e, s: F.struct(e.alias("start"), s.alias("end"))), lambda g: g["end"] >= g["start"])
+    masked = F.array_join(pieces(body, gaps), mark)
     new = F.when(F.size("every") > 0, masked).otherwise(F.col("c").getField(text))
     return rows.select(*[(new if c == text else F.col("c").getField(c)).alias(c) for c in columns])
