@@ -5,6 +5,8 @@ of its word shingles.  Distinct fingerprints form a binary trie; node pairs are
 walked down together, differing bits add up, and a pair is dropped once they pass
 the error budget.  Spark deals the pairs of nodes of the trie's upper ``depth``
 levels to tasks, and each task walks the rest of its two subtrees in numpy arrays.
+Nodes that hold more than ``BLOCK`` fingerprints are cut into blocks by hash, and
+every pair of blocks is a task of its own.
 
 Tasks contract the links that they find to stars before handing them on, so a
 group of copies yields rows in proportion to its size; equal fingerprints are one
@@ -37,6 +39,8 @@ BUDGET = 4
 SEED = 42
 #: Fingerprints that a node at the dealt depth is meant to hold.
 LEAVES = 1 << 16
+#: Fingerprints of one node that a task gets; a node with more is dealt in blocks.
+BLOCK = 1 << 20
 #: Node pairs and leaf pairs that a task holds at once.
 FRONT, PAIRS = 1 << 17, 1 << 20
 
@@ -122,7 +126,7 @@ def trie_links(a: np.ndarray, b: np.ndarray, depth: int, budget: int, same: bool
 
 def _walk(depth: int, budget: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        same = rows["x"].iat[0] == rows["y"].iat[0]
+        same = rows["x"].iat[0] == rows["y"].iat[0] and rows["i"].iat[0] == rows["j"].iat[0]
         left = rows["left"].to_numpy()
         values = rows["fp"].to_numpy().view("u8")
         a = np.sort(values[left])
@@ -155,8 +159,22 @@ def near_links(distinct: DataFrame, fp: str = "fp", budget: int = BUDGET) -> Dat
     masks = [sum(1 << i for i in bits) for k in range(min(budget, depth) + 1) for bits in itertools.combinations(range(depth), k)]
     node = F.shiftrightunsigned(F.col(fp), BITS - depth)
     dealt = distinct.select(F.col(fp).alias("fp"), node.alias("node")).select("fp", "node", F.explode(F.transform(F.lit(masks).cast("array<bigint>"), lambda m: F.col("node").bitwiseXOR(m))).alias("other"))
-    paired = dealt.select("fp", F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y"), (F.col("node") <= F.col("other")).alias("left"))
-    return paired.groupBy("x", "y").applyInPandas(_walk(depth, budget), "a long, b long")
+    paired = dealt.select("fp", "node", "other", F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y"), (F.col("node") <= F.col("other")).alias("left"))
+    return _blocked(paired, distinct.select(node.alias("node"))).groupBy("x", "y", "i", "j").applyInPandas(_walk(depth, budget), "a long, b long")
+
+
+def _blocked(paired: DataFrame, nodes: DataFrame) -> DataFrame:
+    """paired with i, j: which block of node x meets which of node y.  All blocks of one node meet all of the other, and those of a node meet each other once."""
+    # a row for each of the 4,096 nodes at most
+    crowded = cut(nodes.groupBy("node").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks")).where("blocks > 1"))
+    counts = lambda name, count: F.broadcast(crowded.select(F.col("node").alias(name), F.col("blocks").alias(count)))
+    sized = paired.join(counts("node", "mine"), "node", "left").join(counts("other", "theirs"), "other", "left")
+    sized = sized.withColumn("block", F.pmod(F.xxhash64("fp"), F.coalesce("mine", F.lit(1))))
+    met = sized.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("theirs", F.lit(1)) - 1)))
+    i, j = F.when(F.col("left"), F.col("block")).otherwise(F.col("with")), F.when(F.col("left"), F.col("with")).otherwise(F.col("block"))
+    twin = F.col("x") == F.col("y")
+    # within one node the lesser block is the left one
+    return met.select("fp", "x", "y", F.when(twin, F.least("block", "with")).otherwise(i).alias("i"), F.when(twin, F.greatest("block", "with")).otherwise(j).alias("j"), F.when(twin, F.col("block") <= F.col("with")).otherwise(F.col("left")).alias("left"))
 
 
 def _labelled(keyed: DataFrame, budget: int) -> DataFrame:
