@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronosweep.functions.lineage import cut, ready_checkpoints
 
-__all__ = ["BYTES", "ROWS", "Bounded", "cut", "let", "pieces", "ready_checkpoints", "running", "slices", "table", "text_of"]
+__all__ = ["BYTES", "ROWS", "Bounded", "cut", "let", "pieces", "ready_checkpoints", "running", "slices", "table", "text_of", "within_bytes"]
 
 #: Rows and bytes handled at once inside a task; Arrow batches are cut to these so that
 #: long texts don't sit in memory as Python objects all together.
@@ -62,6 +62,18 @@ def _weight(x) -> int:
     return len(x) if isinstance(x, (str, bytes)) else 32
 
 
+def within_bytes(sample: DataFrame, most: int, *order: str, text: str = "t") -> DataFrame:
+    """The rows of a sample, whose number of rows is bounded, that come first in an order and hold `most` bytes of text together.
+
+    Rows over a sixteenth of that are passed over, so that no single text takes the place of all others.
+    Rows are taken whole; only their sizes are added up in one task.
+    """
+    sized = sample.withColumn("_size", F.octet_length(text)).where(F.col("_size") <= most // 16)
+    upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    fits = sized.select(*order, F.sum("_size").over(upto).alias("_upto")).where(F.col("_upto") <= most).select(*order)
+    return sized.join(F.broadcast(fits), list(order), "left_semi").drop("_size")
+
+
 def text_of(name: str = "text") -> Column:
     """A text column with null read as empty."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -10,7 +10,9 @@ a score, and a floor under it, fitted so that one in two hundred right answers f
 below, marks doubtful texts as rejected.
 
 The models learn from a bounded sample: of each language the ``sample`` rows of least
-id hash, read whole.  Predictions read whole texts.
+id hash, read whole, as far as all languages' texts hold ``sample_bytes`` together; each
+language's first row comes before any language's second (texts over a sixteenth of that
+aren't learned from).  Predictions read whole texts.
 
 Defined results: null text and text without a letter get `und`, score 0 and are
 rejected; with nothing to learn from, so does everything; ties go to the language
@@ -28,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronosweep.llm.common import cut, slices, text_of
+from chronosweep.llm.common import cut, slices, text_of, within_bytes
 
 ORDER, DISCOUNT = 4, 0.75
-SAMPLE = 200
+SAMPLE, SAMPLE_BYTES = 200, 64 << 20
 UNSEEN = 1 << 16  # symbols that the lowest order spreads its rest over
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _letters: list[np.ndarray] = []
@@ -172,7 +174,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit_languages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> LanguageModel:
+def fit_languages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> LanguageModel:
     """Learn from rows with a language that aren't held out."""
     rows = documents.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
     ids = rows.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang")).distinct()
@@ -180,9 +182,10 @@ def fit_languages(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
     ids = cut(ids.withColumn("h", F.xxhash64("id", F.lit(10))))
     sizes = ids.groupBy("lang").agg(F.count("*").alias("size"))  # a row for each language, of which each gets a model here
     few = ids.join(F.broadcast(sizes), "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("size") <= 4 * sample + 100)
-    chosen = few.withColumn("k", F.expr("row_number() over (partition by lang order by h, id)")).where(F.col("k") <= sample).select("id", "lang")
+    chosen = few.withColumn("k", F.expr("row_number() over (partition by lang order by h, id)")).where(F.col("k") <= sample).select("id", "lang", "k")
     held = rows.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("t"))
-    taken = held.join(F.broadcast(chosen), ["id", "lang"]).groupBy("lang", "id").agg(F.min("t").alias("t")).collect()
+    texts = held.join(F.broadcast(chosen), ["id", "lang"]).groupBy("lang", "id", "k").agg(F.min("t").alias("t"))
+    taken = within_bytes(cut(texts), sample_bytes, "k", "lang").collect()
     names = sorted({r["lang"] for r in taken})
     if not names:
         return LanguageModel([], [], [])

@@ -6,8 +6,9 @@ built from one half of a bounded sample of labelled rows, and the logistic curve
 turns differences into scores is fitted on the other half.  Each label's rows go to
 the halves by turns in the order of a salted id hash, whatever their ids.
 
-The sample: of each label, the ``sample`` rows of least id hash, read whole.  Scores read
-whole texts.
+The sample: of each label, the ``sample`` rows of least id hash, read whole, as far as both
+labels' texts hold ``sample_bytes`` together (texts over a sixteenth of that aren't learned
+from).  Scores read whole texts.
 
 Defined results: null and empty texts get the score of a difference of zero; an id
 with labels that disagree isn't learned from; with under two learnable rows of a
@@ -27,9 +28,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronosweep.llm.common import slices, text_of
+from chronosweep.llm.common import cut, slices, text_of, within_bytes
 
-SAMPLE = 1200
+SAMPLE, SAMPLE_BYTES = 1200, 64 << 20
 BLOCK, DICTIONARY, LEVEL = 2048, 1 << 16, 3
 
 
@@ -90,7 +91,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit_quality(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> QualityModel:
+def fit_quality(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> QualityModel:
     """Learn from labelled rows that aren't held out."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(doc_id)).groupBy(F.col(doc_id).alias("id")).agg(F.min("quality").alias("q"), F.max("quality").alias("most")).where("q = most")
     order = F.xxhash64("id", F.lit(8))
@@ -98,6 +99,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     # 2 * sample ids at most
     chosen = known.where("q = 0").orderBy(order, "id").limit(sample).unionByName(known.where("q = 1").orderBy(order, "id").limit(sample)).withColumn("turn", F.xxhash64("id", F.lit(10)))
     texts = documents.select(F.col(doc_id).alias("id"), text_of(text).alias("t")).join(F.broadcast(chosen), "id").groupBy("id", "q", "turn").agg(F.min("t").alias("t"))
+    texts = within_bytes(cut(texts), sample_bytes, "turn", "id")
     # rows without text come last, so that they don't take the turns of others
     rows = sorted(texts.collect(), key=lambda r: (not r["t"], r["turn"], r["id"]))
     by_label = [[r for r in rows if r["q"] == q] for q in (1, 0)]
