@@ -65,10 +65,10 @@ def parse(rendered: Column) -> Column:
 
 def _loss_spans(turns: Column, level) -> Column:
     """[start, end) in code points of the rendered string, one for each assistant text."""
-    wide = F.transform(turns, lambda t: F.struct(F.length(_turn_text(t["role"], t["text"], level)).alias("whole"), F.length(level(t["text"])).alias("own"), (t["role"] == "assistant").alias("mask")))
+    wide = F.transform(turns, lambda t: F.struct((F.length(level(t["role"])) + len(OPEN + HEAD + BODY + CLOSE)).alias("frame"), F.length(level(t["text"])).alias("own"), (t["role"] == "assistant").alias("mask")))
 
     def spans(w: Column) -> Column:
-        ends = running(F.transform(w, lambda x: x["whole"]))
+        ends = running(F.transform(w, lambda x: x["frame"] + x["own"]))
         every = F.zip_with(w, ends, lambda x, e: F.struct((e - len(CLOSE) - x["own"]).cast("int").alias("start"), (e - len(CLOSE)).cast("int").alias("end"), x["mask"].alias("mask")))
         return F.transform(F.filter(every, lambda s: s["mask"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
