@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronosweep.llm.common import Bounded, _weight, slices, text_of
+from chronosweep.llm.common import Bounded, _weight, kept, slices, text_of
 
 _NONE = 1 << 62
 #: Bytes of the pieces whose prefixes share one table.
@@ -217,14 +217,10 @@ class TextEncoder:
 
 
 _INNER_SPACE = regex.compile(r"(?<=\S) (?=\S)")
-_held: dict = {}
 
 
 def _encoder(path: str, pattern: str) -> TextEncoder:
-    if (path, pattern) not in _held:
-        _held.clear()
-        _held[path, pattern] = TextEncoder(read_ranks(path), pattern)
-    return _held[path, pattern]
+    return kept((path, pattern), lambda: TextEncoder(read_ranks(path), pattern))
 
 
 def _encode(documents: DataFrame, path: str, pattern: str, doc_id: str, text: str, outputs: Callable, schema: str) -> DataFrame:

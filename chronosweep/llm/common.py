@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chronosweep.functions.lineage import cut, ready_checkpoints
 
-__all__ = ["BYTES", "ROWS", "Bounded", "cut", "let", "pieces", "ready_checkpoints", "running", "slices", "table", "text_of", "within_bytes"]
+__all__ = ["BYTES", "ROWS", "Bounded", "cut", "forget", "kept", "let", "pieces", "ready_checkpoints", "running", "slices", "table", "text_of", "within_bytes"]
 
 #: Rows and bytes handled at once inside a task; Arrow batches are cut to these so that
 #: long texts don't sit in memory as Python objects all together.
@@ -37,6 +37,24 @@ def _halved(part: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
         yield from _halved(part.slice(half), most)
 
 
+_kept: dict = {}
+
+
+def kept(key, make: Callable):
+    """What a worker keeps from task to task: the thing asked for last, and only that."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget() -> None:
+    """Give back what earlier tasks of another operator keep in this worker, and memory that is free but still held."""
+    if _kept:
+        _kept.clear()
+        pa.default_memory_pool().release_unused()
+
+
 class Bounded(dict):
     """A dict that fills itself by a function and is emptied when its keys and values pass so many bytes.  Keys over a thousandth of that aren't kept."""
 

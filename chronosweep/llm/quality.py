@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronosweep.llm.common import cut, slices, text_of, within_bytes
+from chronosweep.llm.common import cut, forget, slices, text_of, within_bytes
 
 SAMPLE, SAMPLE_BYTES = 1200, 64 << 20
 BLOCK, DICTIONARY, LEVEL = 2048, 1 << 16, 3
@@ -124,6 +124,7 @@ def score_quality(documents: DataFrame, model: QualityModel, doc_id: str = "doc_
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         score = shared.value.scorer()
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([score(t) for t in batch.column(1).to_pylist()], pa.float64())], ["id", "score"])
@@ -138,6 +139,7 @@ def keep_good(documents: DataFrame, model: QualityModel, text: str = "text") ->
     shared, at = documents.sparkSession.sparkContext.broadcast(model), documents.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         score = shared.value.scorer()
         for batch in slices(batches):
             yield batch.filter(pa.array([score(t or "") >= 0.5 for t in batch.column(at).to_pylist()]))
