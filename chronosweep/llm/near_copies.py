@@ -1,17 +1,23 @@
 """Near copies: documents linked by a Jaccard similarity of word shingles of 0.8 or more.
 
-Documents of one shingle set are one node.  A node's sketch is ``BANDS`` values, each
-made of ``DEPTH`` minima over its shingles; nodes that share a value are compared by
-their whole shingle sets, and only pairs that pass are linked.  All values of a pair at
-the threshold differ with a chance of (1 - 0.8 ** 5) ** 24, one in 14,000.
-
-Sets are worked out and sent for nodes only that share a value with another.  They are
-compared inside tasks, which hand on one link for every two groups that they join, never
-pairs: a first round joins what it can within blocks of the nodes of a few bands, and a
-second compares, for all bands, only nodes that stand in different groups after it.
-Values of many nodes are cut into blocks, and each pair of blocks that holds several
-groups is a task of its own.  No link is left out; what still grows with the square is
-the comparing inside tasks of nodes that share a value and belong to no common group.
+SimHash with a self-join of binary tries finds who may be alike, whole shingle sets decide.
+Documents of one shingle set are one node, with a fingerprint of ``WIDE`` bits: each bit the
+majority over a hash of its shingles.  Two sets at the threshold differ in 15 of 100 bits
+(two of four and five shingles, the worst, in 19), too many for one trie with a budget to
+drop anything.  So there are many tries: each takes other 64 bits of the fingerprint, deals
+them by its upper levels, walks only nodes together that agree in the upper ``depth`` levels
+and adds up differing bits below, up to ``BUDGET``.  Depth and number of tries follow the
+number of nodes, so that a pair at the threshold is expected in ``MEETINGS`` of them and
+a node of depth holds few leaves.
+
+Each task contracts the links of its subtrees to groups, and a group that several tries
+find is one.  Sets are worked out and sent for nodes of such groups only.  They are
+compared inside tasks, which hand on one link for every two components that they join, never
+pairs: a first round joins what it can within blocks of the groups of a few tries, and a
+second compares, for all tries, only nodes that stand in different components after it.
+Groups of many nodes are cut into blocks, and each pair of blocks that holds several
+components is a task of its own.  No link is left out; what still grows with the square is
+the comparing inside tasks of nodes that share a group and belong to no common component.
 
 Defined results: null, empty and blank texts have the same, empty set; texts of fewer
 words are one shingle of all their words; letters are compared in lower case (ASCII);
@@ -25,45 +31,80 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronosweep.llm.common import cut, forget, slices, text_of
-from chronosweep.llm.components import components
-from chronosweep.llm.simhash import shingle_hashes
+from chronosweep.llm.components import components, roots
+from chronosweep.llm.simhash import BITS, PAIRS, shingle_hashes, subtree_links
 
 WORDS = 5
-BANDS, DEPTH = 24, 5
-#: Bands of the first round.
-FIRST = 6
+#: Bits of a fingerprint, tries in which a pair at the threshold is expected to agree above, differing bits below.
+WIDE, MEETINGS, BUDGET = 1024, 17.8, 13
+#: Share of bits in which two sets at the threshold agree.
+AGREE = 0.8485
+#: Leaves that a node of the depth is meant to hold, and a task; parts of more than CROWD are cut into blocks.
+LEAVES, DEALT, CROWD = 512, 1 << 16, 1 << 18
+#: Sets of fewer shingles are in more tries, as their majorities hang on a few.
+SMALL, MORE = 6, 1.5
+#: Tries of the first round.
+FIRST = 8
 #: Nodes and shingles of a value that make a block, and shingles that share a task's call.
 BLOCK, HEAVY, UNIT = 1000, 1 << 20, 1 << 21
 #: Nodes whose numbers may be sent to all tasks.
 SENT = 2_000_000
 SEED = 4
-_draw = np.random.default_rng(SEED).integers(1, 1 << 63, (2, BANDS * DEPTH, 1), dtype="u8")
+_draw = np.random.default_rng(SEED).integers(1, 1 << 63, (2, WIDE // 64), dtype="u8")
 _TIMES, _PLUS = _draw[0] * np.uint64(2) + np.uint64(1), _draw[1]
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-#: Shingles that are hashed at once.
-STRETCH = 512
+#: Shingles whose bits are added up at once, in bytes.
+STRETCH = 255
 
 
 def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, words), "u8"))
 
 
-def band_values(shingles: np.ndarray) -> np.ndarray:
-    """A value for each band, or none for an empty set."""
+def wide_print(shingles: np.ndarray) -> np.ndarray:
+    """The bytes of a fingerprint: each bit is 1 if set in over half of the shingles' hashes."""
+    ones = np.zeros(WIDE, np.int32)
+    for at in range(0, len(shingles), STRETCH):
+        hashed = shingles[at : at + STRETCH, None] * _TIMES + _PLUS
+        hashed = (hashed ^ hashed >> np.uint64(31)) * _PRIME
+        hashed ^= hashed >> np.uint64(29)
+        ones += np.unpackbits(hashed.view("u1"), axis=1).sum(0, dtype="u1")
+    return np.packbits(2 * ones > len(shingles))
+
+
+def shape(n: int) -> tuple[int, int]:
+    """Depth and number of tries for n nodes."""
+    depth = min(32, max(12, math.ceil(math.log2(max(n, 1) / LEAVES))))
+    return depth, math.ceil(MEETINGS / AGREE**depth)
+
+
+def trie_bits(tries: int) -> np.ndarray:
+    """Which bits of a fingerprint each trie takes, from the top down."""
+    rng = np.random.default_rng(SEED + 1)
+    return np.array([rng.choice(WIDE, BITS, replace=False) for _ in range(tries)])
+
+
+def trie_prints(wide: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """(rows, tries): the 64-bit fingerprints of rows (rows, bytes) in each trie."""
+    bits = np.unpackbits(wide, axis=1)
+    out = np.zeros((len(wide), len(taken)), "u8")
+    for k, at in enumerate(taken):
+        out[:, k] = np.packbits(bits[:, at].ravel()).view(">u8")
+    return out
+
+
+def band_values(shingles: np.ndarray, n: int = 1) -> np.ndarray:
+    """The node of the depth that a set stands in, for each trie of n nodes, or none for an empty set."""
     if not len(shingles):
         return np.zeros(0, "i8")
-    least = np.full(BANDS * DEPTH, np.iinfo("u8").max, "u8")
-    for at in range(0, len(shingles), STRETCH):
-        np.minimum(least, (shingles[None, at : at + STRETCH] * _TIMES + _PLUS).min(axis=1), out=least)
-    out = np.arange(BANDS, dtype="u8")
-    for k in range(DEPTH):
-        out = (out ^ out >> np.uint64(31)) * _PRIME + least[k::DEPTH]
-    return (out ^ out >> np.uint64(29)).view("i8")
+    depth, tries = shape(n)
+    return (trie_prints(wide_print(shingles)[None], trie_bits(tries))[0] >> np.uint64(BITS - depth)).astype("i8")
 
 
 def _sketches(words: int):
@@ -71,11 +112,82 @@ def _sketches(words: int):
         forget()
         for batch in slices(batches):
             sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([band_values(s) for s in sets], pa.list_(pa.int64()))], ["key", "digest", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([wide_print(s).tobytes() for s in sets], pa.binary())], ["key", "digest", "n", "print"])
 
     return run
 
 
+def _leaves(tries: int, upper: int):
+    """Rows (node, n, print) to a row for each trie, parted by its upper levels."""
+
+    def rows(batch: pa.RecordBatch, first: int, taken: np.ndarray) -> pa.RecordBatch:
+        prints = trie_prints(np.frombuffer(b"".join(batch.column(2).to_pylist()), "u1").reshape(-1, WIDE // 8), taken).T.ravel()
+        trie = first + np.repeat(np.arange(len(taken)), batch.num_rows)
+        part = trie << upper | (prints >> np.uint64(1) >> np.uint64(BITS - 1 - upper)).astype(np.int64)
+        node, n = (np.tile(batch.column(c).to_numpy(), len(taken)) for c in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(part), pa.array(prints.view("i8")), pa.array(node), pa.array(n)], ["part", "fp", "node", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken = trie_bits(math.ceil(MORE * tries))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                yield rows(batch, 0, taken[:tries])
+                small = batch.filter(pc.less(batch.column(1), SMALL))
+                if small.num_rows:
+                    yield rows(small, tries, taken[tries:])
+
+    return run
+
+
+def _groups(depth: int, upper: int):
+    """value, node, n, trie: nodes that links within the budget join in one part of a trie; the value names the group by its nodes."""
+
+    def run(part: pa.Table) -> pa.Table:
+        fp, node, n = part.column("fp").to_numpy().view("u8"), part.column("node").to_numpy(), part.column("n").to_numpy()
+        order = np.lexsort((node, fp))
+        fp, node, n = fp[order], node[order], n[order]
+        root = np.arange(len(fp))
+        for i, j in subtree_links(fp, depth, BUDGET):
+            for at in range(0, len(i), PAIRS // 4):
+                x, y = i[at : at + PAIRS // 4], j[at : at + PAIRS // 4]
+                near = (root[x] != root[y]) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
+                if near.any():
+                    every = np.arange(len(root))
+                    root = roots(len(root), np.concatenate([every, x[near]]), np.concatenate([root, y[near]]))
+        members = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
+        members = members[np.lexsort((node[members], root[members]))]
+        edges = np.flatnonzero(np.diff(root[members], prepend=-1, append=-1))
+        sizes = np.diff(edges)
+        names = np.array([xxhash.xxh3_64_intdigest(node[members[lo:hi]].tobytes()) for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], "u8").view("i8")
+        trie = part.column("part")[0].as_py() >> upper
+        return pa.table({"value": pa.array(np.repeat(names, sizes), pa.int64()), "node": pa.array(node[members], pa.int64()), "n": pa.array(n[members], pa.int32()), "trie": pa.array(np.full(len(members), trie), pa.int32())})
+
+    return run
+
+
+def _blocked(leaves: DataFrame, count: int) -> DataFrame:
+    """leaves with i, j: which two blocks of its part a row meets in.  Every two blocks meet, so each pair of rows does."""
+    if count <= CROWD:  # a part holds a node once
+        return leaves.withColumns({"i": F.lit(0), "j": F.lit(0)})
+    # fewer rows than tries times count / CROWD
+    crowded = cut(leaves.groupBy("part").agg(F.ceil(F.count("*") / F.lit(CROWD)).alias("blocks")).where("blocks > 1"))
+    sized = leaves.join(F.broadcast(crowded), "part", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = sized.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return dealt.select("part", "fp", "node", "n", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+
+
+def trie_groups(classes: DataFrame) -> DataFrame:
+    """value, node, n, trie: groups of nodes that a trie finds, each once with the first trie that does.  classes: node, n, print."""
+    count = classes.count()
+    depth, tries = shape(count)
+    upper = min(depth, max(0, math.ceil(math.log2(max(count, 1) / DEALT))))
+    # an empty set is like no other
+    leaves = classes.where("n > 0").select("node", "n", "print").mapInArrow(_leaves(tries, upper), "part long, fp long, node long, n int")
+    found = _blocked(leaves, count).groupBy("part", "i", "j").applyInArrow(_groups(depth, upper), "value long, node long, n int, trie int")
+    return found.groupBy("value", "node").agg(F.first("n").alias("n"), F.min("trie").alias("trie"))
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -140,15 +252,15 @@ def _links(shared: DataFrame, sets: DataFrame, across: bool) -> DataFrame:
 
 
 def jaccard_links(classes: DataFrame, rows: DataFrame, words: int = WORDS) -> DataFrame:
-    """a, b: links between nodes that join all whose sets are alike.  classes: node, n, bands; rows: node, t."""
-    dealt = classes.select("node", "n", F.posexplode("bands").alias("band", "value"))
-    crowded = dealt.groupBy("value").agg(F.count("*").alias("k"), F.sum("n").alias("size")).where("k > 1")
+    """a, b: links between nodes that join all whose sets are alike.  classes: node, n, print; rows: node, t."""
+    dealt = cut(trie_groups(classes))
+    crowded = dealt.groupBy("value").agg(F.count("*").alias("k"), F.sum("n").alias("size"))
     crowded = crowded.select("value", F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("size") / HEAVY)).alias("blocks"))
     shared = cut(dealt.join(crowded, "value").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("blocks"))))
     named = shared.select("node").distinct()
     named = F.broadcast(named) if named.count() <= SENT else named
     sets = cut(rows.join(named, "node", "left_semi").mapInArrow(_sets(words), "node long, held array<long>"))
-    first = _links(shared.where(F.col("band") < FIRST).withColumn("component", F.col("node")), sets, False)
+    first = _links(shared.where(F.col("trie") < FIRST).withColumn("component", F.col("node")), sets, False)
     groups = cut(components(first))
     more = _links(shared.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), sets, True)
     return first.unionByName(more)
@@ -159,9 +271,9 @@ def drop_near_copies(documents: DataFrame, doc_id: str = "doc_id", text: str = "
     row = F.monotonically_increasing_id()
     key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), row.alias("row"))
     read = documents.select(key.alias("key"), text_of(text).alias("t"))
-    keyed = cut(read.mapInArrow(_sketches(words), f"key {read.schema['key'].dataType.simpleString()}, digest binary, n int, bands array<long>"))
-    # the bands of a class are those of any of its rows
-    classes = cut(keyed.groupBy("digest").agg(F.min("key").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")).select(F.col("least.row").alias("node"), "least", "n", "bands"))
+    keyed = cut(read.mapInArrow(_sketches(words), f"key {read.schema['key'].dataType.simpleString()}, digest binary, n int, print binary"))
+    # the fingerprint of a class is that of any of its rows
+    classes = cut(keyed.groupBy("digest").agg(F.min("key").alias("least"), F.first("n").alias("n"), F.first("print").alias("print")).select(F.col("least.row").alias("node"), "least", "n", "print"))
     groups = components(jaccard_links(classes, read.select(F.col("key.row").alias("node"), "t"), words))
     kept = classes.join(groups, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("least").alias("least")).select(F.col("least.row").alias("row"))
     numbered = documents.select(F.struct(*documents.columns).alias("c"), row.alias("row"))

@@ -100,7 +100,23 @@ def trie_links(a: np.ndarray, b: np.ndarray, depth: int, budget: int, same: bool
     if not len(a) or not len(b):
         return
     start = (int(a[0]) ^ int(b[0])) >> (BITS - depth) if depth else 0
-    stack = [(depth, np.array([[0], [len(a)], [0], [len(b)], [start.bit_count()]]))]
+    yield from _descend(a, b, depth, np.array([[0], [len(a)], [0], [len(b)], [start.bit_count()]]), budget, same)
+
+
+def subtree_links(a: np.ndarray, depth: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices into a sorted fingerprint array of all pairs that agree in the upper `depth` bits and are within the budget below."""
+    if len(a):
+        upper = a >> np.uint64(BITS - depth)
+        edges = np.concatenate([[0], np.flatnonzero(upper[1:] != upper[:-1]) + 1, [len(a)]])
+        lo, hi = edges[:-1], edges[1:]
+        lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]
+        if len(lo):
+            yield from _descend(a, a, depth, np.array([lo, hi, lo, hi, np.zeros(len(lo), np.int64)]), budget, True)
+
+
+def _descend(a: np.ndarray, b: np.ndarray, depth: int, nodes: np.ndarray, budget: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Walk down pairs of nodes: from and to in a, from and to in b, differing bits so far."""
+    stack = [(depth, nodes)]
     while stack:
         level, front = stack.pop()
         if front.shape[1] > FRONT:
