@@ -50,3 +50,21 @@ def carried(rows: DataFrame, value: Column, name: str, *order: str) -> DataFrame
     within = Window.partitionBy("pair", "_stretch").orderBy("s", *order, "_v").rowsBetween(Window.unboundedPreceding, 0)
     out = held.withColumn(name, F.last("_v", ignorenulls=True).over(within)).join(starts, ["pair", "_stretch"])
     return out.withColumn(name, F.coalesce(name, "_start")).drop("_v", "_stretch", "_start")
+
+
+def around(left: DataFrame, right: DataFrame, keys: list[str], span: int) -> DataFrame:
+    """keys, s, before, after: for each key and time of left (keys, s) the times of right (keys, s, id) next to it, as (s, least id).
+
+    Rows of one key and time are one, so the work grows with the distinct times and not with the pairs in reach.  Times meet in
+    cells of `span` seconds; nothing further away is told.
+    """
+    both = left.select(*keys, "s", F.lit(True).alias("_left"), F.lit(False).alias("_right"), F.lit(None).cast(right.schema["id"].dataType).alias("id"))
+    both = both.unionByName(right.select(*keys, "s", F.lit(False).alias("_left"), F.lit(True).alias("_right"), "id")).dropna(subset=[*keys, "s"])
+    times = both.groupBy(*keys, "s").agg(F.max("_left").alias("_left"), F.max("_right").alias("_right"), F.min("id").alias("id"))
+    own = F.floor(F.col("s") / span)
+    dealt = times.withColumn("_own", own).withColumn("_cell", F.explode(F.when(F.col("_right"), F.array(own - 1, own, own + 1)).otherwise(F.array(own))))
+    known, cell = F.when(F.col("_right"), F.struct("s", "id")), Window.partitionBy(*keys, "_cell")
+    upto = lambda order: F.last(known, ignorenulls=True).over(cell.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    near = lambda c: F.when(F.abs(F.col(c)["s"] - F.col("s")) <= span, F.col(c)).alias(c)
+    told = dealt.withColumns({"before": upto(F.col("s")), "after": upto(F.col("s").desc())}).where(F.col("_left") & (F.col("_own") == F.col("_cell")))
+    return told.select(*keys, "s", near("before"), near("after"))

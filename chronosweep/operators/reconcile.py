@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronosweep.functions.exprs import pip
-from chronosweep.operators.ordered import carried
+from chronosweep.operators.ordered import around, carried
 
 KEY = ["pair", "direction", "signal_s"]
 
@@ -22,15 +22,23 @@ def match_exact(bt: DataFrame, live: DataFrame) -> DataFrame:
     return one_per_key(bt, KEY, "bt_id").join(one_per_key(live, KEY, "live_id"), KEY)
 
 
+def _nearest(left: DataFrame, right: DataFrame, window: int) -> DataFrame:
+    """pair, direction, s, gap, other: the nearest row of right for each key and time of left, of equally near ones that of the least id."""
+    told = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("s") - F.col(c)["s"]).alias("gap"), F.col(c)["id"].alias("other")))
+    best = around(left, right, ["pair", "direction"], window).select("pair", "direction", "s", F.array_min(F.array_compact(F.array(told("before"), told("after")))).alias("m"))
+    return best.where("m is not null").select("pair", "direction", "s", "m.gap", "m.other")
+
+
 def match_nearest(bt: DataFrame, live: DataFrame, window: int) -> DataFrame:
-    """Mutually nearest rows of a pair and direction within a window of seconds: a join on neighbouring cells of the window."""
-    right = live.select("pair", "direction", F.col("signal_s").alias("live_s"), "live_id").withColumn("cell", F.floor(F.col("live_s") / window))
-    cell = F.floor(F.col("signal_s") / window)
-    near = bt.select(*KEY, "bt_id").withColumn("cell", F.explode(F.sequence(cell - 1, cell + 1))).join(right, ["pair", "direction", "cell"])
-    near = near.withColumn("gap", F.abs(F.col("signal_s") - F.col("live_s"))).where(F.col("gap") <= window)
-    first = lambda key, other: F.row_number().over(Window.partitionBy(key).orderBy("gap", other))
-    ranked = near.withColumn("_b", first("bt_id", "live_id")).withColumn("_l", first("live_id", "bt_id"))
-    return ranked.where("_b = 1 and _l = 1").select("bt_id", "live_id", "pair", "direction", "gap")
+    """Mutually nearest rows of a pair and direction within a window of seconds, by the times next to each: no pairs in reach are listed."""
+    sides = [side.select("pair", "direction", F.col("signal_s").alias("s"), F.col(i).alias("id")) for side, i in ((bt, "bt_id"), (live, "live_id"))]
+    ways = [_nearest(*sides, window), _nearest(*sides[::-1], window)]
+    # only rows that the other side names can be mutual
+    named = [side.join(way.select(F.col("other").alias("id")).distinct(), "id", "left_semi") for side, way in zip(sides, ways[::-1], strict=True)]
+    best = [rows.join(way, ["pair", "direction", "s"]).groupBy("id").agg(F.min(F.struct("gap", "other", "pair", "direction")).alias("m")).select("id", "m.*") for rows, way in zip(named, ways, strict=True)]
+    mine = best[0].withColumnsRenamed({"id": "bt_id", "other": "live_id"})
+    theirs = best[1].select(F.col("other").alias("bt_id"), F.col("id").alias("live_id"), "gap")
+    return mine.join(theirs, ["bt_id", "live_id", "gap"]).select("bt_id", "live_id", "pair", "direction", "gap")
 
 
 def residuals(bt: DataFrame, live: DataFrame, matched: DataFrame) -> DataFrame:
