@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronosweep.functions.exprs import pip
 from chronosweep.functions.lineage import cut
+from chronosweep.operators.ordered import around
 
 # A broker's reason codes.
 DEAL_REASONS = {0: "CLIENT", 1: "MOBILE", 2: "WEB", 3: "EXPERT", 4: "SL", 5: "TP", 6: "SO", 7: "ROLLOVER", 8: "VMARGIN", 9: "SPLIT"}
@@ -154,12 +155,11 @@ def fired_on_last_bar(signals: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def first_within(left: DataFrame, right: DataFrame, span: int) -> DataFrame:
-    """left (pair, s, id) with the first row of right (pair, s, rid) in [s, s + span): a join on cells of the span."""
-    cell = F.floor(F.col("s") / span)
-    wide = left.select("pair", F.col("s").alias("l_s"), "id", F.explode(F.array(cell, cell + 1)).alias("cell"))
-    near = wide.join(right.select("pair", "s", "rid", cell.alias("cell")), ["pair", "cell"]).where((F.col("s") >= F.col("l_s")) & (F.col("s") < F.col("l_s") + span))
-    first = near.groupBy("id").agg(F.min(F.struct("s", "rid")).alias("m"))
-    return left.join(first, "id", "left").select("id", "pair", F.col("m.rid").alias("rid"))
+    """left (pair, s, id) with the first row of right (pair, s, rid) in [s, s + span), by the next time of each distinct time of left."""
+    near = around(left, right.select("pair", "s", F.col("rid").alias("id")), ["pair"], span).where(F.col("after.s") < F.col("s") + span).select("pair", "s", "after")
+    # rows of one id have the first of them all
+    first = F.min("after").over(Window.partitionBy("id"))
+    return left.join(near, ["pair", "s"], "left").select("id", "pair", F.when(F.col("id").isNotNull(), first["id"]).alias("rid"))
 
 
 #: Rows of one side to a cell of time that cells are halved down to, and how many windows a cell has at least.
