@@ -58,15 +58,20 @@ def of_arm(selector: str, arm, value: str, default: float = 0.0) -> Column:
     return if_on(selector, value, default, arm)
 
 
-def encode(trials: DataFrame, mapping: list[tuple[str, Column]]) -> DataFrame:
-    """trial_id and every slot: mapped ones by their encoder, filters off at -1, all others 0.  A slot that is mapped twice, or unknown, raises."""
+def slots(mapping: list[tuple[str, Column]]) -> dict[str, Column]:
+    """Every slot: mapped ones by their encoder, filters off at -1, all others 0.  A slot that is mapped twice, or unknown, raises."""
     names = [slot for slot, _ in mapping]
     twice = sorted({n for n in names if names.count(n) > 1})
     unknown = sorted(set(names) - set(SLOTS))
     if twice or unknown:
         raise ValueError(f"mapped twice: {twice}; unknown: {unknown}")
     by_name = dict(mapping)
-    return trials.select("trial_id", *[by_name.get(slot, F.lit(default)).cast("double").alias(slot) for slot, default in SLOTS.items()])
+    return {slot: by_name.get(slot, F.lit(default)).cast("double") for slot, default in SLOTS.items()}
+
+
+def encode(trials: DataFrame, mapping: list[tuple[str, Column]]) -> DataFrame:
+    """trial_id and every slot."""
+    return trials.select("trial_id", *[column.alias(slot) for slot, column in slots(mapping).items()])
 
 
 #: Selectors of the standard space: the slot of their mode, and of each arm its code and the slot of its value.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,15 +59,20 @@ def sample(spark: SparkSession, trials: int | DataFrame, space: dict, seed: int,
     A (test leaf, wanted value, leaf) entry is null where its group is off or its selector stands on another arm; a test may itself hang on another.
     """
     rows = trials.select("trial_id") if isinstance(trials, DataFrame) else spark.range(trials).withColumnRenamed("id", "trial_id")
+    return drawn(rows, space, lambda name: uniform(seed, F.col("trial_id"), name), variants)
+
+
+def drawn(rows: DataFrame, space: dict, number: Callable[[str], Column], variants: int | None = None) -> DataFrame:
+    """rows with what `sample` adds, from the uniform numbers that `number` gives by name."""
     if variants is not None:
-        rows = rows.withColumn("signal_variant", F.floor(uniform(seed, F.col("trial_id"), "signal_variant") * variants))
-    for name, leaf in space.items():
-        if isinstance(leaf, tuple):
-            test, wanted, inner = leaf
-            rows = rows.withColumn(name, F.when(F.col(test) == wanted, draw(inner, uniform(seed, F.col("trial_id"), name))))
-        else:
-            rows = rows.withColumn(name, draw(leaf, uniform(seed, F.col("trial_id"), name)))
-    return rows
+        rows = rows.withColumn("signal_variant", F.floor(number("signal_variant") * variants))
+    before, left = rows.columns, dict(space)
+    # all leaves whose tests are there already make one step
+    while left:
+        step = {name: leaf for name, leaf in left.items() if not isinstance(leaf, tuple) or leaf[0] not in left}
+        rows = rows.withColumns({name: F.when(F.col(leaf[0]) == leaf[1], draw(leaf[2], number(name))) if isinstance(leaf, tuple) else draw(leaf, number(name)) for name, leaf in step.items()})
+        left = {name: leaf for name, leaf in left.items() if name not in step}
+    return rows.select(*before, *space)
 
 
 def encode(trials: DataFrame, slots: dict[str, tuple[str, float]]) -> DataFrame:

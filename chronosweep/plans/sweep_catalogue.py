@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from chronosweep.functions.exprs import hour_of, session_name
 from chronosweep.functions.lineage import cut
+from chronosweep.functions.exprs import uniform
 from chronosweep.operators import cost, encoders, live, metrics, positions, pricing, ranking, resample, signals, space, strategy, sweep
 from chronosweep.plans.catalogue import _NAMED, _VARIANTS, trial_ids, H1, LIBRARY, LIBRARY_SQL, MEASURED, METRIC_SQL, ORDERS, TICKS, _orders, _priced, bars, bars_cte, metrics_sql, query, rounded
 from chronosweep.sources import upsert
@@ -196,11 +197,19 @@ def _level_sql(level: int, held: dict) -> str:
 @query(" UNION ALL ".join(_level_sql(*x) for x in LEVELS.items()))
 def encode_levels(spark, sf_dir):
     """The slots of a table's trials at several levels of complexity: selectors of one arm or all, switches, steps by level."""
-    parts = [encoders.encode(space.sample(spark, trial_ids(spark, sf_dir), held["space"], 11, 50), strategy.mapping(held)).withColumn("level", F.lit(level)) for level, held in LEVELS.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return rounded(out, *sweep.SLOTS)
+    names = list(dict.fromkeys(["signal_variant", *(name for held in LEVELS.values() for name in held["space"])]))
+    # levels share their trials and uniform numbers, so the table is read and hashed once
+    rows = trial_ids(spark, sf_dir).select("trial_id", F.struct(*[uniform(11, F.col("trial_id"), name).alias(name) for name in names]).alias("_u"))
+    told = []
+    for level, held in LEVELS.items():
+        trials = space.drawn(rows, held["space"], lambda name: F.col("_u")[name], 50)
+        slots = encoders.slots(strategy.mapping(held))
+        # only continuous ranges have places to round
+        broken = {name for name, node in held["space"].items() if isinstance(node[2] if isinstance(node, tuple) else node, space.FloatRange)}
+        slots = [(F.round(c, 8) if name in broken else c).alias(name) for name, c in slots.items()]
+        rows = trials.select("trial_id", "_u", *told, F.struct("trial_id", *slots, F.lit(level).alias("level")).alias(f"_{level}"))
+        told.append(f"_{level}")
+    return rows.select(F.explode(F.array(*told)).alias("r")).select("r.*")
 
 
 @query(f"{H1}, {LIBRARY_SQL}, {_NAMED}, n AS (SELECT variant_id, count(*) AS n FROM ls0 GROUP BY 1) SELECT family, count(*) AS variants, CAST(coalesce(sum(n), 0) AS BIGINT) AS signals, round(count(*) * 0.25, 8) AS build_s FROM vs LEFT JOIN n ON vs.variant_id = n.variant_id GROUP BY family")
