@@ -11,13 +11,20 @@ number of nodes, so that a pair at the threshold is expected in ``MEETINGS`` of
 a node of depth holds few leaves.
 
 Each task contracts the links of its subtrees to groups, and a group that several tries
-find is one.  Sets are worked out and sent for nodes of such groups only.  They are
-compared inside tasks, which hand on one link for every two components that they join, never
-pairs: a first round joins what it can within blocks of the groups of a few tries, and a
-second compares, for all tries, only nodes that stand in different components after it.
+find is one.  A large group of near copies is found by each trie in other parts, so groups
+of ``JOINED`` and more nodes that share some become one cluster, which holds each node once
+in place of once a trie, unless its pairs are more than those of its groups.  Groups that lie
+in one cluster go, as all nodes of a cluster meet.
+
+Sets are worked out and sent for nodes of groups only.  They are compared inside tasks, which
+hand on one link for every two components that they join, never pairs: a first round joins
+what it can within blocks of the clusters and of the groups of a few tries, and a second
+compares what has not met yet, only nodes that stand in different components after the first.
 Groups of many nodes are cut into blocks, and each pair of blocks that holds several
 components is a task of its own.  No link is left out; what still grows with the square is
-the comparing inside tasks of nodes that share a group and belong to no common component.
+the comparing inside tasks of nodes that share a group and belong to no common component.  A
+node is sent once for each block of a value: up to ``SPREAD`` times, or more where a value
+holds more than so many times ``HEAVY`` shingles, which no task takes at once.
 
 Defined results: null, empty and blank texts have the same, empty set; texts of fewer
 words are one shingle of all their words; letters are compared in lower case (ASCII);
@@ -51,8 +58,12 @@ LEAVES, DEALT, CROWD = 512, 1 << 16, 1 << 18
 SMALL, MORE = 6, 1.5
 #: Tries of the first round.
 FIRST = 8
+#: Nodes of a group that joins a cluster.
+JOINED = 8
 #: Nodes and shingles of a value that make a block, and shingles that share a task's call.
 BLOCK, HEAVY, UNIT = 1000, 1 << 20, 1 << 21
+#: Blocks that a value is cut into for the sake of its nodes, each of which is sent once a block; more only for its shingles.
+SPREAD = 8
 #: Nodes whose numbers may be sent to all tasks.
 SENT = 2_000_000
 SEED = 4
@@ -141,7 +152,7 @@ def _leaves(tries: int, upper: int):
 
 
 def _groups(depth: int, upper: int):
-    """value, node, n, trie: nodes that links within the budget join in one part of a trie; the value names the group by its nodes."""
+    """value, node, n, trie, least, k: nodes that links within the budget join in one part of a trie; the value names the group by its nodes, of which there are k."""
 
     def run(part: pa.Table) -> pa.Table:
         fp, node, n = part.column("fp").to_numpy().view("u8"), part.column("node").to_numpy(), part.column("n").to_numpy()
@@ -161,7 +172,9 @@ def _groups(depth: int, upper: int):
         sizes = np.diff(edges)
         names = np.array([xxhash.xxh3_64_intdigest(node[members[lo:hi]].tobytes()) for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], "u8").view("i8")
         trie = part.column("part")[0].as_py() >> upper
-        return pa.table({"value": pa.array(np.repeat(names, sizes), pa.int64()), "node": pa.array(node[members], pa.int64()), "n": pa.array(n[members], pa.int32()), "trie": pa.array(np.full(len(members), trie), pa.int32())})
+        least = node[members[edges[:-1]]]
+        columns = {"value": np.repeat(names, sizes), "node": node[members], "n": n[members], "trie": np.full(len(members), trie), "least": np.repeat(least, sizes), "k": np.repeat(sizes, sizes)}
+        return pa.table({c: pa.array(v, pa.int32() if c in ("n", "trie", "k") else pa.int64()) for c, v in columns.items()})
 
     return run
 
@@ -178,14 +191,28 @@ def _blocked(leaves: DataFrame, count: int) -> DataFrame:
 
 
 def trie_groups(classes: DataFrame) -> DataFrame:
-    """value, node, n, trie: groups of nodes that a trie finds, each once with the first trie that does.  classes: node, n, print."""
+    """value, node, n, trie, least, k: groups of nodes that a trie finds, each once with the first trie that does.  classes: node, n, print."""
     count = classes.count()
     depth, tries = shape(count)
     upper = min(depth, max(0, math.ceil(math.log2(max(count, 1) / DEALT))))
     # an empty set is like no other
     leaves = classes.where("n > 0").select("node", "n", "print").mapInArrow(_leaves(tries, upper), "part long, fp long, node long, n int")
-    found = _blocked(leaves, count).groupBy("part", "i", "j").applyInArrow(_groups(depth, upper), "value long, node long, n int, trie int")
-    return found.groupBy("value", "node").agg(F.first("n").alias("n"), F.min("trie").alias("trie"))
+    found = _blocked(leaves, count).groupBy("part", "i", "j").applyInArrow(_groups(depth, upper), "value long, node long, n int, trie int, least long, k int")
+    return found.groupBy("value", "node").agg(F.first("n").alias("n"), F.min("trie").alias("trie"), F.first("least").alias("least"), F.first("k").alias("k"))
+
+
+def clustered(groups: DataFrame) -> DataFrame:
+    """value, node, n, trie: clusters of groups that share nodes in place of the groups.  Every two nodes of a group share a value as before.  groups: as trie_groups gives them."""
+    large, small = groups.where(F.col("k") >= JOINED), groups.where(F.col("k") < JOINED)
+    placed = cut(components(large.select(F.col("least").alias("a"), F.col("node").alias("b"))))
+    pairs = large.where("node = least").join(placed, "node").groupBy("component").agg(F.sum(F.col("k").cast("double") * F.col("k")).alias("pairs"))
+    worth = placed.groupBy("component").agg(F.count("*").cast("double").alias("size")).join(pairs, "component").where("size * size <= pairs").select("component")
+    placed = cut(placed.join(worth, "component", "left_semi").select("node", "component"))
+    clusters = large.select("node", "n").distinct().join(placed, "node").select(F.xxhash64("component").alias("value"), "node", "n", F.lit(0).alias("trie"))
+    others = large.join(placed.select(F.col("node").alias("least")), "least", "left_anti")
+    within = small.join(placed, "node", "left").groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("component").alias("held"), F.first("k").alias("k")).where("low = high AND held = k")
+    columns = ["value", "node", "n", "trie"]
+    return clusters.unionByName(others.select(columns)).unionByName(small.join(within, "value", "left_anti").select(columns))
 
 
 def _sets(words: int):
@@ -241,9 +268,9 @@ def _compare(unit: pa.Table) -> pa.Table:
 
 
 def _links(shared: DataFrame, sets: DataFrame, across: bool) -> DataFrame:
-    """a, b: what the comparing of `shared` (value, blocks, chunk, node, n, component) finds, within blocks or across them too."""
+    """a, b: what the comparing of `shared` (value, blocks, chunk, node, n, trie, component) finds: within blocks, or across them and within those that the first round left out."""
     units = max(1, math.ceil((shared.agg(F.sum("n")).first()[0] or 0) / UNIT))
-    others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1) if across else F.array("chunk")
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: (other != F.col("chunk")) | (F.col("trie") >= FIRST)) if across else F.array("chunk")
     dealt = shared.withColumn("with", F.explode(others)).select("value", "node", "chunk", "component", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), F.when(F.col("blocks") > 1, F.col("value")).alias("crowd"))
     # a pair of blocks of one group has nothing to join
     mixed = dealt.groupBy("value", "i", "j").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("value", "i", "j")
@@ -253,9 +280,9 @@ def _links(shared: DataFrame, sets: DataFrame, across: bool) -> DataFrame:
 
 def jaccard_links(classes: DataFrame, rows: DataFrame, words: int = WORDS) -> DataFrame:
     """a, b: links between nodes that join all whose sets are alike.  classes: node, n, print; rows: node, t."""
-    dealt = cut(trie_groups(classes))
+    dealt = cut(clustered(cut(trie_groups(classes))))
     crowded = dealt.groupBy("value").agg(F.count("*").alias("k"), F.sum("n").alias("size"))
-    crowded = crowded.select("value", F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("size") / HEAVY)).alias("blocks"))
+    crowded = crowded.select("value", F.greatest(F.least(F.ceil(F.col("k") / BLOCK), F.lit(SPREAD)), F.ceil(F.col("size") / HEAVY)).alias("blocks"))
     shared = cut(dealt.join(crowded, "value").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("blocks"))))
     named = shared.select("node").distinct()
     named = F.broadcast(named) if named.count() <= SENT else named
