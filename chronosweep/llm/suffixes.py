@@ -18,11 +18,13 @@ select too much.  `add` keeps the levels as a table and takes further batches.
 Verification.  Pieces of common anchors, distinct in their slice, are dealt by anchor.
 A task puts all strings of its pieces into byte order, a suffix array of depth
 `WINDOW`, and equal neighbours have the least id of all documents that hold them.
-Anchors that very many slices hold have their strings dealt by the whole of their bytes
-instead, so no frequent beginning gathers in one task.  Back in the slices, strings with
-a smaller id than their document's cover it.
+Anchors whose runs alone would fill a task have their strings dealt by the whole of their
+bytes instead, so no frequent beginning gathers in one task.  Back in the slices, strings
+with a smaller id than their document's cover it.
 
-Texts are shuffled compressed, twice, by slice; nothing is collected but counts.
+Texts are shuffled compressed, twice, by slice; nothing is collected but counts.  A slice's
+pieces are numbered by the task that verifies them and laid out some at a time, so memory
+follows a slice's bytes and not how much of it other slices hold.
 
 Defined results: null text is empty; ids are integers, a null id counts as larger than
 any other and rows of equal ids don't take from each other; ids may repeat, each row
@@ -50,8 +52,11 @@ WINDOW, SEED = 50, 16
 SEED_ROOM = WINDOW - SEED
 #: Bytes of text to a slice, of slices whose entries leave a task together, of text to a part, and of pieces to a verifying task.
 SLICE, FLUSH, PART, PIECES = 8 << 20, 64 << 20, 128 << 20, 8 << 20
-#: Slices that may share an anchor before its strings are dealt by all of their bytes.
-HOT = 256
+WIDE = -(-(WINDOW + SEED_ROOM) // 8) * 8
+#: Runs that may share an anchor before its strings are dealt by all of their bytes: what a verifying task takes.
+HOT = PIECES // WIDE
+#: Pieces of a slice that are laid out at once, and strings of a verifying task.
+AT_ONCE, STRINGS = 1 << 15, 1 << 17
 BLOCK, LOW = 1 << 16, np.uint64((1 << 18) - 1)
 NO_ID = np.iinfo("i8").max
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -85,8 +90,9 @@ def anchored(text: np.ndarray, ends: np.ndarray, parts: int) -> Runs:
     """The runs of documents that stand one after another in text and end at `ends`."""
     n = len(text) - WINDOW + 1
     if n < 1:
-        return Runs(*(np.zeros(0, k) for k in ("i8", "i8", "u8", "i8")))
-    at = np.empty(n, "u4")
+        return Runs(*(np.zeros(0, k) for k in ("i4", "i4", "u8", "i4")))
+    over = np.maximum(np.concatenate([[0], ends[:-1]]), ends - WINDOW + 1)  # from here to its end strings would cross the end of a document
+    told, anchor, upto = [], -1, -1
     for s in range(0, n, BLOCK):
         m = min(BLOCK, n - s)
         words = _words(text[s : s + m + WINDOW - 1]).copy()
@@ -97,19 +103,24 @@ def anchored(text: np.ndarray, ends: np.ndarray, parts: int) -> Runs:
             span *= 2
         if rest := SEED_ROOM + 1 - span:
             least = np.minimum(least[:-rest], least[rest:])
-        at[s : s + m] = (least & LOW) + np.uint64(s)
-    starts = np.concatenate([[0], ends[:-1]])
-    edge = np.zeros(n + 1, "i4")  # strings that would cross the end of a document
-    np.add.at(edge, np.minimum(np.maximum(starts, ends - WINDOW + 1), n), 1)
-    np.add.at(edge, np.minimum(ends, n), -1)
-    whole = np.flatnonzero(np.cumsum(edge[:n]) == 0)
-    held = at[whole]
-    new = np.flatnonzero(np.diff(held.astype("i8"), prepend=-1))
-    first, last = whole[new], whole[np.append(new[1:], len(whole))[: len(new)] - 1]
-    words, place = _words(text), held[new].astype("i8")
-    other = _mixed(_seeds(words[place], words[place + 8]) * _B + _A)
-    tag = (other >> np.uint64(32)) % np.uint64(parts) << np.uint64(32) | other & np.uint64(0xFFFFFFFF)
-    return Runs(first, last, tag, np.searchsorted(ends, first, "right"))
+        docs = slice(np.searchsorted(ends, s, "right"), np.searchsorted(over, s + m))
+        edge = np.zeros(m + 1, "i4")
+        np.add.at(edge, np.clip(over[docs] - s, 0, m), 1)
+        np.add.at(edge, np.clip(ends[docs] - s, 0, m), -1)
+        if not len(whole := np.flatnonzero(np.cumsum(edge[:m]) == 0)):
+            continue
+        held = (least[whole] & LOW).astype("i8") + s
+        new = np.flatnonzero(np.diff(held, prepend=anchor))
+        place = held[new] - s
+        other = _mixed(_seeds(words[place], words[place + 8]) * _B + _A)
+        tag = (other >> np.uint64(32)) % np.uint64(parts) << np.uint64(32) | other & np.uint64(0xFFFFFFFF)
+        first, before = whole[new] + s, np.where(new > 0, whole[new - 1] + s, upto)
+        told.append((first.astype("i4"), before.astype("i4"), tag, np.searchsorted(ends, first, "right").astype("i4")))
+        anchor, upto = held[-1], whole[-1] + s
+    if not told:
+        return anchored(text[:0], ends[:0], parts)
+    first, before, tag, doc = (np.concatenate(x) for x in zip(*told, strict=True))
+    return Runs(first, np.append(before[1:], np.int32(upto)), tag, doc)
 
 
 def distinct(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,80 +139,155 @@ def distinct(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], classes
 
 
-class Pieces(NamedTuple):
-    """Distinct pieces of a slice, and where each stands: places in the text, documents and classes."""
-
-    words: np.ndarray
-    lengths: np.ndarray
-    deal: np.ndarray
-    start: np.ndarray
-    doc: np.ndarray
-    kind: np.ndarray
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], "u8")
+#: Where the words of a string of WINDOW bytes begin.
+_STEPS = [*range(0, WINDOW - 8, 8), WINDOW - 8]
 
 
-WIDE = -(-(WINDOW + SEED_ROOM) // 8) * 8
+def _roomy(flat: np.ndarray) -> np.ndarray:
+    """`_words` with zeros after the end, so that WIDE bytes start at each place."""
+    return _words(np.concatenate([flat, np.zeros(WIDE, "u1")]))
 
 
-def _padded(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+def _padded(words: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Rows of WIDE bytes: what starts at these places, zeros after its length; as numbers with the length."""
-    at = start[:, None] + np.arange(WIDE)
-    rows = np.where(np.arange(WIDE) < length[:, None], flat[np.minimum(at, len(flat) - 1)], 0).astype("u1")
-    return np.concatenate([np.ascontiguousarray(rows).view("<u8"), length[:, None].astype("u8")], axis=1)
+    start, length = start.astype("i8"), length.astype("i8")
+    out = np.empty((len(start), WIDE // 8 + 1), "u8")
+    for k in range(WIDE // 8):
+        out[:, k] = words[start + 8 * k] & _KEPT[np.clip(length - 8 * k, 0, 8)]
+    out[:, -1] = length
+    return out
+
+
+def _blocks(keys: np.ndarray, most: int) -> Iterator[slice]:
+    """Stretches of about `most` of these ordered keys, with equal keys in one."""
+    a = 0
+    while a < len(keys):
+        b = min(a + most, len(keys))
+        if b < len(keys) and (b := int(np.searchsorted(keys, keys[b]))) <= a:
+            b = int(np.searchsorted(keys, keys[a], "right"))
+        yield slice(a, b)
+        a = b
+
+
+def _matched(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place among those asked for, place among the ordered keys) of all that are equal."""
+    low = np.searchsorted(keys, asked)
+    n = np.searchsorted(keys, asked, "right") - low
+    own = np.repeat(np.arange(len(asked)), n)
+    return own, np.arange(len(own)) - np.repeat(np.cumsum(n) - n - low, n)
+
+
+class Wanted(NamedTuple):
+    """What must be verified of a slice, in the order of the tasks it is dealt to: starts, lengths, tasks."""
+
+    start: np.ndarray
+    length: np.ndarray
+    deal: np.ndarray
 
 
-def pieces_of(text: np.ndarray, ends: np.ndarray, parts: int, common: np.ndarray, hot: np.ndarray) -> Pieces:
-    """What must be verified: runs of anchors that other slices hold too or that several documents here hold."""
+def wanted_of(text: np.ndarray, ends: np.ndarray, parts: int, deals: int, common: np.ndarray, hot: np.ndarray) -> Wanted:
+    """Runs of anchors that other slices hold too or that several documents here hold; all strings of those that are hot."""
     runs = anchored(text, ends, parts)
     order = np.lexsort((runs.doc, runs.tag))
     tag, doc = runs.tag[order], runs.doc[order]
     here = np.unique(tag[1:][(tag[1:] == tag[:-1]) & (doc[1:] != doc[:-1])])
-    wanted = np.isin(runs.tag, common) | np.isin(runs.tag, here)
-    first, last, tag, doc = (x[wanted] for x in runs)
+    asked = np.isin(runs.tag, common) | np.isin(runs.tag, here)
+    first, last, tag = (x[asked] for x in runs[:3])
+    del runs, order, doc
     crowded = np.isin(tag, hot)
-    each = np.where(crowded, last - first + 1, 1)
-    own = np.repeat(np.arange(len(first)), each)
-    into = np.arange(len(own)) - np.repeat(np.cumsum(each) - each, each)
-    start, single = first[own] + into, crowded[own]
-    length = np.where(single, WINDOW, last[own] - first[own] + WINDOW)
-    words = _padded(text, start, length) if len(start) else np.zeros((0, WIDE // 8 + 1), "u8")
-    leading, kind = distinct(words)
-    whole = np.zeros(len(leading), "u8")
-    for k in range(words.shape[1]):
-        whole = _mixed((whole ^ words[leading, k]) * _A + _C)
-    deal = np.where(single[leading], whole, _mixed(tag[own][leading] + _B))
-    return Pieces(words[leading], length[leading], deal, start, doc[own], kind)
+    whole = ~crowded
+    start, length, deal = [first[whole]], [(last - first + WINDOW)[whole].astype("u1")], [(_mixed(tag[whole] + _B) % np.uint64(deals)).astype("u4")]
+    first, last, words = first[crowded], last[crowded], _roomy(text)
+    for a in range(0, len(first), AT_ONCE):
+        each = last[a : a + AT_ONCE] - first[a : a + AT_ONCE] + 1
+        at = np.repeat(first[a : a + AT_ONCE] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        told = np.zeros(len(at), "u8")
+        for k in _STEPS:
+            told = _mixed((told ^ words[at + k]) * _A + _C)
+        start.append(at.astype("i4"))
+        length.append(np.full(len(at), WINDOW, "u1"))
+        deal.append((told % np.uint64(deals)).astype("u4"))
+    start, length, deal = (np.concatenate(x) for x in (start, length, deal))
+    order = np.argsort(deal, kind="stable")
+    return Wanted(start[order], length[order], deal[order])
+
+
+class Pieces(NamedTuple):
+    """Distinct pieces of a slice in the order of their tasks, the number of the first of them, and where they stand: starts and classes."""
+
+    number: int
+    words: np.ndarray
+    deal: np.ndarray
+    start: np.ndarray
+    kind: np.ndarray
+
+
+def pieces_of(text: np.ndarray, wanted: Wanted) -> Iterator[Pieces]:
+    """The pieces of some tasks after another, numbered the same whenever they are asked for."""
+    words, number = _roomy(text), 0
+    for block in _blocks(wanted.deal, AT_ONCE):
+        start, length, deal = (x[block] for x in wanted)
+        leading, kind, held = [], [], 0
+        for a in range(0, len(start), AT_ONCE):  # several of them where one task takes very many, mostly equal ones
+            first, each = distinct(_padded(words, start[a : a + AT_ONCE], length[a : a + AT_ONCE]))
+            leading.append(a + first)
+            kind.append(held + each)
+            held += len(first)
+        leading, kind = np.concatenate(leading), np.concatenate(kind)
+        if len(start) > AT_ONCE:
+            first, each = distinct(_padded(words, start[leading], length[leading]))
+            leading, kind = leading[first], each[kind]
+        order = np.argsort(deal[leading], kind="stable")
+        rank = np.empty(len(order), "i8")
+        rank[order] = np.arange(len(order))
+        leading = leading[order]
+        yield Pieces(number, _padded(words, start[leading], length[leading]), deal[leading], start, rank[kind])
+        number += len(leading)
+
+
+class Stretches(NamedTuple):
+    """Strings of distinct pieces that follow each other and have one least id: the piece's class, the first string's place in it, their number."""
+
+    kind: np.ndarray
+    into: np.ndarray
+    size: np.ndarray
+    least: np.ndarray
 
 
-def least_ids(words: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(where each piece's strings begin, the least id of each string's holders): a suffix array of depth WINDOW over the pieces."""
+def least_ids(words: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, Stretches]:
+    """(class of each piece, the least ids of the holders of their strings): a suffix array of depth WINDOW over the pieces."""
     leading, kind = distinct(words)
     least = np.full(len(leading), NO_ID)
     np.minimum.at(least, kind, ids)
-    lengths = words[leading, -1].astype("i8")
+    each = words[leading, -1].astype("i8") - WINDOW + 1
     flat = np.ascontiguousarray(words[leading, :-1]).view("u1").ravel()
-    each = lengths - WINDOW + 1
     begin = np.cumsum(each) - each
-    own = np.repeat(np.arange(len(leading)), each)
-    at = own * WIDE + np.arange(len(own)) - np.repeat(begin, each)
-    strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(flat, WINDOW)[at]).view(f"S{WINDOW}").ravel() if len(at) else np.zeros(0, f"S{WINDOW}")
-    order = np.argsort(strings, kind="stable")
-    ranked = strings[order]
-    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), ranked[1:] != ranked[:-1]]))
-    found = np.empty(len(order), "i8")
-    if len(order):
-        found[order] = np.repeat(np.minimum.reduceat(least[own][order], new), np.diff(np.append(new, len(order))))
-    # by the pieces that came in
-    times = each[kind]
-    back = np.repeat(begin[kind] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-    return times, found[back]
+    own = np.repeat(np.arange(len(leading), dtype="i4"), each)
+    at = np.repeat(np.arange(len(leading)) * WIDE - begin, each) + np.arange(len(own))
+    found = np.empty(len(own), "i8")
+    head = _words(flat)[at].byteswap() if len(at) else np.zeros(0, "u8")  # in the order of their bytes
+    order = np.argsort(head, kind="stable")
+    head = head[order]
+    for block in _blocks(head, STRINGS):
+        some = order[block]
+        strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(flat, WINDOW)[at[some]]).view(f"S{WINDOW}").ravel()
+        rank = np.argsort(strings, kind="stable")
+        strings, some = strings[rank], some[rank]
+        new = np.flatnonzero(np.concatenate([[True], strings[1:] != strings[:-1]]))
+        found[some] = np.repeat(np.minimum.reduceat(least[own[some]], new), np.diff(np.append(new, len(some))))
+    new = np.ones(len(own), bool)
+    new[1:] = (found[1:] != found[:-1]) | (own[1:] != own[:-1])
+    new = np.flatnonzero(new)
+    return kind, Stretches(own[new], (new - begin[own[new]]).astype("u1"), np.diff(np.append(new, len(own))).astype("u1"), found[new])
 
 
 class Level(NamedTuple):
-    """Distinct fingerprints in order, the slice that brought each first, how many slices hold it, whether a batch of this call does, and how many batches the level is made of."""
+    """Distinct fingerprints in order, the slice that brought each first, how many runs it has, whether a batch of this call has it too, and how many batches the level is made of."""
 
     keys: np.ndarray
     owner: np.ndarray
-    slices: np.ndarray
+    runs: np.ndarray
     touched: np.ndarray
     batches: int
 
@@ -214,8 +300,9 @@ class Family:
         self.owners: list[tuple[np.ndarray, np.ndarray]] = []
         self.later: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def add(self, slice_id: int, keys: np.ndarray) -> None:
-        """Merge-scan a batch's sorted distinct keys against all levels, note what is common, and let equal levels merge."""
+    def add(self, slice_id: int, keys: np.ndarray, runs: np.ndarray | None = None) -> None:
+        """Merge-scan a batch's sorted distinct keys (with the runs of each, else one) against all levels, note what is common, and let equal levels merge."""
+        runs = np.ones(len(keys), "i8") if runs is None else runs
         seen = np.zeros(len(keys), bool)
         for level in self.levels:
             if not len(level.keys):
@@ -226,12 +313,12 @@ class Family:
             at = place[met]
             once = at[~level.touched[at]]
             self.owners.append((level.keys[once], level.owner[once]))
-            level.slices[at] += 1
+            level.runs[at] += runs[met]
             level.touched[at] = True
             seen |= met
         self.later.append((keys[seen], np.full(seen.sum(), slice_id)))
         fresh = keys[~seen]
-        self._push(Level(fresh, np.full(len(fresh), slice_id), np.ones(len(fresh), "i8"), np.zeros(len(fresh), bool), 1))
+        self._push(Level(fresh, np.full(len(fresh), slice_id), runs[~seen].astype("i8"), np.zeros(len(fresh), bool), 1))
 
     def _push(self, level: Level) -> None:
         while self.levels and self.levels[-1].batches <= level.batches:
@@ -242,9 +329,9 @@ class Family:
         self.levels.append(level)
 
     def found(self, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(slice, key, whether more than `hot` slices hold it) of all that batches of this call have in common with any slice."""
+        """(slice, key, whether it has more than `hot` runs) of all that batches of this call have in common with any slice."""
         none = np.zeros(0, "u4"), np.zeros(0, "i8")
-        touched, crowded = (np.concatenate([none[0], *x]) for x in ([v.keys[v.touched] for v in self.levels], [v.keys[v.slices > hot] for v in self.levels]))
+        touched, crowded = (np.concatenate([none[0], *x]) for x in ([v.keys[v.touched] for v in self.levels], [v.keys[v.runs > hot] for v in self.levels]))
         before = [(k[m], s[m]) for k, s in self.others for m in [np.isin(k, touched)]]
         keys, owner = (np.concatenate(x) for x in zip(none, *self.owners, *self.later, *before, strict=True))
         return owner, keys, np.isin(keys, crowded)
@@ -293,22 +380,22 @@ def _blob(*arrays: np.ndarray) -> bytes:
 
 
 def _entries(parts: int):
-    """For each part the sorted anchors of a few slices: one row a part for every FLUSH bytes of text."""
+    """For each part the sorted anchors of a few slices with their numbers of runs: one row a part for every FLUSH bytes of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         size = 0
 
         def rows() -> pa.RecordBatch:
-            blobs = [_blob(np.array([s for s, _ in x], "i8"), np.array([len(k) for _, k in x], "i8"), np.concatenate([np.diff(k, prepend=np.uint32(0)) for _, k in x])) for x in held.values()]
+            blobs = [_blob(np.array([s for s, _, _ in x], "i8"), np.array([len(k) for _, k, _ in x], "i8"), np.concatenate([np.diff(k, prepend=np.uint32(0)) for _, k, _ in x]), np.concatenate([n for _, _, n in x])) for x in held.values()]
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(blobs, pa.binary())], ["part", "keys"])
 
         for batch in batches:
             for at, ends, body, n in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3, 4)), strict=True):
-                tags = np.unique(anchored(_text(body, n), np.frombuffer(ends, "i8"), parts).tag)
+                tags, runs = np.unique(anchored(_text(body, n), np.frombuffer(ends, "i8"), parts).tag, return_counts=True)
                 edges = np.flatnonzero(np.diff(tags >> np.uint64(32), prepend=np.uint64(2**32), append=np.uint64(2**32)))
                 for a, b in zip(edges[:-1], edges[1:], strict=True):
-                    held.setdefault(int(tags[a] >> np.uint64(32)), []).append((at, tags[a:b].astype("u4")))
+                    held.setdefault(int(tags[a] >> np.uint64(32)), []).append((at, tags[a:b].astype("u4"), runs[a:b].astype("u4")))
                 size += n
                 if size > FLUSH:
                     yield rows()
@@ -327,11 +414,11 @@ def _scan(parts: int, hot: int, keep: bool):
         levels = [Level(k, o, s.copy(), np.zeros(len(k), bool), n) for b, n in sorted((x for x in told if x[1]), key=lambda x: -x[1]) for k, o, s in [_arrays(b, "u4", "i8", "i8")]]
         family = Family(levels, [tuple(_arrays(b, "u4", "i8")) for b, n in told if n == 0])
         new = []
-        for at, sizes, steps in (_arrays(b, "i8", "i8", "u4") for b, n in told if n is None):
+        for at, sizes, steps, runs in (_arrays(b, "i8", "i8", "u4", "u4") for b, n in told if n is None):
             edges = np.concatenate([[0], np.cumsum(sizes)])
-            new += [(int(s), np.cumsum(steps[a:b], dtype="u8").astype("u4")) for s, a, b in zip(at, edges[:-1], edges[1:], strict=True)]
-        for at, keys in sorted(new, key=lambda x: x[0]):
-            family.add(at, keys)
+            new += [(int(s), np.cumsum(steps[a:b], dtype="u8").astype("u4"), runs[a:b]) for s, a, b in zip(at, edges[:-1], edges[1:], strict=True)]
+        for at, keys, runs in sorted(new, key=lambda x: x[0]):
+            family.add(at, keys, runs)
         owner, keys, crowded = family.found(hot)
         order = np.lexsort((keys, owner))
         owner, keys, crowded = owner[order], keys[order], crowded[order]
@@ -348,7 +435,7 @@ def _scan(parts: int, hot: int, keep: bool):
 
 
 def _noted(notes: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(tags that other slices hold, those of them that very many hold) from a slice's rows."""
+    """(tags that other slices hold, those of them that have very many runs) from a slice's rows."""
     common, hot = [np.zeros(0, "u8")], [np.zeros(0, "u8")]
     for part, blob, kind in zip(notes.column("part").to_pylist(), notes.column("keys").to_pylist(), notes.column("kind").to_pylist(), strict=True):
         if kind == 0:
@@ -359,12 +446,12 @@ def _noted(notes: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(common), np.concatenate(hot)
 
 
-def _opened(rows: pa.Table, notes: pa.Table, parts: int):
-    """(id array with NO_ID for null, text, ends, pieces) of a slice."""
+def _opened(rows: pa.Table, notes: pa.Table, parts: int, deals: int):
+    """(id array with NO_ID for null, text, ends, what must be verified) of a slice."""
     ids = np.array([NO_ID if i is None else i for i in rows.column("ids")[0].as_py()], "i8")
     ends = np.frombuffer(rows.column("ends")[0].as_py(), "i8")
     text = _text(rows.column("body")[0].as_py(), rows.column("bytes")[0].as_py())
-    return ids, text, ends, pieces_of(text, ends, parts, *_noted(notes))
+    return ids, text, ends, wanted_of(text, ends, parts, deals, *_noted(notes))
 
 
 def _told(parts: int, deals: int, number: int):
@@ -373,19 +460,18 @@ def _told(parts: int, deals: int, number: int):
     def run(rows: pa.Table, notes: pa.Table) -> pa.Table:
         out = {"deal": [], "slice": [], "pieces": []}
         if rows.num_rows and (notes.num_rows or rows.column("slice")[0].as_py() >> 48 >= number):
-            ids, _, _, p = _opened(rows, notes, parts)
-            low, high = np.full(len(p.words), NO_ID), np.full(len(p.words), np.iinfo("i8").min)
-            np.minimum.at(low, p.kind, ids[p.doc])
-            np.maximum.at(high, p.kind, ids[p.doc])
-            deal = (p.deal % np.uint64(deals)).astype("i8")
-            order = np.argsort(deal, kind="stable")
-            edges = np.flatnonzero(np.diff(deal[order], prepend=-1, append=-1)) if len(order) else np.zeros(0, "i8")
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                some = order[a:b]
-                flat = p.words[some, :-1].astype("<u8").view("u1").reshape(len(some), WIDE)
-                body = flat[np.arange(WIDE) < p.lengths[some][:, None]]
-                out["deal"].append(int(deal[some[0]]))
-                out["pieces"].append(_blob(some.astype("u4"), p.lengths[some].astype("u1"), low[some], high[some], body))
+            ids, text, ends, wanted = _opened(rows, notes, parts, deals)
+            for p in pieces_of(text, wanted):
+                own = ids[np.searchsorted(ends, p.start, "right")]
+                low, high = np.full(len(p.words), NO_ID), np.full(len(p.words), np.iinfo("i8").min)
+                np.minimum.at(low, p.kind, own)
+                np.maximum.at(high, p.kind, own)
+                flat, lengths, above = np.ascontiguousarray(p.words[:, :-1]).view("u1"), p.words[:, -1].astype("u1"), high.view("u8") - low.view("u8")
+                edges = np.flatnonzero(np.diff(p.deal.astype("i8"), prepend=-1, append=-1))
+                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    body = flat[a:b][np.arange(WIDE) < lengths[a:b, None]]
+                    out["deal"].append(int(p.deal[a]))
+                    out["pieces"].append(_blob(np.array([p.number + a], "u4"), lengths[a:b], low[a:b], above[a:b], body))
             out["slice"] = [rows.column("slice")[0].as_py()] * len(out["deal"])
         return pa.table([pa.array(out["deal"], pa.int64()), pa.array(out["slice"], pa.int64()), pa.array(out["pieces"], pa.binary())], names=list(out))
 
@@ -394,45 +480,47 @@ def _told(parts: int, deals: int, number: int):
 
 def _verified(rows: pa.Table) -> pa.Table:
     """The least ids of all strings of the pieces dealt to a task, for the slices whose documents they cover."""
-    told = [_arrays(b, "u4", "u1", "i8", "i8", "u1") for b in rows.column("pieces").to_pylist()]
-    where, lengths, low, high, body = (np.concatenate(x) for x in zip(*told, strict=True))
-    lengths = lengths.astype("i8")
-    words = _padded(body, np.cumsum(lengths) - lengths, lengths)
-    times, least = least_ids(words, low)
-    begin = np.cumsum(times) - times
-    covers = np.minimum.reduceat(least, begin) < high
-    of = np.repeat(np.arange(len(told)), [len(t[0]) for t in told])
+    told = [_arrays(b, "u4", "u1", "i8", "u8", "u1") for b in rows.column("pieces").to_pylist()]
+    number, lengths, low, above, body = (np.concatenate(x) for x in zip(*told, strict=True))
+    many = np.array([len(t[1]) for t in told])
+    del told
+    of = np.repeat(np.arange(len(many)), many)
+    number = np.repeat(number.astype("i8") - (np.cumsum(many) - many), many) + np.arange(len(of))
+    kind, stretches = least_ids(_padded(_roomy(body), np.cumsum(lengths, dtype="i8") - lengths, lengths), low)
+    piece, at = _matched(stretches.kind, kind)
+    covers = stretches.least[at] < (low.view("u8") + above).view("i8")[piece]
+    piece, at = piece[covers], at[covers]
+    edges = np.searchsorted(of[piece], np.arange(len(many) + 1)).tolist()
     out = {"slice": [], "keys": []}
-    for k, s in enumerate(rows.column("slice").to_pylist()):
-        a, b = np.searchsorted(of, [k, k + 1])
-        some = a + np.flatnonzero(covers[a:b])
-        if len(some):
-            t = times[some]
-            at = np.repeat(begin[some] - (np.cumsum(t) - t), t) + np.arange(t.sum())
+    for s, a, b in zip(rows.column("slice").to_pylist(), edges[:-1], edges[1:], strict=True):
+        if a < b:
+            some = at[a:b]
             out["slice"].append(s)
-            out["keys"].append(_blob(where[some], t.astype("u1"), least[at]))
+            out["keys"].append(_blob(number[piece[a:b]].astype("u4"), stretches.into[some], stretches.size[some], stretches.least[some]))
     return pa.table([pa.array(out["slice"], pa.int64()), pa.array(out["keys"], pa.binary())], names=list(out))
 
 
-def _removed(parts: int, texts: bool):
+def _removed(parts: int, deals: int, texts: bool):
     def run(rows: pa.Table, notes: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return pa.table([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-        ids, text, ends, p = _opened(rows, notes, parts)
+        ids, text, ends, wanted = _opened(rows, notes, parts, deals)
         change = np.zeros(len(text) + 1, "i4")
-        hits = [_arrays(b, "u4", "u1", "i8") for b, kind in zip(notes.column("keys").to_pylist(), notes.column("kind").to_pylist(), strict=True) if kind == 1]
+        hits = [_arrays(b, "u4", "u1", "u1", "i8") for b, kind in zip(notes.column("keys").to_pylist(), notes.column("kind").to_pylist(), strict=True) if kind == 1]
         if hits:
-            where, times, least = (np.concatenate(x) for x in zip(*hits, strict=True))
-            at, size = np.full(len(p.words), -1), np.zeros(len(p.words), "i8")
-            at[where], size[where] = np.cumsum(times, dtype="i8") - times, times
-            some = np.flatnonzero(at[p.kind] >= 0)
-            n = size[p.kind[some]]
-            into = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            covered = least[np.repeat(at[p.kind[some]], n) + into] < np.repeat(ids[p.doc[some]], n)
-            start = (np.repeat(p.start[some], n) + into)[covered]
-            np.add.at(change, start, 1)
-            np.add.at(change, start + WINDOW, -1)
-        gone = np.cumsum(change[:-1]) > 0
+            number, into, size, least = (np.concatenate(x) for x in zip(*hits, strict=True))
+            order = np.argsort(number, kind="stable")
+            number, into, size, least = number[order], into[order], size[order], least[order]
+            for p in pieces_of(text, wanted):
+                some = slice(*np.searchsorted(number, [p.number, p.number + len(p.words)]))
+                own, at = _matched(number[some].astype("i8") - p.number, p.kind)
+                at += some.start
+                covered = least[at] < ids[np.searchsorted(ends, p.start, "right")][own]
+                own, at = own[covered], at[covered]
+                start = p.start[own].astype("i8") + into[at]
+                np.add.at(change, start, 1)
+                np.add.at(change, start + size[at] + (WINDOW - 1), -1)
+        gone = np.cumsum(change, dtype="i4", out=change)[:-1] > 0
         out = []
         for i, a, b in zip(rows.column("ids")[0].as_py(), np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
             own = gone[a:b]
@@ -476,7 +564,7 @@ def add(documents: DataFrame, index: Index | None = None, keep: bool = True, hot
     told = all_slices.groupBy("slice").cogroup(flags.groupBy("slice")).applyInArrow(_told(parts, deals, number), "deal long, slice long, pieces binary")
     hits = told.groupBy("deal").applyInArrow(_verified, "slice long, keys binary")
     notes = flags.unionByName(hits.select("slice", F.lit(None).cast("int").alias("part"), "keys", F.lit(1).alias("kind")))
-    rows = fresh.groupBy("slice").cogroup(notes.groupBy("slice")).applyInArrow(_removed(parts, texts), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    rows = fresh.groupBy("slice").cogroup(notes.groupBy("slice")).applyInArrow(_removed(parts, deals, texts), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     out = rows.select(F.col("id").alias(doc_id), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else []))
     levels = scanned.where("batches is not null").select("part", "keys", "batches")
     return out, Index(all_slices, levels, parts, number + 1) if keep else None
