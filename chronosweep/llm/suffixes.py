@@ -141,7 +141,7 @@ def distinct(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 _KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], "u8")
 #: Where the words of a string of WINDOW bytes begin.
-_STEPS = [*range(0, WINDOW - 8, 8), WINDOW - 8]
+_AT = [*range(0, WINDOW - 8, 8), WINDOW - 8]
 
 
 def _roomy(flat: np.ndarray) -> np.ndarray:
@@ -203,7 +203,7 @@ def wanted_of(text: np.ndarray, ends: np.ndarray, parts: int, deals: int, common
         each = last[a : a + AT_ONCE] - first[a : a + AT_ONCE] + 1
         at = np.repeat(first[a : a + AT_ONCE] - (np.cumsum(each) - each), each) + np.arange(each.sum())
         told = np.zeros(len(at), "u8")
-        for k in _STEPS:
+        for k in _AT:
             told = _mixed((told ^ words[at + k]) * _A + _C)
         start.append(at.astype("i4"))
         length.append(np.full(len(at), WINDOW, "u1"))
@@ -340,7 +340,7 @@ class Family:
 def _pack(number: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, held, count = [], [], 0, 0
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=6)
 
         def row() -> pa.RecordBatch:
             at = number << 48 | TaskContext.get().partitionId() << 20 | count
@@ -379,6 +379,11 @@ def _blob(*arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.array([len(t) for t in told], "i8").tobytes() + b"".join(told))
 
 
+def _steps(ordered: np.ndarray) -> np.ndarray:
+    """From zero to the first of these and from each to the next, for `_blob`."""
+    return np.diff(ordered, prepend=np.uint32(0))
+
+
 def _entries(parts: int):
     """For each part the sorted anchors of a few slices with their numbers of runs: one row a part for every FLUSH bytes of text."""
 
@@ -387,7 +392,7 @@ def _entries(parts: int):
         size = 0
 
         def rows() -> pa.RecordBatch:
-            blobs = [_blob(np.array([s for s, _, _ in x], "i8"), np.array([len(k) for _, k, _ in x], "i8"), np.concatenate([np.diff(k, prepend=np.uint32(0)) for _, k, _ in x]), np.concatenate([n for _, _, n in x])) for x in held.values()]
+            blobs = [_blob(np.array([s for s, _, _ in x], "i8"), np.array([len(k) for _, k, _ in x], "i8"), np.concatenate([_steps(k) for _, k, _ in x]), np.concatenate([n for _, _, n in x])) for x in held.values()]
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(blobs, pa.binary())], ["part", "keys"])
 
         for batch in batches:
@@ -423,7 +428,7 @@ def _scan(parts: int, hot: int, keep: bool):
         order = np.lexsort((keys, owner))
         owner, keys, crowded = owner[order], keys[order], crowded[order]
         edges = np.flatnonzero(np.diff(owner, prepend=-1, append=-1)) if len(owner) else np.zeros(0, "i8")
-        out = [(int(owner[a]), part, _blob(keys[a:b], crowded[a:b]), b - a, None) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        out = [(int(owner[a]), part, _blob(_steps(keys[a:b]), crowded[a:b]), b - a, None) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
         if keep:
             out += [(None, part, _blob(*v[:3]), len(v.keys), v.batches) for v in family.levels]
             beside = [np.concatenate(x) for x in zip(*family.others, *family.later, strict=True)] if family.later or family.others else []
@@ -439,8 +444,8 @@ def _noted(notes: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     common, hot = [np.zeros(0, "u8")], [np.zeros(0, "u8")]
     for part, blob, kind in zip(notes.column("part").to_pylist(), notes.column("keys").to_pylist(), notes.column("kind").to_pylist(), strict=True):
         if kind == 0:
-            keys, crowded = _arrays(blob, "u4", "?")
-            tags = np.uint64(part) << np.uint64(32) | keys.astype("u8")
+            steps, crowded = _arrays(blob, "u4", "?")
+            tags = np.uint64(part) << np.uint64(32) | np.cumsum(steps, dtype="u8")
             common.append(tags)
             hot.append(tags[crowded])
     return np.concatenate(common), np.concatenate(hot)
@@ -496,7 +501,7 @@ def _verified(rows: pa.Table) -> pa.Table:
         if a < b:
             some = at[a:b]
             out["slice"].append(s)
-            out["keys"].append(_blob(number[piece[a:b]].astype("u4"), stretches.into[some], stretches.size[some], stretches.least[some]))
+            out["keys"].append(_blob(_steps(number[piece[a:b]].astype("u4")), stretches.into[some], stretches.size[some], stretches.least[some]))
     return pa.table([pa.array(out["slice"], pa.int64()), pa.array(out["keys"], pa.binary())], names=list(out))
 
 
@@ -508,12 +513,12 @@ def _removed(parts: int, deals: int, texts: bool):
         change = np.zeros(len(text) + 1, "i4")
         hits = [_arrays(b, "u4", "u1", "u1", "i8") for b, kind in zip(notes.column("keys").to_pylist(), notes.column("kind").to_pylist(), strict=True) if kind == 1]
         if hits:
-            number, into, size, least = (np.concatenate(x) for x in zip(*hits, strict=True))
+            number, into, size, least = (np.concatenate(x) for x in zip(*((np.cumsum(h[0], dtype="i8"), *h[1:]) for h in hits), strict=True))
             order = np.argsort(number, kind="stable")
             number, into, size, least = number[order], into[order], size[order], least[order]
             for p in pieces_of(text, wanted):
                 some = slice(*np.searchsorted(number, [p.number, p.number + len(p.words)]))
-                own, at = _matched(number[some].astype("i8") - p.number, p.kind)
+                own, at = _matched(number[some] - p.number, p.kind)
                 at += some.start
                 covered = least[at] < ids[np.searchsorted(ends, p.start, "right")][own]
                 own, at = own[covered], at[covered]

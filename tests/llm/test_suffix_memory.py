@@ -29,7 +29,7 @@ def tags_of(rows):
 
 
 def noted(tags, crowded, hits=()):
-    blobs = [(p, suffixes._blob(tags[own].astype("u4"), crowded[own]), 0) for p in range(PARTS) for own in [tags >> np.uint64(32) == p] if own.any()]
+    blobs = [(p, suffixes._blob(suffixes._steps(tags[own].astype("u4")), crowded[own]), 0) for p in range(PARTS) for own in [tags >> np.uint64(32) == p] if own.any()]
     blobs += [(None, h, 1) for h in hits]
     return pa.table({"part": pa.array([b[0] for b in blobs], pa.int32()), "keys": pa.array([b[1] for b in blobs], pa.binary()), "kind": pa.array([b[2] for b in blobs], pa.int32())})
 
